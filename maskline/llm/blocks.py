@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALLEST_BLOCK, LARGEST_BLOCK, MANY = 8 << 20, 64 << 20, 1024
+SMALLEST_BLOCK, LARGEST_BLOCK, MANY = 16 << 20, 64 << 20, 1024
 ROWS = "_bucket int, _block int, _n long, _body binary"
 FIELDS = pa.schema([("_bucket", pa.int32()), ("_block", pa.int32()), ("_n", pa.int64()), ("_body", pa.binary())])
 _CODEC = pa.Codec("zstd", 1)
@@ -33,7 +33,7 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 
 def block_count(size: int) -> int:
-    """Blocks of 8 to 64 MiB of text, at least 8 of them."""
+    """Blocks of 16 to 64 MiB of text, at least 8 of them."""
     each = min(max(size // MANY, SMALLEST_BLOCK), LARGEST_BLOCK)
     return max(8, -(-size // each))
 

@@ -95,8 +95,8 @@ class _Pieces:
             blank = _blank(data)
             closes = ~blank
             closes[:-1] &= blank[1:]
-            ends = np.union1d(np.flatnonzero(closes) + 1, bounds[1:])
-            ends = ends[ends > 0]
+            closes[bounds[1:][bounds[1:] > 0] - 1] = True
+            ends = np.flatnonzero(closes) + 1
             starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
             keys.append(tx.LANES[0].hashes(data, starts, ends))
             checks.append(tx.LANES[1].hashes(data, starts, ends))
@@ -105,9 +105,7 @@ class _Pieces:
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         keys, checks = join(keys, np.uint64), join(checks, np.uint64)
         self.per_doc = join(per_doc, np.int64)
-        order = np.lexsort((checks, keys))
-        new = np.ones(len(order), bool)
-        new[1:] = (keys[order][1:] != keys[order][:-1]) | (checks[order][1:] != checks[order][:-1])
+        order, new = tx.grouped(keys, checks)
         self.numbers = np.empty(len(order), np.int64)
         self.numbers[order] = np.cumsum(new) - 1
         self.distinct: list[str] = []

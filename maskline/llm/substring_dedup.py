@@ -124,11 +124,8 @@ def substring_dedup(
     def keyed(found: _Windows, mask: np.ndarray):
         """Order of the masked windows by both hashes, and where each key begins."""
         one, two = (x[mask] for x in found.keys)
-        order = np.lexsort((two, one))
-        one, two = one[order], two[order]
-        new = np.ones(len(one), bool)
-        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        return one, two, order, new
+        order, new = tx.grouped(one, two)
+        return one[order], two[order], order, new
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
@@ -156,10 +153,7 @@ def substring_dedup(
         one = np.concatenate([bl.unpack_sorted(p[0], k, np.uint64) for p, k in zip(parts, n)])
         two = np.concatenate([np.frombuffer(p[1], np.uint64) for p in parts])
         least = np.concatenate([bl.unpack(p[2], k, np.int64) for p, k in zip(parts, n)])
-        order = np.lexsort((two, one))
-        one, two = one[order], two[order]
-        new = np.ones(len(one), bool)
-        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        order, new = tx.grouped(one, two)
         smallest = np.empty(len(one), np.int64)
         smallest[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         ends = np.cumsum([0, *n])

@@ -159,6 +159,19 @@ def windows(found: Words, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return at, runs(hashes, n)[at]
 
 
+def grouped(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by two hashes, and which places of the order begin a new pair."""
+    order = np.argsort(keys)
+    one, two = keys[order], checks[order]
+    new = np.ones(len(order), bool)
+    new[1:] = one[1:] != one[:-1]
+    if (~new[1:] & (two[1:] != two[:-1])).any():  # two texts share a 64-bit hash
+        order = np.lexsort((checks, keys))
+        one, two = keys[order], checks[order]
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    return order, new
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Mask of the keys that occur twice or more."""
     if not len(keys):
