@@ -1,15 +1,13 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
-Each block of documents splits its texts into pre-tokens at their positions
-and asks for its distinct pre-tokens; hash buckets of pre-tokens encode every
-distinct one once for the whole corpus; the ids come back to the blocks and
-are put together by position.  Decoding joins each id with the token-byte
-table, whose size is that of the vocabulary file whatever the corpus.
-
-White space runs followed by a word ("pieces") split the same way wherever
-they stand, because no token of the pattern spans a word and the white space
-after it.  So a block runs the pattern over its distinct pieces only, and
-positions are kept as piece numbers in numpy.
+A pre-token here is a word with the white space before it (or the white space
+that ends a text).  The splitting pattern never makes a token of a word and
+white space after it, so such a pre-token splits and encodes the same wherever
+it stands.  Each block of documents cuts its texts into pre-tokens, keeps their
+numbers by position, and asks for its distinct ones; hash buckets encode every
+distinct pre-token once for the whole corpus; the ids come back and are put
+together by position.  Decoding joins each id with the token-byte table, whose
+size is that of the vocabulary file whatever the corpus.
 
 Defined cases: null text is empty and has no ids; repeated rows give repeated
 results; special tokens are ordinary text; an id outside the table makes the
@@ -20,12 +18,12 @@ id and text are not carried.
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +40,8 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def _whole(path: str) -> tiktoken.Encoding:
-    """Encodes a pre-token as one piece."""
-    return tiktoken.Encoding("pre-token", pat_str=r"[\s\S]+", mergeable_ranks=ranks(path), special_tokens={})
+def _encoder(path: str, pattern: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
 @lru_cache(maxsize=4)
@@ -60,13 +57,6 @@ def _bytes_of(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(each), np.uint8), begin, length
 
 
-@lru_cache(maxsize=4)
-def _splitter(pattern: str):
-    # White space as the Unicode property, which leaves out U+001C to U+001F.
-    pattern = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
-
-
 def _blank(data: np.ndarray) -> np.ndarray:
     """Mask of the bytes of white space characters, all of Unicode's."""
     out = ((data >= 0x09) & (data <= 0x0D)) | (data == 0x20)
@@ -85,64 +75,43 @@ def _blank(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _gathered(values: np.ndarray, begin: np.ndarray, length: np.ndarray, take: np.ndarray):
+    """values[begin:begin+length] for each of take, one after the other, and where each ends."""
+    n = length[take]
+    stop = np.cumsum(n)
+    at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin[take] - (stop - n), n)
+    return values[at], stop
+
+
 class _Pieces:
-    """Distinct pieces of a block and, for each document, their numbers by position."""
+    """Distinct pieces of a block by hash, and each document's piece numbers by position."""
 
     def __init__(self, texts: pa.ChunkedArray):
-        keys, checks, pieces, per_doc = [], [], [], []
+        each = {x: [np.zeros(0, kind)] for x, kind in zip(("key", "check", "start", "end", "doc"), ("u8", "u8", *["i8"] * 3))}
+        data, base = [np.zeros(0, np.uint8)], 0
         for chunk in tx.chunks(texts):
-            data, bounds = chunk.data, chunk.bounds
-            blank = _blank(data)
+            blank = _blank(chunk.data)
             closes = ~blank
             closes[:-1] &= blank[1:]
+            bounds = chunk.bounds
             closes[bounds[1:][bounds[1:] > 0] - 1] = True
-            ends = np.flatnonzero(closes) + 1
-            starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
-            keys.append(tx.LANES[0].hashes(data, starts, ends))
-            checks.append(tx.LANES[1].hashes(data, starts, ends))
-            pieces.append((data, starts, ends))
-            per_doc.append(np.diff(np.searchsorted(ends, bounds, "right")))
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        keys, checks = join(keys, np.uint64), join(checks, np.uint64)
-        self.per_doc = join(per_doc, np.int64)
-        order, new = tx.grouped(keys, checks)
+            end = np.flatnonzero(closes) + 1
+            start = np.concatenate([[0], end[:-1]])[: len(end)]
+            each["key"].append(tx.LANES[0].hashes(chunk.data, start, end))
+            each["check"].append(tx.LANES[1].hashes(chunk.data, start, end))
+            each["start"].append(start + base)
+            each["end"].append(end + base)
+            each["doc"].append(np.diff(np.searchsorted(end, bounds, "right")))
+            data.append(chunk.data)
+            base += len(chunk.data)
+        got = {x: np.concatenate(y) for x, y in each.items()}
+        self.per_doc = got["doc"]
+        order, new = tx.grouped(got["key"], got["check"])
         self.numbers = np.empty(len(order), np.int64)
         self.numbers[order] = np.cumsum(new) - 1
-        self.distinct: list[str] = []
-        where = order[new]
-        base, found = 0, {}
-        for data, starts, ends in pieces:
-            own = np.flatnonzero((where >= base) & (where < base + len(starts)))
-            raw = data.tobytes()
-            for k, i in zip(own.tolist(), (where[own] - base).tolist()):
-                found[k] = raw[starts[i] : ends[i]].decode()
-            base += len(starts)
-        self.distinct = [found[k] for k in range(len(where))]
-
-    def split(self, pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct pre-tokens in order, and for each piece the numbers of its own."""
-        find = _splitter(pattern).findall
-        parts = [find(x) for x in self.distinct]
-        tokens = sorted({t for x in parts for t in x})
-        number = {t: i for i, t in enumerate(tokens)}
-        flat = np.fromiter((number[t] for x in parts for t in x), np.int64)
-        return tokens, flat, np.cumsum([0, *map(len, parts)])
-
-
-def _gathered(values: np.ndarray, begin: np.ndarray, length: np.ndarray, take: np.ndarray):
-    """values[begin:begin+length] for each of take, one after the other, and where each ends."""
-    n = length[take]
-    stop = np.cumsum(n)
-    at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin[take] - (stop - n), n)
-    return values[at], stop
-
-
-def _hash_order(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the tokens by hash, and the ascending hashes."""
-    parts = [tx.LANES[0].hashes(c.data, c.bounds[:-1], c.bounds[1:]) for c in tx.chunks(pa.array(tokens, pa.string()))]
-    keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    order = np.argsort(keys, kind="stable")
-    return order, keys[order]
+        one = order[new]
+        self.keys, self.length = got["key"][one], (got["end"] - got["start"])[one]
+        self.bytes, self.stop = _gathered(np.concatenate(data), got["start"][one], self.length, np.arange(len(one)))
 
 
 def encode(
@@ -154,53 +123,47 @@ def encode(
     by_block = bl.in_blocks(docs.select(id_col, text_col), id_col, text_col, n_blocks).groupBy("_block")
 
     def ask(key: tuple[pa.Scalar, ...], bundles: pa.Table) -> pa.Table:
-        tokens, _, _ = _Pieces(bl.unbundled(bundles)[text_col]).split(pattern)
-        order, keys = _hash_order(tokens)
-        at = bl.cuts(keys, 64, n_buckets)
+        pieces = _Pieces(bl.unbundled(bundles)[text_col])
+        at = bl.cuts(pieces.keys, 64, n_buckets)
+        stop = np.concatenate([[0], pieces.stop])
         out = []
         for k in np.flatnonzero(np.diff(at)):
-            raw = [tokens[i].encode() for i in order[at[k] : at[k + 1]]]
-            length = np.fromiter(map(len, raw), np.uint32, len(raw))
-            body = bl.frames(bl.pack(length), bl.pack(np.frombuffer(b"".join(raw), np.uint8)))
-            out.append((int(k), key[0].as_py(), len(raw), body))
+            i, j = at[k], at[k + 1]
+            body = bl.frames(
+                bl.pack(pieces.length[i:j].astype(np.uint32)), bl.pack(pieces.bytes[stop[i] : stop[j]])
+            )
+            out.append((int(k), key[0].as_py(), int(j - i), body))
         return bl.rows(out)
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         known: dict[bytes, list[int]] = {}
-        encoder, out = _whole(path), []
+        encoder, out = _encoder(path, pattern), []
         for block, n, body in zip(*(table[x].to_pylist() for x in ("_block", "_n", "_body"))):
             length, raw = bl.unframe(body)
             stop = np.cumsum(bl.unpack(length, n, np.uint32), dtype=np.int64)
             raw = bl.unpack(raw, int(stop[-1]), np.uint8).tobytes()
             ids: list[list[int]] = []
             for i, j in zip([0, *stop[:-1].tolist()], stop.tolist()):
-                if (got := known.get(raw[i:j])) is None:
-                    got = known[raw[i:j]] = encoder.encode_ordinary(raw[i:j].decode())
+                piece = raw[i:j]
+                if (got := known.get(piece)) is None:
+                    got = known[piece] = encoder.encode_ordinary(piece.decode())
                 ids.append(got)
             count = np.fromiter(map(len, ids), np.uint32, n)
-            flat = np.fromiter((x for y in ids for x in y), np.uint32)
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
             out.append((key[0].as_py(), block, n, bl.frames(bl.pack(count), bl.pack(flat))))
         return bl.rows(out)
 
     def assemble(key: tuple[pa.Scalar, ...], bundles: pa.Table, replies: pa.Table) -> pa.Table:
         table = bl.unbundled(bundles)
         pieces = _Pieces(table[text_col])
-        tokens, flat, ends = pieces.split(pattern)
-        order, _ = _hash_order(tokens)
         counts, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
         for _, n, body in sorted(zip(*(replies[x].to_pylist() for x in ("_bucket", "_n", "_body")))):
             count, body = bl.unframe(body)
             counts.append(bl.unpack(count, n, np.uint32))
             ids.append(bl.unpack(body, int(counts[-1].sum()), np.uint32))
         count, ids = np.concatenate(counts).astype(np.int64), np.concatenate(ids).astype(np.int32)
-        # Token i was asked in place rank[i]; its ids begin at begin[rank[i]].
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        begin = np.cumsum(count) - count
-        of_piece, stop = _gathered(ids, begin, count, rank[flat])
-        bound = np.concatenate([[0], stop])[ends]
+        all_ids, stop = _gathered(ids, np.cumsum(count) - count, count, pieces.numbers)
         per_doc = np.concatenate([[0], np.cumsum(pieces.per_doc)])
-        all_ids, stop = _gathered(of_piece, bound[:-1], np.diff(bound), pieces.numbers)
         offsets = np.concatenate([[0], stop])[per_doc]
         lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(all_ids, pa.int32()))
         return pa.table({id_col: table[id_col], "ids": lists.cast(pa.list_(pa.int32()))})
