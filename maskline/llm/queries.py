@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from maskline.llm import byte_bpe, quality_rules, substring_dedup
+from pyspark.sql import functions as F
+
+from maskline.llm import (
+    byte_bpe,
+    decontamination,
+    language_id,
+    lm_scoring,
+    minhash_dedup,
+    quality_rules,
+    sharding,
+    store,
+    substring_dedup,
+    token_counts,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -17,24 +30,116 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (their source as host) and pages; the id of the other kind is null."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language_id.train(docs.select("doc_id", "text", "lang"))
+    of_docs = language_id.identify(docs, model, "doc_id", "text", host_col="source")
+    of_pages = language_id.identify(pages, model, "page_id", "html", url_col="url", markup=True)
+    return of_docs.unionByName(of_pages, allowMissingColumns=True)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts under two tokenizer versions, revisions, deleted copies, and replays."""
+    feed = store.stored(token_counts.documents_feed(table(spark, sf_dir, "documents")))
+    rollup = token_counts.TokenRollup(spark, f"{store.shared_folder(spark)}/maskline/rollup-{uuid.uuid4().hex}")
+    none = F.lit(None).cast("long")
+
+    def changes(rows: DataFrame, tokenizer: str, before, after) -> DataFrame:
+        return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), before.alias("before"), after.alias("after"))
+
+    kept = feed.groupBy("content").agg(F.min("doc_id").alias("least"))
+    copies = feed.join(kept, "content").where("doc_id > least")
+    batches = {
+        "0001": changes(feed, "words-1", none, F.col("first")),
+        "0002": changes(feed, "words-2", none, F.col("second")),
+        "0003": changes(feed.where("revised <> first"), "words-1", F.col("first"), F.col("revised")),
+        "0004": changes(copies, "words-1", F.col("revised"), none).unionByName(
+            changes(copies, "words-2", F.col("second"), none)
+        ),
+    }
+    for batch in ("0001", "0002", "0003", "0003", "0004", "0001"):
+        rollup.commit(batch, batches[batch])
+    return rollup.totals()
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.digest(substring_dedup.substring_dedup(docs))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.leak_pairs(docs, items)
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four arrivals of falling size, compacted and read through the last manifest."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{store.shared_folder(spark)}/maskline/shards-{uuid.uuid4().hex}"
+    shards = sharding.ShardStore(spark, folder, docs.schema)
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(8))
+    arrival = F.when(draw < 4, 0).when(draw < 6, 1).otherwise(draw - 4)
+    shards.append(docs.withColumn("arrival", arrival), by="arrival")
+    shards.compact()
+    return shards.read().select(
+        "doc_id",
+        "source",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN)
     return byte_bpe.digest(byte_bpe.decode(ids, RANKS))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_substring_dedup": op3_substring_dedup,
-    "op7_byte_bpe": op7_byte_bpe,
-    "op10_quality_rules": op10_quality_rules,
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_token_counts,
+        op3_substring_dedup,
+        op4_decontamination,
+        op6_sharding,
+        op7_byte_bpe,
+        op8_minhash_dedup,
+        op9_lm_scoring,
+        op10_quality_rules,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_token_counts": r"""
+        WITH counted AS (
+            SELECT doc_id, source, lang,
+                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS first,
+                   coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]')), 0) AS second,
+                   coalesce(list_sum(list_transform(list_distinct(string_split(text, chr(10))),
+                            lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))), 0) AS revised,
+                   min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+            FROM documents),
+        totals AS (
+            SELECT source, lang, 'words-1' AS tokenizer, doc_id, least, revised AS n FROM counted
+            UNION ALL SELECT source, lang, 'words-2', doc_id, least, second FROM counted)
+        SELECT source, lang, tokenizer,
+               CAST(count(*) FILTER (WHERE doc_id = least) AS BIGINT) AS n_docs,
+               CAST(coalesce(sum(n) FILTER (WHERE doc_id = least), 0) AS BIGINT) AS n_tokens
+        FROM totals GROUP BY source, lang, tokenizer""",
+    "op6_sharding": """
+        SELECT doc_id, source, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents""",
+}
