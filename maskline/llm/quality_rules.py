@@ -81,7 +81,6 @@ def measure(chunk: tx.Chunk) -> dict[str, np.ndarray]:
     out = {"n_words": n_words, "word_chars": lead[bounds[1:]] - lead[bounds[:-1]]}
     out["n_symbols"] = tx.sums(_SYMBOL[data], bounds)
     out["n_dup_lines"], out["dup_line_chars"] = _lines(chunk, found, hashes, lead)
-    total = np.concatenate([[0], np.cumsum(width)])
     alive = None
     for n in sorted({5, *NGRAM_LIMITS}):
         at, key = tx.windows(found, hashes, n)
@@ -96,7 +95,6 @@ def measure(chunk: tx.Chunk) -> dict[str, np.ndarray]:
             out["n_repeat_words"] = tx.sums(cover, found.first)
         inner = np.concatenate([[0], np.cumsum(np.where(cover, width, 0))])
         out[f"dup_{n}gram_chars"] = inner[found.first[1:]] - inner[found.first[:-1]]
-    del total
     base = (n_words < MIN_WORDS) | (100 * out["n_repeat_words"] > REPEAT_PERCENT * n_words)
     chars = np.maximum(out["word_chars"], 1)
     bad = (out["dup_line_chars"] > LINE_LIMIT * chars) | (out["n_symbols"] > SYMBOL_LIMIT * n_words)
@@ -118,3 +116,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(got[x]) for x in names[1:])], names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows, all columns, that the rules keep; one map, no join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [np.zeros(0, bool)]
+            keep += [measure(x)["kept"] for x in tx.chunks(batch.column(docs.columns.index(text_col)))]
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from maskline.llm import (
     byte_bpe,
     decontamination,
+    html_extraction,
     language_id,
     lm_scoring,
     minhash_dedup,
@@ -73,6 +74,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leak_pairs(docs, items)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four arrivals of falling size, compacted and read through the last manifest."""
     docs = table(spark, sf_dir, "documents")
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_token_counts,
         op3_substring_dedup,
         op4_decontamination,
+        op5_html_extraction,
         op6_sharding,
         op7_byte_bpe,
         op8_minhash_dedup,
