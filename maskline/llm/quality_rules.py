@@ -120,11 +120,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows, all columns, that the rules keep; one map, no join."""
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [np.zeros(0, bool)]
-            keep += [measure(x)["kept"] for x in tx.chunks(batch.column(docs.columns.index(text_col)))]
+            keep += [measure(x)["kept"] for x in tx.chunks(batch.column(place))]
             yield batch.filter(pa.array(np.concatenate(keep)))
 
     return docs.mapInArrow(run, docs.schema)
