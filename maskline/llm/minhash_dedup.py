@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,19 +156,21 @@ def probability_jaccard(doc, key, weight, side, n: int) -> np.ndarray:
 
 
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similarity of each row's two texts, for a few megabytes of rows at a time."""
     for batch in batches:
-        n = batch.num_rows
-        parts = []
-        for side in (0, 1):
-            for chunk in tx.chunks(batch.column(2 + side)):
-                found = tx.words(chunk)
-                doc, key, weight = shingles(chunk, found, tx.word_hashes(chunk, found))
-                parts.append((doc + chunk.low, key, weight, np.full(len(doc), side)))
-        if parts:
-            similar = probability_jaccard(*(np.concatenate(x) for x in zip(*parts)), n)
-        else:
-            similar = np.zeros(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar)], ["a", "b", "similarity"])
+        size = sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy().astype(np.int64) for k in (2, 3))
+        step = np.cumsum(size) // (4 * tx.CHUNK_BYTES)
+        cut = np.concatenate([np.flatnonzero(np.diff(step, prepend=-1)), [batch.num_rows]])
+        for low, high in zip(cut[:-1], cut[1:]):
+            rows = batch.slice(low, high - low)
+            parts = []
+            for side in (0, 1):
+                for chunk in tx.chunks(rows.column(2 + side)):
+                    found = tx.words(chunk)
+                    doc, key, weight = shingles(chunk, found, tx.word_hashes(chunk, found))
+                    parts.append((doc + chunk.low, key, weight, np.full(len(doc), side)))
+            similar = probability_jaccard(*(np.concatenate(x) for x in zip(*parts)), rows.num_rows)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(similar)], ["a", "b", "similarity"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
