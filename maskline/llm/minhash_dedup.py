@@ -112,7 +112,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in tx.chunks(batch.column(1)):
+            for chunk in tx.chunks(batch.column(1), tx.CHUNK_BYTES // 4):
                 found = tx.words(chunk)
                 hashes = tx.word_hashes(chunk, found)
                 n = chunk.high - chunk.low
@@ -155,17 +155,33 @@ def probability_jaccard(doc, key, weight, side, n: int) -> np.ndarray:
     return np.bincount(pair[shared], score, n)
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd", 1)
+    for batch in batches:
+        raw = [(x or "").encode() for x in batch.column(1).to_pylist()]
+        body = pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), body, pa.array(list(map(len, raw)), pa.int64())], ["doc", "body", "size"]
+        )
+
+
+def _expanded(bodies: pa.Array, sizes: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd", 1)
+    raw = [codec.decompress(b, n, asbytes=True) for b, n in zip(bodies.to_pylist(), sizes.to_pylist())]
+    return pa.array(raw, pa.binary()).cast(pa.string())
+
+
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Similarity of each row's two texts, for a few megabytes of rows at a time."""
     for batch in batches:
-        size = sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy().astype(np.int64) for k in (2, 3))
+        size = pc.add(batch.column(4), batch.column(5)).to_numpy()
         step = np.cumsum(size) // (4 * tx.CHUNK_BYTES)
         cut = np.concatenate([np.flatnonzero(np.diff(step, prepend=-1)), [batch.num_rows]])
         for low, high in zip(cut[:-1], cut[1:]):
             rows = batch.slice(low, high - low)
             parts = []
             for side in (0, 1):
-                for chunk in tx.chunks(rows.column(2 + side)):
+                for chunk in tx.chunks(_expanded(rows.column(2 + side), rows.column(4 + side))):
                     found = tx.words(chunk)
                     doc, key, weight = shingles(chunk, found, tx.word_hashes(chunk, found))
                     parts.append((doc + chunk.low, key, weight, np.full(len(doc), side)))
@@ -174,11 +190,11 @@ def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose texts are at least so similar."""
+    """The pairs (a, b) whose texts (doc, body, size: compressed) are at least so similar."""
     kind = pairs.schema["a"].dataType.simpleString()
-    left = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    left = texts.toDF("a", "body_a", "size_a")
+    right = texts.toDF("b", "body_b", "size_b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b", "size_a", "size_b")
     return both.mapInArrow(_similarity, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= similar)
 
 
@@ -191,6 +207,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, class_id, n_links): the least id of each document's class, and its class
     representative's links to others."""
+    kind = docs.schema[id_col].dataType.simpleString()
     marks = stored(signed(docs, id_col, text_col))
     lone = F.col("doc").isNull() | F.col("bands").isNull()
     classes = stored(
@@ -203,7 +220,8 @@ def near_duplicates(
     shared = stored(buckets.join(centres.where("n > 1"), "key"))
     pairs = stored(shared.where("rep <> centre").select(*_pair("rep", "centre")).distinct())
     needed = shared.select(F.col("rep").alias("doc")).distinct()
-    texts = stored(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(needed, "doc"))
+    packed = docs.select(id_col, text_col).mapInArrow(_compressed, f"doc {kind}, body binary, size long")
+    texts = stored(packed.join(needed, "doc"))
     links = stored(verified(pairs, texts, similar))
     named = components(links)
 
