@@ -8,12 +8,15 @@ probability Jaccard similarity of the documents.  36 bands of 7 registers find
 a pair of similarity 0.8 with probability 0.9998.
 
 Texts with equal words are one class first, and one document of it goes on.
-In each bucket of a band, documents are compared with a centre of the bucket
-(one of four, so that a failed comparison is tried against others); exact
-probability Jaccard decides.  Pairs of a bucket that are then still in
-different components are compared too; a bucket of more than 64 documents is
-first cut by a second band.  So no pair that shares a band is left undecided
-unless it is linked already, and no group lists all its pairs.
+In each bucket of a band, documents are compared with two centres: one drawn
+(out of four over all bands, so that a failed comparison is tried against
+others) and the one that shares most buckets with others; exact probability
+Jaccard decides.  Documents of a bucket that are then still in different
+components are compared too: in buckets of up to 64 documents as pairs, in
+larger ones those outside the bucket's main component against all of that
+component and each other, in blocks of 64 by 64 inside a task.  So no pair
+that shares a band is left undecided unless its documents are in one class
+already, and no group lists its pairs.
 
 Defined cases: null and empty texts have no shingles, and each is a class of
 its own; texts of one to four words have one shingle, the whole text; rows
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskline.llm import text as tx
@@ -40,6 +43,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 36, 7
 CENTRES = 4
 LARGE = 64
+#: Hashed parts of a large component.
+PARTS = 16
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -198,6 +203,74 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return both.mapInArrow(_similarity, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= similar)
 
 
+def _block_links(similar: float, columns: list[str]):
+    """Links between the documents of two blocks, at most one for each document and component."""
+
+    def weights(rows: list[dict]):
+        texts = _expanded(pa.array([x["body"] for x in rows]), pa.array([x["size"] for x in rows]))
+        found = [(c, tx.words(c)) for c in tx.chunks(texts)]
+        sets = [(c.low, *shingles(c, w, tx.word_hashes(c, w))) for c, w in found]
+        return tuple(np.concatenate(x) for x in zip(*((doc + low, key, weight) for low, doc, key, weight in sets)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                left, right = row["x"], row["y"]
+                (d1, k1, w1), (d2, k2, w2) = weights(left), weights(right)
+                keys, place = np.unique(np.concatenate([k1, k2]), return_inverse=True)
+                both = []
+                for doc, at, weight, n in ((d1, place[: len(k1)], w1, len(left)), (d2, place[len(k1) :], w2, len(right))):
+                    share = np.zeros((n, len(keys)), np.float32)
+                    share[doc, at] = weight / np.bincount(doc, weight, n)[doc]
+                    both.append(share)
+                # With shares a and b of the two weights on common shingles, the similarity is at
+                # most 1 / (1 / a + 1 / b - 1), and just that where all shingles weigh the same.
+                a, b = both[0] @ (both[1] > 0).T, (both[0] > 0).astype(np.float32) @ both[1].T
+                possible = a * b >= (similar - 1e-4) * (a + b - a * b)
+                done, out = set(), []
+                for i, j in zip(*np.nonzero(possible)):
+                    p, q = left[i], right[j]
+                    if p["component"] == q["component"] or (i, q["component"]) in done:
+                        continue
+                    m1, m2 = d1 == i, d2 == j
+                    one = probability_jaccard(
+                        np.zeros(m1.sum() + m2.sum(), np.int64), np.concatenate([k1[m1], k2[m2]]),
+                        np.concatenate([w1[m1], w2[m2]]), np.repeat([0, 1], [m1.sum(), m2.sum()]), 1,
+                    )[0]
+                    if one >= similar:
+                        done.add((i, q["component"]))
+                        out.append((min(p["rep"], q["rep"]), max(p["rep"], q["rep"]), float(one)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], columns)
+
+    return run
+
+
+def _outside(large: DataFrame, named: DataFrame, texts: DataFrame, similar: float, kind: str) -> DataFrame:
+    """Links of documents that share large buckets (key, rep, component) with another component."""
+    size = large.groupBy("key", "component").agg(F.count("*").alias("members"))
+    main = size.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"))
+    outside = large.join(main, "key").where("component <> main").select("main", "rep", "component").distinct()
+    inside = named.select(F.col("component").alias("main"), F.col("node").alias("rep"), "component")
+    single = outside.select("main", F.col("main").alias("rep"), F.col("main").alias("component"))
+    every = inside.join(outside.select("main").distinct(), "main", "left_semi").unionByName(single).unionByName(outside)
+    body = texts.withColumnRenamed("doc", "rep")
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        # Hashed parts of a component first, so that numbering it is not one task's work.
+        rows = rows.distinct().withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PARTS)))
+        place = F.row_number().over(Window.partitionBy("main", "part").orderBy("rep")) - 1
+        block = F.concat_ws("-", "part", F.floor(place / LARGE))
+        return (
+            rows.withColumn("block", block).join(body, "rep")
+            .groupBy("main", "block").agg(F.collect_list(F.struct("rep", "component", "body", "size")).alias(name))
+            .select("main", name)
+        )
+
+    both = blocks(outside, "x").join(blocks(every, "y"), "main").select("x", "y")
+    return both.mapInArrow(_block_links(similar, ["a", "b", "similarity"]), f"a {kind}, b {kind}, similarity double")
+
+
 def _pair(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -205,8 +278,7 @@ def _pair(a, b) -> list:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR
 ) -> DataFrame:
-    """(id, class_id, n_links): the least id of each document's class, and its class
-    representative's links to others."""
+    """(id, class_id): the least id of each document's class."""
     kind = docs.schema[id_col].dataType.simpleString()
     marks = stored(signed(docs, id_col, text_col))
     lone = F.col("doc").isNull() | F.col("bands").isNull()
@@ -216,9 +288,12 @@ def near_duplicates(
     buckets = classes.select(F.explode("bands").alias("key"), "rep")
     # One centre for each bucket, drawn the same way in a quarter of all buckets.
     draw = F.xxhash64("rep", F.pmod("key", F.lit(CENTRES)))
-    centres = buckets.groupBy("key").agg(F.min_by("rep", F.struct(draw, "rep")).alias("centre"), F.count("*").alias("n"))
-    shared = stored(buckets.join(centres.where("n > 1"), "key"))
-    pairs = stored(shared.where("rep <> centre").select(*_pair("rep", "centre")).distinct())
+    drawn = buckets.groupBy("key").agg(F.min_by("rep", F.struct(draw, "rep")).alias("centre"), F.count("*").alias("n"))
+    shared = stored(buckets.join(drawn.where("n > 1"), "key"))
+    reach = shared.groupBy("rep").agg(F.sum("n").alias("reach"))
+    middle = shared.join(reach, "rep").groupBy("key").agg(F.max_by("rep", F.struct("reach", "rep")).alias("middle"))
+    tried = shared.select("rep", "centre").unionByName(shared.join(middle, "key").select("rep", F.col("middle").alias("centre")))
+    pairs = stored(tried.where("rep <> centre").select(*_pair("rep", "centre")).distinct())
     needed = shared.select(F.col("rep").alias("doc")).distinct()
     packed = docs.select(id_col, text_col).mapInArrow(_compressed, f"doc {kind}, body binary, size long")
     texts = stored(packed.join(needed, "doc"))
@@ -230,27 +305,18 @@ def near_duplicates(
     )
     open_keys = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     open_ = stored(member.join(open_keys.select("key"), "key"))
-    large = (
-        open_.where(F.col("n") > LARGE)
-        .join(classes.select("rep", "bands"), "rep")
-        .select(F.col("key").alias("first"), "rep", "component", F.explode("bands").alias("second"))
-        .where(F.col("first") < F.col("second"))
-        .select(F.xxhash64("first", "second").alias("key"), "rep", "component")
-    )
-    rest = open_.where(F.col("n") <= LARGE).select("key", "rep", "component").unionByName(large)
+    more_links = stored(_outside(open_.where(F.col("n") > LARGE), named, texts, similar, kind))
+    rest = open_.where(F.col("n") <= LARGE).select("key", "rep", "component")
     left = rest.select("key", F.col("rep").alias("p"), F.col("component").alias("x"))
     right = rest.select("key", F.col("rep").alias("q"), F.col("component").alias("y"))
     others = left.join(right, "key").where("x < y").select(*_pair("p", "q")).distinct()
     more = stored(verified(others.join(pairs, ["a", "b"], "left_anti"), texts, similar))
-    links = links.unionByName(more)
+    links = links.unionByName(more).unionByName(more_links)
     named = components(links)
 
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    found = named.join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node")
-    of_rep = (
-        classes.join(found, classes.rep == found.node, "left")
-        .select("one", "two", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_rep = classes.join(named, classes.rep == named.node, "left").select(
+        "one", "two", F.coalesce("component", "rep").alias("class_id")
     )
-    joined = marks.where(~lone).join(of_rep, ["one", "two"]).select("doc", "class_id", "n_links")
-    alone = marks.where(lone).select("doc", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    joined = marks.where(~lone).join(of_rep, ["one", "two"]).select("doc", "class_id")
+    alone = marks.where(lone).select("doc", F.col("doc").alias("class_id"))
     return joined.unionByName(alone).withColumnRenamed("doc", id_col)
