@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from maskline.functions.values import field_value
 
-NONE = F.lit(None)
 _PAIR = r'([\w.\-]+)=("(?:[^"\\]|\\.)*"|[^\s]*)'
 
 
