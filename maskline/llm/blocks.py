@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 SMALLEST_BLOCK, LARGEST_BLOCK, MANY = 16 << 20, 64 << 20, 1024
 ROWS = "_bucket int, _block int, _n long, _body binary"
 FIELDS = pa.schema([("_bucket", pa.int32()), ("_block", pa.int32()), ("_n", pa.int64()), ("_body", pa.binary())])
+#: Rows bundled at a time, to bound what a task holds.
+BUNDLE_ROWS = 5_000
 _CODEC = pa.Codec("zstd", 1)
 
 
@@ -53,7 +55,8 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, n_blocks: int) -> Dat
     )
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole, low in ((b, i) for b in batches for i in range(0, b.num_rows, BUNDLE_ROWS)):
+            batch = whole.slice(low, BUNDLE_ROWS)
             block = batch.column(batch.num_columns - 1).to_numpy()
             order = np.argsort(block, kind="stable")
             rows = batch.select(batch.schema.names[:-1]).take(pa.array(order))

@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ from maskline.llm import blocks as bl
 from maskline.llm import text as tx
 
 
+#: Rows decoded at a time, to bound what a task holds.
+DECODE_ROWS = 1_000
+
+
 @lru_cache(maxsize=4)
 def ranks(path: str) -> dict[bytes, int]:
     """Token bytes and their ranks, one pair a line."""
@@ -78,8 +83,11 @@ def _blank(data: np.ndarray) -> np.ndarray:
 def _gathered(values: np.ndarray, begin: np.ndarray, length: np.ndarray, take: np.ndarray):
     """values[begin:begin+length] for each of take, one after the other, and where each ends."""
     n = length[take]
-    stop = np.cumsum(n)
-    at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin[take] - (stop - n), n)
+    stop = np.cumsum(n, dtype=np.int64)
+    total = int(stop[-1]) if len(stop) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((begin[take] - (stop - n)).astype(kind), n)
+    at += np.arange(total, dtype=kind)
     return values[at], stop
 
 
@@ -87,7 +95,7 @@ class _Pieces:
     """Distinct pieces of a block by hash, and each document's piece numbers by position."""
 
     def __init__(self, texts: pa.ChunkedArray):
-        each = {x: [np.zeros(0, kind)] for x, kind in zip(("key", "check", "start", "end", "doc"), ("u8", "u8", *["i8"] * 3))}
+        each = {x: [np.zeros(0, kind)] for x, kind in zip(("key", "check", "start", "end", "doc"), ("u8", "u8", *["i4"] * 3))}
         data, base = [np.zeros(0, np.uint8)], 0
         for chunk in tx.chunks(texts):
             blank = _blank(chunk.data)
@@ -99,19 +107,21 @@ class _Pieces:
             start = np.concatenate([[0], end[:-1]])[: len(end)]
             each["key"].append(tx.LANES[0].hashes(chunk.data, start, end))
             each["check"].append(tx.LANES[1].hashes(chunk.data, start, end))
-            each["start"].append(start + base)
-            each["end"].append(end + base)
-            each["doc"].append(np.diff(np.searchsorted(end, bounds, "right")))
+            each["start"].append((start + base).astype(np.int32))
+            each["end"].append((end + base).astype(np.int32))
+            each["doc"].append(np.diff(np.searchsorted(end, bounds, "right")).astype(np.int32))
             data.append(chunk.data)
             base += len(chunk.data)
-        got = {x: np.concatenate(y) for x, y in each.items()}
+        got = {x: np.concatenate(each.pop(x)) for x in list(each)}
+        data = np.concatenate(data)
         self.per_doc = got["doc"]
         order, new = tx.grouped(got["key"], got["check"])
-        self.numbers = np.empty(len(order), np.int64)
-        self.numbers[order] = np.cumsum(new) - 1
+        self.numbers = np.empty(len(order), np.int32)
+        self.numbers[order] = np.cumsum(new, dtype=np.int32) - 1
         one = order[new]
+        del order, new
         self.keys, self.length = got["key"][one], (got["end"] - got["start"])[one]
-        self.bytes, self.stop = _gathered(np.concatenate(data), got["start"][one], self.length, np.arange(len(one)))
+        self.bytes, self.stop = _gathered(data, got["start"][one], self.length, np.arange(len(one)))
 
 
 def encode(
@@ -178,23 +188,26 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, begin, length = _bytes_of(path)
-        for batch in batches:
-            lists = batch.column(1)
-            ids = lists.flatten()
-            ids = ids.fill_null(-1).to_numpy().astype(np.int64)
-            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            bound = np.concatenate([[0], np.cumsum(sizes)])
-            known = (ids >= 0) & (ids < len(length))
-            known[known] = length[ids[known]] >= 0
-            missing = tx.sums(~known, bound) > 0
-            out = []
-            for i, (a, b) in enumerate(zip(bound[:-1], bound[1:])):
-                if missing[i] or not lists[i].is_valid:
-                    out.append(None)
-                else:
-                    out.append(_gathered(data, begin, length, ids[a:b])[0].tobytes())
-            names = [id_col, ids_col, "decoded"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(out, pa.binary())], names)
+        for whole in batches:
+            for low in range(0, whole.num_rows, DECODE_ROWS):
+                yield decoded(whole.slice(low, DECODE_ROWS), data, begin, length)
+
+    def decoded(batch: pa.RecordBatch, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        lists = batch.column(1)
+        ids = lists.flatten().fill_null(-1).to_numpy()
+        sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy().astype(np.int64)
+        bound = np.concatenate([[0], np.cumsum(sizes)])
+        known = (ids >= 0) & (ids < len(length))
+        known[known] = length[ids[known]] >= 0
+        missing = tx.sums(~known, bound) > 0
+        out = []
+        for i, (a, b) in enumerate(zip(bound[:-1], bound[1:])):
+            if missing[i] or not lists[i].is_valid:
+                out.append(None)
+            else:
+                out.append(_gathered(data, begin, length, ids[a:b])[0].tobytes())
+        names = [id_col, ids_col, "decoded"]
+        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(out, pa.binary())], names)
 
     kind = tokens.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded binary"

@@ -48,7 +48,9 @@ class _Windows:
                 at, key = tx.windows(words, tx.word_hashes(chunk, words, lane), size)
                 found[lane].append(key)
             self.doc.append(ids[chunk.low + words.doc[at]])
-        self.keys = [np.concatenate(x) for x in found]
+        self.keys = []
+        while found:
+            self.keys.append(np.concatenate(found.pop(0)))
         self.doc = np.concatenate(self.doc)
 
 
