@@ -16,11 +16,13 @@ from maskline.llm import byte_bpe, decontamination, minhash_dedup, quality_rules
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    store.small_batches(spark)
     return quality_rules.kept_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each class of near-duplicates."""
+    store.small_batches(spark)
     classes = minhash_dedup.near_duplicates(docs)
     out = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id")
     return docs.join(out, "doc_id", "left_anti").select(docs.columns)
@@ -28,6 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds go; documents left without words go too."""
+    store.small_batches(spark)
     left = substring_dedup.substring_dedup(docs, join_all=False)
     left = left.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     size = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -42,6 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each document's token ids and of what they decode to."""
+    store.small_batches(spark)
     ids = byte_bpe.encode(docs, queries.RANKS, queries.PATTERN)
     return byte_bpe.digest(byte_bpe.decode(ids, queries.RANKS))
 

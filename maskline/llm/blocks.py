@@ -55,8 +55,7 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, n_blocks: int) -> Dat
     )
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole, low in ((b, i) for b in batches for i in range(0, b.num_rows, BUNDLE_ROWS)):
-            batch = whole.slice(low, BUNDLE_ROWS)
+        for batch in _gathered(batches):
             block = batch.column(batch.num_columns - 1).to_numpy()
             order = np.argsort(block, kind="stable")
             rows = batch.select(batch.schema.names[:-1]).take(pa.array(order))
@@ -68,6 +67,18 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, n_blocks: int) -> Dat
     return dealt.mapInArrow(bundle, "_block int, _docs binary")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of BUNDLE_ROWS rows or a few more, so that bundles compress well."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= BUNDLE_ROWS:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _written(rows: pa.RecordBatch) -> bytes:
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:

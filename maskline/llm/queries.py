@@ -28,6 +28,7 @@ PATTERN = public_tokenizers.PATTERN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    store.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

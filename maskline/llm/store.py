@@ -23,3 +23,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/maskline/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let Arrow batches hold so many rows: theirs are whole texts, some of them very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
