@@ -178,9 +178,9 @@ def encode(
         lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(all_ids, pa.int32()))
         return pa.table({id_col: table[id_col], "ids": lists.cast(pa.list_(pa.int32()))})
 
-    replies = by_block.applyInArrow(ask, bl.ROWS).groupBy("_bucket").applyInArrow(answer, bl.ROWS)
+    replies = by_block.applyInArrow(bl.lean(ask), bl.ROWS).groupBy("_bucket").applyInArrow(bl.lean(answer), bl.ROWS)
     kind = docs.schema[id_col].dataType.simpleString()
-    return by_block.cogroup(replies.groupBy("_block")).applyInArrow(assemble, f"`{id_col}` {kind}, ids array<int>")
+    return by_block.cogroup(replies.groupBy("_block")).applyInArrow(bl.lean_pair(assemble), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -211,7 +211,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     kind = tokens.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded binary"
-    return tokens.select(id_col, ids_col).mapInArrow(run, schema)
+    return tokens.select(id_col, ids_col).mapInArrow(bl.lean_batches(run), schema)
 
 
 def digest(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -165,8 +165,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     names = [id_col, *(x.split()[0] for x in SCHEMA.split(", "))]
     kind = docs.schema[id_col].dataType.simpleString()
-    first = by_block.applyInArrow(short, bl.ROWS).groupBy("_bucket").applyInArrow(add, bl.ROWS)
-    third = by_block.cogroup(first.groupBy("_block")).applyInArrow(long, bl.ROWS)
-    third = third.groupBy("_bucket").applyInArrow(add, bl.ROWS)
+    first = by_block.applyInArrow(bl.lean(short), bl.ROWS).groupBy("_bucket").applyInArrow(bl.lean(add), bl.ROWS)
+    third = by_block.cogroup(first.groupBy("_block")).applyInArrow(bl.lean_pair(long), bl.ROWS)
+    third = third.groupBy("_bucket").applyInArrow(bl.lean(add), bl.ROWS)
     replies = first.unionByName(third)
-    return by_block.cogroup(replies.groupBy("_block")).applyInArrow(score, f"`{id_col}` {kind}, {SCHEMA}")
+    return by_block.cogroup(replies.groupBy("_block")).applyInArrow(bl.lean_pair(score), f"`{id_col}` {kind}, {SCHEMA}")

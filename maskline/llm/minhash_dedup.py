@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskline.llm import blocks as bl
 from maskline.llm import text as tx
 from maskline.llm.components import components
 from maskline.llm.store import stored
@@ -133,7 +134,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc {kind}, one long, two long, bands array<long>")
+    return docs.select(id_col, text_col).mapInArrow(bl.lean_batches(run), f"doc {kind}, one long, two long, bands array<long>")
 
 
 def probability_jaccard(doc, key, weight, side, n: int) -> np.ndarray:
@@ -200,7 +201,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     left = texts.toDF("a", "body_a", "size_a")
     right = texts.toDF("b", "body_b", "size_b")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b", "size_a", "size_b")
-    return both.mapInArrow(_similarity, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= similar)
+    return both.mapInArrow(bl.lean_batches(_similarity), f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= similar)
 
 
 def _block_links(similar: float, columns: list[str]):
@@ -268,7 +269,7 @@ def _outside(large: DataFrame, named: DataFrame, texts: DataFrame, similar: floa
         )
 
     both = blocks(outside, "x").join(blocks(every, "y"), "main").select("x", "y")
-    return both.mapInArrow(_block_links(similar, ["a", "b", "similarity"]), f"a {kind}, b {kind}, similarity double")
+    return both.mapInArrow(bl.lean_batches(_block_links(similar, ["a", "b", "similarity"])), f"a {kind}, b {kind}, similarity double")
 
 
 def _pair(a, b) -> list:
@@ -295,7 +296,7 @@ def near_duplicates(
     tried = shared.select("rep", "centre").unionByName(shared.join(middle, "key").select("rep", F.col("middle").alias("centre")))
     pairs = stored(tried.where("rep <> centre").select(*_pair("rep", "centre")).distinct())
     needed = shared.select(F.col("rep").alias("doc")).distinct()
-    packed = docs.select(id_col, text_col).mapInArrow(_compressed, f"doc {kind}, body binary, size long")
+    packed = docs.select(id_col, text_col).mapInArrow(bl.lean_batches(_compressed), f"doc {kind}, body binary, size long")
     texts = stored(packed.join(needed, "doc"))
     links = stored(verified(pairs, texts, similar))
     named = components(links)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from maskline.llm import blocks as bl
 from maskline.llm import text as tx
 
 #: n-gram length -> largest fraction of word characters inside n-grams that occur twice or more.
@@ -115,7 +116,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 ids = batch.column(0).slice(chunk.low, chunk.high - chunk.low)
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(got[x]) for x in names[1:])], names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(bl.lean_batches(run), schema)
 
 
 def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -128,4 +129,4 @@ def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
             keep += [measure(x)["kept"] for x in tx.chunks(batch.column(place))]
             yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bl.lean_batches(run), docs.schema)

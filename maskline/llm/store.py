@@ -25,6 +25,7 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Let Arrow batches hold so many rows: theirs are whole texts, some of them very long."""
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -> None:
+    """Let Arrow batches hold so many rows and bytes: theirs are whole texts, some of them very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -204,10 +204,10 @@ def substring_dedup(
         return out.select(schema.names)
 
     by_block = dealt.groupBy("_block")
-    sketch = by_block.applyInArrow(count, bl.ROWS).groupBy("_bucket").applyInArrow(merge, bl.ROWS)
-    asked = by_block.cogroup(sketch.groupBy("_block")).applyInArrow(ask, bl.ROWS)
-    least = asked.groupBy("_bucket").applyInArrow(group, bl.ROWS)
-    return by_block.cogroup(sketch.unionByName(least).groupBy("_block")).applyInArrow(remove, schema)
+    sketch = by_block.applyInArrow(bl.lean(count), bl.ROWS).groupBy("_bucket").applyInArrow(bl.lean(merge), bl.ROWS)
+    asked = by_block.cogroup(sketch.groupBy("_block")).applyInArrow(bl.lean_pair(ask), bl.ROWS)
+    least = asked.groupBy("_bucket").applyInArrow(bl.lean(group), bl.ROWS)
+    return by_block.cogroup(sketch.unionByName(least).groupBy("_block")).applyInArrow(bl.lean_pair(remove), schema)
 
 
 def joined(chunk: tx.Chunk, words: tx.Words, keep: np.ndarray, removed: np.ndarray | None = None) -> list[str]:
