@@ -46,7 +46,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each document's token ids and of what they decode to."""
     store.small_batches(spark)
-    ids = byte_bpe.encode(docs, queries.RANKS, queries.PATTERN)
+    # Written, so that no task runs the Python workers of both encoding and decoding.
+    ids = store.stored(byte_bpe.encode(docs, queries.RANKS, queries.PATTERN))
     return byte_bpe.digest(byte_bpe.decode(ids, queries.RANKS))
 
 
