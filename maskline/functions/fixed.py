@@ -12,7 +12,7 @@ SURNAME = ["abbott", "barlow", "carter", "dalton", "ellis", "foster", "grant", "
 HOST_WORD = ["alpha", "birch", "cedar", "delta", "ember", "falcon", "grove", "harbor", "indigo", "juniper", "kestrel", "lumen"]
 SAFE_DOMAIN = ["example.com", "example.net", "example.org"]
 SEVERITY_FORMATS = ["leef", "cef", "json", "xml", "kvp", "syslog", "text"]
-NON_EVENT = ["lookup", "metrics", "summary", "stash", "internal", "audittrail", "splunkd", "scheduler", "introspection", "telemetry"]
+NON_EVENT = ["stash", "stash_new", "splunkd", "splunk_metrics_log", "modular_alerts_risk", "ps", "top", "vmstat", "iostat", "servicestatus"]
 
 VALUE_LIMIT = 120
 SUSPECT_MIN_LINES, SUSPECT_SHARE, SUSPECT_SHARE_LINES, SUSPECT_TOP = 2, 0.75, 6, 25

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskline.functions import fixed
@@ -61,3 +61,37 @@ def guard_extension(candidates: DataFrame, universe: DataFrame, real: DataFrame)
         .when(old < fixed.EXTEND_VOCABULARY * F.size(words), "vocabulary")
     )
     return rows.select("sample_id", "line_no", "raw", reason.alias("reason"))
+
+
+def key_echo(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """Samples whose name (sample_id, sourcetype) stands in over half of the lines as program, field name or value.
+
+    Names of one word are left out, because daemons are called like that; of
+    several finds, the one in most lines is returned.
+    """
+    raw_name = F.lower(F.trim(F.substring_index("sourcetype", "::", 1)))
+    words = F.filter(F.split(raw_name, "[^a-z0-9]+"), lambda x: x != "")
+    joined = [F.array_join(words, sep) for sep in ("", "_", "-", ".")]
+    forms = F.filter(F.array_distinct(F.array(raw_name, *joined)), lambda f: F.length(f) >= 6)
+    spelled = names.where(F.size(words) >= 2).select("sample_id", F.explode(forms).alias("form"))
+    rows = lines.where(F.trim("raw") != "").select("sample_id", F.lower("raw").alias("raw"))
+    total = rows.groupBy("sample_id").agg(F.count("*").alias("checked"))
+    near = rows.join(spelled, "sample_id").where(F.contains("raw", "form"))
+    form = F.concat(F.lit(r"\Q"), F.col("form"), F.lit(r"\E"))
+    program = F.regexp_extract("raw", r"(?:^|\s)([a-z][\w.-]{2,})(?:\[\d+\])?:\s", 1) == F.col("form")
+    field = F.regexp_like("raw", F.concat(F.lit(r"""(?:^|[\s,{"'])"?"""), form, F.lit(r'"?\s*[=:]')))
+    value = F.regexp_like("raw", F.concat(F.lit(r'[=:]\s*"?'), form, F.lit(r"""(?:"?(?:[\s,"'}]|$))""")))
+    position = F.when(program, "syslog-program").when(field, "field-name").when(value, "field-value")
+    counted = near.select("sample_id", "form", position.alias("position")).where("position is not null").groupBy("sample_id", "form", "position").agg(F.count("*").alias("lines"))
+    most = counted.join(total, "sample_id").where(F.col("lines") * 2 > F.col("checked"))
+    best = most.groupBy("sample_id").agg(F.max_by(F.struct("form", "position", "lines", "checked"), F.struct("lines", "form", "position")).alias("b"))
+    return best.select("sample_id", "b.*")
+
+
+def evidence(verdict: Column, method: Column) -> Column:
+    """What a passed check proves."""
+    passed = (
+        F.when(method == "parser-emulation", "parser-verified").when(method == "source-expectation", "format-declared")
+        .when(method == "structure", "structure-only").otherwise("none")
+    )
+    return F.when(verdict == "pass", passed).otherwise("none")

@@ -59,14 +59,14 @@ def sample_keys(pairs: DataFrame) -> DataFrame:
 
 
 def recognise_names(names: DataFrame, known: DataFrame) -> DataFrame:
-    """(name, canonical, tier, match) against known(sourcetype): exact, without rotation, one edit, or unresolved.
+    """(name, canonical, tier, match) against known(sourcetype): exact, without rotation, no event source, one edit, or unresolved.
 
     A one-edit match shares the first or the second half with its name, so
     candidates come from an equi-join on halves, not from all pairs.
     """
     rows = names.withColumn("canonical", canonical_sourcetype(F.col("name")))
     rows = rows.withColumn("bare", F.regexp_replace("canonical", r"(_(\d+|log|gz|json|csv|xml|old|bak))+$", ""))
-    rows = rows.withColumn("non_event", F.col("canonical").rlike("(^|_)(" + "|".join(fixed.NON_EVENT) + ")$"))
+    rows = rows.withColumn("non_event", F.col("bare").rlike("(^|_)(" + "|".join(fixed.NON_EVENT) + ")$"))
     k = known.select(canonical_sourcetype(F.col("sourcetype")).alias("key")).distinct()
     exact, bare = k.select(F.col("key").alias("canonical"), F.col("key").alias("exact")), k.select(F.col("key").alias("bare"), F.col("key").alias("stripped"))
     rows = rows.join(exact, "canonical", "left").join(bare, "bare", "left")
@@ -84,8 +84,8 @@ def recognise_names(names: DataFrame, known: DataFrame) -> DataFrame:
     near = near.where((F.levenshtein("bare", "key", 1) >= 0) & (F.levenshtein("bare", "key") <= 1)).groupBy("bare").agg(F.min("key").alias("fuzzy"))
     rows = rows.join(near, "bare", "left")
     tier = (
-        F.when(F.col("non_event"), "non-event").when(F.col("exact").isNotNull(), "exact").when(F.col("stripped").isNotNull(), "stripped")
+        F.when(F.col("exact").isNotNull(), "exact").when(F.col("stripped").isNotNull(), "stripped").when(F.col("non_event"), "non-event")
         .when(F.col("fuzzy").isNotNull(), "fuzzy").otherwise("unresolved")
     )
-    match = F.when(~F.col("non_event"), F.coalesce("exact", "stripped", "fuzzy"))
+    match = F.coalesce("exact", "stripped", F.when(~F.col("non_event"), F.col("fuzzy")))
     return rows.select("name", "canonical", tier.alias("tier"), match.alias("match"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.functions import values
-from maskline.operators import apply, detect, guards, mint, parsers, plan, prove, recognise
+from maskline.operators import apply, detect, guards, mint, parsers, patterns, plan, prove, recognise, signatures, vendors
 from maskline.plans import render
 from maskline.sources import library, lines as src
 from maskline.sources.store import kept
@@ -307,7 +307,7 @@ def usability_ratio(spark, d):
     return guards.usability(doc_lines(spark, d)).select("sample_id", "lines", "empty", "distinct_lines")
 
 
-NAMES = {"Cisco:ASA": ("exact", "cisco_asa"), "cisco_asa.log": ("stripped", "cisco_asa"), "cisco_as": ("fuzzy", "cisco_asa"), "linux secure": ("exact", "linux_secure"), "linux_secur": ("fuzzy", "linux_secure"), "nothing_like_it": ("unresolved", None), "my_metrics": ("non-event", None), "aws/cloudtrail-2024": ("stripped", "aws_cloudtrail")}
+NAMES = {"Cisco:ASA": ("exact", "cisco_asa"), "cisco_asa.log": ("stripped", "cisco_asa"), "cisco_as": ("fuzzy", "cisco_asa"), "linux secure": ("exact", "linux_secure"), "linux_secur": ("fuzzy", "linux_secure"), "nothing_like_it": ("unresolved", None), "my_vmstat": ("non-event", None), "aws/cloudtrail-2024": ("stripped", "aws_cloudtrail")}
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}', {repr(m) if m else 'CAST(NULL AS VARCHAR)'})" for k, (t, m) in NAMES.items()) + ") t(name, tier, match)")
@@ -328,6 +328,68 @@ def dedup_capture(spark, d):
     return capture.distinct_lines(table(spark, d, "events").select(F.concat_ws(" ", "event_type", "user_id").alias("raw")))
 
 
+VENDOR_NAMES = {"citrix:netscaler:syslog": ("Citrix", "NetScaler ADC"), "CloudflareGatewayDNS": ("Cloudflare", "Cloudflare Gateway"), "trellixtie_syslog": ("Trellix", "Trellix"), "oraaudit": ("Oracle", "Oracle"), "ldap_access_log": ("LDAP server", "Directory access log")}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}', '{p}')" for k, (v, p) in VENDOR_NAMES.items()) + ") t(name, vendor, product)")
+def vendor_hints(spark, d):
+    names = spark.createDataFrame([(x,) for x in [*VENDOR_NAMES, "orange", "broker"]], "name string")
+    return signatures.vendor_hints(names).select("name", "vendor", "product")
+
+
+@query("SELECT event_type AS sample_id, 'checkpoint_firewall' AS sourcetype FROM events GROUP BY 1")
+def json_signature(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_type").alias("sample_id"), F.to_json(F.struct(F.col("event_id").alias("loguid"), F.col("user_id").alias("OriginSicName"))).alias("raw"))
+    return signatures.json_signature(rows)
+
+
+@query("""SELECT event_type AS sample_id, 'windows_security' AS sourcetype, 'Security' AS channel, count(*) FILTER (WHERE user_id % 4 > 0) / count(*) AS share
+    FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE user_id % 4 > 0) * 2 > count(*)""")
+def windows_channel(spark, d):
+    channel = F.when(F.col("user_id") % 4 > 0, "Security").otherwise("Directory Service")
+    line = F.concat(F.lit("<Event xmlns='http://schemas.microsoft.com/win/2004/08/events/event'><System><Channel>"), channel, F.lit("</Channel></System></Event>"))
+    return signatures.windows_channel(table(spark, d, "events").select(F.col("event_type").alias("sample_id"), line.alias("raw")))
+
+
+@query("""SELECT event_type AS sample_id, 'acme_gate' AS form, 'field-name' AS position, count(*) FILTER (WHERE user_id % 3 > 0) AS lines, count(*) AS checked
+    FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE user_id % 3 > 0) * 2 > count(*)""")
+def key_echo(spark, d):
+    line = F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("x=1 acme_gate="), F.col("user_id"))).otherwise("x=1 y=2")
+    rows = table(spark, d, "events").select(F.col("event_type").alias("sample_id"), line.alias("raw"))
+    return guards.key_echo(rows, rows.select("sample_id", F.lit("Acme:Gate").alias("sourcetype")).distinct())
+
+
+@query("""SELECT event_id AS line_no, '10.0.0.' || (user_id % 250 + 1) AS src_ip, 'eni-' || user_id AS dev_id, CASE WHEN user_id % 2 = 0 THEN 'us-east-1' END AS cloud_region FROM events""")
+def aws_vpc_events(spark, d):
+    u = F.col("user_id")
+    head = F.concat(F.lit("5 123456789012 eni-"), u, F.lit(" 10.0.0."), u % 250 + 1, F.lit(" 10.1.1.1 443 5000 6 3 180 1 61 ACCEPT OK"))
+    line = F.when(u % 2 == 0, F.concat(head, F.lit(" vpc-1 subnet-1 i-1 2 IPv4 10.0.0.9 10.1.1.1 us-east-1 use1-az1 - - - - egress 8"))).otherwise(head)
+    f = F.col("fields")
+    rows = vendors.parsed(render.as_lines(table(spark, d, "events"), "vpc", "event_id", line), "aws_vpc_v5")
+    return rows.select("line_no", *[f[c].alias(c) for c in ("src_ip", "dev_id", "cloud_region")])
+
+
+@query("SELECT event_type AS sample_id, CASE WHEN event_type < 'm' THEN 'apache_access' ELSE 'linux_audit' END AS sourcetype, least(count(*), 12) AS parsed FROM events GROUP BY 1, 2")
+def parser_scoring(spark, d):
+    web = F.concat(F.lit('10.1.1.1 - bob [02/Jan/2024:03:04:05 +0000] "GET /'), F.col("event_type"), F.lit(' HTTP/1.1" 200 17'))
+    audit = F.concat(F.lit("type=USER_CMD msg=audit(1700000000.1:"), F.col("event_id"), F.lit("): pid=1 uid=0 comm=x exe=/bin/x res=success key=k"))
+    rows = table(spark, d, "events").select(F.col("event_type").alias("sample_id"), F.col("event_id").alias("line_no"), F.when(F.col("event_type") < "m", web).otherwise(audit).alias("raw"))
+    return vendors.best_parser(rows).select("sample_id", "sourcetype", "parsed")
+
+
+@query("SELECT 'order ' || o_orderkey AS line, CAST(o_custkey AS VARCHAR) AS value FROM orders UNION ALL SELECT 'order ' || o_orderkey, o_orderpriority FROM orders")
+def extra_patterns(spark, d):
+    extras = patterns.split_extras(r"re:o_custkey=(?<who>\d{1,9})(\s)|who" + "\nfield:O_OrderPriority, some name")
+    lines = order_lines(spark, d)
+    pairs = parsers.long(lines.select("sample_id", "line_no", parsers.kvp(F.col("raw")).alias("fields")))
+    return patterns.hits(lines, extras, pairs).select(F.concat(F.lit("order "), "line_no").alias("line"), "value")
+
+
+@query("SELECT count(*) AS matches, count(*) AS lines FROM orders WHERE o_orderstatus = 'F'")
+def pattern_count(spark, d):
+    return patterns.count_matches(order_lines(spark, d), patterns.from_selection("o_orderstatus=F"))
+
+
 @query()
 def deidentify_documents(spark, d):
     """Lines of all documents with every identifier replaced; the flagship."""

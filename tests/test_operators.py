@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from maskline.functions import values
-from maskline.operators import apply, detect, guards, mint, parsers, plan, prove, recognise
+from maskline.operators import apply, detect, guards, mint, parsers, patterns, plan, prove, recognise, signatures, vendors
 from maskline.sources import library, lines
 from maskline.streaming import capture
 
@@ -86,3 +86,41 @@ def test_stream(spark, tmp_path):
     run.awaitTermination(120)
     got = [r.after for r in spark.read.parquet(str(tmp_path / "out" / "batch=0")).collect()]
     assert len(got) == 2 and not any("10.1.1.1" in x or "10.2.2.2" in x for x in got)
+
+
+def test_extras():
+    got = patterns.split_extras("acme, field:quoteNumber,re:x|\nre:a{1,2}(?<g1>\\d),b|g1\nre:broken")
+    assert got == (["acme"], ["quoteNumber"], [("a{1,2}(?<g1>\\d),b", ["g1"])])
+    assert patterns.parse_pattern(patterns.pattern_extra("(?<x>a)|b", ["x"])) == ("(?<x>a)|b", ["x"])
+    assert patterns.named_groups("(?<=k)(?<a>x)(?<b>y)(?<a>z)") == ["a", "b"]
+    assert patterns.from_selection(" test 12.4 ") == r"(?<g1>test)\s+(?<g2>12\.4)"
+    assert patterns.split_extras("") == ([], [], [])
+
+
+def test_pattern_groups_beside_other_groups(spark):
+    extras = patterns.split_extras(r"re:(id|no)=[(](?<n>\d+)[)](?<rest>\w*)|n+rest")
+    got = patterns.hits(frame(spark, "id=(12)ab no=(3)", "none"), extras).select("line_no", "value", "kind").collect()
+    assert sorted(map(tuple, got)) == [(1, "12", "custom"), (1, "3", "custom"), (1, "ab", "custom")]
+
+
+def test_vendor_layouts(spark):
+    tokens = spark.createDataFrame([("McAfeeEPO-f5_log",)], "v string").select(signatures.name_tokens(F.col("v"))).first()[0]
+    assert tokens == ["mc", "afee", "epo", "f", "5", "log"]
+    got = vendors.parsed(frame(spark, '10.0.0.1 - - [x] "GET /a HTTP/1.1" 200 5 "ref" "agent"', "no"), "nginx_access").orderBy("line_no").collect()
+    assert got[0].fields["url"] == "/a" and got[0].fields["http_user_agent"] == "agent" and not got[1].fields
+    got = vendors.parsed(frame(spark, ",".join(str(i) for i in range(23)), "1,2"), "palo_alto_system").orderBy("line_no").collect()
+    assert got[0].fields["host"] == "22" and got[0].fields["message"] == "14" and not got[1].fields
+    got = vendors.parsed(frame(spark, 'device_name="XG" dst_ip=1.2.3.4 user_name="" user=bob'), "sophos_xg").first().fields
+    assert (got["host"], got["dest_ip"], got["user"]) == ("XG", "1.2.3.4", "bob")
+    got = vendors.parsed(frame(spark, '{"message":"2 123456789012 eni-1 a b 1 2 6 3 4 5 6 ACCEPT OK"}', "2 vpc-1 x"), "aws_vpc_v2").orderBy("line_no").collect()
+    assert got[0].fields["log_status"] == "OK" and not got[1].fields
+
+
+def test_echo_and_evidence(spark):
+    names = spark.createDataFrame([("s", "acme:gate")], "sample_id string, sourcetype string")
+    assert guards.key_echo(frame(spark, "Jan 1 acme-gate[1]: up", "acme-gate: x"), names).first().position == "syslog-program"
+    assert guards.key_echo(frame(spark, "a acme_gate=1", "b", "c"), names).count() == 0
+    one_word = spark.createDataFrame([("s", "haproxy")], "sample_id string, sourcetype string")
+    assert guards.key_echo(frame(spark, "haproxy: x"), one_word).count() == 0
+    row = spark.createDataFrame([("pass", "structure"), ("fail", "structure")], "v string, m string").select(guards.evidence(F.col("v"), F.col("m")).alias("e")).collect()
+    assert [r.e for r in row] == ["structure-only", "none"]
