@@ -24,6 +24,10 @@ PALO_ALTO_TRAFFIC = (
     _PAN_HEAD + "bytes bytes_out bytes_in packets start_time duration category future_use4 sequence_number action_flags src_location "
     "dest_location future_use5 packets_out packets_in session_end_reason"
 ).split()
+PALO_ALTO_THREAT = (
+    _PAN_HEAD + "url_filename threat_id category severity direction sequence_number action_flags src_location dest_location future_use4 "
+    "content_type pcap_id filedigest cloud url_idx user_agent file_type xff referer sender subject recipient"
+).split()
 PALO_ALTO_SYSTEM = (
     "future_use1 receive_time serial_number type subtype future_use2 generated_time virtual_system event_id object future_use3 future_use4 "
     "module severity description sequence_number action_flags dg_hier_level_1 dg_hier_level_2 dg_hier_level_3 dg_hier_level_4 "
@@ -48,6 +52,46 @@ VPC_CUSTOM = (
     "version vpc_id subnet_id instance_id interface_id account_id traffic_type src_ip dest_ip src_port dest_port pkt_src_ip pkt_dest_ip "
     "ip_protocol bytes packets start end action tcp_flags log_status"
 ).split()
+#: Sources of JSON lines: canonical name -> the paths it is taken from.
+JSON_NAMES = {
+    "aws_cloudtrail": {
+        "api_operation": "eventName", "event_code": "eventName", "cloud_service": "eventSource", "cloud_region": "awsRegion",
+        "cloud_account": "recipientAccountId", "request_id": "requestID", "event_uid": "eventID", "error_code": "errorCode",
+        "error_message": "errorMessage", "user_agent": "userAgent", "dest_host": "eventSource", "log_time": "eventTime",
+    },
+    "barracuda_cloudgen_firewall": {
+        "src_ip": "src_ip source_ip", "dest_ip": "dst_ip destination_ip", "src_port": "src_port source_port",
+        "dest_port": "port destination_port dst_port", "action": "operation action", "log_time": "timestamp", "transport": "trans_proto",
+        "url": "name", "signature": "description", "app": "component",
+    },
+    "crowdstrike_falcon": {
+        "src_ip": "LocalAddressIP4 LocalAddressIP6", "dest_ip": "RemoteAddressIP4 RemoteAddressIP6", "dvc_id": "aid", "sensor_id": "aid",
+        "customer_id": "cid", "src": "LocalAddressIP4 LocalAddressIP6 aid", "external_ip": "aip", "platform": "event_platform",
+        "event_type": "event_simpleName", "event_id": "id", "signature": "event_simpleName", "log_time": "timestamp ContextTimeStamp",
+    },
+    "gcp_audit": {"event_uid": "insertId", "request_id": "insertId", "log_name": "logName", "log_time": "timestamp"},
+    "o365_management_activity": {
+        "log_time": "CreationTime", "user": "UserId MailboxOwnerUPN", "src_ip": "ClientIP ClientIPAddress ActorIpAddress", "action": "Operation",
+        "outcome": "ResultStatus", "app": "Workload", "event_code": "RecordType", "event_uid": "Id",
+    },
+    "okta_system": {
+        "log_time": "published", "event_code": "eventType", "signature": "displayMessage eventType", "action": "outcome.result",
+        "user": "actor.alternateId", "user_id": "actor.id", "src_ip": "client.ipAddress", "user_agent": "client.userAgent.rawUserAgent",
+    },
+    "suricata_ids": {"log_time": "timestamp", "transport": "proto", "action": "event_type", "app": "app_proto"},
+}
+#: Sources of key=value lines.
+PAIR_NAMES = {
+    "sap_audit": {"user": "USER SUNAME", "src_user": "USER SUNAME", "host": "HOST", "message": "TEXT", "app": "TCODE", "report": "REPORT"},
+    "sonicwall_firewall": {
+        "log_time": "time", "action": "fw_action msg", "bytes_in": "rcvd", "bytes_out": "sent", "user": "usr", "host": "fw", "message": "msg",
+    },
+    "sophos_xg": {
+        "dest_ip": "dst_ip dst", "dest_port": "dst_port", "user": "user_name user", "action": "log_subtype status", "transport": "protocol",
+        "app": "log_component log_type", "bytes_in": "recv_bytes bytes_received", "bytes_out": "sent_bytes bytes_sent", "host": "device_name",
+        "signature": "log_subtype message",
+    },
+}
 SCORED_LINES, SCORED_FIELDS = 12, 3
 
 
@@ -107,15 +151,6 @@ def linux_audit(raw: Column) -> Column:
     return aliased(found, chains)
 
 
-def sophos_xg(raw: Column) -> Column:
-    chains = {
-        "dest_ip": "dst_ip dst", "dest_port": "dst_port", "user": "user_name user", "action": "log_subtype status", "transport": "protocol",
-        "app": "log_component log_type", "bytes_in": "recv_bytes bytes_received", "bytes_out": "sent_bytes bytes_sent", "host": "device_name",
-        "signature": "log_subtype message",
-    }
-    return aliased(parsers.kvp(raw), chains)
-
-
 CATALOGUE: dict[str, Callable[[Column], Column]] = {
     "apache_access": access_log,
     "aws_vpc_v2": aws_vpc,
@@ -125,9 +160,11 @@ CATALOGUE: dict[str, Callable[[Column], Column]] = {
     "linux_audit": linux_audit,
     "nginx_access": access_log,
     "palo_alto_system": palo_alto_system,
+    "palo_alto_threat": lambda raw: parsers.delimited(raw, PALO_ALTO_THREAT),
     "palo_alto_traffic": lambda raw: parsers.delimited(raw, PALO_ALTO_TRAFFIC),
-    "sophos_xg": sophos_xg,
 }
+CATALOGUE |= {k: lambda raw, names=names: aliased(parsers.kvp(raw), names) for k, names in PAIR_NAMES.items()}
+CATALOGUE |= {k: lambda raw, names=names: aliased(parsers.json_leaves(raw), names) for k, names in JSON_NAMES.items()}
 
 
 def parsed(lines: DataFrame, sourcetype: str) -> DataFrame:
@@ -139,11 +176,13 @@ def best_parser(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(sample_id, sourcetype, parsed, fields): the layout that reads most of each sample's first lines, then most fields.
 
     A layout has to read half of the lines and find three fields; each line is
-    tried with every layout inside its own row.
+    tried with every layout inside its own row.  JSON and XML lines, whose
+    layouts look alike, are left to their signatures.
     """
+    lines = lines.where(~F.col("raw").rlike(r"^\s*[{<\[](?!\d)"))
     place = F.row_number().over(Window.partitionBy("sample_id").orderBy("line_no"))
     first = lines.withColumn("place", place).where(F.col("place") <= SCORED_LINES)
-    names = names or sorted(CATALOGUE)
+    names = names or sorted(CATALOGUE.keys() - JSON_NAMES.keys())
     tries = F.array(*[F.struct(F.lit(n).alias("sourcetype"), F.map_keys(CATALOGUE[n](F.col("raw"))).alias("keys")) for n in names])
     each = first.select("sample_id", "line_no", F.explode(tries).alias("t")).select("sample_id", "line_no", "t.*")
     read = F.coalesce(F.size("keys"), F.lit(0)) > 0

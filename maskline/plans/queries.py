@@ -369,6 +369,18 @@ def aws_vpc_events(spark, d):
     return rows.select("line_no", *[f[c].alias(c) for c in ("src_ip", "dev_id", "cloud_region")])
 
 
+@query("""SELECT event_id AS line_no, 'u' || user_id AS "user", event_type AS action, '10.0.0.' || (user_id % 250 + 1) AS src_ip, CASE WHEN user_id % 2 = 0 THEN 'seen' ELSE event_type END AS signature
+    FROM events""")
+def okta_events(spark, d):
+    u = F.col("user_id")
+    event = F.struct(
+        F.struct(F.concat(F.lit("u"), u).alias("alternateId")).alias("actor"), F.struct(F.concat(F.lit("10.0.0."), u % 250 + 1).alias("ipAddress")).alias("client"),
+        F.struct(F.col("event_type").alias("result")).alias("outcome"), F.when(u % 2 == 0, "seen").alias("displayMessage"), F.col("event_type").alias("eventType"),
+    )
+    rows = vendors.parsed(render.as_lines(table(spark, d, "events"), "okta", "event_id", F.to_json(event)), "okta_system")
+    return rows.select("line_no", *[F.col("fields")[c].alias(c) for c in ("user", "action", "src_ip", "signature")])
+
+
 @query("SELECT event_type AS sample_id, CASE WHEN event_type < 'm' THEN 'apache_access' ELSE 'linux_audit' END AS sourcetype, least(count(*), 12) AS parsed FROM events GROUP BY 1, 2")
 def parser_scoring(spark, d):
     web = F.concat(F.lit('10.1.1.1 - bob [02/Jan/2024:03:04:05 +0000] "GET /'), F.col("event_type"), F.lit(' HTTP/1.1" 200 17'))

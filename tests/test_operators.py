@@ -124,3 +124,12 @@ def test_echo_and_evidence(spark):
     assert guards.key_echo(frame(spark, "haproxy: x"), one_word).count() == 0
     row = spark.createDataFrame([("pass", "structure"), ("fail", "structure")], "v string, m string").select(guards.evidence(F.col("v"), F.col("m")).alias("e")).collect()
     assert [r.e for r in row] == ["structure-only", "none"]
+
+
+def test_every_layout_stands_odd_lines(spark):
+    odd = frame(spark, "", "{", '{"a":{"b":null}}', "[]", "=,=", "<x", "0", '"', "CEF:0|", None)
+    for name in vendors.CATALOGUE:
+        assert vendors.parsed(odd, name).count() == 10
+        vendors.parsed(odd, name).selectExpr("sum(size(fields))").first()
+    assert vendors.best_parser(odd).count() == 0
+    assert vendors.best_parser(odd.where("false")).count() == 0
