@@ -4,14 +4,15 @@ The n-gram counts of the whole corpus lie in tables partitioned by hash: each
 block of documents sends its distinct n-grams with their counts to the
 partitions, which add them up, and the joined counts come back to the block,
 where they are matched to the n-grams of each text by position and summed for
-each document.  Counts of bigrams and trigrams below MIN_COUNT are not in the
-model; a trigram can reach it only if both its bigrams do, so the others are
-not asked for.
+each document.  Every n-gram counts, those that occur once too.  A trigram
+with a bigram that occurs once occurs once itself, so only the others are
+asked for.
 
 Score of a word: c(u v w) / c(u v) if the trigram is in the model, else 0.4
 times c(v w) / c(v) if the bigram is, else 0.4 times again c(w) / N.  At the
-start of a text the shorter n-grams are all there is, without a penalty.
-N-grams are told apart by 64-bit hashes.
+start of a text the shorter n-grams are all there is, without a penalty.  The
+model is that of the texts scored and holds all their n-grams, so no word of
+theirs is backed off.  N-grams are told apart by 64-bit hashes.
 
 Defined cases: null and empty texts have no words and score 0 (mean null);
 repeated rows count each time and score alike; an empty table gives an empty
@@ -31,7 +32,6 @@ from maskline.llm import blocks as bl
 from maskline.llm import text as tx
 
 BACKOFF = 0.4
-MIN_COUNT = 2
 _SALT = [np.uint64(x) for x in (0, 0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21C651E98DF25)]
 
 SCHEMA = (
@@ -128,27 +128,28 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         out[at] = counts(2, keys, replies)
         return out
 
-    def possible(grams: _Grams, bigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def unknown(grams: _Grams, bigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The trigrams whose counts do not follow from their bigrams: neither of these occurs once."""
         at, keys = grams.keys(3)
-        both = (bigram[at] >= MIN_COUNT) & (bigram[at - 1] >= MIN_COUNT)
+        both = (bigram[at] > 1) & (bigram[at - 1] > 1)
         return at[both], keys[both]
 
     def long(key: tuple[pa.Scalar, ...], bundles: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(bundles):
             return bl.rows([])
         grams = _Grams(bl.unbundled(bundles)[text_col])
-        return bl.rows(asked(key[0].as_py(), 3, possible(grams, pairs(grams, replies))[1]))
+        return bl.rows(asked(key[0].as_py(), 3, unknown(grams, pairs(grams, replies))[1]))
 
     def score(key: tuple[pa.Scalar, ...], bundles: pa.Table, replies: pa.Table) -> pa.Table:
         table = bl.unbundled(bundles)
         grams, n = _Grams(table[text_col]), len(table)
         one = counts(1, grams.keys(1)[1], replies).astype(float)
         bigram = pairs(grams, replies)
-        at, keys = possible(grams, bigram)
-        trigram = np.zeros(len(one), np.int64)
+        at, keys = unknown(grams, bigram)
+        trigram = (grams.place >= 2).astype(np.int64)
         trigram[at] = counts(3, keys, replies)
         steps = np.minimum(grams.place, 2)
-        order = np.where(trigram >= MIN_COUNT, 3, np.where(bigram >= MIN_COUNT, 2, 1))
+        order = np.where(trigram > 0, 3, np.where(bigram > 0, 2, 1))
         before = np.concatenate([[1.0], one[:-1]])
         before2 = np.concatenate([[1], bigram[:-1]])
         value = np.select(

@@ -1,6 +1,7 @@
 import base64
 import collections
 import hashlib
+import math
 import re
 
 import public_tokenizers
@@ -107,6 +108,25 @@ def test_lm_scores(docs, empty):
     assert abs(got[4].log_score - got[5].log_score) < 1e-9 and lm_scoring.lm_scores(empty).count() == 0
 
 
+def test_lm_scores_are_stupid_backoff(spark, docs):
+    texts = [r.text or "" for r in docs.collect()] + ["a b c d x", "b c d e b c d", "u v", "v u v w", "only once here"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = {i: WORD.findall(t) for i, t in enumerate(texts)}
+    count = collections.Counter(tuple(w[k : k + n]) for w in words.values() for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    total = sum(map(len, words.values()))
+
+    def score(gram):
+        if len(gram) == 1:
+            return count[gram] / total
+        return count[gram] / count[gram[:-1]] if count[gram] else 0.4 * score(gram[1:])
+
+    for r in lm_scoring.lm_scores(rows).collect():
+        w = words[r.doc_id]
+        want = sum(math.log(score(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w)))
+        assert abs(r.log_score - want) < 1e-6, r.doc_id
+        assert (r.n_words, r.n_trigrams, r.n_bigrams, r.n_unigrams) == (len(w), max(len(w) - 2, 0), int(len(w) > 1), int(len(w) > 0))
+
+
 def test_html():
     model = html_extraction.trained()
     wrong = 0
