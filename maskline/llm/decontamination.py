@@ -3,10 +3,13 @@
 For every benchmark item, windows of the item's number of words are
 fingerprinted (64-bit SimHash of five-word shingles).  Fingerprints within
 RADIUS bits of an item's share at least one of RADIUS + 1 blocks with it, so
-looking up each block finds all of them; the exact weighted Jaccard similarity
-of the shingles then decides.  Only windows that can reach the similarity are
-fingerprinted: one whose shingles, counted over all items, are too few for any
-item of that length is skipped, which loses nothing.
+looking up each block finds all of them.  A similar window can have a print
+further away, so windows are also looked up by the rarest shingles of each item:
+so many of them that a window without any cannot reach the similarity.  The
+exact weighted Jaccard similarity of the shingles then decides, so nothing is
+lost by the fingerprints.  Only windows that can reach the similarity are looked
+up: one whose shingles, counted over all items, are too few for any item of that
+length is skipped, which loses nothing either.
 
 The documents are read in one map over Arrow batches without a shuffle.  The
 items are a query set: they travel to the tasks in blocks of at most
@@ -21,6 +24,7 @@ window, the whole text; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -89,11 +93,47 @@ class MultiIndex:
         return found[:, 0], found[:, 1]
 
 
+class RareShingles:
+    """The rarest shingles of each item, one of which any similar window holds."""
+
+    def __init__(self, bags: list[Counter], seen: Counter, similar: float):
+        found = []
+        for i, bag in enumerate(bags):
+            size = sum(bag.values())
+            # A similar window shares similar * size shingles at least, so it lacks fewer than this.
+            left = size - math.ceil(similar * size - 1e-9) + 1
+            for key in sorted(bag, key=lambda x: (seen[x], x)):
+                if left <= 0:
+                    break
+                found.append((key, i))
+                left -= bag[key]
+        keys = np.array([k for k, _ in found], _U)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.items, self.n = keys[order], np.array([i for _, i in found], np.int64)[order], len(bags)
+
+    def near(self, at: np.ndarray, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (window, item) pairs with such a shingle, of shingles at these places and ascending windows."""
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        place, entry = _ranges(low, high)
+        pairs = np.unique(at[place] * self.n + self.items[entry])
+        at, item = pairs // self.n, pairs % self.n
+        which, window = _ranges(np.searchsorted(end, at, "right"), np.searchsorted(begin, at, "right"))
+        pairs = np.unique(window * self.n + item[which])
+        return pairs // self.n, pairs % self.n
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, x) for each x of low[k]:high[k]."""
+    n = np.maximum(high - low, 0)
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
 class Items:
     """A block of benchmark items, ready for lookups by length."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.ids = [i for i, _ in rows]
+    def __init__(self, rows: list[tuple[int, str]], similar: float = SIMILAR):
+        self.ids, self.similar = [i for i, _ in rows], similar
         by_length: dict[int, list[int]] = defaultdict(list)
         self.bags: dict[int, Counter] = {}
         prints: dict[int, int] = {}
@@ -115,6 +155,8 @@ class Items:
         for size in {min(SHINGLE, n) for n in self.lengths}:
             keys = [x for n, (own, _) in self.lengths.items() if min(SHINGLE, n) == size for i in own for x in self.bags[i]]
             self.known[size] = np.unique(np.array(keys, _U))
+        seen = Counter(x for bag in self.bags.values() for x in bag)
+        self.rare = {n: RareShingles([self.bags[i] for i in own], seen, similar) for n, (own, _) in self.lengths.items()}
         self.maps = {}
         for size, keys in self.known.items():
             self.maps[size] = np.zeros(1 << 20, bool)
@@ -126,13 +168,13 @@ class Items:
         place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
         return at[known[place] == keys[at]]
 
-    def leaks(self, column, similar: float) -> list[list[dict]]:
+    def leaks(self, column) -> list[list[dict]]:
         """For each text: the items found, with the best window of each."""
         out: list[list[dict]] = []
         for chunk, found, hashes in plain(column):
             best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(chunk.high - chunk.low)]
             for size in self.known:
-                self._search(best, found, hashes, size, similar)
+                self._search(best, found, hashes, size)
             for own in best:
                 out.append(
                     [
@@ -142,7 +184,8 @@ class Items:
                 )
         return out
 
-    def _search(self, best: list[dict], found: tx.Words, hashes: np.ndarray, size: int, similar: float) -> None:
+    def _search(self, best: list[dict], found: tx.Words, hashes: np.ndarray, size: int) -> None:
+        similar = self.similar
         at, keys = tx.windows(found, hashes, size)
         hit = np.zeros(len(keys), np.int64)
         hit[self.hits(keys, size)] = 1
@@ -174,7 +217,8 @@ class Items:
             used = np.cumsum(used[:-1]) > 0
             place = np.concatenate([[0], np.cumsum(used)])
             prints = fingerprints(_bit_sums(keys[used]), place[begin], place[end])
-            for q, i in zip(*index.near(prints)):
+            near = {*zip(*index.near(prints)), *zip(*self.rare[n_words].near(hits, keys[hits], begin, end))}
+            for q, i in sorted(near):
                 item = own[i]
                 a, b = int(begin[q]), int(end[q])
                 score = self._similarity(item, keys[a:b])
@@ -214,12 +258,12 @@ def with_leaks(
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            found = Items(shared.value)
+            found = Items(shared.value, similar)
             kind = pa.list_(
                 pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())])
             )
             for batch in batches:
-                got = found.leaks(batch.column(names.index(text_col)), similar)
+                got = found.leaks(batch.column(names.index(text_col)))
                 before = batch.column(len(names)).to_pylist() if n_blocks > 1 else []
                 if before:
                     got = [sorted(x + y, key=lambda z: z["item_id"]) for x, y in zip(before, got)]

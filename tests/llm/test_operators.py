@@ -2,6 +2,7 @@ import base64
 import collections
 import hashlib
 import math
+import random
 import re
 
 import public_tokenizers
@@ -102,6 +103,35 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.leak_pairs(empty, items).count() == 0 and decontamination.leak_pairs(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all_similar_windows(spark):
+    draw = random.Random(3)
+    items, rows = [], []
+    for i, (n, k) in enumerate([(104, 7), (54, 1), (104, 6), (79, 3), (54, 2)] * 130):
+        item = [f"v{draw.randrange(400)}" for _ in range(n)]
+        at = draw.randrange(4, n - 4 - k)
+        copy = ["lead"] * 3 + item[:at] + [f"new{i}x{x}" for x in range(k)] + item[at + k :] + ["tail"] * 3
+        items.append((i, item))
+        rows.append((i, copy))
+
+    def bag(w):
+        return collections.Counter(tuple(w[x : x + 5]) for x in range(len(w) - 4))
+
+    def best(item, text):
+        a, out = bag(item), 0.0
+        for x in range(len(text) - len(item) + 1):
+            b = bag(text[x : x + len(item)])
+            out = max(out, (a & b).total() / (a | b).total())
+        return out
+
+    want = {i: best(item, text) for (i, item), (_, text) in zip(items, rows)}
+    want = {i: x for i, x in want.items() if x >= 0.8}
+    assert len(want) > 500 and min(want.values()) < 0.805
+    frame = lambda x, name: spark.createDataFrame([(i, " ".join(w)) for i, w in x], f"{name} long, text string")
+    got = decontamination.leak_pairs(frame(rows, "doc_id"), frame(items, "item_id")).collect()
+    assert {r.doc_id: round(r.similarity, 9) for r in got if r.doc_id == r.item_id} == {i: round(x, 9) for i, x in want.items()}
+    assert all(r.doc_id == r.item_id for r in got)
+
+
 def test_lm_scores(docs, empty):
     got = {r.doc_id: r for r in lm_scoring.lm_scores(docs).collect()}
     assert got[0].n_words == 0 and got[0].mean_log_score is None and got[4].n_trigrams > 2000
