@@ -17,6 +17,7 @@ from maskline.operators import detect
 TOKEN = "|".join(
     [
         detect.EMAIL,
+        detect.EMAIL_ENCODED,
         r"(?<![\w.+\-])\d{4}(?:(?: \d{4}){3}|(?:-\d{4}){3}|[ \-]\d{6}[ \-]\d{5})(?![\w]|[.\-]\d)",
         detect.PHONE,
         detect.MAC,

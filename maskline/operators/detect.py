@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from maskline.functions import fixed, values
 
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+# A mailbox in a URL.
+EMAIL_ENCODED = r"[\w.+\-]+%40[\w\-]+(?:\.[\w\-]+)+"
 MAC = r"(?<![0-9A-Fa-f:\-])[0-9A-Fa-f]{2}(?:(?::[0-9A-Fa-f]{2}){5}|(?:-[0-9A-Fa-f]{2}){5})(?![0-9A-Fa-f:\-])"
 PHONE = r"\+\d[\d ().\-]{6,20}\d"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 DOMAIN_USER = r"(?<![\\\w:])([A-Za-z][\w\-]{1,14})\\([A-Za-z][\w.\-$]{1,63})(?![\\\w])"
-FQDN = r"(?<![\w.@\-])(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+(?:com|net|org|io|gov|edu|local|lan|corp|internal|de|fr|es|uk|eu|us|cloud|dev)(?![\w\-]|\.\w)"
+FQDN = r"(?i)(?<![\w.@\-])(?!(?<=%)40)(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+(?:com|net|org|local|internal|lan|corp|io|co|gov|edu|mil|de|nl|uk|fr|be|example|test|info|biz|app|dev|cloud|ai|me|eu|int|us|ca|au|nz|ch|at|se|no|dk|fi|es|it|pt|pl|cz|ie|lu|gr|hu|ro|sk|si|ee|lv|lt|bg|hr|jp|cn|kr|tw|hk|sg|my|th|vn|ph|br|mx|ar|cl|za|ru|tr|il|ae|sa)(?![\w\-]|\.\w)"
 LOGIN = [
     r"(?:Accepted|Failed) \w+ for (?:invalid user )?([\w.\-]+) from",
     r"session (?:opened|closed) for user ([\w.\-]+)",
@@ -71,6 +73,10 @@ def email(lines: DataFrame) -> DataFrame:
     return _hits(lines.where(F.col("raw").contains("@")), _all(EMAIL), "email", "email pattern", 3)
 
 
+def encoded_email(lines: DataFrame) -> DataFrame:
+    return _hits(lines.where(F.col("raw").contains("%40")), _all(EMAIL_ENCODED), "email", "URL-encoded email pattern", 3)
+
+
 def mac(lines: DataFrame) -> DataFrame:
     return _hits(lines, _all(MAC), "mac", "mac pattern", 4)
 
@@ -136,7 +142,7 @@ def vocabulary(pairs: DataFrame, never_fields: list[str]) -> DataFrame:
 
 def everything(lines: DataFrame) -> DataFrame:
     """All pattern passes over the lines, without values that are never replaced."""
-    passes = [ipv4_identities, ipv6, email, mac, card, iban, phone, domain_user, fqdn, logins, distinguished_names, secrets]
+    passes = [ipv4_identities, ipv6, email, encoded_email, mac, card, iban, phone, domain_user, fqdn, logins, distinguished_names, secrets]
     rows = reduce(DataFrame.unionByName, [p(lines) for p in passes])
     return rows.where(~values.is_never(F.col("value")) & (F.length("value") > 1))
 

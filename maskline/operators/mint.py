@@ -50,10 +50,15 @@ def _cased(value: Column, alias: Column) -> Column:
     return F.when((value == F.upper(value)) & value.rlike("[A-Z]"), F.upper(alias)).when(value.rlike("^[A-Z][a-z]"), F.initcap(alias)).otherwise(alias)
 
 
+def _at(v: Column) -> Column:
+    """What divides a mailbox: @, or %40 in a URL."""
+    return F.when(v.contains("%40") & ~v.contains("@"), "%40").otherwise("@")
+
+
 def _pieces(entries: DataFrame, salt: str) -> DataFrame:
     """Columns that the shapes are made of, each computed once."""
     v, kind = F.col("original"), F.col("kind")
-    rows = entries.withColumn("_who", F.when(kind == "email", F.substring_index(v, "@", 1)).otherwise(v))
+    rows = entries.withColumn("_who", F.when(kind == "email", F.call_function("substring_index", v, _at(v), F.lit(1))).otherwise(v))
     rows = rows.withColumns(
         {
             "_h": _hash(salt, F.lower(v), "value"),
@@ -114,7 +119,7 @@ def with_aliases(entries: DataFrame, salt: str, taken: DataFrame | None = None)
         F.when(kind == "ipv4", net)
         .when(kind == "ipv6", F.concat(six, quad(0), F.lit(":"), quad(1), F.lit("::"), quad(2)))
         .when(kind == "mac", F.concat_ws(":", F.lit("02"), *[F.substring(h, 1 + 2 * k, 2) for k in range(5)]))
-        .when(kind == "email", F.concat(F.col("_user"), F.lit("@"), _pick(h, 5, fixed.SAFE_DOMAIN)))
+        .when(kind == "email", F.concat(F.col("_user"), _at(v), _pick(h, 5, fixed.SAFE_DOMAIN)))
         .when(kind.isin("host", "fqdn"), F.when(F.col("_domain").isNotNull(), F.concat_ws(".", "_host", "_safe")).otherwise(F.col("_host")))
         .when(kind == "user", F.col("_user"))
         .otherwise(scrambled(salt, v))
@@ -131,7 +136,7 @@ def with_aliases(entries: DataFrame, salt: str, taken: DataFrame | None = None)
         .when(spill < 131_000, F.concat_ws(".", F.lit("198"), *[x.cast("int").cast("string") for x in (18 + F.floor(spill / 65536), F.floor(spill / 256) % 256, spill % 256)]))
         .otherwise(F.concat(F.lit("198.19.255.254-"), F.col("drawn"), F.lit("-"), n.cast("string"))),
     ).when(n == 1, F.col("drawn")).when(
-        kind == "email", F.concat(F.substring_index("drawn", "@", 1), (n - 1).cast("string"), F.lit("@"), F.substring_index("drawn", "@", -1))
+        kind == "email", F.concat(F.call_function("substring_index", F.col("drawn"), _at(v), F.lit(1)), (n - 1).cast("string"), _at(v), F.call_function("substring_index", F.col("drawn"), _at(v), F.lit(-1)))
     ).when(kind.isin("host", "fqdn") & F.col("drawn").contains("."), F.concat(F.substring_index("drawn", ".", 1), F.lit("-"), (n - 1).cast("string"), F.lit("."), F.regexp_replace("drawn", r"^[^.]*\.", ""))
     ).when(kind == "secret", F.col("drawn")).otherwise(F.concat("drawn", F.lit("-"), (n - 1).cast("string")))
     rows = rows.withColumn("alias", numbered).drop("drawn")

@@ -56,6 +56,14 @@ def test_whole_run_keeps_shape_and_leaves_nothing(spark):
     assert sorted(found.select("original", "alias").collect()) == sorted(again.select("original", "alias").collect())
 
 
+def test_all_endings_cases_and_encoded_mailboxes(spark):
+    rows = frame(spark, "peer srv1.acme.nl up", "peer DB1.ACME.COM up", "GET /x?u=jsmith%40acme.com&v=1")
+    found = mint.with_aliases(plan.entries(detect.everything(rows)), "salt").cache()
+    assert {r.original: r.kind for r in found.collect()} == {"srv1.acme.nl": "fqdn", "DB1.ACME.COM": "fqdn", "jsmith%40acme.com": "email"}
+    out = "\n".join(r.after for r in apply.applied(rows, found).orderBy("line_no").collect())
+    assert "acme" not in out.lower() and "jsmith" not in out and "%40" in out and out.endswith("&v=1")
+
+
 def test_formats(spark):
     for raw, want in {"CEF:0|a|b|c|d|e|5|x=1": "cef", '{"a":1}': "json", "a=1 b=2 c=3": "kvp", "<a>b</a>": "xml", "hello": "text", "<13>Jan  2 03:04:05 h p: m": "syslog"}.items():
         assert one(spark, recognise.line_format, raw) == want
