@@ -23,6 +23,7 @@ from maskline.llm import (
     token_counts,
 )
 
+RANKS_ONE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
@@ -41,28 +42,56 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_docs.unionByName(of_pages, allowMissingColumns=True)
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts under two tokenizer versions, revisions, deleted copies, and replays."""
-    feed = store.stored(token_counts.documents_feed(table(spark, sf_dir, "documents")))
+def _rollup_totals(spark: SparkSession, batches: list[tuple[str, DataFrame]]) -> DataFrame:
+    """The totals after these commits, folded into a base half way."""
     rollup = token_counts.TokenRollup(spark, f"{store.shared_folder(spark)}/maskline/rollup-{uuid.uuid4().hex}")
+    for k, (name, rows) in enumerate(batches):
+        rollup.commit(name, rows)
+        if k == len(batches) // 2:
+            rollup.compact()
+    return rollup.totals()
+
+
+def _changes(rows: DataFrame, tokenizer: str, before, after) -> DataFrame:
     none = F.lit(None).cast("long")
+    before, after = (none if x is None else F.col(x) for x in (before, after))
+    return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), before.alias("before"), after.alias("after"))
 
-    def changes(rows: DataFrame, tokenizer: str, before, after) -> DataFrame:
-        return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), before.alias("before"), after.alias("after"))
 
+def _copies(feed: DataFrame) -> DataFrame:
+    """The rows whose text a smaller id holds."""
     kept = feed.groupBy("content").agg(F.min("doc_id").alias("least"))
-    copies = feed.join(kept, "content").where("doc_id > least")
+    return feed.join(kept, "content").where("doc_id > least")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts under two vocabularies, revisions, deleted copies, and replays of both."""
+    docs = table(spark, sf_dir, "documents")
+    feed = store.stored(token_counts.token_feed(docs, {"one": RANKS_ONE, "multi": RANKS}, PATTERN))
+    copies = store.stored(_copies(feed))
     batches = {
-        "0001": changes(feed, "words-1", none, F.col("first")),
-        "0002": changes(feed, "words-2", none, F.col("second")),
-        "0003": changes(feed.where("revised <> first"), "words-1", F.col("first"), F.col("revised")),
-        "0004": changes(copies, "words-1", F.col("revised"), none).unionByName(
-            changes(copies, "words-2", F.col("second"), none)
+        "insert byte_bpe_50k": _changes(feed, "byte_bpe_50k", None, "one_first"),
+        "insert byte_bpe_multi_50k": _changes(feed, "byte_bpe_multi_50k", None, "multi_first"),
+        "revise": _changes(feed.where("multi_revised <> multi_first"), "byte_bpe_multi_50k", "multi_first", "multi_revised"),
+        "delete copies": _changes(copies, "byte_bpe_50k", "one_first", None).unionByName(
+            _changes(copies, "byte_bpe_multi_50k", "multi_revised", None)
         ),
     }
-    for batch in ("0001", "0002", "0003", "0003", "0004", "0001"):
-        rollup.commit(batch, batches[batch])
-    return rollup.totals()
+    names = [*batches, "revise", "delete copies", "insert byte_bpe_50k"]
+    return _rollup_totals(spark, [(n, batches[n]) for n in names])
+
+
+def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes with counts of words, which SQL can repeat."""
+    feed = store.stored(token_counts.documents_feed(table(spark, sf_dir, "documents")))
+    copies = _copies(feed)
+    batches = {
+        "0001": _changes(feed, "words-1", None, "first"),
+        "0002": _changes(feed, "words-2", None, "second"),
+        "0003": _changes(feed.where("revised <> first"), "words-1", "first", "revised"),
+        "0004": _changes(copies, "words-1", "revised", None).unionByName(_changes(copies, "words-2", "second", None)),
+    }
+    return _rollup_totals(spark, [(n, batches[n]) for n in ("0001", "0002", "0003", "0003", "0004", "0001")])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +109,16 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four arrivals of falling size, compacted and read through the last manifest."""
+    """Five arrivals, the first of half the rows, compacted once between and once after them."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{store.shared_folder(spark)}/maskline/shards-{uuid.uuid4().hex}"
     shards = sharding.ShardStore(spark, folder, docs.schema)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(8))
-    arrival = F.when(draw < 4, 0).when(draw < 6, 1).otherwise(draw - 4)
-    shards.append(docs.withColumn("arrival", arrival), by="arrival")
+    arrivals = [draw < 4, draw.isin(4, 5), draw == 6, draw == 7, draw.isNull()]
+    for k, arrival in enumerate(arrivals):
+        shards.append(docs.where(arrival))
+        if k == 1:
+            shards.compact()
     shards.compact()
     return shards.read().select(
         "doc_id",
@@ -119,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_language_id,
         op2_token_counts,
+        token_rollup_words,
         op3_substring_dedup,
         op4_decontamination,
         op5_html_extraction,
@@ -131,7 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_token_counts": r"""
+    "token_rollup_words": r"""
         WITH counted AS (
             SELECT doc_id, source, lang,
                    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS first,

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from maskline.llm import (
-    byte_bpe, decontamination, html_extraction, language_id, lm_scoring, minhash_dedup, quality_rules, sharding, substring_dedup, token_counts,
+    byte_bpe, decontamination, html_extraction, language_id, lm_scoring, minhash_dedup, quality_rules, substring_dedup,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -176,23 +176,3 @@ def test_language(spark, docs, empty):
     assert got.where("lang <> truth").count() == 0
     assert language_id.identify(docs, model, "doc_id", "text", host_col="source").count() == docs.count()
     assert language_id.identify(empty, model, "doc_id", "text").count() == 0
-
-
-def test_rollup_is_idempotent(spark, tmp_path):
-    rollup = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
-    assert rollup.totals().count() == 0
-    new = spark.createDataFrame([("a", "en", "t", None, 5), ("a", "en", "t", None, 7), (None, "en", "t", None, 1)], "source string, lang string, tokenizer string, before long, after long")
-    assert rollup.commit("1", new) and not rollup.commit("1", new)
-    change = spark.createDataFrame([("a", "en", "t", 5, 6), ("a", "en", "t", 7, None)], new.schema)
-    assert rollup.commit("2", change) and rollup.commit("3", change.limit(0))
-    assert {(r.source, r.n_docs, r.n_tokens) for r in rollup.totals().collect()} == {("a", 1, 6), (None, 1, 1)}
-
-
-def test_sharding_keeps_rows(spark, docs, tmp_path):
-    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", docs.schema)
-    for _ in range(3):
-        store.append(docs.repartition(4))
-    assert store.compact() == 4 and store.manifest().count() < store.manifest(3).count()
-    rows = lambda df: sorted(map(str, df.drop("shard").collect()))
-    assert rows(store.read()) == rows(store.read(3)) == rows(docs.unionAll(docs).unionAll(docs))
-    assert store.vacuum() > 0 and store.read().count() == 3 * docs.count()
