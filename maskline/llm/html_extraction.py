@@ -14,9 +14,13 @@ number is the bound of the sample.  Pages are read in one map over Arrow
 batches; nothing is shuffled.
 
 Defined cases: null or empty html gives an empty text; unclosed or stray tags
-are closed as browsers do for paragraphs, items and cells, else at the end;
-an unfinished tag or reference stays text; repeated rows give repeated
-results; an empty table gives an empty result; other columns are ignored.
+are closed as browsers do for paragraphs, items and cells, else at the end; a
+script, style, text area or title runs to its end tag or the end of the page,
+other elements that show no text of their own only as far as their end tag, if
+there is one before the next of the same name; an unfinished tag or reference
+stays text; time and memory follow the length of the page; repeated rows give
+repeated results; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PAGES = 600
+#: The share of them whose article has no element of its own.
+BARE = 0.3
 
 # Element names of the HTML standard by kind, and usual class words.
 KINDS = {
     "article": "article",
     "main": "main",
     "section": "section",
-    "div": "div center",
+    "div": "div center noscript",
     "p": "p",
     "heading": "h1 h2 h3 h4 h5 h6 hgroup",
     "list": "ul ol dl",
@@ -50,7 +56,8 @@ KINDS = {
     "footer": "footer",
     "aside": "aside",
     "form": "form fieldset legend dialog search",
-    "page": "html body",
+    "page": "html",
+    "body": "body",
 }
 WORDS = {
     "comment": "comment comments commenters reply replies respond discussion disqus",
@@ -64,12 +71,13 @@ WORDS = {
     "header": "header masthead topbar branding",
     "content": "article content post entry story text body main page",
 }
-SKIPPED = "script style noscript template svg iframe object canvas video audio select option button textarea title head math"
+RAW = "script style textarea title"
+SKIPPED = "template svg iframe object canvas video audio select datalist button"
 INLINE_VOID = "img input wbr area base col embed link meta source track param"
 
 #: The values that each feature can take.
 FEATURES = (
-    (*KINDS, "inline"),
+    (*KINDS, "inline", "root"),
     (*WORDS, "none", "hidden"),
     ("no text", "no links", "some links", "links"),
     ("none", "short", "middle", "long"),
@@ -77,18 +85,20 @@ FEATURES = (
 
 _KIND = {name: kind for kind, names in KINDS.items() for name in names.split()}
 _WORD = {word: group for group, words in WORDS.items() for word in words.split()}
-_SKIPPED, _VOID = set(SKIPPED.split()), set(INLINE_VOID.split())
+_RAW, _VOID = set(RAW.split()), set(INLINE_VOID.split())
+_SKIPPED = {x: re.compile(rf"<(/?){x}(?=[\s/>])[^>]*>?", re.I) for x in (*RAW.split(), *SKIPPED.split())}
 _MARKED_KINDS = {"nav", "header", "footer", "aside", "form"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^>]*>",
     re.S,
 )
+_COMMENT = re.compile(r"<!--.*", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: An opening tag of these names ends an open element of the listed names, up to the nearest holder.
 _ENDS = {
-    **{n: ({"p"}, {"table", "td", "th", "button"}) for n, k in _KIND.items() if k not in ("item", "table", "page")},
+    **{n: ({"p"}, {"table", "td", "th", "button"}) for n, k in _KIND.items() if k not in ("item", "table", "page", "body")},
     "table": ({"p"}, {"td", "th"}),
     "hr": ({"p"}, {"td", "th"}),
     "li": ({"li", "p"}, {"ul", "ol", "menu"}),
@@ -104,35 +114,32 @@ class Page:
     """The nodes of a page in document order and its blocks of text."""
 
     def __init__(self, source: str):
-        self.parent, self.kind, self.mark = [-1], ["page"], ["none"]
+        self.parent, self.kind, self.mark = [-1], ["root"], ["none"]
         self.text_size, self.link_size = [0], [0]
         self.blocks: list[list[tuple[int, str]]] = [[]]
-        stack: list[tuple[str, int]] = [("", 0)]
-        links, at, n = 0, 0, len(source)
+        self._stack: list[tuple[str, int]] = [("", 0)]
+        self._open: Counter[str] = Counter()
+        links, at, n, last = 0, 0, len(source), source.rfind(">")
         while at < n:
-            found = _TOKEN.search(source, at)
-            self._text(stack[-1][1], source[at : found.start() if found else n], links)
+            # Past the last ">" no tag can end.
+            found = (_TOKEN if at <= last else _COMMENT).search(source, at)
+            self._text(self._stack[-1][1], source[at : found.start() if found else n], links)
             if not found:
                 break
             at = found.end()
-            if not (name := found["name"]):
+            if found.re is _COMMENT or not (name := found["name"]):
                 continue
             name = name.lower()
             if found["end"]:
                 if name == "a":
                     links = max(0, links - 1)
-                elif name in _KIND or any(name == x for x, _ in stack):
-                    if name in _KIND:
-                        self.blocks.append([])
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == name:
-                            del stack[i:]
-                            break
+                if name in _KIND:
+                    self.blocks.append([])
+                if self._open[name]:
+                    self._close({name}, set())
                 continue
             if name in _SKIPPED:
-                if name != "head" and not found["rest"].endswith("/"):
-                    close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                    at = close.end() if close else n
+                at = self._after(name, source, at)
                 continue
             if name == "a":
                 links = 1  # links do not nest
@@ -140,24 +147,41 @@ class Page:
                 self.blocks.append([])
             if name in _ENDS:
                 ends, holders = _ENDS[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in holders:
-                        break
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        break
+                if any(self._open[x] for x in ends):
+                    self._close(ends, holders)
             mark = self._mark(found["rest"]) if found["rest"].strip("/ ") else "none"
             if name in _VOID or (name not in _KIND and mark in ("none", "content")) or name in ("br", "hr"):
                 continue
             if name in _KIND:
                 self.blocks.append([])
-            self.parent.append(stack[-1][1])
+            self.parent.append(self._stack[-1][1])
             self.kind.append(_KIND.get(name, "inline"))
             self.mark.append(mark)
             self.text_size.append(0)
             self.link_size.append(0)
             if not found["rest"].endswith("/") or name in _KIND:
-                stack.append((name, len(self.parent) - 1))
+                self._stack.append((name, len(self.parent) - 1))
+                self._open[name] += 1
+
+    def _close(self, names: set[str], holders: set[str]) -> None:
+        """Close the innermost open element of these names and all in it, unless a holder is nearer."""
+        for i in range(len(self._stack) - 1, 0, -1):
+            if self._stack[i][0] in holders:
+                return
+            if self._stack[i][0] in names:
+                self._open.subtract(x for x, _ in self._stack[i:])
+                del self._stack[i:]
+                return
+
+    @staticmethod
+    def _after(name: str, source: str, at: int) -> int:
+        """Where the page goes on after the opening tag of an element whose text isn't shown."""
+        for found in _SKIPPED[name].finditer(source, at):
+            if found[1]:
+                return found.end()
+            if name not in _RAW:
+                return at
+        return len(source) if name in _RAW else at
 
     def _text(self, node: int, raw: str, links: int) -> None:
         if raw:
@@ -245,7 +269,7 @@ class Model:
             node[0], node[1] = node[0] * m0, node[1] * m1
             total = node[0] + node[1]
             node[0], node[1] = node[0] / total, node[1] / total
-        belief = [(1.0, 0.0)] + [(0.5, 0.5)] * (n - 1)  # the document itself is not content
+        belief = [(up[0][0], up[0][1])] + [(0.5, 0.5)] * (n - 1)
         for i in range(1, n):
             (p00, p01), (p10, p11) = table[i]
             q, m = belief[page.parent[i]], message[i]
@@ -255,8 +279,8 @@ class Model:
         return [b for _, b in belief]
 
 
-def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[str, str]]:
-    """Generated pages with their main text."""
+def labelled_pages(n: int = PAGES, seed: int = 7, bare: float = 0.0) -> list[tuple[str, str]]:
+    """Generated pages with their main text; in a share ``bare`` nothing but a plain div or the body holds it."""
     draw = random.Random(seed)
     letters = "abcdefghijklmnoprstuvwyz"
 
@@ -267,7 +291,7 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[str, str]]:
         return "".join(f'<li><a href="/x">{words(1, 3)}</a></li>' for _ in range(count))
 
     def boiler() -> str:
-        kind = draw.randrange(14)
+        kind = draw.randrange(15 if bare else 14)
         text = words(1, draw.choice([4, 15, 60]))
         return [
             f"<nav><ul>{links(draw.randint(2, 9))}</ul></nav>",
@@ -284,6 +308,7 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[str, str]]:
             f'<ul class="menu">{links(5)}</ul>',
             f'<div class="promo"><p>{text}</p></div>',
             f'<aside class="notice"><p>{text}</p></aside>',
+            f'<table class="{draw.choice(["menu", "sidebar", "footer"])}"><tr><td>{draw.choice([text, f"<a href=/t>{words(1, 3)}</a>"])}</td></tr></table>',
         ][kind]
 
     def block() -> str:
@@ -306,6 +331,8 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[str, str]]:
             return f"<section><h3>{words(1, 4, '¤')}</h3><p>{text}</p></section>"
         if kind == 7:
             return f"<ul><li><a href='/z'>{words(1, 4, '¤')}</a></li></ul>"
+        if kind == 8:
+            return f"{linked}{text}<br>"
         return f"<p>{linked}{text}</p>"
 
     pages = []
@@ -318,19 +345,23 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[str, str]]:
         if draw.random() < 0.2:
             inner.append(f"<footer>{words(2, 8)}</footer>")
         holder = draw.choice(["article"] * 6 + ["div class=post-content", "div id=content", "main", "section class=entry"])
-        body = f"<{holder}>{''.join(inner)}</{holder.split()[0]}>"
+        if bare and draw.random() < bare:
+            holder = draw.choice(["div", ""])
+        body = f"<{holder}>{''.join(inner)}</{holder.split()[0]}>" if holder else "".join(inner)
         if draw.random() < 0.3:
             body = draw.choice(["<main>{}{}</main>", "<div class=wrap>{}{}</div>", "<div>{}{}</div>"]).format(body, boiler())
         before, after = ("".join(boiler() for _ in range(draw.randint(0, 4))) for _ in range(2))
         head = f"<header><h2>{words(1, 3)}</h2></header>" * (draw.random() < 0.5)
         foot = f"<footer>{words(2, 14)}</footer>" * (draw.random() < 0.8)
-        page = f"<html><head><title>{words(2, 5)}</title></head><body>{head}{before}{body}{after}{foot}</body></html>"
+        page = f"{head}{before}{body}{after}{foot}"
+        if not bare or draw.random() < 0.9:
+            page = f"<html><head><title>{words(2, 5)}</title></head><body>{page}</body></html>"
         pages.append(page)
     return [(p.replace("¤", ""), p) for p in pages]
 
 
 def _labels(marked: Page) -> list[int]:
-    """Content: nodes most of whose text is marked, other than the page's own."""
+    """Content: nodes most of whose text is marked; of body and the document, only the text that no other holder has."""
     n = len(marked.parent)
     good, bad = [0] * n, [0] * n
     for part in marked.blocks:
@@ -339,14 +370,16 @@ def _labels(marked: Page) -> list[int]:
             good[node] += hits
             bad[node] += len(text.split()) - hits
     for i in range(n - 1, 0, -1):
-        good[marked.parent[i]] += good[i]
-        bad[marked.parent[i]] += bad[i]
-    return [int(g > b and k != "page") for g, b, k in zip(good, bad, marked.kind)]
+        up = marked.parent[i]
+        if marked.kind[up] not in ("root", "page", "body") or marked.kind[i] in ("p", "heading", "list", "quote", "table"):
+            good[up] += good[i]
+            bad[up] += bad[i]
+    return [int(g > b) for g, b in zip(good, bad)]
 
 
 @lru_cache(maxsize=1)
 def trained(n: int = PAGES) -> Model:
-    return Model([(Page(plain), _labels(Page(marked))) for plain, marked in labelled_pages(n)])
+    return Model([(Page(plain), _labels(Page(marked))) for plain, marked in labelled_pages(n, bare=BARE)])
 
 
 def main_text(source: str | None, model: Model) -> str:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -169,6 +170,42 @@ def test_html():
     assert html_extraction.main_text(None, model) == ""
 
 
+# Pages written by hand, apart from the training pages, with the text that a reader would call the article.
+SENTENCE = "The council met on Monday and agreed to mend the bridge before winter, as the engineer had asked. "
+BY_HAND = [
+    (None, ""),
+    ("", ""),
+    ("<p>", ""),
+    (f"<html><body><h1>Bridge</h1><p>{SENTENCE * 3}</p><p>{SENTENCE * 2}</p></body></html>", f"Bridge {SENTENCE * 3}{SENTENCE * 2}".strip()),
+    (f"<datalist id=d><option value=a><option value=b></datalist><article><h2>Two</h2><p>{SENTENCE * 4}</article>", f"Two {SENTENCE * 4}".strip()),
+    (f"<article><p>Watch <video src=x> this clip. {SENTENCE * 3}</p><p>{SENTENCE}</p></article>", f"Watch this clip. {SENTENCE * 4}".strip()),
+    (f"<article><p>Let <math><mi>x</mi></math> be so. {SENTENCE * 3}</p></article>", f"Let x be so. {SENTENCE * 3}".strip()),
+    (f"<header><a href=/>Home</a></header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav><main><article><h1>Caf&eacute; &amp; bar</h1><p>{SENTENCE}<p>{SENTENCE}<ul><li>one<li>two</ul><script>if (a < b) {{}}</script></article></main><footer>Legal</footer>", f"Café & bar {SENTENCE}{SENTENCE}one two"),
+    (f"<body><div class='post-body'><p>{SENTENCE * 2}</p><select><option>a<option>b</select><form><input><button>Send</button> us a word</form><p>{SENTENCE}</p></div><section id=comments><p>First! {SENTENCE}</p></section></body>", f"{SENTENCE * 3}".strip()),
+    (f"<body><div class=cookie-banner><p>We use cookies.</p></div><table class=nav><tr><td><a href=/x>x</a></table><article><table><tr><td>Year<td>Sum<tr><td>1990<td>12</table><p>{SENTENCE * 2}</p></article><aside><p>{SENTENCE}</p></aside>", f"Year Sum 1990 12 {SENTENCE * 2}".strip()),
+    (f"<article><p>{SENTENCE}<a <a <a", f"{SENTENCE}<a <a <a"),
+]
+
+
+def test_html_pages_written_by_hand(spark):
+    rows = [(i, f"http://h/{i}", h, "clash") for i, (h, _) in enumerate(BY_HAND)]
+    pages = spark.createDataFrame([*rows, rows[3], (None, None, BY_HAND[3][0], None)], "page_id long, url string, html string, text string")
+    got = html_extraction.extract(pages).collect()
+    assert len(got) == len(BY_HAND) + 2
+    for r in got:
+        want = BY_HAND[3 if r.page_id is None else r.page_id][1]
+        assert (r.text, r.n_chars) == (want, len(want)), r.page_id
+    assert html_extraction.extract(pages.limit(0)).count() == 0
+
+
+def test_html_time_follows_the_length():
+    model = html_extraction.trained()
+    for page in ("<a " * 300_000, "<div>" * 30_000 + "</p>" * 100_000, "<video>" * 50_000, "<!-- " * 100_000, "<p class='" * 100_000):
+        began = time.time()
+        html_extraction.main_text(page, model)
+        assert time.time() - began < 20
+
+
 def test_language(spark, docs, empty):
     rows = spark.createDataFrame([(i, f"the and of {i} " * 9, "en") for i in range(9)] + [(20 + i, f"und der die {i} " * 9, "de") for i in range(9)], "doc_id long, text string, lang string")
     model = language_id.train(rows)
