@@ -12,8 +12,9 @@ up: one whose shingles, counted over all items, are too few for any item of that
 length is skipped, which loses nothing either.
 
 The documents are read in one map over Arrow batches without a shuffle.  The
-items are a query set: they travel to the tasks in blocks of at most
-ITEM_BLOCK items, one pass over the documents for each block.
+items are a query set: they travel to the tasks in blocks of about ITEM_BLOCK
+items or ITEM_BYTES bytes at most, one pass over the documents for each block.
+What a task holds follows the block, the chunk of texts and the longest text.
 
 Words are compared in lower case (ASCII) and without ASCII punctuation.
 Defined cases: null or empty texts and items match nothing; equal items are
@@ -38,8 +39,10 @@ from maskline.llm import text as tx
 
 SHINGLE = 5
 SIMILAR = 0.8
-RADIUS = 15
+#: Eight blocks of eight bits, so that a lookup meets one item in 256; further windows are found by rare shingles.
+RADIUS = 7
 ITEM_BLOCK = 20_000
+ITEM_BYTES = 32 << 20
 _U = np.uint64
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -129,6 +132,14 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
 
+def _within(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """The places below n that any of low[k]:high[k] holds, ascending."""
+    step = np.zeros(n + 1, np.int32)
+    np.add.at(step, low, 1)
+    np.subtract.at(step, high, 1)
+    return np.flatnonzero(np.cumsum(step[:-1]))
+
+
 class Items:
     """A block of benchmark items, ready for lookups by length."""
 
@@ -201,7 +212,7 @@ class Items:
                 continue
             m = n_words - size + 1
             # A window must hold so many shingles of items to reach the similarity, clipped or not.
-            begin = np.unique(np.maximum((hits[:, None] - np.arange(m)[None, :]), low[doc[hits]][:, None]))
+            begin = _within(np.maximum(hits - (m - 1), low[doc[hits]]), hits + 1, len(keys))
             d = doc[begin]
             begin = np.minimum(begin, np.maximum(low[d + 1] - m, low[d]))
             begin = np.unique(begin)
@@ -247,7 +258,8 @@ def with_leaks(
 ) -> DataFrame:
     """The rows with ``leaks``: benchmark items found and where (an input column of that name goes)."""
     docs = docs.drop("leaks")
-    n_blocks = max(1, -(-items.count() // item_block))
+    size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n_blocks = max(1, -(-size[0] // item_block), -(-(size[1] or 0) // ITEM_BYTES))
     dealt = items.where("text is not null").select(
         "item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).alias("block")
     )

@@ -5,14 +5,17 @@ labelled documents of bounded size.  Language posteriors from text alone are
 added up by host, registered domain, address suffix and overall; the prior of
 a host is smoothed towards that of its domain, its domain's towards its
 suffix's, and that towards the overall one, each leaving out the page in
-question.  The declared markup language is a further witness, as reliable as
+question.  A host of one label has no suffix, and one of two is its own
+domain; a level that says nothing of its own is passed over.  The declared markup language is a further witness, as reliable as
 its agreement with the texts shows.  The posterior is the normalised product.
 
-The texts are read once in a map over Arrow batches; what is grouped and
-joined are a few numbers for each row, partially added before the shuffle.
+The texts are read once in a map over Arrow batches; what is grouped are a few
+numbers for each row, partially added before the shuffle.  Domains and suffixes
+are sums over hosts and are joined to hosts; rows meet their host in one join,
+whose hot keys adaptive execution splits.
 
 Defined cases: null or empty text leaves the prior and the declaration; null
-address or host leaves the overall prior; an undeclared or unknown markup
+address or host shares the prior of the rows without one; an undeclared or unknown markup
 language says nothing; ties go to the language first in order; repeated rows
 count each time; an empty table gives an empty result.
 """
@@ -115,7 +118,6 @@ def identify(
     declared = F.lit(None).cast("string")
     if markup:
         declared = F.lower(F.regexp_extract(F.col(text_col), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
-    parts = F.split(F.col("host"), r"\.")
     base = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), host.alias("host"), declared.alias("declared"))
     kind = base.schema["id"].dataType.simpleString()
 
@@ -132,11 +134,7 @@ def identify(
 
     schema = f"id {kind}, host string, declared string, score array<double>, alone array<double>"
     seen = base.mapInArrow(run, schema)
-    seen = stored(
-        seen.withColumn("domain", F.when(F.size(parts) > 2, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(F.col("host")))
-        .withColumn("suffix", F.element_at(parts, -1))
-        .withColumn("declared", F.when(F.col("declared").isin(langs), F.col("declared")))
-    )
+    seen = stored(seen.withColumn("declared", F.when(F.col("declared").isin(langs), F.col("declared"))))
     each = range(len(langs))
     sums = lambda tag: [F.sum(F.element_at("alone", k + 1)).alias(f"{tag}_{k}") for k in each]
     whole = seen.agg(*sums("all")).first()
@@ -150,14 +148,21 @@ def identify(
     trust = ((agree["s"] or 0.0) + 1.0) / (agree["n"] + 2.0)
     doubt = (1 - trust) / max(1, len(langs) - 1)
 
-    joined = seen
-    for level in LEVELS:
-        joined = joined.join(seen.groupBy(level).agg(*sums(level), F.count("*").alias(f"{level}_n")), level)
+    parts = F.split(F.col("host"), r"\.")
+    hosts = seen.groupBy("host").agg(*sums("host"), F.count("*").alias("host_n"))
+    hosts = hosts.withColumn("domain", F.when(F.size(parts) > 2, F.concat_ws(".", F.slice(parts, -2, 2))))
+    hosts = hosts.withColumn("suffix", F.when(F.size(parts) > 1, F.element_at(parts, -1)))
+    for level in LEVELS[1:]:
+        columns = [F.sum(f"host_{k}").alias(f"{level}_{k}") for k in (*each, "n")]
+        hosts = hosts.join(hosts.where(F.col(level).isNotNull()).groupBy(level).agg(*columns), level, "left")
+    joined = seen.join(hosts, "host")
     prior = [F.lit(x) for x in overall]
     for level in reversed(LEVELS):
         rows_here = F.col(f"{level}_n") - 1
         prior = [
-            (F.greatest(F.col(f"{level}_{k}") - F.element_at("alone", k + 1), F.lit(0.0)) + SMOOTHING * prior[k]) / (rows_here + SMOOTHING)
+            F.when(F.col(f"{level}_n").isNull(), prior[k]).otherwise(
+                (F.greatest(F.col(f"{level}_{k}") - F.element_at("alone", k + 1), F.lit(0.0)) + SMOOTHING * prior[k]) / (rows_here + SMOOTHING)
+            )
             for k in each
         ]
     evidence = [

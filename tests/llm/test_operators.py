@@ -104,6 +104,13 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.leak_pairs(empty, items).count() == 0 and decontamination.leak_pairs(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_a_long_item(spark):
+    item = " ".join(f"l{i % 7000}" for i in range(9_000))
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    rows = spark.createDataFrame([(1, f"{LONG} {item} {LONG}"), (2, LONG), (1, item)], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontamination.leak_pairs(rows, items).collect()] == [(1, 7), (1, 7)]
+
+
 def test_decontamination_finds_all_similar_windows(spark):
     draw = random.Random(3)
     items, rows = [], []
@@ -206,6 +213,54 @@ def test_html_time_follows_the_length():
         assert time.time() - began < 20
 
 
+def test_language_is_the_product_of_its_evidence(spark):
+    draw = random.Random(4)
+    stock = {"en": "the and of river bridge", "de": "und der die fluss bruecke", "fr": "et le la pont riviere"}
+    langs = sorted(stock)
+    text = lambda lang, n: " ".join(draw.choices(stock[lang].split(), k=n))
+    labelled = spark.createDataFrame([(i, text(langs[i % 3], 30), langs[i % 3]) for i in range(60)], "doc_id long, text string, lang string")
+    model = language_id.train(labelled)
+    hosts = ["www.a.example.de", "b.example.de", "example.de", "x.fr", "y.fr", "local", "WWW.c.co.uk"]
+    rows = []
+    for i in range(80):
+        lang = draw.choice(langs)
+        mark = draw.choice(["", f" lang={draw.choice(langs)}", ' LANG="de-AT"', " lang=xx"])
+        body = draw.choice([text(lang, 6), text(lang, 1), "", "<script>the the the</script>" + text(lang, 4)])
+        rows.append((i, draw.choice([f"http://u@{draw.choice(hosts)}:80/p", f"https://{draw.choice(hosts)}", None]), f"<html{mark}><p>{body}</p></html>"))
+    rows += [(100, None, None), rows[0]]
+    got = language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model, "page_id", "html", url_col="url", markup=True).collect()
+
+    def mixed(a, b, c):
+        x = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+        return (x ^ x >> 15) % language_id.BUCKETS
+
+    facts = []
+    for i, url, page in rows:
+        data = re.sub(rb"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", b" ", (page or "").encode()).lower()
+        score = [sum(model[1][k][mixed(*data[x : x + 3])] for x in range(len(data) - 2)) * language_id.TEXT_WEIGHT for k in range(3)]
+        top = [math.exp(x - max(score)) for x in score]
+        host = re.sub(r":\d+$", "", (url or "").split("://")[-1].split("@")[-1].split("/")[0]).lower()
+        declared = re.search(r"(?i)<html lang=\W?([a-z]{2})", page or "")
+        declared = declared[1] if declared and declared[1] in langs else None
+        labels = host.split(".")
+        keys = {"host": host, "domain": ".".join(labels[-2:]) if len(labels) > 2 else None, "suffix": labels[-1] if len(labels) > 1 else None}
+        facts.append((i, score, [x / sum(top) for x in top], declared, keys))
+    whole = [1 + sum(f[2][k] for f in facts) for k in range(3)]
+    said = [f for f in facts if f[3]]
+    trust = (sum(f[2][langs.index(f[3])] for f in said) + 1) / (len(said) + 2)
+    want = collections.Counter()
+    for i, score, alone, declared, keys in facts:
+        prior = [x / sum(whole) for x in whole]
+        for level in ("suffix", "domain", "host"):
+            if keys[level] is not None:
+                same = [f for f in facts if f[4][level] == keys[level]]
+                prior = [(sum(f[2][k] for f in same) - alone[k] + 8 * prior[k]) / (len(same) - 1 + 8) for k in range(3)]
+        product = [score[k] + math.log(prior[k] + 1e-12) + (math.log(trust if langs[k] == declared else (1 - trust) / 2) if declared else 0) for k in range(3)]
+        best = max(product)
+        want[i, keys["host"], declared, langs[product.index(best)], round(1 / sum(math.exp(x - best) for x in product), 9)] += 1
+    assert collections.Counter((r.page_id, r.host, r.declared_lang, r.lang, round(r.posterior, 9)) for r in got) == want
+
+
 def test_language(spark, docs, empty):
     rows = spark.createDataFrame([(i, f"the and of {i} " * 9, "en") for i in range(9)] + [(20 + i, f"und der die {i} " * 9, "de") for i in range(9)], "doc_id long, text string, lang string")
     model = language_id.train(rows)
