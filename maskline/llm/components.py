@@ -13,8 +13,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round alternates two star steps, which at least halve the depth of
     every tree: all larger neighbours of a node are linked to the least
-    neighbour, then all smaller ones.  Both are grouped minima, so a hot node
-    costs one partial aggregate on each task.
+    neighbour, then all smaller ones.  The minima are partially aggregated; the
+    rows of a node meet its minimum in a join, whose hot keys adaptive
+    execution splits.  Links are numbers only, and there are at most as many as
+    nodes after the first round.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None

@@ -14,7 +14,8 @@ others) and the one that shares most buckets with others; exact probability
 Jaccard decides.  Documents of a bucket that are then still in different
 components are compared too: in buckets of up to 64 documents as pairs, in
 larger ones those outside the bucket's main component against all of that
-component and each other, in blocks of 64 by 64 inside a task.  So no pair
+component and each other, in blocks of up to 64 texts or BLOCK_BYTES inside a
+task.  So no pair
 that shares a band is left undecided unless its documents are in one class
 already, and no group lists its pairs.
 
@@ -44,6 +45,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 36, 7
 CENTRES = 4
 LARGE = 64
+#: A block of texts compared at once ends after so many bytes (or its one longer text).
+BLOCK_BYTES = 256 << 10
 #: Hashed parts of a large component.
 PARTS = 16
 _U = np.uint64
@@ -256,14 +259,16 @@ def _outside(large: DataFrame, named: DataFrame, texts: DataFrame, similar: floa
     single = outside.select("main", F.col("main").alias("rep"), F.col("main").alias("component"))
     every = inside.join(outside.select("main").distinct(), "main", "left_semi").unionByName(single).unionByName(outside)
     body = texts.withColumnRenamed("doc", "rep")
+    sizes = body.select("rep", "size")
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         # Hashed parts of a component first, so that numbering it is not one task's work.
         rows = rows.distinct().withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PARTS)))
-        place = F.row_number().over(Window.partitionBy("main", "part").orderBy("rep")) - 1
-        block = F.concat_ws("-", "part", F.floor(place / LARGE))
+        order = Window.partitionBy("main", "part").orderBy("rep")
+        before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        block = F.concat_ws("-", "part", F.floor((F.row_number().over(order) - 1) / LARGE), F.floor(before / BLOCK_BYTES))
         return (
-            rows.withColumn("block", block).join(body, "rep")
+            rows.join(sizes, "rep").withColumn("block", block).drop("size").join(body, "rep")
             .groupBy("main", "block").agg(F.collect_list(F.struct("rep", "component", "body", "size")).alias(name))
             .select("main", name)
         )

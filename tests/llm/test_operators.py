@@ -1,6 +1,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -83,6 +84,37 @@ def test_near_duplicates(docs, empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch):
+    draw = random.Random(9)
+    texts = []
+    for group in range(40):
+        base = [f"g{group}w{draw.randrange(60)}" for _ in range(draw.choice([3, 8, 40, 120]))]
+        for _ in range(draw.choice([1, 2, 9])):
+            copy = list(base)
+            for _ in range(draw.choice([0, 1, 1, 2, 3, 6])):
+                copy[draw.randrange(len(copy))] = f"new{draw.randrange(10**6)}"
+            texts.append(draw.choice([" ", "\n"]).join(copy))
+    chain = [f"c{x}" for x in range(300)]
+    texts += [" ".join(chain[k : k + 200]) for k in range(0, 90, 3)] + [texts[0]]
+    bags = [collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in map(str.split, texts)]
+
+    def similarity(a, b):
+        return sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in a | b) for i in a.keys() & b.keys())
+
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if find(i) != find(j) and similarity(bags[i], bags[j]) >= 0.8:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i: find(i) for i in range(len(texts))}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(rows).collect()} == want
+    # The same when every bucket counts as large and a block holds a text or two.
+    monkeypatch.setattr(minhash_dedup, "LARGE", 1)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_BYTES", 1000)
+    assert {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(rows).collect()} == want
+
+
 def test_probability_jaccard_is_exact():
     import numpy as np
 
