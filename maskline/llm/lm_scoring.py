@@ -1,18 +1,26 @@
 """Language-model scoring with stupid backoff.
 
-The n-gram counts of the whole corpus lie in tables partitioned by hash: each
-block of documents sends its distinct n-grams with their counts to the
-partitions, which add them up, and the joined counts come back to the block,
-where they are matched to the n-grams of each text by position and summed for
-each document.  Every n-gram counts, those that occur once too.  A trigram
-with a bigram that occurs once occurs once itself, so only the others are
-asked for.
+``model_table`` and ``scores_by_model`` are the relational form, a row for each
+n-gram: count tables, joined with themselves on the context to give each
+n-gram its factor, joined to the exploded n-grams of any documents, and summed
+for each.  It moves about fifteen times the bytes of the texts.
+
+``lm_scores`` computes the same aggregate and join for documents that are their
+own model, with packed rows: the n-gram counts of the whole corpus lie
+partitioned by hash; each block of documents sends its distinct n-grams with
+their counts to the partitions, which add them up, and the joined counts come
+back to the block, where they are matched to the n-grams of each text by
+position and summed for each document.  Every n-gram counts, those that occur
+once too.  A trigram with a bigram that occurs once occurs once itself, so only
+the others are asked for.
 
 Score of a word: c(u v w) / c(u v) if the trigram is in the model, else 0.4
 times c(v w) / c(v) if the bigram is, else 0.4 times again c(w) / N.  At the
-start of a text the shorter n-grams are all there is, without a penalty.  The
-model is that of the texts scored and holds all their n-grams, so no word of
-theirs is backed off.  N-grams are told apart by 64-bit hashes.
+start of a text the shorter n-grams are all there is, without a penalty.  A
+model of the texts scored holds all their n-grams, so no word of theirs is
+backed off; one of other texts may not even hold the word, which then scores
+the last penalty times 1 / N.  ``lm_scores`` tells n-grams apart by 64-bit
+hashes, the relational form by their words.
 
 Defined cases: null and empty texts have no words and score 0 (mean null);
 repeated rows count each time and score alike; an empty table gives an empty
@@ -21,7 +29,9 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +40,7 @@ from pyspark.sql import functions as F
 
 from maskline.llm import blocks as bl
 from maskline.llm import text as tx
+from maskline.llm.store import stored
 
 BACKOFF = 0.4
 _SALT = [np.uint64(x) for x in (0, 0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21C651E98DF25)]
@@ -39,6 +50,59 @@ SCHEMA = (
 )
 
 
+_WORD = r"([^\x20\x09-\x0D]+)"
+
+
+def _places(docs: DataFrame, text_col: str, *kept: str) -> DataFrame:
+    """A row for each word: ``grams`` that end there, shortest first."""
+    found = docs.select(*kept, F.regexp_extract_all(text_col, F.lit(_WORD), F.lit(1)).alias("_w"))
+    none = F.lit(None).cast("string")
+    # The words beside those one and two places before them; the array itself stays out of the rows.
+    zipped = F.arrays_zip(F.col("_w").alias("c"), F.concat(F.array(none), "_w").alias("b"), F.concat(F.array(none, none), "_w").alias("a"))
+    rows = found.select(*kept, F.explode(zipped).alias("z")).where("z.c is not null")
+    two, three = F.concat("z.b", F.lit(" "), "z.c"), F.concat("z.a", F.lit(" "), "z.b", F.lit(" "), "z.c")
+    return rows.select(*kept, F.array_compact(F.array("z.c", two, three)).alias("grams"))
+
+
+def count_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(gram, n): how often each run of one to three words occurs in the texts."""
+    return _places(docs, text_col).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+def model_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(gram, factor): each n-gram's count by that of its context, or by all words for one word."""
+    counts = stored(count_table(docs, text_col))
+    total = counts.where(~F.col("gram").contains(" ")).agg(F.sum("n")).first()[0] or 0
+    longer = counts.where(F.col("gram").contains(" ")).withColumn("context", F.regexp_replace("gram", " [^ ]+$", ""))
+    with_context = longer.join(counts.select(F.col("gram").alias("context"), F.col("n").alias("base")), "context")
+    one = counts.where(~F.col("gram").contains(" ")).select("gram", (F.col("n") / F.lit(max(total, 1))).alias("factor"))
+    return stored(with_context.select("gram", (F.col("n") / F.col("base")).alias("factor")).unionByName(one))
+
+
+def scores_by_model(docs: DataFrame, model: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, words scored by each order, log_score) by a model of ``words`` words, of whatever texts.
+
+    A row that is repeated scores once and is given out as often as it occurs.
+    """
+    key = [F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_text")]
+    rows = docs.select(*key, F.col(text_col).alias("text")).dropDuplicates(["_id", "_text"])
+    left = _places(rows, "text", "_id", "_text").select("_id", "_text", F.element_at("grams", -1).alias("gram"))
+    left = left.groupBy("_id", "_text", "gram").agg(F.count("*").alias("times")).withColumn("penalty", F.lit(0.0))
+    order = F.size(F.split("gram", " "))
+    found = []
+    for _ in range(3):
+        met = left.join(model, "gram", "left")
+        found.append(met.where("factor is not null").select("_id", "_text", "times", order.alias("order"), (F.log("factor") + F.col("penalty")).alias("log")))
+        left = met.where("factor is null").select("_id", "_text", "times", F.when(F.col("gram").contains(" "), F.regexp_replace("gram", "^[^ ]+ ", "")).alias("gram"), F.when(F.col("gram").isNull(), F.col("penalty")).otherwise(F.col("penalty") + math.log(BACKOFF)).alias("penalty"))
+    unseen = left.select("_id", "_text", "times", F.lit(0).alias("order"), (F.col("penalty") - math.log(max(words, 1))).alias("log"))
+    scored = reduce(DataFrame.unionByName, [*found, unseen])
+    by_order = [F.sum(F.when(F.col("order") == n, F.col("times")).otherwise(0)).alias(name) for n, name in ((3, "n_trigrams"), (2, "n_bigrams"), (1, "n_unigrams"))]
+    sums = scored.groupBy("_id", "_text").agg(F.sum("times").alias("n_words"), *by_order, F.sum(F.col("times") * F.col("log")).alias("log_score"))
+    every = docs.select(*key).alias("d").join(sums.alias("s"), F.expr("d._id <=> s._id and d._text = s._text"), "left")
+    numbers = [F.coalesce(f"s.{x}", F.lit(0)).cast("long").alias(x) for x in ("n_words", "n_trigrams", "n_bigrams", "n_unigrams")]
+    return every.select(F.col("d._id").alias(id_col), *numbers, F.coalesce("s.log_score", F.lit(0.0)).alias("log_score"))
+
+
 def corpus_size(docs: DataFrame, text_col: str) -> tuple[int, int]:
     """Bytes and words of all texts."""
 

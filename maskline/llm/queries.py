@@ -142,6 +142,14 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def lm_scores_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of op9 with a row for each n-gram, which SQL can repeat."""
+    docs = table(spark, sf_dir, "documents")
+    words = lm_scoring.corpus_size(docs, "text")[1]
+    found = lm_scoring.scores_by_model(docs, lm_scoring.model_table(docs), words)
+    return found.withColumn("log_score", F.round("log_score", 5))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -159,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_byte_bpe,
         op8_minhash_dedup,
         op9_lm_scoring,
+        lm_scores_relational,
         op10_quality_rules,
     )
 }
@@ -180,6 +189,21 @@ ORACLE_SQL: dict[str, str] = {
                CAST(count(*) FILTER (WHERE doc_id = least) AS BIGINT) AS n_docs,
                CAST(coalesce(sum(n) FILTER (WHERE doc_id = least), 0) AS BIGINT) AS n_tokens
         FROM totals GROUP BY source, lang, tokenizer""",
+    "lm_scores_relational": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        g AS (SELECT doc_id, i, ws[i] AS one, CASE WHEN i > 1 THEN ws[i - 1] END AS before,
+                     CASE WHEN i > 1 THEN ws[i - 1] || ' ' || ws[i] END AS two,
+                     CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] END AS two_before,
+                     CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] || ' ' || ws[i] END AS three FROM p),
+        c AS (SELECT gram, count(*) AS n FROM (SELECT one AS gram FROM g UNION ALL SELECT two FROM g UNION ALL SELECT three FROM g)
+              WHERE gram IS NOT NULL GROUP BY gram),
+        s AS (SELECT g.doc_id, least(i, 3) AS k, ln(a.n / CASE WHEN i = 1 THEN (SELECT count(*) FROM p) ELSE b.n END) AS l
+              FROM g JOIN c a ON a.gram = coalesce(three, two, one) LEFT JOIN c b ON b.gram = coalesce(two_before, before))
+        SELECT d.doc_id, CAST(count(k) AS BIGINT) AS n_words, CAST(count(*) FILTER (WHERE k = 3) AS BIGINT) AS n_trigrams,
+               CAST(count(*) FILTER (WHERE k = 2) AS BIGINT) AS n_bigrams, CAST(count(*) FILTER (WHERE k = 1) AS BIGINT) AS n_unigrams,
+               round(coalesce(sum(l), 0), 5) AS log_score
+        FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""",
     "op6_sharding": """
         SELECT doc_id, source, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents""",
 }

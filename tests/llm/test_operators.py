@@ -209,6 +209,31 @@ def test_html():
     assert html_extraction.main_text(None, model) == ""
 
 
+def test_lm_scores_by_rows_back_off(spark, docs, empty):
+    model_texts = ["a b c d", "b c e", None, "x y"]
+    texts = ["a b c e q", "c d", "zz", "", None, "x y a b c d", "x y a b c d"]
+    count = collections.Counter(tuple(w[k : k + n]) for w in ((t or "").split() for t in model_texts) for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    total = 9
+
+    def score(gram):
+        if not count[gram]:
+            return 0.4 * (score(gram[1:]) if len(gram) > 1 else 1 / total)
+        return count[gram] / (count[gram[:-1]] if len(gram) > 1 else total)
+
+    frame = lambda x: spark.createDataFrame([(min(i, 5), t, "clash") for i, t in enumerate(x)], "doc_id long, text string, n_words string")
+    got = lm_scoring.scores_by_model(frame(texts), lm_scoring.model_table(frame(model_texts)), total).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        w = (texts[r.doc_id] or "").split()
+        want = sum(math.log(score(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w)))
+        assert r.n_words == len(w) and abs(r.log_score - want) < 1e-9, r
+    packed = {(r.doc_id, r.n_words, r.n_trigrams, r.n_bigrams, round(r.log_score, 6)) for r in lm_scoring.lm_scores(docs).collect()}
+    words = lm_scoring.corpus_size(docs, "text")[1]
+    rows = lm_scoring.scores_by_model(docs, lm_scoring.model_table(docs), words).collect()
+    assert {(r.doc_id, r.n_words, r.n_trigrams, r.n_bigrams, round(r.log_score, 6)) for r in rows} == packed
+    assert lm_scoring.scores_by_model(empty, lm_scoring.model_table(empty), 0).count() == 0
+
+
 # Pages written by hand, apart from the training pages, with the text that a reader would call the article.
 SENTENCE = "The council met on Monday and agreed to mend the bridge before winter, as the engineer had asked. "
 BY_HAND = [
