@@ -1,7 +1,12 @@
 """Quality rules, near-dedup, substring dedup, decontamination, then byte-level BPE.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as
-Parquet and read again as the next one's documents.
+Parquet and read again as the next one's documents.  The tables of a run stay
+in the shared folder under pipeline-<id> until the caller deletes them.
+
+All stages take any columns beside doc_id and text and give them back as they
+were, whatever their names; a null text counts as empty; texts are read whole,
+of any length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,37 +19,70 @@ from pyspark.sql import functions as F
 from maskline.llm import byte_bpe, decontamination, minhash_dedup, quality_rules, queries, store, substring_dedup
 
 
+def _shielded(docs: DataFrame) -> DataFrame:
+    """The documents with names for their other columns that no operator uses."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"_kept_{i}" for i, c in enumerate(docs.columns)])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null and empty texts fail the rules and go; a null id changes nothing;
+    repeated rows are each judged, alike.
+    """
     store.small_batches(spark)
     return quality_rules.kept_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of near-duplicates."""
+    """One document, that of the least id, of each class of near-duplicates.
+
+    An id names one text: rows with equal id and text are one document.  Rows
+    without words or without an id are classes of their own and stay; a text of
+    fewer than five words is like its equals only; the least id settles ties.
+    """
     store.small_batches(spark)
-    classes = minhash_dedup.near_duplicates(docs)
-    out = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id")
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    classes = store.stored(minhash_dedup.near_duplicates(docs))
+    out = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    twice = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    kept = docs.join(out, "doc_id", "left_anti")
+    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, "doc_id", "left_anti").unionByName(again).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds go; documents left without words go too."""
+    """Passages that an earlier document holds go; documents left without words go too.
+
+    ``n_chars``, where there is such a column, follows the text.  Texts without
+    words, or of fewer than fifty, stay as they are; a row with a null id comes
+    after all others; rows of one id keep what they share.
+    """
     store.small_batches(spark)
-    left = substring_dedup.substring_dedup(docs, join_all=False)
+    left = substring_dedup.substring_dedup(_shielded(docs), join_all=False)
     left = left.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    size = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", size).select(docs.columns)
+    changed, size = F.col("n_removed") > 0, F.char_length("text").cast("long")
+    columns = {c: F.col(c if c in ("doc_id", "text") else f"_kept_{i}") for i, c in enumerate(docs.columns)}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(changed, size).otherwise(columns["n_chars"])
+    return left.select([x.alias(c) for c, x in columns.items()])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    found = decontamination.with_leaks(docs, queries.table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("leaks") == 0).select(docs.columns)
+    """Documents without a benchmark item.
+
+    Null and empty texts hold no item and stay; so do rows with a null id that
+    hold none; null and empty items match nothing; repeated rows are each judged.
+    """
+    found = decontamination.with_leaks(_shielded(docs), queries.table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("leaks") == 0).drop("leaks").toDF(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each document's token ids and of what they decode to."""
+    """Digests of each document's token ids and of what they decode to.
+
+    Null and empty texts have no tokens; repeated rows and null ids are rows of
+    the result like others; no other column is carried.
+    """
     store.small_batches(spark)
     # Written, so that no task runs the Python workers of both encoding and decoding.
     ids = store.stored(byte_bpe.encode(docs, queries.RANKS, queries.PATTERN))

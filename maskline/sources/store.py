@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows, written once under spark.checkpoint.dir (or a folder of our own) and read again."""
+    """The rows, written once under spark.checkpoint.dir (in local mode, where it is unset, under a folder of our own) and read again."""
     context = df.sparkSession.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="maskline-"))
         folder = context.getCheckpointDir()
     path = f"{folder}/kept/{uuid.uuid4().hex}"
