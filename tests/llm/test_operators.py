@@ -76,6 +76,17 @@ def test_bpe_round_trip(docs, empty):
     assert {r.doc_id: r.decoded for r in byte_bpe.decode(odd, path).collect()} == {1: None, 2: None, 3: bytearray()}
 
 
+def test_merges_are_those_of_the_library():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    table = byte_bpe.ranks(path)
+    exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    draw = random.Random(6)
+    texts = ["", " ", "a" * 50_000, "ab" * 9_000, "don't  stop\n\n now", "\u0000\U0010ffff", "<|endoftext|>", "12345678 9"]
+    texts += ["".join(draw.choices("aeinrst \n'.,0189-\u00e9\u4e2d\u0645\U0001f600", k=draw.randint(1, 60))) for _ in range(3000)]
+    for text in texts:
+        assert byte_bpe.encoded(text, table, public_tokenizers.PATTERN) == exact.encode_ordinary(text), text[:50]
+
+
 def test_near_duplicates(docs, empty):
     got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(docs).collect()}
     assert got[4] == got[5] == got[6] == 4
