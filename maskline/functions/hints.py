@@ -1,98 +1,110 @@
 """Vendor hints, signatures and channels that names and samples are recognised by."""
 
-#: tokens|vendor|product|log family, and a g where one glued token may begin with the hint's token.
-HINTS = """
-citrix netscaler|Citrix|NetScaler ADC|network/appfw|
-netscaler|Citrix|NetScaler ADC|network|
-cloudflare gateway dns|Cloudflare|Cloudflare Gateway|dns|
-cloudflare gateway|Cloudflare|Cloudflare Gateway|web_gateway|
-cloudflare http|Cloudflare|Cloudflare|http|
-cloudflare|Cloudflare|Cloudflare|web|
-ironport wsa|Cisco|IronPort Web Security Appliance|web_proxy|
-cisco wsa|Cisco|Web Security Appliance|web_proxy|
-vcenter|VMware|vCenter Server|syslog|
-esxi|VMware|ESXi|syslog|
-bluecoat proxysg|Broadcom|Blue Coat ProxySG|web_proxy|
-bluecoat|Broadcom|Blue Coat|web_proxy|
-sharepoint|Microsoft|SharePoint|collaboration|
-azure eventhub|Microsoft|Azure Event Hub|cloud_ingest|
-aem|Adobe|Experience Manager|application|g
-aws waf|AWS|WAF|web_firewall|
-juniper junos|Juniper|Junos|network|
-fpc|Full Packet Capture|FPC metadata|http_metadata|
-splunk soar|Splunk|SOAR|application|
-corelight|Corelight|Corelight (Zeek)|network|
-zeek|Zeek|Zeek|network|g
-vmware esxlog|VMware|ESXi host log|syslog|
-ivanti|Ivanti|Ivanti appliance|application|
-ldap access log|LDAP server|Directory access log|directory|
-access log|Web Server|Access log|web|
-error log|Web Server|Error log|web|
-mod jk|Apache|mod_jk connector|web|
-modsec|Apache|ModSecurity|web_firewall|g
-tenable|Tenable|Tenable.sc / Tenable.ad|vulnerability|
-securid|RSA|SecurID|authentication|
-netwitness|RSA|NetWitness|network|
-mcafee|McAfee|ePO|endpoint|
-nginx|NGINX|NGINX|web|
-bigip|F5|BIG-IP|network|
-tanium|Tanium|Tanium|endpoint|
-jira|Atlassian|Jira|application|
-trellix|Trellix|Trellix|endpoint|g
-fidelis|Fidelis|Fidelis|network|
-delinea|Delinea|Delinea (Thycotic)|authentication|
-mandiant|Mandiant|Advantage ASM|threat_intel|
-forcepoint|Forcepoint|Forcepoint|email|
-symantec email|Broadcom|Symantec Email Security.cloud|email|
-fml|Fortinet|FortiMail|email|
-fortiproxy|Fortinet|FortiProxy|web_proxy|g
-clearswift|Fortra|Clearswift|email|
-postfix|Postfix|Postfix MTA|email|g
-brocade|Broadcom|Brocade|network|
-commvault|Commvault|Commvault|backup|
-ise|Cisco|Identity Services Engine|authentication|
-prime|Cisco|Prime|network|
-juniper|Juniper|Junos|network|
-trendmicro|Trend Micro|Trend Micro|endpoint|g
-akamai|Akamai|Akamai|web|
-arbor|NETSCOUT|Arbor|network|
-solarwinds|SolarWinds|SolarWinds|network|
-misp|MISP|MISP|threat_intel|g
-dmarc|DMARC|DMARC aggregate|email|g
-zabbix|Zabbix|Zabbix|monitoring|g
-elasticsearch|Elastic|Elasticsearch|application|g
-websphere|IBM|WebSphere|application|g
-mariadb|MariaDB|MariaDB|database|g
-mssql|Microsoft|SQL Server|database|g
-vsftpd|vsftpd|vsftpd|ftp|g
-idrac|Dell|iDRAC|hardware|g
-securetransport|Axway|SecureTransport|mft|g
-dataminer|Skyline|DataMiner|monitoring|g
-isva|IBM|Security Verify Access|authentication|g
-ixia|Keysight|Ixia|network|g
-hypori|Hypori|Hypori|application|g
-attackiq|AttackIQ|AttackIQ|security|
-domaintools|DomainTools|DomainTools|threat_intel|
-teamcymru|Team Cymru|Team Cymru|threat_intel|g
-apache|Apache|HTTP Server|web|g
-pan audit|Palo Alto Networks|PAN-OS|audit|
-aws config|AWS|Config|cloud_audit|
-stash|Atlassian|Bitbucket (Stash)|application|g
-http request|Web Server|HTTP request log|web|
-https request|Web Server|HTTPS request log|web|
-http error|Web Server|HTTP error log|web|
-https error|Web Server|HTTPS error log|web|
-ssl request|Web Server|SSL request log|web|
-ora|Oracle|Oracle|database|g
-ssm agent|AWS|Systems Manager Agent|cloud_management|
-foreman|Red Hat|Foreman/Katello|management|
-aemcdn|Adobe|Experience Manager CDN|web_firewall|
-stream dns|Splunk|Stream (wire data)|dns|
-sysmon deploy|Splunk|Sysmon deployment log|management|
-datadiode|Data Diode|Data diode|network|g
-netbackup|Veritas|NetBackup|backup|g
-event viewer|Microsoft|Windows Event Viewer|windows|
-"""
+from typing import NamedTuple
+
+class Hint(NamedTuple):
+    """Words that a source's name holds, and whose source it then is; ``glued``: a name of one word may begin with the first."""
+
+    words: list[str]
+    vendor: str
+    product: str
+    family: str
+    glued: bool = False
+
+
+# Vendors by the words of a name, in order of preference.
+HINTS = [
+    Hint(["citrix", "netscaler"], "Citrix", "NetScaler ADC", "network/appfw"),
+    Hint(["netscaler"], "Citrix", "NetScaler ADC", "network"),
+    Hint(["cloudflare", "gateway", "dns"], "Cloudflare", "Cloudflare Gateway", "dns"),
+    Hint(["cloudflare", "gateway"], "Cloudflare", "Cloudflare Gateway", "web_gateway"),
+    Hint(["cloudflare", "http"], "Cloudflare", "Cloudflare", "http"),
+    Hint(["cloudflare"], "Cloudflare", "Cloudflare", "web"),
+    Hint(["ironport", "wsa"], "Cisco", "IronPort Web Security Appliance", "web_proxy"),
+    Hint(["cisco", "wsa"], "Cisco", "Web Security Appliance", "web_proxy"),
+    Hint(["vcenter"], "VMware", "vCenter Server", "syslog"),
+    Hint(["esxi"], "VMware", "ESXi", "syslog"),
+    Hint(["bluecoat", "proxysg"], "Broadcom", "Blue Coat ProxySG", "web_proxy"),
+    Hint(["bluecoat"], "Broadcom", "Blue Coat", "web_proxy"),
+    Hint(["sharepoint"], "Microsoft", "SharePoint", "collaboration"),
+    Hint(["azure", "eventhub"], "Microsoft", "Azure Event Hub", "cloud_ingest"),
+    Hint(["aem"], "Adobe", "Experience Manager", "application", glued=True),
+    Hint(["aws", "waf"], "AWS", "WAF", "web_firewall"),
+    Hint(["juniper", "junos"], "Juniper", "Junos", "network"),
+    Hint(["fpc"], "Full Packet Capture", "FPC metadata", "http_metadata"),
+    Hint(["splunk", "soar"], "Splunk", "SOAR", "application"),
+    Hint(["corelight"], "Corelight", "Corelight (Zeek)", "network"),
+    Hint(["zeek"], "Zeek", "Zeek", "network", glued=True),
+    Hint(["vmware", "esxlog"], "VMware", "ESXi host log", "syslog"),
+    Hint(["ivanti"], "Ivanti", "Ivanti appliance", "application"),
+    Hint(["ldap", "access", "log"], "LDAP server", "Directory access log", "directory"),
+    Hint(["access", "log"], "Web Server", "Access log", "web"),
+    Hint(["error", "log"], "Web Server", "Error log", "web"),
+    Hint(["mod", "jk"], "Apache", "mod_jk connector", "web"),
+    Hint(["modsec"], "Apache", "ModSecurity", "web_firewall", glued=True),
+    Hint(["tenable"], "Tenable", "Tenable.sc / Tenable.ad", "vulnerability"),
+    Hint(["securid"], "RSA", "SecurID", "authentication"),
+    Hint(["netwitness"], "RSA", "NetWitness", "network"),
+    Hint(["mcafee"], "McAfee", "ePO", "endpoint"),
+    Hint(["nginx"], "NGINX", "NGINX", "web"),
+    Hint(["bigip"], "F5", "BIG-IP", "network"),
+    Hint(["tanium"], "Tanium", "Tanium", "endpoint"),
+    Hint(["jira"], "Atlassian", "Jira", "application"),
+    Hint(["trellix"], "Trellix", "Trellix", "endpoint", glued=True),
+    Hint(["fidelis"], "Fidelis", "Fidelis", "network"),
+    Hint(["delinea"], "Delinea", "Delinea (Thycotic)", "authentication"),
+    Hint(["mandiant"], "Mandiant", "Advantage ASM", "threat_intel"),
+    Hint(["forcepoint"], "Forcepoint", "Forcepoint", "email"),
+    Hint(["symantec", "email"], "Broadcom", "Symantec Email Security.cloud", "email"),
+    Hint(["fml"], "Fortinet", "FortiMail", "email"),
+    Hint(["fortiproxy"], "Fortinet", "FortiProxy", "web_proxy", glued=True),
+    Hint(["clearswift"], "Fortra", "Clearswift", "email"),
+    Hint(["postfix"], "Postfix", "Postfix MTA", "email", glued=True),
+    Hint(["brocade"], "Broadcom", "Brocade", "network"),
+    Hint(["commvault"], "Commvault", "Commvault", "backup"),
+    Hint(["ise"], "Cisco", "Identity Services Engine", "authentication"),
+    Hint(["prime"], "Cisco", "Prime", "network"),
+    Hint(["juniper"], "Juniper", "Junos", "network"),
+    Hint(["trendmicro"], "Trend Micro", "Trend Micro", "endpoint", glued=True),
+    Hint(["akamai"], "Akamai", "Akamai", "web"),
+    Hint(["arbor"], "NETSCOUT", "Arbor", "network"),
+    Hint(["solarwinds"], "SolarWinds", "SolarWinds", "network"),
+    Hint(["misp"], "MISP", "MISP", "threat_intel", glued=True),
+    Hint(["dmarc"], "DMARC", "DMARC aggregate", "email", glued=True),
+    Hint(["zabbix"], "Zabbix", "Zabbix", "monitoring", glued=True),
+    Hint(["elasticsearch"], "Elastic", "Elasticsearch", "application", glued=True),
+    Hint(["websphere"], "IBM", "WebSphere", "application", glued=True),
+    Hint(["mariadb"], "MariaDB", "MariaDB", "database", glued=True),
+    Hint(["mssql"], "Microsoft", "SQL Server", "database", glued=True),
+    Hint(["vsftpd"], "vsftpd", "vsftpd", "ftp", glued=True),
+    Hint(["idrac"], "Dell", "iDRAC", "hardware", glued=True),
+    Hint(["securetransport"], "Axway", "SecureTransport", "mft", glued=True),
+    Hint(["dataminer"], "Skyline", "DataMiner", "monitoring", glued=True),
+    Hint(["isva"], "IBM", "Security Verify Access", "authentication", glued=True),
+    Hint(["ixia"], "Keysight", "Ixia", "network", glued=True),
+    Hint(["hypori"], "Hypori", "Hypori", "application", glued=True),
+    Hint(["attackiq"], "AttackIQ", "AttackIQ", "security"),
+    Hint(["domaintools"], "DomainTools", "DomainTools", "threat_intel"),
+    Hint(["teamcymru"], "Team Cymru", "Team Cymru", "threat_intel", glued=True),
+    Hint(["apache"], "Apache", "HTTP Server", "web", glued=True),
+    Hint(["pan", "audit"], "Palo Alto Networks", "PAN-OS", "audit"),
+    Hint(["aws", "config"], "AWS", "Config", "cloud_audit"),
+    Hint(["stash"], "Atlassian", "Bitbucket (Stash)", "application", glued=True),
+    Hint(["http", "request"], "Web Server", "HTTP request log", "web"),
+    Hint(["https", "request"], "Web Server", "HTTPS request log", "web"),
+    Hint(["http", "error"], "Web Server", "HTTP error log", "web"),
+    Hint(["https", "error"], "Web Server", "HTTPS error log", "web"),
+    Hint(["ssl", "request"], "Web Server", "SSL request log", "web"),
+    Hint(["ora"], "Oracle", "Oracle", "database", glued=True),
+    Hint(["ssm", "agent"], "AWS", "Systems Manager Agent", "cloud_management"),
+    Hint(["foreman"], "Red Hat", "Foreman/Katello", "management"),
+    Hint(["aemcdn"], "Adobe", "Experience Manager CDN", "web_firewall"),
+    Hint(["stream", "dns"], "Splunk", "Stream (wire data)", "dns"),
+    Hint(["sysmon", "deploy"], "Splunk", "Sysmon deployment log", "management"),
+    Hint(["datadiode"], "Data Diode", "Data diode", "network", glued=True),
+    Hint(["netbackup"], "Veritas", "NetBackup", "backup", glued=True),
+    Hint(["event", "viewer"], "Microsoft", "Windows Event Viewer", "windows"),
+]
 #: What the rest of a glued token must contain, for short beginnings.
 GLUED_REST = {"ora": ["audit", "aud", "listener", "alert", "trace", "log", "apx", "apex", "ios", "db", "sql", "net", "tns"]}
 FORMAT_TOKENS = [

@@ -37,25 +37,24 @@ def is_never(value: Column) -> Column:
     return F.lower(value).isin(fixed.NEVER)
 
 
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+# The address blocks of each class, the first that fits.
+_IPV4_CLASSES = [
+    ("loopback", r"^127\."),
+    ("private", r"^10\.|^172\.(?:1[6-9]|2\d|3[01])\.|^192\.168\."),
+    ("link-local", r"^169\.254\."),
+    ("cgnat", r"^100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\."),
+    ("multicast", r"^(?:22[4-9]|23\d)\."),
+    ("reserved", r"^0\.|^2[45]\d\.|^192\.0\.2\.|^198\.51\.100\.|^203\.0\.113\.|^198\.1[89]\."),
+]
+
+
 def ipv4_class(ip: Column) -> Column:
     """The class of a dotted quad; null where it isn't an address."""
-    octet = [F.split(ip, r"\.")[k] for k in range(4)]
-    n = [x.try_cast("int") for x in octet]
-    valid = ip.rlike(r"^(\d{1,3}\.){3}\d{1,3}$") & ~ip.rlike(r"(^|\.)0\d")
-    for x in n:
-        valid = valid & (x <= 255)
-    a, b, c, _ = n
-    documentation = F.concat_ws(".", *octet[:3]).isin("192.0.2", "198.51.100", "203.0.113")
-    name = (
-        F.when(a == 127, "loopback")
-        .when((a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)), "private")
-        .when((a == 169) & (b == 254), "link-local")
-        .when((a == 100) & b.between(64, 127), "cgnat")
-        .when(a.between(224, 239), "multicast")
-        .when((a == 0) | (a >= 240) | documentation | ((a == 198) & b.between(18, 19)), "reserved")
-        .otherwise("public")
-    )
-    return F.when(valid, name)
+    name = F.lit("public")
+    for label, block in reversed(_IPV4_CLASSES):
+        name = F.when(ip.rlike(block), label).otherwise(name)
+    return F.when(ip.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), name)
 
 
 def ipv6_class(ip: Column) -> Column:

@@ -1,64 +1,90 @@
 """Replacing originals by aliases in lines.
 
-A line is cut into the hits of one boundary-guarded pattern and the text
-between them, each hit is looked up in the entries by a join on its hash
-partition, and the line is put together again.  Nothing is broadcast unless
-Spark finds the entries small; lines without hits are not shuffled.
+Candidate spans of each line (``spans``) are joined to the entries by equality,
+the hits of a line are brought together, the leftmost and longest of those that
+overlap win, and the line is put together again.  The entries are broadcast
+where Spark finds them small; lines are shuffled once, by their own key.
+
+A hit in a JSON key stays unless the whole key is a mailbox or an address.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskline.operators import detect
-
-#: Longest shapes first: at one place the first alternative that fits is the hit.
-TOKEN = "|".join(
-    [
-        detect.EMAIL,
-        detect.EMAIL_ENCODED,
-        r"(?<![\w.+\-])\d{4}(?:(?: \d{4}){3}|(?:-\d{4}){3}|[ \-]\d{6}[ \-]\d{5})(?![\w]|[.\-]\d)",
-        detect.PHONE,
-        detect.MAC,
-        r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])",
-        r"[\w.$+/\-]*\w\$?",
-    ]
-)
-
+from maskline.operators import spans
 
-def marked(lines: DataFrame) -> DataFrame:
-    """Candidate hits: (sample_id, line_no, pos, hit)."""
-    return lines.select("sample_id", "line_no", F.posexplode(F.regexp_extract_all("raw", F.lit(TOKEN), F.lit(0))).alias("pos", "hit"))
+#: Kinds whose values are the same in any case.
+ANY_CASE = ["host", "user", "email", "fqdn"]
+#: What stands for an alias where the proof looks for originals.
+BLANK = "\ue000"
 
 
 def replacements(lines: DataFrame, entries: DataFrame) -> DataFrame:
     """Hits that are enabled entries: exactly, or but for case for hosts, users and mailboxes."""
-    words = marked(lines)
-    live = entries.where("enabled").select("original", "alias", "kind")
-    exact = words.join(live.select(F.col("original").alias("hit"), "alias"), "hit")
-    loose = live.where(F.col("kind").isin("host", "user", "email", "fqdn")).groupBy(F.lower("original").alias("low")).agg(F.min("alias").alias("alias"))
-    rest = words.join(live.select(F.col("original").alias("hit")), "hit", "left_anti")
-    other = rest.join(loose, F.lower("hit") == F.col("low")).select("hit", "sample_id", "line_no", "pos", "alias")
-    return exact.select("hit", "sample_id", "line_no", "pos", "alias").unionByName(other)
+    values = spans.sought(entries.select("original", "alias", "kind", "enabled"), spans.RUN)
+    met = spans.matches(spans.spans(lines, values, spans.RUN), values)
+    exact = F.concat("lead", "hit", "tail") == F.col("original")
+    fits = (exact | F.col("kind").isin(ANY_CASE)) & (~F.col("key") | F.col("kind").isin(spans.KEY_KINDS))
+    return met.where(fits).select(
+        "sample_id", "line_no", "at", "n", "cut", "key", "alias", "original", "kind", exact.alias("exact"),
+        F.length("lead").alias("lead"), F.length("tail").alias("tail"),
+    )
+
+
+def _picked(hits: Column) -> Column:
+    """Of sorted hits, those that begin after the one taken before ends."""
+    none = F.filter(hits, lambda h: F.lit(False))
+    state = F.struct(F.lit(0).alias("end"), none.alias("taken"))
+    step = lambda s, h: F.when(
+        h["at"] >= s["end"], F.struct((h["at"] + h["n"]).alias("end"), F.concat(s["taken"], F.array(h)).alias("taken"))
+    ).otherwise(s)
+    return F.aggregate(hits, state, step, lambda s: s["taken"])
+
+
+def _rebuilt(name: str) -> Column:
+    """The line with the field of that name (of each pick) in place of the pick."""
+    pieces = F.flatten(F.transform("between", lambda b, i: F.array(b, F.get("runs", i))))
+    end = lambda k: F.coalesce(F.get("picks", k - 1)["at"] + F.get("picks", k - 1)["n"], F.lit(0))
+
+    def part(k: Column) -> Column:
+        before, here = F.get("picks", k - 1), F.get("picks", k)
+        first, last = end(k), F.coalesce(here["at"], F.size("runs"))
+        kept = F.coalesce(F.right(F.get("runs", first - 1), before["cut"]), F.lit(""))
+        text = F.concat(kept, F.array_join(F.slice("_pieces", first * 2 + 1, (last - first) * 2 + 1), ""))
+        low, high = F.coalesce(before["tail"], F.lit(0)), F.coalesce(here["lead"], F.lit(0))
+        text = F.substring(text, low + 1, F.length(text) - low - high)
+        quote = F.when(here["key"], '"').otherwise("")
+        return F.concat(text, quote, F.coalesce(here[name], F.lit("")), quote)
+
+    return pieces, F.array_join(F.transform(F.sequence(F.lit(0), F.size("picks")), part), "")
 
 
 def applied(lines: DataFrame, entries: DataFrame) -> DataFrame:
-    """The lines with ``after`` and the number of hits replaced."""
-    found = replacements(lines, entries).groupBy("sample_id", "line_no").agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", "alias"))).alias("new")
-    )
-    hits = F.regexp_extract_all("raw", F.lit(TOKEN), F.lit(0))
-    between = F.split("raw", TOKEN, -1)
-    rebuilt = F.concat(
-        F.element_at("between", 1),
-        F.array_join(
-            F.transform("hits", lambda h, i: F.concat(F.coalesce(F.element_at("new", i), h), F.coalesce(F.get("between", i + 1), F.lit("")))), ""
-        ),
-    )
-    rows = lines.join(found, ["sample_id", "line_no"], "left").withColumn("hits", hits).withColumn("between", between)
-    after = F.when(F.col("new").isNull(), F.col("raw")).otherwise(rebuilt)
-    return rows.select("sample_id", "line_no", "raw", after.alias("after"), F.coalesce(F.size("new"), F.lit(0)).alias("replaced"))
+    """The lines with ``after``, ``rest`` (after with each alias blanked) and the number of hits replaced."""
+    found = replacements(lines, entries)
+    hit = F.struct(
+        "at", (-F.col("n")).alias("longest"), (-(F.col("lead") + F.col("tail"))).alias("widest"), (~F.col("exact")).alias("loose"),
+        F.col("cut").alias("shortest"), "alias", "n", "cut", "key", "lead", "tail", F.lit(BLANK).alias("blank"),
+    )
+    hits = found.groupBy("sample_id", "line_no").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    hits = hits.select("sample_id", "line_no", _picked(F.col("hits")).alias("picks"))
+    runs, between = spans.cut(F.col("raw"), spans.RUN, keys=True)
+    rows = lines.join(hits, ["sample_id", "line_no"], "left")
+    some = F.col("picks").isNotNull()
+    rows = rows.withColumns({"runs": F.when(some, runs), "between": F.when(some, between)})
+    pieces, after = _rebuilt("alias")
+    rows = rows.withColumn("_pieces", pieces)
+    return rows.select(
+        "sample_id", "line_no", "raw", F.coalesce(after, "raw").alias("after"), F.coalesce(_rebuilt("blank")[1], "raw").alias("rest"),
+        F.greatest(F.coalesce(F.size("picks"), F.lit(0)), F.lit(0)).alias("replaced"),
+    )
+
+
+def counts(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """(original, kind, replaced): how often each entry stands in the lines; none for those that never do."""
+    return replacements(lines, entries).groupBy("original", "kind").agg(F.count("*").alias("replaced"))
 
 
 def preview(changed: DataFrame, most: int = 200) -> DataFrame:

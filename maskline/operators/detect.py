@@ -1,46 +1,60 @@
-"""Identifiers in lines: one row a hit (sample_id, line_no, value, kind, via, pass)."""
+"""Identifiers in lines: one row a hit (sample_id, line_no, value, kind, via, pass, version).
 
-from __future__ import annotations
+Every pattern pass is an array of hits of one line; ``everything`` joins the
+arrays and explodes them once, so the lines are read once and nothing is
+shuffled.  ``version`` marks a second row for an address that stands after a
+word for a version; ``plan.entries`` drops those that always do.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskline.functions import fixed, values
+from maskline.operators import spans
 
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 # A mailbox in a URL.
 EMAIL_ENCODED = r"[\w.+\-]+%40[\w\-]+(?:\.[\w\-]+)+"
 MAC = r"(?<![0-9A-Fa-f:\-])[0-9A-Fa-f]{2}(?:(?::[0-9A-Fa-f]{2}){5}|(?:-[0-9A-Fa-f]{2}){5})(?![0-9A-Fa-f:\-])"
-PHONE = r"\+\d[\d ().\-]{6,20}\d"
+# A number with separators, or, after a word for telephones within 40 characters, one without; no time zone after a clock.
+PHONE = (
+    r"(?=\+[1-9])(?<![\w+])(?<!\d\d:\d\d(?:[.,]\d{1,9})?\s?)(?:\+\d{1,4}[ .\-(](?:[\d().\-]| (?=[\d(])){4,18}\d"
+    r"|(?<=(?i:phone|tel|mobile|msisdn|cell|fax|sms|whatsapp|call|contact)[^\n]{0,36})\+\d{8,15}(?!\d))"
+)
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+IBAN_GROUPS = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?(?![A-Za-z0-9])"
+DOMAIN_USER_JSON = r"(?<![\\\w:])([A-Za-z][\w\-]{1,14})\\\\([A-Za-z][\w.\-$]{1,63})(?![\\\w])"
 DOMAIN_USER = r"(?<![\\\w:])([A-Za-z][\w\-]{1,14})\\([A-Za-z][\w.\-$]{1,63})(?![\\\w])"
 FQDN = r"(?i)(?<![\w.@\-])(?!(?<=%)40)(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+(?:com|net|org|local|internal|lan|corp|io|co|gov|edu|mil|de|nl|uk|fr|be|example|test|info|biz|app|dev|cloud|ai|me|eu|int|us|ca|au|nz|ch|at|se|no|dk|fi|es|it|pt|pl|cz|ie|lu|gr|hu|ro|sk|si|ee|lv|lt|bg|hr|jp|cn|kr|tw|hk|sg|my|th|vn|ph|br|mx|ar|cl|za|ru|tr|il|ae|sa)(?![\w\-]|\.\w)"
-LOGIN = [
-    r"(?:Accepted|Failed) \w+ for (?:invalid user )?([\w.\-]+) from",
-    r"session (?:opened|closed) for user ([\w.\-]+)",
-    r"Invalid user ([\w.\-]+) from",
-    r"sudo:\s+([\w.\-]+) :",
-    r"Account Name:\s+([\w.\-$]+)",
-]
 DN_PART = r"(?:CN|OU|DC|O)=([^,=\"]+)"
-# Provider-issued credential shapes, as published by their issuers.
-SECRET = [
-    r"ya29\.[A-Za-z0-9_\-]{20,}", r"\bAIza[0-9A-Za-z_\-]{35}\b", r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA|ANVA|APKA)[0-9A-Z]{16}\b",
-    r"\bgh[pousr]_[A-Za-z0-9]{30,}\b", r"\bxox[abprse]-[A-Za-z0-9\-]{10,}", r"\bsk_live_[0-9a-zA-Z]{16,}\b", r"\bnpm_[A-Za-z0-9]{36}\b",
-]
-SECRET_PAIR = r"(?i)\b(?:" + "|".join(fixed.SECRET_WORDS) + r")[\"']?\s*[:=]\s*[\"']?(?:(?:Basic|Bearer)\s+)?([A-Za-z0-9_\-./+]{8,120})"
-VERSION_BEFORE = r"(?i)\b(?:version|ver|v|release|build|rev|sdk|agent|schema)\b\W{0,3}$"
+SECRET_PAIR = (
+    r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted(fixed.SECRET_FIELDS, key=len, reverse=True)) + r")[\"']?\s*[:=]\s*[\"']?"
+    r"(?:(?:" + "|".join(fixed.AUTH_SCHEMES) + r")\s+)?([A-Za-z0-9_\-./+=~]{8,})"
+)
+VERSION = r"(?i)\b(?:version|ver|v|release|build|rev|sdk|agent|schema)\b\W{0,3}(?<![\w.])((?:\d{1,3}\.){3}\d{1,3})(?![\w]|\.\w)"
 
 
 def _all(pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all("raw", F.lit(pattern), F.lit(group))
 
 
-def _hits(lines: DataFrame, found: Column, kind: str, via: str, number: int) -> DataFrame:
-    rows = lines.select("sample_id", "line_no", F.explode(found).alias("value"))
-    return rows.select("*", F.lit(kind).alias("kind"), F.lit(via).alias("via"), F.lit(number).alias("pass"))
+def _if(test: Column, found: Column) -> Column:
+    """The array only where the cheap test holds."""
+    return F.when(test, found).otherwise(F.array().cast("array<string>"))
+
+
+def _hits(found: Column, kind: str, via: str, number: int, version: bool = False) -> Column:
+    return F.transform(
+        found,
+        lambda v: F.struct(v.alias("value"), F.lit(kind).alias("kind"), F.lit(via).alias("via"), F.lit(number).alias("pass"), F.lit(version).alias("version")),
+    )
+
+
+def _rows(lines: DataFrame, *arrays: Column) -> DataFrame:
+    found = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+    return lines.select("sample_id", "line_no", F.explode(found).alias("h")).select("sample_id", "line_no", "h.*")
 
 
 def words(pattern: str, strip: str = ".") -> Column:
@@ -48,90 +62,154 @@ def words(pattern: str, strip: str = ".") -> Column:
     return F.transform(_all(pattern), lambda w: F.rtrim(w, F.lit(strip)))
 
 
-def ipv4(lines: DataFrame) -> DataFrame:
-    quads = F.filter(words(r"[\w.]+"), lambda w: w.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"))
-    rows = _hits(lines.where(F.col("raw").rlike(r"\d\.\d{1,3}\.\d")), quads, "ipv4", "ipv4 pattern", 1)
-    return rows.where(values.ipv4_class(F.col("value")).isNotNull())
+def _quads() -> Column:
+    plain = F.filter(words(r"[\w.]+"), lambda w: w.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"))
+    return F.filter(_if(F.col("raw").rlike(r"\d\.\d{1,3}\.\d"), plain), lambda w: values.ipv4_class(w).isNotNull())
 
 
-def ipv4_identities(lines: DataFrame) -> DataFrame:
-    """IPv4 hits worth an alias: not loopback, multicast or reserved, and not always a version."""
-    rows = ipv4(lines).where(~values.ipv4_class(F.col("value")).isin("loopback", "multicast", "reserved"))
-    before = F.call_function("substring_index", F.col("raw"), F.col("value"), F.lit(1))
-    seen = rows.join(lines, ["sample_id", "line_no"]).withColumn("version", F.right(before, F.lit(24)).rlike(VERSION_BEFORE))
-    only = seen.groupBy("value").agg(F.bool_and("version").alias("v")).where("v")
-    return rows.join(only, "value", "left_anti").select(rows.columns)
+def _ipv4_identities() -> list[Column]:
+    """IPv4 hits worth an alias: not loopback, multicast or reserved; once more where a version is meant."""
+    worth = lambda w: values.ipv4_class(w).isin("private", "public", "cgnat", "link-local")
+    named = _if(F.col("raw").rlike(r"\d\.\d{1,3}\.\d"), _all(VERSION, 1))
+    return [_hits(F.filter(_quads(), worth), "ipv4", "ipv4 pattern", 1), _hits(F.filter(named, worth), "ipv4", "ipv4 pattern", 1, version=True)]
 
 
-def ipv6(lines: DataFrame) -> DataFrame:
-    found = F.filter(_all(r"(?<![\w:.])[0-9A-Fa-f:]{2,39}(?![\w:])"), lambda w: w.contains(":"))
-    rows = _hits(lines, found, "ipv6", "ipv6 pattern", 2)
-    return rows.where(values.ipv6_class(F.col("value")).isin("public", "private", "link-local"))
+def _ipv6() -> Column:
+    found = F.filter(_if(F.col("raw").rlike(":[0-9A-Fa-f]*:"), _all(r"(?<![\w:.])[0-9A-Fa-f:]{2,39}(?![\w:])")), lambda w: w.contains(":"))
+    return _hits(F.filter(found, lambda w: values.ipv6_class(w).isin("public", "private", "link-local")), "ipv6", "ipv6 pattern", 2)
 
 
-def email(lines: DataFrame) -> DataFrame:
-    return _hits(lines.where(F.col("raw").contains("@")), _all(EMAIL), "email", "email pattern", 3)
+def _emails() -> list[Column]:
+    return [
+        _hits(_if(F.col("raw").contains("@"), _all(EMAIL)), "email", "email pattern", 3),
+        _hits(_if(F.col("raw").contains("%40"), _all(EMAIL_ENCODED)), "email", "URL-encoded email pattern", 3),
+    ]
+
 
+def _cards() -> Column:
+    grouped = _all(r"(?<![\w.+\-])\d{4}(?:(?: \d{4}){3}|(?:-\d{4}){3}|[ \-]\d{6}[ \-]\d{5})(?![\w]|[.\-]\d)")
+    plain = F.filter(words(r"[\w.+\-]+", ".-+"), lambda w: w.rlike(r"^\d{14,16}$"))
+    found = _if(F.col("raw").rlike(r"\d{14}|\d{4}[ \-]\d{4}"), F.concat(plain, grouped))
+    return _hits(F.filter(found, lambda v: values.card_ok(F.regexp_replace(v, "[ -]", ""))), "pii", "card pattern", 5)
 
-def encoded_email(lines: DataFrame) -> DataFrame:
-    return _hits(lines.where(F.col("raw").contains("%40")), _all(EMAIL_ENCODED), "email", "URL-encoded email pattern", 3)
 
+def _ibans() -> Column:
+    """IBANs in one word, or in groups of four, of which trailing ones may belong to the next field."""
+    grouped = F.filter(_all(IBAN_GROUPS), lambda g: g.contains(" "))
+    shorter = lambda g: F.transform(
+        F.sequence(F.size(F.split(g, " ")), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(F.split(g, " "), 1, n), " ")
+    )
+    whole = F.transform(grouped, lambda g: F.element_at(F.concat(F.filter(shorter(g), lambda x: values.iban_ok(F.replace(x, F.lit(" ")))), F.array(F.lit(""))), 1))
+    found = _if(F.col("raw").rlike(r"[A-Z]{2}\d{2} ?[A-Z0-9]{4}"), F.concat(F.filter(_all(IBAN), values.iban_ok), F.filter(whole, lambda x: x != "")))
+    return _hits(found, "pii", "iban", 6)
 
-def mac(lines: DataFrame) -> DataFrame:
-    return _hits(lines, _all(MAC), "mac", "mac pattern", 4)
 
+def _phones() -> Column:
+    found = F.filter(_if(F.col("raw").contains("+"), _all(PHONE)), lambda v: F.length(F.regexp_replace(v, r"\D", "")).between(8, 15))
+    return _hits(found, "pii", "phone", 7)
 
-def card(lines: DataFrame) -> DataFrame:
-    grouped = F.transform(_all(r"(?<![\w.+\-])\d{4}(?:(?: \d{4}){3}|(?:-\d{4}){3}|[ \-]\d{6}[ \-]\d{5})(?![\w]|[.\-]\d)"), lambda w: w)
-    plain = F.filter(words(r"[\w.+\-]+", ".-+"), lambda w: w.rlike(r"^\d{14,16}$"))
-    rows = _hits(lines, F.concat(plain, grouped), "pii", "card pattern", 5)
-    return rows.where(values.card_ok(F.regexp_replace("value", "[ -]", "")))
 
+def _domain_users() -> list[Column]:
+    some = F.col("raw").contains("\\")
+    found = []
+    for pattern, fits in ((DOMAIN_USER, ~spans.is_json(F.col("raw"))), (DOMAIN_USER_JSON, spans.is_json(F.col("raw")))):
+        for group, kind in ((1, "host"), (2, "user")):
+            found.append(_hits(_if(some & fits, _all(pattern, group)), kind, "DOMAIN\\user pattern", 8))
+    return found
 
-def iban(lines: DataFrame) -> DataFrame:
-    rows = _hits(lines, _all(IBAN), "pii", "iban", 6)
-    return rows.where(values.iban_ok(F.col("value")))
 
+def _fqdns() -> Column:
+    return _hits(F.filter(_all(FQDN), lambda v: ~F.lower(v).rlike(fixed.RESERVED_DOMAIN)), "fqdn", "fqdn pattern", 9)
 
-def phone(lines: DataFrame) -> DataFrame:
-    rows = _hits(lines.where(F.col("raw").contains("+")), _all(PHONE), "pii", "phone", 7)
-    return rows.where(F.length(F.regexp_replace("value", r"\D", "")).between(8, 15))
 
+def _logins() -> Column:
+    found = F.flatten(F.array(*[_all(p, 1) for p in fixed.LOGIN_PHRASES]))
+    return _hits(_if(F.col("raw").rlike(r"\bfor\b|\buser\b|sudo|Account Name"), found), "user", "login phrase", 10)
 
-def domain_user(lines: DataFrame) -> DataFrame:
-    host = _hits(lines, _all(DOMAIN_USER, 1), "host", "DOMAIN\\user pattern", 8)
-    return host.unionByName(_hits(lines, _all(DOMAIN_USER, 2), "user", "DOMAIN\\user pattern", 8))
 
+def _distinguished_names() -> list[Column]:
+    """CN is a person or a machine; OU and O are an organisation's units, DC a part of its domain."""
+    out = []
+    for label, kind in (("CN", "user"), ("OU", "host"), ("DC", "host"), ("O", "host")):
+        parts = F.transform(_all(rf"(?<![\w=\\]){label}\\?=([^,=\"\\]+)", 1), F.trim)
+        out.append(_hits(_if(F.size(_all(DN_PART, 1)) >= 2, parts), kind, f"dn pattern ({label})", 11))
+    return out
 
-def fqdn(lines: DataFrame) -> DataFrame:
-    rows = _hits(lines, _all(FQDN), "fqdn", "fqdn pattern", 9)
-    return rows.where(~F.lower("value").rlike(fixed.RESERVED_DOMAIN))
+
+def _secrets() -> list[Column]:
+    shapes = F.flatten(F.array(*[_all(p) for p in fixed.CREDENTIALS]))
+    return [_hits(shapes, "secret", "secret rule", 12), _hits(_if(F.col("raw").rlike("[:=]"), _all(SECRET_PAIR, 1)), "secret", "secret field", 12)]
+
+
+def ipv4(lines: DataFrame) -> DataFrame:
+    """Every IPv4 address, of whatever class."""
+    return _rows(lines, _hits(_quads(), "ipv4", "ipv4 pattern", 1))
+
+
+def ipv4_identities(lines: DataFrame) -> DataFrame:
+    """IPv4 hits worth an alias: not loopback, multicast or reserved, and not always a version."""
+    rows = _rows(lines, *_ipv4_identities())
+    named = F.count_if("version")
+    always = rows.groupBy("value").agg(named.alias("v"), F.count("*").alias("n")).where("v > 0 and 2 * v >= n")
+    return rows.where("not version").join(always, "value", "left_anti").select(rows.columns)
+
+
+def email(lines: DataFrame) -> DataFrame:
+    return _rows(lines, _emails()[0])
+
+
+def card(lines: DataFrame) -> DataFrame:
+    return _rows(lines, _cards())
+
+
+def iban(lines: DataFrame) -> DataFrame:
+    return _rows(lines, _ibans())
+
+
+def phone(lines: DataFrame) -> DataFrame:
+    return _rows(lines, _phones())
 
 
 def logins(lines: DataFrame) -> DataFrame:
-    return _hits(lines, F.flatten(F.array(*[_all(p, 1) for p in LOGIN])), "user", "login phrase", 10)
+    return _rows(lines, _logins())
 
 
-def distinguished_names(lines: DataFrame) -> DataFrame:
-    parts = _all(DN_PART, 1)
-    return _hits(lines.where(F.size(parts) >= 2), F.transform(parts, F.trim), "host", "dn pattern", 11)
+def fqdn(lines: DataFrame) -> DataFrame:
+    return _rows(lines, _fqdns())
 
 
 def secrets(lines: DataFrame) -> DataFrame:
-    shapes = F.flatten(F.array(*[_all(p) for p in SECRET]))
-    return _hits(lines, shapes, "secret", "secret rule", 12).unionByName(_hits(lines, _all(SECRET_PAIR, 1), "secret", "secret field", 12))
+    return _rows(lines, *_secrets())
 
 
 def fields(pairs: DataFrame) -> DataFrame:
-    """Hits by the name of a parsed field (sample_id, line_no, field, value)."""
-    kind, value = values.field_kind(F.col("field")), values.field_value(F.col("value"))
-    is_ip = values.ipv4_class(value).isNotNull()
-    rows = pairs.select(
-        "sample_id", "line_no", value.alias("value"),
-        F.when((kind == "ipv4") & ~is_ip, "pii").otherwise(kind).alias("kind"),
-        F.concat(F.lit("field "), F.col("field")).alias("via"), F.lit(13).alias("pass"),
+    """Hits by the name of a parsed field (sample_id, line_no, field, value), credentials and personal facts too."""
+    canon, value = values.canon_field(F.col("field")), values.field_value(F.col("value"))
+    squashed = lambda names: [n.replace("_", "") for n in names]
+    scheme = F.regexp_replace(value, "(?i)^(?:" + "|".join(fixed.AUTH_SCHEMES) + r")\s+", "")
+    kind, is_ip = values.field_kind(F.col("field")), values.ipv4_class(value).isNotNull() | values.ipv6_class(value).isNotNull()
+    secret = canon.isin(squashed(fixed.SECRET_FIELDS))
+    kind = (
+        F.when(canon.isin(squashed(fixed.NEVER_FIELDS)), None).when(secret, "secret")
+        .when(kind == "ipv4", F.when(values.ipv6_class(value).isNotNull(), "ipv6").when(is_ip, "ipv4").otherwise("pii"))
+        .when(kind.isNotNull(), F.when(value.rlike(f"^{EMAIL}$"), "email").otherwise(kind)).when(canon.isin(squashed(fixed.PERSONAL_FIELDS)), "pii")
     )
-    return rows.where(F.col("kind").isNotNull() & F.length("value").between(1, fixed.VALUE_LIMIT) & ~F.col("value").rlike(r"^\d+$"))
+    hit = F.struct(
+        F.when(secret, scheme).otherwise(value).alias("value"), kind.alias("kind"), F.concat(F.lit("field "), F.col("field")).alias("via"),
+        F.lit(13).alias("pass"), F.lit(False).alias("version"),
+    )
+
+    def worth(h: Column) -> Column:
+        long_enough = F.length(h["value"]) >= F.when(h["kind"] == "secret", fixed.SECRET_LENGTH).otherwise(2)
+        digits = h["value"].rlike(r"^\d+$") & ~h["kind"].isin("pii", "secret")
+        return h["kind"].isNotNull() & long_enough & ~digits & ~values.is_never(h["value"]) & ~h["value"].rlike(r"^[\[{]")
+
+    def protocol(h: Column) -> Column:
+        own = F.when(h["kind"] == "ipv4", values.ipv4_class(h["value"])).when(h["kind"] == "ipv6", values.ipv6_class(h["value"]))
+        return F.coalesce(own.isin("loopback", "multicast", "reserved"), F.lit(False))
+
+    # Tested inside an array, so that each expression is there once.
+    return _rows(pairs, F.filter(F.filter(F.array(hit), worth), lambda h: ~protocol(h)))
 
 
 def vocabulary(pairs: DataFrame, never_fields: list[str]) -> DataFrame:
@@ -141,9 +219,11 @@ def vocabulary(pairs: DataFrame, never_fields: list[str]) -> DataFrame:
 
 
 def everything(lines: DataFrame) -> DataFrame:
-    """All pattern passes over the lines, without values that are never replaced."""
-    passes = [ipv4_identities, ipv6, email, encoded_email, mac, card, iban, phone, domain_user, fqdn, logins, distinguished_names, secrets]
-    rows = reduce(DataFrame.unionByName, [p(lines) for p in passes])
+    """All pattern passes over the lines, in one scan, without values that are never replaced."""
+    rows = _rows(
+        lines, *_ipv4_identities(), _ipv6(), *_emails(), _hits(_all(MAC), "mac", "mac pattern", 4), _cards(), _ibans(), _phones(),
+        *_domain_users(), _fqdns(), _logins(), *_distinguished_names(), *_secrets(),
+    )
     return rows.where(~values.is_never(F.col("value")) & (F.length("value") > 1))
 
 

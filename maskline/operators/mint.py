@@ -1,17 +1,34 @@
-"""Aliases: the same shape, one for each value, keyed by a salt.
-
-Aliases come from sha2(salt, value), so they need no order and no state; where
-two values draw the same alias, a window over that alias alone numbers them.
-Public addresses share three documentation networks of 253 hosts; further ones
-go to 198.18.0.0/15 and, past that, get a numbered suffix.
+"""Aliases: the same shape, one for each value, keyed by a salt, and kept.
+
+``extend`` gives aliases to values that a mapping table doesn't hold yet.  Each
+round draws an alias from a keyed hash of the value and the round; an alias
+that the mapping has, that equals some value, or that another value drew too
+(the least hash keeps it) is drawn again with more digits.  So a mapping that
+is kept and extended, as a stream does batch by batch, never changes an alias
+and never gives one twice; a round is one aggregate over the values left.
+
+Private addresses need no rounds: networks are permuted within their block and
+hosts rotated within their network, both keyed.  Public networks are drawn from
+the documentation networks, then from 198.18.0.0/15, then from 240.0.0.0/4, a
+million networks in all; past those an address gets an IPv6 documentation one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskline.functions import fixed
+from maskline.functions import fixed, values
+from maskline.sources.store import kept
+
+MAPPING = "kind string, key string, alias string"
+ROUNDS = 24
+#: Kinds whose values are one in any case.
+ANY_CASE = ["host", "user", "email", "fqdn", "ipv6", "mac"]
+#: Characters whose number an alias must keep, or the line would parse otherwise.
+WIRE = ["\n", "\t", "|", ",", "=", " "]
 
 
 def _hash(salt: str, value: Column, tag: str) -> Column:
@@ -42,8 +59,7 @@ def scrambled(salt: str, value: Column) -> Column:
             .otherwise(c)
         )
 
-    out = F.array_join(F.transform(F.split(value, "(?!^)"), one), "")
-    return F.when(out == value, F.concat(out, F.lit("x"))).otherwise(out)
+    return F.array_join(F.transform(F.split(value, "(?!^)"), one), "")
 
 
 def _cased(value: Column, alias: Column) -> Column:
@@ -55,17 +71,37 @@ def _at(v: Column) -> Column:
     return F.when(v.contains("%40") & ~v.contains("@"), "%40").otherwise("@")
 
 
-def _pieces(entries: DataFrame, salt: str) -> DataFrame:
-    """Columns that the shapes are made of, each computed once."""
-    v, kind = F.col("original"), F.col("kind")
-    rows = entries.withColumn("_who", F.when(kind == "email", F.call_function("substring_index", v, _at(v), F.lit(1))).otherwise(v))
+def shape(kind: Column, value: Column) -> Column:
+    """The kind that a value's alias is drawn as: a value picked by hand, or found by its field, as what it looks like."""
+    looks = (
+        F.when(value.rlike(r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"), "email").when(values.ipv4_class(value).isNotNull(), "ipv4")
+        .when(values.ipv6_class(value).isNotNull(), "ipv6").when(value.rlike(r"(?i)^(?!\d+\.)[a-z0-9\-]+(\.[a-z0-9\-]+)+$") & value.rlike("[A-Za-z]"), "fqdn").otherwise("pii")
+    )
+    fixed_class = (kind == "ipv4") & ~values.ipv4_class(value).isin("private", "public", "cgnat", "link-local")
+    return F.when(kind == "custom", F.when((looks == "ipv4") & values.ipv4_class(value).isin("loopback", "multicast", "reserved"), "pii").otherwise(looks)).when(fixed_class, "pii").otherwise(kind)
+
+
+def _key(kind: Column, value: Column) -> Column:
+    return F.when(kind.isin(ANY_CASE), F.lower(value)).otherwise(value)
+
+
+def _digits(hash_: Column, place: int, width: int) -> Column:
+    """So many decimal digits of a hash."""
+    number = F.conv(F.substring(hash_, 1 + place, 12), 16, 10).cast("long")
+    return F.call_function("lpad", (number % 10**width).cast("string"), F.lit(width), F.lit("0"))
+
+
+def _drawn(rows: DataFrame, salt: str, turn: int, width: int) -> DataFrame:
+    """Rows (kind, key) with the alias of this turn; from the second on it has ``width`` more digits."""
+    v, kind = F.col("key"), F.col("kind")
+    salted = f"{salt}\x00{turn}"
+    rows = rows.withColumn("_who", F.when(kind == "email", F.call_function("substring_index", v, _at(v), F.lit(1))).otherwise(v))
     rows = rows.withColumns(
         {
-            "_h": _hash(salt, F.lower(v), "value"),
-            "_p": _hash(salt, F.substring_index(v, ".", 3), "net"),
-            "_u": _hash(salt, F.lower("_who"), "user"),
+            "_h": _hash(salted, v, "value"),
+            "_u": _hash(salted, F.lower("_who"), "user"),
             "_label": F.substring_index(v, ".", 1),
-            "_domain": F.lower(F.when(v.contains("."), F.regexp_replace(v, r"^[^.]*\.", ""))),
+            "_domain": F.when(v.contains("."), F.regexp_replace(v, r"^[^.]*\.", "")),
         }
     )
     rows = rows.withColumns(
@@ -74,74 +110,141 @@ def _pieces(entries: DataFrame, salt: str) -> DataFrame:
             "_given": _pick(F.col("_u"), 0, fixed.GIVEN),
             "_name": _pick(F.col("_u"), 1, fixed.SURNAME),
             "_word": _pick(F.col("_h"), 3, fixed.HOST_WORD),
-            "_two": _number(F.col("_h"), 4, 90) + 10,
-            "_digits": F.length(F.regexp_extract("_label", r"(\d*)$", 1)),
+            "_n": F.least(F.length(F.regexp_extract("_label", r"(\d*)$", 1)), F.lit(12)),
             "_extra": F.size(F.split("_domain", r"\.")) - 2,
         }
     )
-    who, word = F.col("_who"), F.col("_word")
-    number = F.call_function("lpad", F.col("_two").cast("string"), F.col("_digits"), F.lit("0"))
+    h, u, who, word = F.col("_h"), F.col("_u"), F.col("_who"), F.col("_word")
+    more = _digits(u, 20, width) if turn else F.lit("")
     user = (
-        F.when(who.rlike(r"^\d+$"), (_number(F.col("_u"), 2, 9_000_000) + 1_000_000).cast("string"))
-        .when(who.rlike(r"(?i)^svc[-_]"), F.concat(F.lit("svc-"), word, F.col("_two").cast("string")))
-        .when(who.endswith("$"), F.concat(word, F.col("_two").cast("string"), F.lit("$")))
-        .when(who.rlike(r"\s"), F.concat_ws(" ", "_given", "_name"))
-        .when(who.rlike(r"(?i)^[a-z]+\.[a-z]+$"), F.concat_ws(".", "_given", "_name"))
-        .when(who.rlike(r"(?i)^[a-z]+_[a-z]+$"), F.concat_ws("_", "_given", "_name"))
-        .otherwise(F.concat(F.substring("_given", 1, 1), F.col("_name")))
+        F.when(who.rlike(r"^\d+$"), F.concat((_number(u, 2, 9) + 1).cast("string"), _digits(u, 30, 6), more))
+        .when(who.rlike(r"(?i)^svc[-_]"), F.concat(F.lit("svc-"), word, _digits(u, 30, 2), more))
+        .when(who.endswith("$"), F.concat(word, _digits(u, 30, 2), more, F.lit("$")))
+        .when(who.rlike(r"\s"), F.concat_ws(" ", "_given", F.concat("_name", more)))
+        .when(who.rlike(r"(?i)^[a-z]+\.[a-z]+$"), F.concat_ws(".", "_given", F.concat("_name", more)))
+        .when(who.rlike(r"(?i)^[a-z]+_[a-z]+$"), F.concat_ws("_", "_given", F.concat("_name", more)))
+        .otherwise(F.concat(F.substring("_given", 1, 1), "_name", more))
     )
     inner = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_extra"), F.lit(1))), lambda k: F.concat(F.lit("d"), F.substring(F.col("_d"), k * 3, F.lit(3))))
-    rows = rows.withColumns(
+    number = F.substring(_digits(h, 20, 12), F.lit(1), F.col("_n"))
+    host = F.concat(word, number, _digits(h, 40, width) if turn else F.lit(""))
+    safe = F.concat_ws(".", F.when(F.col("_extra") > 0, F.array_join(inner, ".")), _pick(F.col("_d"), 0, fixed.SAFE_DOMAIN))
+    quad = lambda k: F.substring(h, 1 + 4 * k, 4)
+    six = F.when(v.rlike("^f[cd]"), "fd00:").when(v.rlike("^fe[89ab]"), "fe80:").otherwise("2001:db8:")
+    if turn == 0:
+        net = _pick(h, 0, ["192.0.2", "198.51.100", "203.0.113"])
+    elif turn == 1:
+        net = F.concat_ws(".", F.lit("198"), (_number(h, 0, 2) + 18).cast("string"), _number(h, 1, 256).cast("string"))
+    elif turn < ROUNDS // 2:
+        net = F.concat_ws(".", (_number(h, 0, 16) + 240).cast("string"), _number(h, 1, 256).cast("string"), _number(h, 2, 256).cast("string"))
+    else:
+        net = F.concat(F.lit("2001:db8:"), quad(3), F.lit(":"), quad(4), F.lit("::"))
+    alias = (
+        F.when(kind == "net", net)
+        .when(kind == "ipv6", F.concat(six, quad(0), F.lit(":"), quad(1), F.lit("::"), quad(2)))
+        .when(kind == "mac", F.replace(F.concat_ws(":", F.lit("02"), *[F.substring(h, 1 + 2 * k, 2) for k in range(5)]), F.lit(":"), F.when(v.contains("-"), "-").otherwise(":")))
+        .when(kind == "email", F.concat(user, _at(v), _pick(h, 5, fixed.SAFE_DOMAIN)))
+        .when(kind.isin("host", "fqdn"), F.when(F.col("_domain").isNotNull(), F.concat_ws(".", host, safe)).otherwise(host))
+        .when(kind == "user", user)
+    )
+    count = lambda c: F.struct(*[F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in WIRE])
+    rows = rows.withColumn("_alias", alias)
+    same = count(F.col("_alias")) == count(v)
+    rows = rows.withColumn("alias", F.when(F.col("_alias").isNotNull() & (same | (kind == "net")), F.col("_alias")).otherwise(scrambled(salted, v)))
+    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+
+
+def _wanted(entries: DataFrame) -> DataFrame:
+    """(kind, key) of the aliases that entries need: of public addresses, that of their network."""
+    kind, v = shape(F.col("kind"), F.col("original")), F.col("original")
+    cls = values.ipv4_class(v)
+    key = F.when(kind != "ipv4", F.struct(kind.alias("kind"), _key(kind, v).alias("key")))
+    key = F.when((kind == "ipv4") & (cls == "public"), F.struct(F.lit("net").alias("kind"), F.substring_index(v, ".", 3).alias("key"))).otherwise(key)
+    return entries.select(key.alias("k")).where("k is not null").select("k.*").distinct()
+
+
+def extend(mapping: DataFrame | None, entries: DataFrame, salt: str, taken: DataFrame | None = None) -> DataFrame:
+    """New rows (kind, key, alias) for entries (original, kind) that the mapping lacks; taken(word) are words no alias may be."""
+    left = _wanted(entries)
+    used = F.broadcast(left.sparkSession.createDataFrame([], "kind string, low string"))
+    words = entries.select(F.lower("original").alias("low"))
+    if taken is not None:
+        words = words.unionByName(taken.select(F.lower("word").alias("low")))
+    if mapping is not None:
+        left = left.join(mapping, ["kind", "key"], "left_anti")
+        used = mapping.select("kind", F.lower("alias").alias("low"))
+    left = kept(left)
+    n, found = left.count(), []
+    for turn in range(ROUNDS):
+        if not n:
+            break
+        drawn = _drawn(left, salt, turn, min(12, len(str(n)) + turn)).withColumn("low", F.lower("alias"))
+        drawn = drawn.join(words, "low", "left_anti").join(used, ["kind", "low"], "left_anti")
+        for old in found:
+            drawn = drawn.join(old.select("kind", F.lower("alias").alias("low")), ["kind", "low"], "left_anti")
+        first = F.min_by(F.struct("key", "alias"), F.struct(_hash(salt, F.col("key"), "order"), "key"))
+        won = kept(drawn.groupBy("kind", "low").agg(first.alias("f")).select("kind", "f.key", "f.alias"))
+        found.append(won)
+        left = left.join(won, ["kind", "key"], "left_anti")
+        n = left.count()
+    if n:
+        raise RuntimeError(f"{n} values found no alias of their own in {ROUNDS} rounds")
+    out = left.sparkSession.createDataFrame([], MAPPING)
+    for rows in found:
+        out = out.unionByName(rows)
+    return out
+
+
+def _permuted(salt: str, name: str, number: Column, size: int) -> Column:
+    """A keyed permutation of 0..size-1, a power of two."""
+    h = int.from_bytes(hashlib.sha256(f"{salt}\x00{name}".encode()).digest()[:8], "big")
+    return (number * (2 * (h % size) + 1) + (h >> 32) % size) % size
+
+
+def _private(salt: str, v: Column) -> Column:
+    """The network of a private, shared or link-local address, permuted within its block."""
+    a, b, c = (F.split(v, r"\.")[k].try_cast("long") for k in range(3))
+    text = lambda x: x.cast("long").cast("string")
+
+    def two(name: str, first: str, low: int, size: int) -> Column:
+        p = _permuted(salt, name, (b - low) * 256 + c, size)
+        return F.concat_ws(".", F.lit(first), text(F.floor(p / 256) + low), text(p % 256))
+
+    one = lambda name, first: F.concat_ws(".", F.lit(first), text(_permuted(salt, name, c, 256)))
+    return (
+        F.when(a == 10, two("10", "10", 0, 65536)).when(a == 172, two("172", "172", 16, 4096)).when(a == 192, one("192", "192.168"))
+        .when(a == 100, two("100", "100", 64, 16384)).when(a == 169, one("169", "169.254"))
+    )
+
+
+def aliased(entries: DataFrame, mapping: DataFrame, salt: str) -> DataFrame:
+    """Entries with the ``alias`` that the mapping gives them."""
+    v = F.col("original")
+    kind = shape(F.col("kind"), v)
+    public = (kind == "ipv4") & (values.ipv4_class(v) == "public")
+    rows = entries.withColumns(
         {
-            "_user": user,
-            "_host": F.concat(word, F.when(F.col("_digits") > 0, number).otherwise("")),
-            "_safe": F.concat_ws(".", F.when(F.col("_extra") > 0, F.array_join(inner, ".")), _pick(F.col("_d"), 0, fixed.SAFE_DOMAIN)),
+            "_kind": F.when(public, "net").otherwise(kind),
+            "_key": F.when(public, F.substring_index(v, ".", 3)).otherwise(_key(kind, v)),
+            "_turn": _number(_hash(salt, F.substring_index(v, ".", 3), "host"), 0, 255) + 1,
         }
     )
-    return rows.withColumns({"_user": _cased(who, F.col("_user")), "_host": _cased(F.col("_label"), F.col("_host"))})
+    given = mapping.select(F.col("kind").alias("_kind"), F.col("key").alias("_key"), F.col("alias").alias("_given"))
+    rows = rows.join(given, ["_kind", "_key"], "left")
+    host = ((F.split(v, r"\.")[3].try_cast("long") + F.col("_turn")) % 256).cast("string")
+    spilled = F.concat("_given", F.lower(F.hex(host.cast("long"))))
+    label = F.substring_index(v, ".", 1)
+    cased = F.when(
+        F.col("_kind").isin("fqdn", "host") & F.col("_given").contains("."),
+        F.concat(_cased(label, F.substring_index("_given", ".", 1)), F.lit("."), F.regexp_replace("_given", r"^[^.]*\.", "")),
+    ).otherwise(F.when(F.col("_kind").isin(ANY_CASE), _cased(v, F.col("_given"))).otherwise(F.col("_given")))
+    alias = (
+        F.when(F.col("_kind") == "net", F.when(F.col("_given").contains(":"), spilled).otherwise(F.concat_ws(".", "_given", host)))
+        .when(F.col("_kind") == "ipv4", F.concat_ws(".", _private(salt, v), host)).otherwise(cased)
+    )
+    return rows.withColumn("alias", alias).drop("_kind", "_key", "_turn", "_given")
 
 
 def with_aliases(entries: DataFrame, salt: str, taken: DataFrame | None = None) -> DataFrame:
-    """Entries with ``alias``; taken(word): lower-case tokens of the sample no alias may equal."""
-    v, kind, cls = F.col("original"), F.col("kind"), F.col("ip_class")
-    h, p, a = F.col("_h"), F.col("_p"), F.substring_index("original", ".", 1)
-    net = (
-        F.when(cls == "public", _pick(p, 0, ["192.0.2", "198.51.100", "203.0.113"]))
-        .when((cls == "private") & (a == "10"), F.concat_ws(".", F.lit("10"), _number(p, 1, 256).cast("string"), _number(p, 2, 256).cast("string")))
-        .when((cls == "private") & (a == "172"), F.concat_ws(".", F.lit("172"), (_number(p, 1, 16) + 16).cast("string"), _number(p, 2, 256).cast("string")))
-        .when(cls == "private", F.concat_ws(".", F.lit("192.168"), _number(p, 2, 256).cast("string")))
-        .when(cls == "cgnat", F.concat_ws(".", F.lit("100"), (_number(h, 1, 64) + 64).cast("string"), _number(h, 2, 256).cast("string")))
-        .when(cls == "link-local", F.concat_ws(".", F.lit("169.254"), _number(h, 2, 256).cast("string")))
-    )
-    quad = lambda k: F.substring(h, 1 + 4 * k, 4)
-    six = F.when(F.lower(v).rlike("^f[cd]"), "fd00:").when(F.lower(v).rlike("^fe[89ab]"), "fe80:").otherwise("2001:db8:")
-    drawn = (
-        F.when(kind == "ipv4", net)
-        .when(kind == "ipv6", F.concat(six, quad(0), F.lit(":"), quad(1), F.lit("::"), quad(2)))
-        .when(kind == "mac", F.concat_ws(":", F.lit("02"), *[F.substring(h, 1 + 2 * k, 2) for k in range(5)]))
-        .when(kind == "email", F.concat(F.col("_user"), _at(v), _pick(h, 5, fixed.SAFE_DOMAIN)))
-        .when(kind.isin("host", "fqdn"), F.when(F.col("_domain").isNotNull(), F.concat_ws(".", "_host", "_safe")).otherwise(F.col("_host")))
-        .when(kind == "user", F.col("_user"))
-        .otherwise(scrambled(salt, v))
-    )
-    rows = _pieces(entries, salt).withColumn("drawn", drawn)
-    rows = rows.drop(*[c for c in rows.columns if c.startswith("_")])
-    same = Window.partitionBy("kind", F.lower("drawn")).orderBy(_hash(salt, F.col("original"), "order"))
-    n = F.row_number().over(same)
-    where = F.pmod(F.crc32("drawn"), F.lit(3))
-    spill = (n - 254) * 3 + where
-    numbered = F.when(
-        kind == "ipv4",
-        F.when(n <= 253, F.concat_ws(".", "drawn", n.cast("string")))
-        .when(spill < 131_000, F.concat_ws(".", F.lit("198"), *[x.cast("int").cast("string") for x in (18 + F.floor(spill / 65536), F.floor(spill / 256) % 256, spill % 256)]))
-        .otherwise(F.concat(F.lit("198.19.255.254-"), F.col("drawn"), F.lit("-"), n.cast("string"))),
-    ).when(n == 1, F.col("drawn")).when(
-        kind == "email", F.concat(F.call_function("substring_index", F.col("drawn"), _at(v), F.lit(1)), (n - 1).cast("string"), _at(v), F.call_function("substring_index", F.col("drawn"), _at(v), F.lit(-1)))
-    ).when(kind.isin("host", "fqdn") & F.col("drawn").contains("."), F.concat(F.substring_index("drawn", ".", 1), F.lit("-"), (n - 1).cast("string"), F.lit("."), F.regexp_replace("drawn", r"^[^.]*\.", ""))
-    ).when(kind == "secret", F.col("drawn")).otherwise(F.concat("drawn", F.lit("-"), (n - 1).cast("string")))
-    rows = rows.withColumn("alias", numbered).drop("drawn")
-    if taken is not None:
-        clash = taken.select(F.lower("word").alias("word")).distinct().withColumn("clash", F.lit(True))
-        rows = rows.join(clash, F.lower("alias") == F.col("word"), "left").drop("word")
-        rows = rows.withColumn("alias", F.when(F.col("clash"), F.concat("alias", F.lit("-x"))).otherwise(F.col("alias"))).drop("clash")
-    return rows
+    """Entries with ``alias``, without a mapping from before; taken(word): tokens of the sample no alias may equal."""
+    return aliased(entries, kept(extend(None, entries, salt, taken)), salt)

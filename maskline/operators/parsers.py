@@ -8,15 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskline.functions.values import field_value
+from maskline.operators import spans
 
 _PAIR = r'([\w.\-]+)=("(?:[^"\\]|\\.)*"|[^\s]*)'
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
+
+
+def _last_wins(entries: Column) -> Column:
+    """A map of entries (key, value) in which the last of equal keys wins."""
+    unlike = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda x: x["key"] == e["key"]))
+    return _let(entries, lambda es: F.map_from_entries(unlike(es)))
+
+
 def _map(keys: Column, values: Column) -> Column:
     """A map in which the last of equal keys wins."""
-    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda k: k == e["k"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value"))))
+    return _last_wins(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value"))))
 
 
 def kvp(raw: Column, pattern: str = _PAIR) -> Column:
@@ -27,12 +37,13 @@ def kvp(raw: Column, pattern: str = _PAIR) -> Column:
 
 
 def regex(raw: Column, pattern: str) -> Column:
-    """Named groups of the first match; empty where it doesn't match."""
+    """Named groups of the first match, the last of equal names; empty where it doesn't match."""
     names = [n for n in re.findall(r"\(\?<([A-Za-z]\w*)>", pattern)]
     numbered = re.sub(r"\(\?<[A-Za-z]\w*>", "(", pattern)
     if re.sub(r"\\.|\[[^\]]*\]", "", numbered).replace("(?", "").count("(") != len(names):
         raise ValueError("every capturing group needs a name")
-    pairs = [x for i, n in enumerate(names, 1) if not n.startswith("__") for x in (F.lit(n), F.regexp_extract(raw, numbered, i))]
+    last = {n: i for i, n in enumerate(names, 1) if not n.startswith("__")}
+    pairs = [x for n, i in last.items() for x in (F.lit(n), F.regexp_extract(raw, numbered, i))]
     return F.when(raw.rlike(numbered), F.create_map(*pairs)).otherwise(F.create_map().cast("map<string,string>"))
 
 
@@ -41,21 +52,35 @@ def json(raw: Column) -> Column:
     return F.map_filter(F.from_json(raw, "map<string,string>"), lambda k, v: v.isNotNull())
 
 
-def json_leaves(raw: Column, depth: int = 3) -> Column:
-    """Dotted paths to leaves, arrays kept as one leaf."""
-    out = json(raw)
-    for _ in range(depth):
-        entries = F.flatten(
-            F.transform(
-                F.map_entries(out),
-                lambda e: F.when(
-                    e["value"].startswith("{"),
-                    F.transform(F.map_entries(json(e["value"])), lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value"))),
-                ).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value")))),
-            )
-        )
-        out = F.map_from_entries(entries)
-    return out
+def json_leaves(raw: Column, depth: int = 6) -> Column:
+    """Dotted paths to leaves, arrays kept as one leaf; below so many levels an object is a leaf too.
+
+    Of equal paths, as of a dotted key and a nested one, the last wins.
+    """
+    text = lambda m: F.map_entries(json(m))
+
+    def below(e: Column) -> Column:
+        inner = F.transform(text(e["value"]), lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))
+        return F.when(e["value"].startswith("{"), F.coalesce(inner, F.array(e))).otherwise(F.array(e))
+
+    entries = text(raw)
+    for _ in range(depth - 1):
+        entries = F.flatten(F.transform(entries, below))
+    return _last_wins(entries)
+
+
+def fields(raw: Column) -> Column:
+    """The named fields of a line by its form: JSON, XML, an access log, else pairs and a syslog header."""
+    none = F.create_map().cast("map<string,string>")
+    some = lambda f: F.map_filter(f, lambda k, v: ~v.isin("", "-"))
+    access = F.map_filter(clf(raw), lambda k, v: k.isin("client", "user"))
+    named = F.transform_keys(access, lambda k, v: F.when(k == "client", "client_ip").otherwise(k))
+    host = F.filter(F.map_entries(syslog(raw)), lambda e: e["key"] == "host")
+    pairs = _last_wins(F.concat(host, F.map_entries(kvp(raw))))
+    return (
+        F.when(spans.is_json(raw), F.coalesce(json_leaves(raw), none)).when(raw.rlike(r"^\s*<[A-Za-z?]"), some(xml(raw)))
+        .when(raw.rlike(r'^\S+ \S+ \S+ \[[^\]]+\] "'), some(named)).otherwise(some(pairs))
+    )
 
 
 def delimited(raw: Column, columns: list[str], sep: str = ",") -> Column:
@@ -123,7 +148,7 @@ def with_header(lines: DataFrame, sep: str = ",", prefix: str = "") -> DataFrame
     head = heads.groupBy("sample_id").agg(F.min_by(F.split(bare, re.escape(sep)), "line_no").alias("columns"), F.min("line_no").alias("head_no"))
     cells = F.split("raw", re.escape(sep))
     body = lines.join(head, "sample_id").where((F.col("line_no") > F.col("head_no")) & (F.size(cells) == F.size("columns")))
-    return body.select("sample_id", "line_no", F.map_from_arrays("columns", cells).alias("fields"))
+    return body.select("sample_id", "line_no", _map(F.col("columns"), cells).alias("fields"))
 
 
 def long(parsed: DataFrame) -> DataFrame:

@@ -19,6 +19,12 @@ FIELD, PATTERN = "field:", "re:"
 _GROUP = re.compile(r"\(\?<(?![=!])([A-Za-z_$][\w$]*)>")
 
 
+_NAME = r"[A-Za-z_$][\w$]*"
+_PATTERN = re.compile(rf"\s*{PATTERN}(?P<source>.+)\|[\s+]*(?P<groups>{_NAME}(?:[\s]*\+[\s+]*{_NAME})*)[\s+]*", re.I | re.A)
+#: A pattern up to the end of the line that it begins, or an item of a comma list.
+_ITEM = re.compile(rf"^[ \t\r]*(?P<line>{PATTERN}.*)|[ \t\r]*(?:{FIELD}(?P<field>[^,\n]*)|(?P<pattern>{PATTERN}[^,\n]*)|(?P<literal>[^,\n]+))", re.I | re.M)
+
+
 class Extras(NamedTuple):
     literals: list[str]
     fields: list[str]
@@ -31,27 +37,15 @@ def pattern_extra(source: str, groups: list[str]) -> str:
 
 def parse_pattern(token: str) -> tuple[str, list[str]] | None:
     """(source, groups) of ``re:<source>|g1+g2``; None if it isn't one."""
-    token = token.strip()
-    source, bar, names = token[len(PATTERN) :].rpartition("|")
-    groups = [x.strip() for x in names.split("+") if x.strip()]
-    good = token.lower().startswith(PATTERN) and bar and source and groups
-    return (source, groups) if good and all(re.fullmatch(r"[A-Za-z_$][\w$]*", g, re.ASCII) for g in groups) else None
+    found = _PATTERN.fullmatch(token)
+    return (found["source"], re.findall(_NAME, found["groups"], re.ASCII)) if found else None
 
 
 def split_extras(text: str) -> Extras:
     """Comma lists of literals and ``field:`` names; a pattern has a line of its own. Malformed patterns are dropped."""
-    out = Extras([], [], [])
-    for line in map(str.strip, text.split("\n")):
-        tokens = [line] if line.lower().startswith(PATTERN) else line.split(",")
-        for token in filter(None, map(str.strip, tokens)):
-            low = token.lower()
-            if low.startswith(FIELD):
-                out.fields.extend(filter(None, [token[len(FIELD) :].strip()]))
-            elif not low.startswith(PATTERN):
-                out.literals.append(token)
-            elif found := parse_pattern(token):
-                out.patterns.append(found)
-    return out
+    items = [("pattern" if m["line"] else m.lastgroup, m[m.lastgroup].strip()) for m in _ITEM.finditer(text)]
+    of = lambda kind: [x for k, x in items if k == kind and x]
+    return Extras(of("literal"), of("field"), [x for x in map(parse_pattern, of("pattern")) if x])
 
 
 def named_groups(source: str) -> list[str]:

@@ -9,16 +9,33 @@ from maskline.functions import values
 
 
 def entries(hits: DataFrame) -> DataFrame:
-    """(original, kind, via, count, ip_class, enabled): the earliest pass names the kind."""
+    """(original, kind, via, count, ip_class, enabled): the earliest pass names the kind.
+
+    An address that stands for a version wherever it stands is no entry.
+    """
     first = F.min_by(F.struct("kind", "via"), F.struct("pass", "kind", "via"))
-    rows = hits.groupBy(F.col("value").alias("original")).agg(first.alias("f"), F.count("*").alias("count"))
-    return rows.select(
+    named = F.count_if("version") if "version" in hits.columns else F.count_if(F.lit(False))
+    rows = hits.groupBy(F.col("value").alias("original")).agg(first.alias("f"), (F.count("*") - named).alias("count"), named.alias("versions"))
+    return rows.where((F.col("versions") == 0) | (F.col("count") > F.col("versions"))).select(
         "original", "f.kind", "f.via", "count",
         F.when(F.col("f.kind") == "ipv4", values.ipv4_class(F.col("original"))).alias("ip_class"),
         F.lit(True).alias("enabled"),
     )
 
 
+def with_literals(found: DataFrame, lines: DataFrame, literals: list[str]) -> DataFrame:
+    """Entries and the values picked by hand, counted in one pass; a pick overrides the kind."""
+    if not literals:
+        return found
+    n = F.array(*[F.struct(F.lit(x).alias("original"), (F.size(F.split("raw", "\\Q" + x.replace("\\E", "\\E\\\\E\\Q") + "\\E")) - 1).alias("n")) for x in literals])
+    rows = lines.select(F.inline(F.filter(n, lambda x: x["n"] > 0))).groupBy("original").agg(F.sum("n").cast("long").alias("count"))
+    picks = rows.select(
+        "original", F.lit("custom").alias("kind"), F.lit("picked").alias("via"), "count",
+        F.lit(None).cast("string").alias("ip_class"), F.lit(True).alias("enabled"),
+    )
+    return found.join(picks.select("original"), "original", "left_anti").unionByName(picks)
+
+
 def with_literals(found: DataFrame, lines: DataFrame, literals: list[str]) -> DataFrame:
     """Entries and the values picked by hand; a pick overrides the kind."""
     for literal in literals:

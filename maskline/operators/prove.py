@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskline.functions import fixed, values
-from maskline.operators import apply
+from maskline.operators import spans
 
 STRUCTURAL = ["\t", "|", ",", "="]
 
@@ -28,13 +28,20 @@ def structure(changed: DataFrame) -> DataFrame:
 
 
 def residual(changed: DataFrame, entries: DataFrame) -> DataFrame:
-    """Originals still in the lines, one row a value and line; no alias counts."""
-    left = apply.marked(changed.select("sample_id", "line_no", F.col("after").alias("raw")))
-    live = entries.where("enabled").select("kind", F.lower("original").alias("low")).distinct()
-    found = left.select("sample_id", "line_no", F.lower("hit").alias("low")).distinct().join(live, "low")
-    return found.join(entries.select(F.lower("alias").alias("low")), "low", "left_anti").select(
-        "sample_id", "line_no", "kind", F.col("low").alias("value")
-    )
+    """Originals still in the lines, one row a value and line; no alias counts.
+
+    The search doesn't share the replacer's cut: originals are found in any case
+    wherever no letter, digit or underscore adjoins them, inside longer words
+    too, in what the replacer left (``rest``, or ``after`` where lines come from
+    elsewhere).  JSON keys are exempt.
+    """
+    left = F.col("rest" if "rest" in changed.columns else "after")
+    bare = F.when(spans.is_json(left), F.regexp_replace(left, spans.JSON_KEY, "")).otherwise(left)
+    values = spans.sought(entries.select("original", "kind", "enabled"), spans.WORD)
+    lines = changed.select("sample_id", "line_no", bare.alias("raw"))
+    found = spans.matches(spans.spans(lines, values, spans.WORD, keys=False), values)
+    found = found.select("sample_id", "line_no", "kind", F.lower("original").alias("value")).distinct()
+    return found.join(entries.select(F.lower("alias").alias("value")), "value", "left_anti").select("sample_id", "line_no", "kind", "value")
 
 
 def coverage(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -22,8 +22,7 @@ def name_tokens(name: Column) -> Column:
 
 
 def _hints(like: DataFrame) -> DataFrame:
-    rows = [(i, x.split("|")) for i, x in enumerate(hints.HINTS.split("\n")) if x]
-    rows = [(i, p[0].split(" "), *p[1:4], p[4] == "g") for i, p in rows]
+    rows = [(i, *hint) for i, hint in enumerate(hints.HINTS)]
     return like.sparkSession.createDataFrame(rows, "rank int, hint array<string>, vendor string, product string, family string, glued boolean")
 
 

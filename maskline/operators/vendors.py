@@ -15,43 +15,51 @@ from pyspark.sql import functions as F
 from maskline.operators import parsers
 
 # The column order of each layout, and the canonical names.
-_PAN_HEAD = (
-    "future_use1 receive_time serial_number type threat_content_type future_use2 generated_time src_ip dest_ip nat_src_ip nat_dest_ip "
-    "rule_name src_user dest_user application virtual_system src_zone dest_zone inbound_if outbound_if log_action future_use3 session_id "
-    "repeat_count src_port dest_port nat_src_port nat_dest_port flags protocol action "
-)
-PALO_ALTO_TRAFFIC = (
-    _PAN_HEAD + "bytes bytes_out bytes_in packets start_time duration category future_use4 sequence_number action_flags src_location "
-    "dest_location future_use5 packets_out packets_in session_end_reason"
-).split()
-PALO_ALTO_THREAT = (
-    _PAN_HEAD + "url_filename threat_id category severity direction sequence_number action_flags src_location dest_location future_use4 "
-    "content_type pcap_id filedigest cloud url_idx user_agent file_type xff referer sender subject recipient"
-).split()
-PALO_ALTO_SYSTEM = (
-    "future_use1 receive_time serial_number type subtype future_use2 generated_time virtual_system event_id object future_use3 future_use4 "
-    "module severity description sequence_number action_flags dg_hier_level_1 dg_hier_level_2 dg_hier_level_3 dg_hier_level_4 "
-    "virtual_system_name device_name"
-).split()
-VPC_DEFAULT = "version account_id interface_id src_ip dest_ip src_port dest_port ip_protocol packets bytes start end action log_status".split()
-VPC_V5 = (
-    "vpc_id subnet_id instance_id tcp_flags traffic_type pkt_src_ip pkt_dest_ip region az_id sublocation_type sublocation_id "
-    "pkt_src_aws_service pkt_dst_aws_service direction traffic_path"
-).split()
-VPC_ECS = (
-    "ecs_cluster_arn ecs_cluster_name ecs_container_instance_arn ecs_container_instance_id ecs_container_id ecs_second_container_id "
-    "ecs_service_name ecs_task_definition_arn ecs_task_arn ecs_task_id"
-).split()
-VPC_TRANSIT = (
-    "version resource_type account_id tgw_id tgw_attachment_id tgw_src_vpc_account_id tgw_dst_vpc_account_id tgw_src_vpc_id tgw_dst_vpc_id "
-    "tgw_src_subnet_id tgw_dst_subnet_id tgw_src_eni tgw_dst_eni tgw_src_az_id tgw_dst_az_id tgw_pair_attachment_id src_ip dest_ip src_port "
-    "dest_port ip_protocol packets bytes start end log_status traffic_type packets_lost_no_route packets_lost_blackhole "
-    "packets_lost_mtu_exceeded packets_lost_ttl_expired tcp_flags region direction pkt_src_aws_service pkt_dst_aws_service"
-).split()
-VPC_CUSTOM = (
-    "version vpc_id subnet_id instance_id interface_id account_id traffic_type src_ip dest_ip src_port dest_port pkt_src_ip pkt_dest_ip "
-    "ip_protocol bytes packets start end action tcp_flags log_status"
-).split()
+_PAN_HEAD = [
+    "future_use1", "receive_time", "serial_number", "type", "threat_content_type", "future_use2", "generated_time", "src_ip", "dest_ip",
+    "nat_src_ip", "nat_dest_ip", "rule_name", "src_user", "dest_user", "application", "virtual_system", "src_zone", "dest_zone",
+    "inbound_if", "outbound_if", "log_action", "future_use3", "session_id", "repeat_count", "src_port", "dest_port", "nat_src_port",
+    "nat_dest_port", "flags", "protocol", "action",
+]
+PALO_ALTO_TRAFFIC = [
+    *_PAN_HEAD,
+    "bytes", "bytes_out", "bytes_in", "packets", "start_time", "duration", "category", "future_use4", "sequence_number", "action_flags",
+    "src_location", "dest_location", "future_use5", "packets_out", "packets_in", "session_end_reason",
+]
+PALO_ALTO_THREAT = [
+    *_PAN_HEAD,
+    "url_filename", "threat_id", "category", "severity", "direction", "sequence_number", "action_flags", "src_location", "dest_location",
+    "future_use4", "content_type", "pcap_id", "filedigest", "cloud", "url_idx", "user_agent", "file_type", "xff", "referer", "sender",
+    "subject", "recipient",
+]
+PALO_ALTO_SYSTEM = [
+    "future_use1", "receive_time", "serial_number", "type", "subtype", "future_use2", "generated_time", "virtual_system", "event_id",
+    "object", "future_use3", "future_use4", "module", "severity", "description", "sequence_number", "action_flags", "dg_hier_level_1",
+    "dg_hier_level_2", "dg_hier_level_3", "dg_hier_level_4", "virtual_system_name", "device_name",
+]
+VPC_DEFAULT = [
+    "version", "account_id", "interface_id", "src_ip", "dest_ip", "src_port", "dest_port", "ip_protocol", "packets", "bytes", "start",
+    "end", "action", "log_status",
+]
+VPC_V5 = [
+    "vpc_id", "subnet_id", "instance_id", "tcp_flags", "traffic_type", "pkt_src_ip", "pkt_dest_ip", "region", "az_id", "sublocation_type",
+    "sublocation_id", "pkt_src_aws_service", "pkt_dst_aws_service", "direction", "traffic_path",
+]
+VPC_ECS = [
+    "ecs_cluster_arn", "ecs_cluster_name", "ecs_container_instance_arn", "ecs_container_instance_id", "ecs_container_id",
+    "ecs_second_container_id", "ecs_service_name", "ecs_task_definition_arn", "ecs_task_arn", "ecs_task_id",
+]
+VPC_TRANSIT = [
+    "version", "resource_type", "account_id", "tgw_id", "tgw_attachment_id", "tgw_src_vpc_account_id", "tgw_dst_vpc_account_id",
+    "tgw_src_vpc_id", "tgw_dst_vpc_id", "tgw_src_subnet_id", "tgw_dst_subnet_id", "tgw_src_eni", "tgw_dst_eni", "tgw_src_az_id",
+    "tgw_dst_az_id", "tgw_pair_attachment_id", "src_ip", "dest_ip", "src_port", "dest_port", "ip_protocol", "packets", "bytes", "start",
+    "end", "log_status", "traffic_type", "packets_lost_no_route", "packets_lost_blackhole", "packets_lost_mtu_exceeded",
+    "packets_lost_ttl_expired", "tcp_flags", "region", "direction", "pkt_src_aws_service", "pkt_dst_aws_service",
+]
+VPC_CUSTOM = [
+    "version", "vpc_id", "subnet_id", "instance_id", "interface_id", "account_id", "traffic_type", "src_ip", "dest_ip", "src_port",
+    "dest_port", "pkt_src_ip", "pkt_dest_ip", "ip_protocol", "bytes", "packets", "start", "end", "action", "tcp_flags", "log_status",
+]
 #: Sources of JSON lines: canonical name -> the paths it is taken from.
 JSON_NAMES = {
     "aws_cloudtrail": {

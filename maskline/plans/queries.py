@@ -52,10 +52,15 @@ def event_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.as_lines(rows, "events", "event_id", render.kvp(["event_id", "src_ip", "username", "hostname", "mail", "action"]))
 
 
-def planned(lines: DataFrame) -> DataFrame:
-    pairs = parsers.long(lines.select("sample_id", "line_no", parsers.kvp(F.col("raw")).alias("fields")))
+def found(lines: DataFrame) -> DataFrame:
+    """Entries for the lines: what patterns find in them and what their fields say."""
+    pairs = parsers.long(lines.select("sample_id", "line_no", parsers.fields(F.col("raw")).alias("fields")))
     hits = detect.everything(lines).unionByName(detect.fields(pairs))
-    return kept(mint.with_aliases(plan.collapse_composites(kept(plan.entries(hits))), SALT))
+    return kept(plan.collapse_composites(kept(plan.entries(hits))))
+
+
+def planned(lines: DataFrame) -> DataFrame:
+    return kept(mint.with_aliases(found(lines), SALT))
 
 
 LINES = """lines AS (SELECT CAST(doc_id AS VARCHAR) AS sample_id, CAST(i AS BIGINT) AS line_no, parts[i] AS raw

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.operators import apply, detect, mint, plan
+from maskline.sources.store import kept
 
 
 def source(spark: SparkSession, path: str, files_a_trigger: int = 25) -> DataFrame:
@@ -19,13 +20,43 @@ def distinct_lines(stream: DataFrame, delay: str | None = None, time: str = "ts"
     return stream.dropDuplicates(["raw"])
 
 
-def deidentified(stream: DataFrame, out: str, checkpoint: str, salt: str, seconds: int | None = 4):
-    """Write each batch with its identifiers replaced; the salt keeps aliases stable between batches."""
+class Mapping:
+    """The aliases of a stream: a table in a folder, to which each batch adds those of its new values once."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _there(self, name: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def read(self) -> DataFrame:
+        """All rows (kind, key, alias) so far."""
+        if not self._there(""):
+            return self.spark.createDataFrame([], mint.MAPPING)
+        return self.spark.read.schema(mint.MAPPING).option("recursiveFileLookup", True).parquet(self.folder)
+
+    def aliased(self, entries: DataFrame, salt: str, batch: int) -> DataFrame:
+        """The entries with their aliases; a batch that is run again adds nothing again."""
+        place = f"batch={batch}"
+        if not self._there(f"{place}/_SUCCESS"):
+            mint.extend(self.read(), entries, salt).write.mode("overwrite").parquet(f"{self.folder}/{place}")
+        return mint.aliased(entries, self.read(), salt)
+
+
+def deidentified(stream: DataFrame, out: str, checkpoint: str, salt: str, seconds: int | None = 4, mapping: str | None = None):
+    """Write each batch with its identifiers replaced.
+
+    Aliases come from the mapping table (beside the output unless named), so a
+    value has one alias in all batches, and an alias stands for one value.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        lines = rows.select(F.lit(str(number)).alias("sample_id"), F.xxhash64("raw").alias("line_no"), "raw")
-        found = mint.with_aliases(plan.entries(detect.everything(lines)), salt)
-        apply.applied(lines, found).select("after").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        aliases = Mapping(rows.sparkSession, mapping or f"{out.rstrip('/')}-mapping")
+        lines = kept(rows.select(F.lit(str(number)).alias("sample_id"), F.xxhash64("raw").alias("line_no"), "raw"))
+        found = kept(plan.entries(detect.everything(lines)))
+        changed = apply.applied(lines, kept(aliases.aliased(found, salt, number)))
+        changed.select("after").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
