@@ -237,6 +237,41 @@ def apply_residual_zero(spark, d):
     return changed.agg(F.count("*").alias("lines"), F.count_if(F.col("replaced") > 0).alias("changed")).join(left).join(broken)
 
 
+@query("""SELECT kind, count(*) AS lines_before, CAST(0 AS BIGINT) AS lines_after
+    FROM events, (VALUES ('ipv4'), ('user'), ('pii')) t(kind) GROUP BY kind""")
+def residual_detects(spark, d):
+    """Lines with a value of each kind inside a range, a path and quotes: the proof sees all before, none after."""
+    u = F.col("user_id")
+    address = F.concat_ws(".", F.lit("10"), F.lit("7"), F.floor(u / 200) % 200, u % 200 + 1)
+    names = {"ipv4": address, "user": F.concat(F.lit("person"), u), "pii": F.concat(F.lit("Given"), u % 90, F.lit(" Family"))}
+    rows = table(spark, d, "events").select("event_id", *[x.alias(k) for k, x in names.items()])
+    entries = rows.select(F.explode(F.array(*[F.struct(F.col(k).alias("original"), F.lit(k).alias("kind")) for k in names])).alias("e")).select("e.*").distinct()
+    entries = kept(mint.with_aliases(entries.withColumn("enabled", F.lit(True)), SALT))
+    raw = F.concat(F.lit("from "), "ipv4", F.lit("-"), "ipv4", F.lit("/24 open /home/"), "user", F.lit('/x by "'), "pii", F.lit('"'))
+    lines = kept(rows.select(F.lit("events").alias("sample_id"), F.col("event_id").alias("line_no"), raw.alias("raw")))
+    counts = lambda changed, name: prove.residual(changed, entries).groupBy("kind").agg(F.count("*").alias(name))
+    before = counts(lines.withColumn("after", F.col("raw")), "lines_before")
+    after = counts(kept(apply.applied(lines, entries)), "lines_after")
+    return before.join(after, "kind", "left").select("kind", "lines_before", F.coalesce("lines_after", F.lit(0)).cast("long").alias("lines_after"))
+
+
+@query("""SELECT kind, count(DISTINCT v) AS n_values, count(DISTINCT v) AS n_aliases, true AS first_stay FROM (
+    SELECT 'user' AS kind, user_id AS v FROM events UNION ALL SELECT 'ipv4', user_id FROM events) GROUP BY kind""")
+def aliases_in_two_batches(spark, d):
+    """Aliases of half the values, then of all with the mapping extended: one each, and the first ones stay."""
+    u = F.col("user_id")
+    address = F.concat_ws(".", u % 90 + 20, F.floor(u / 90) % 250, F.floor(u / 22500) % 250, F.lit("7"))
+    both = F.array(F.struct(F.concat(F.lit("person"), u).alias("original"), F.lit("user").alias("kind")), F.struct(address.alias("original"), F.lit("ipv4").alias("kind")))
+    every = kept(table(spark, d, "events").select(u, F.explode(both).alias("e")).select("user_id", "e.*").distinct())
+    half = every.where("user_id % 2 = 0").drop("user_id")
+    first = kept(mint.extend(None, half, SALT))
+    mapping = kept(first.unionByName(mint.extend(first, every.drop("user_id"), SALT)))
+    before = mint.aliased(half, first, SALT).withColumnRenamed("alias", "was")
+    now = mint.aliased(every.drop("user_id"), mapping, SALT).join(before, ["original", "kind"], "left")
+    stay = F.bool_and(F.col("was").isNull() | (F.col("was") == F.col("alias")))
+    return now.groupBy("kind").agg(F.count("*").alias("n_values"), F.count_distinct("alias").alias("n_aliases"), stay.alias("first_stay"))
+
+
 @query("""SELECT count(DISTINCT 'a' || ((user_id // 200) % 200 * 1000 + user_id % 200)) + 2 * count(DISTINCT user_id) AS total,
     count(DISTINCT 'a' || ((user_id // 200) % 200 * 1000 + user_id % 200)) + 2 * count(DISTINCT user_id) AS replaced, false AS blind, true AS ok FROM events""")
 def coverage_proof(spark, d):
