@@ -13,20 +13,20 @@ from maskline.operators import spans
 _PAIR = r'([\w.\-]+)=("(?:[^"\\]|\\.)*"|[^\s]*)'
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """use(value), with the value computed once."""
     return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
 
 
-def _last_wins(entries: Column) -> Column:
+def last_wins(entries: Column) -> Column:
     """A map of entries (key, value) in which the last of equal keys wins."""
     unlike = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda x: x["key"] == e["key"]))
-    return _let(entries, lambda es: F.map_from_entries(unlike(es)))
+    return let(entries, lambda es: F.map_from_entries(unlike(es)))
 
 
 def _map(keys: Column, values: Column) -> Column:
     """A map in which the last of equal keys wins."""
-    return _last_wins(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value"))))
+    return last_wins(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value"))))
 
 
 def kvp(raw: Column, pattern: str = _PAIR) -> Column:
@@ -36,15 +36,20 @@ def kvp(raw: Column, pattern: str = _PAIR) -> Column:
     return _map(keys, values)
 
 
+def numbered(pattern: str) -> str:
+    """The pattern with its named groups as plain ones."""
+    return re.sub(r"\(\?<[A-Za-z]\w*>", "(", pattern)
+
+
 def regex(raw: Column, pattern: str) -> Column:
     """Named groups of the first match, the last of equal names; empty where it doesn't match."""
     names = [n for n in re.findall(r"\(\?<([A-Za-z]\w*)>", pattern)]
-    numbered = re.sub(r"\(\?<[A-Za-z]\w*>", "(", pattern)
-    if re.sub(r"\\.|\[[^\]]*\]", "", numbered).replace("(?", "").count("(") != len(names):
+    plain = numbered(pattern)
+    if re.sub(r"\\.|\[[^\]]*\]", "", plain).replace("(?", "").count("(") != len(names):
         raise ValueError("every capturing group needs a name")
     last = {n: i for i, n in enumerate(names, 1) if not n.startswith("__")}
-    pairs = [x for n, i in last.items() for x in (F.lit(n), F.regexp_extract(raw, numbered, i))]
-    return F.when(raw.rlike(numbered), F.create_map(*pairs)).otherwise(F.create_map().cast("map<string,string>"))
+    pairs = [x for n, i in last.items() for x in (F.lit(n), F.regexp_extract(raw, plain, i))]
+    return F.when(raw.rlike(plain), F.create_map(*pairs)).otherwise(F.create_map().cast("map<string,string>"))
 
 
 def json(raw: Column) -> Column:
@@ -66,7 +71,7 @@ def json_leaves(raw: Column, depth: int = 6) -> Column:
     entries = text(raw)
     for _ in range(depth - 1):
         entries = F.flatten(F.transform(entries, below))
-    return _last_wins(entries)
+    return last_wins(entries)
 
 
 def fields(raw: Column) -> Column:
@@ -76,7 +81,7 @@ def fields(raw: Column) -> Column:
     access = F.map_filter(clf(raw), lambda k, v: k.isin("client", "user"))
     named = F.transform_keys(access, lambda k, v: F.when(k == "client", "client_ip").otherwise(k))
     host = F.filter(F.map_entries(syslog(raw)), lambda e: e["key"] == "host")
-    pairs = _last_wins(F.concat(host, F.map_entries(kvp(raw))))
+    pairs = last_wins(F.concat(host, F.map_entries(kvp(raw))))
     return (
         F.when(spans.is_json(raw), F.coalesce(json_leaves(raw), none)).when(raw.rlike(r"^\s*<[A-Za-z?]"), some(xml(raw)))
         .when(raw.rlike(r'^\S+ \S+ \S+ \[[^\]]+\] "'), some(named)).otherwise(some(pairs))
@@ -91,6 +96,14 @@ def delimited(raw: Column, columns: list[str], sep: str = ",") -> Column:
     return F.when(F.size(F.split(raw, re.escape(sep))) * 2 >= len(columns), cells)
 
 
+def aliased(fields: Column, chains: dict[str, str]) -> Column:
+    """The fields with canonical names added: each takes the first value that is not empty among its fields."""
+    values = {name: F.coalesce(*[F.nullif(fields[x], F.lit("")) for x in chain.split()]) for name, chain in chains.items()}
+    added = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    own = F.map_filter(fields, lambda k, v: ~F.array_contains(F.map_keys(added), k))
+    return F.map_concat(own, added)
+
+
 _HEAD = r"^(?:.*?\s)?{0}:(\d+(?:\.\d+)?)" + r"\|((?:[^|\\]|\\.)*)" * 3
 
 

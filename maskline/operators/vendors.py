@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskline.operators import parsers
+from maskline.operators import layouts, parsers
+from maskline.operators.parsers import aliased
 
 # The column order of each layout, and the canonical names.
 _PAN_HEAD = [
@@ -103,14 +104,6 @@ PAIR_NAMES = {
 SCORED_LINES, SCORED_FIELDS = 12, 3
 
 
-def aliased(fields: Column, chains: dict[str, str]) -> Column:
-    """The fields with canonical names added: each takes the first value that is not empty among its fields."""
-    values = {name: F.coalesce(*[F.nullif(fields[x], F.lit("")) for x in chain.split()]) for name, chain in chains.items()}
-    added = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
-    own = F.map_filter(fields, lambda k, v: ~F.array_contains(F.map_keys(added), k))
-    return F.map_concat(own, added)
-
-
 def _named(cells: Column, names: list[str], optional: list[list[str]] = []) -> Column:
     """The first cells by name; each optional tail counts only if it is there whole."""
     n, size = F.lit(len(names)), len(names)
@@ -173,6 +166,7 @@ CATALOGUE: dict[str, Callable[[Column], Column]] = {
 }
 CATALOGUE |= {k: lambda raw, names=names: aliased(parsers.kvp(raw), names) for k, names in PAIR_NAMES.items()}
 CATALOGUE |= {k: lambda raw, names=names: aliased(parsers.json_leaves(raw), names) for k, names in JSON_NAMES.items()}
+CATALOGUE |= layouts.LAYOUTS | layouts.MARKED
 
 
 def parsed(lines: DataFrame, sourcetype: str) -> DataFrame:
@@ -190,7 +184,7 @@ def best_parser(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
     lines = lines.where(~F.col("raw").rlike(r"^\s*[{<\[](?!\d)"))
     place = F.row_number().over(Window.partitionBy("sample_id").orderBy("line_no"))
     first = lines.withColumn("place", place).where(F.col("place") <= SCORED_LINES)
-    names = names or sorted(CATALOGUE.keys() - JSON_NAMES.keys())
+    names = names or sorted(CATALOGUE.keys() - JSON_NAMES.keys() - layouts.MARKED.keys())
     tries = F.array(*[F.struct(F.lit(n).alias("sourcetype"), F.map_keys(CATALOGUE[n](F.col("raw"))).alias("keys")) for n in names])
     each = first.select("sample_id", "line_no", F.explode(tries).alias("t")).select("sample_id", "line_no", "t.*")
     read = F.coalesce(F.size("keys"), F.lit(0)) > 0
