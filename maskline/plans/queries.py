@@ -447,3 +447,72 @@ def deidentify_documents(spark, d):
     """Lines of all documents with every identifier replaced; the flagship."""
     lines = doc_lines(spark, d)
     return apply.applied(lines, planned(lines)).select("sample_id", "line_no", "after", "replaced")
+
+
+# Lines of vendors' layouts made from events: the pieces of each line, a column's name in braces.
+VENDOR_LINES = {
+    "fortinet_fortigate": (
+        'date=2024-01-02 devname="fw {n}" srcip={ip} dstip=10.2.2.2 dstport=443 action="{event_type}" policyid={user_id}',
+        {"src_ip": "{ip}", "dest_ip": "10.2.2.2", "dest_port": "443", "action": "{event_type}", "host": "fw {n}", "policy_id": "{user_id}"},
+    ),
+    "linux_secure": (
+        "<38>Jan  2 03:04:05 web{n} sshd[{event_id}]: Failed password for user{user_id} from {ip} port 4000 ssh2",
+        {"host": "web{n}", "pid": "{event_id}", "action": "Failed", "user": "user{user_id}", "src_ip": "{ip}", "app": "sshd"},
+    ),
+    "cisco_asa": (
+        "Jan  2 2024 03:04:05 fw{n} : %ASA-6-302013: Built inbound TCP connection {event_id} for outside:{ip}/4000 ({ip}/4000) to inside:10.2.2.2/443 (10.2.2.2/443)",
+        {"host": "fw{n}", "event_code": "302013", "action": "Built", "src_ip": "{ip}", "src_port": "4000", "dest_ip": "10.2.2.2", "dest_port": "443"},
+    ),
+    "windows_security": (
+        "<Event><System><EventID>4624</EventID><Computer>pc{n}</Computer></System><EventData><Data Name='TargetUserName'>user{user_id}</Data>"
+        "<Data Name='IpAddress'>{ip}</Data></EventData></Event>",
+        {"event_code": "4624", "host": "pc{n}", "user": "user{user_id}", "src_ip": "{ip}"},
+    ),
+    "zeek_conn": (
+        '<1>Jan 2 zeek: {{"id.orig_h":"{ip}","id.resp_p":443,"uid":"C{event_id}","proto":"tcp"}}',
+        {"src_ip": "{ip}", "dest_port": "443", "session_id": "C{event_id}", "transport": "tcp"},
+    ),
+    "juniper_srx": (
+        '<14>1 2024-01-02T03:04:05Z srx{n} RT_FLOW - DENY [x source-address="{ip}" source-port="4" destination-address="10.2.2.2" destination-port="80" policy-name="{event_type}"]',
+        {"host": "srx{n}", "src_ip": "{ip}", "dest_ip": "10.2.2.2", "dest_port": "80", "action": "{event_type}"},
+    ),
+    "infoblox_dns": (
+        "<30>Jan  2 03:04:05 ns{n} named[5]: client {ip}#53 (a.b): UDP: query: h{user_id}.b IN AAAA response: NXDOMAIN +",
+        {"host": "ns{n}", "src_ip": "{ip}", "query": "h{user_id}.b", "event_code": "NXDOMAIN"},
+    ),
+    "pfsense": (
+        "<134>Jan  2 03:04:05 filterlog[7]: 5,,,100,igb0,match,block,in,4,0x0,,64,1,0,DF,6,tcp,60,{ip},10.2.2.2,5,6,0",
+        {"action": "block", "direction": "in", "transport": "tcp", "src_ip": "{ip}", "dest_port": "6"},
+    ),
+}
+
+
+def _vendor_line(text: str):
+    """The text with columns in its braces."""
+    u = F.col("user_id")
+    ip = F.concat_ws(".", F.lit("10"), F.lit("7"), F.floor(u / 200) % 200, u % 200 + 1)
+    return F.format_string(
+        text.replace("%", "%%").replace("{{", "{").replace("}}", "}").replace("{n}", "%1$s").replace("{ip}", "%2$s").replace("{event_type}", "%3$s").replace("{user_id}", "%4$s").replace("{event_id}", "%5$s"),
+        u % 9, ip, F.col("event_type"), u, F.col("event_id"),
+    )
+
+
+def _vendor_sql(text: str) -> str:
+    """The same text in SQL."""
+    for name, sql in {"n": "user_id % 9", "ip": "'10.7.' || (user_id // 200) % 200 || '.' || (user_id % 200 + 1)", "event_type": "event_type", "user_id": "user_id", "event_id": "event_id"}.items():
+        text = text.replace("{" + name + "}", f"' || ({sql}) || '")
+    return f"'{text}'"
+
+
+def _vendor_query(source: str, line: str, fields: dict[str, str]) -> None:
+    def run(spark, d):
+        rows = render.as_lines(table(spark, d, "events"), source, "event_id", _vendor_line(line))
+        f = F.col("fields")
+        return vendors.parsed(rows, source).select("line_no", *[f[x].alias(x) for x in fields])
+
+    run.__name__ = f"{source}_fields"
+    query("SELECT event_id AS line_no, " + ", ".join(f"{_vendor_sql(v)} AS {k}" for k, v in fields.items()) + " FROM events")(run)
+
+
+for _source, (_line, _fields) in VENDOR_LINES.items():
+    _vendor_query(_source, _line, _fields)
