@@ -34,7 +34,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 SCHEMA = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, dup_line_chars long, "
     + ", ".join(f"dup_{n}gram_chars long" for n in NGRAM_LIMITS)
     + ", kept boolean"
@@ -106,15 +106,15 @@ def measure(chunk: tx.Chunk) -> dict[str, np.ndarray]:
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document with the measures and the verdict ``kept``."""
-    schema = SCHEMA
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = [id_col, *(x.split()[0] for x in SCHEMA.split(", "))]
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in tx.chunks(batch.column(1)):
                 got = measure(chunk)
                 ids = batch.column(0).slice(chunk.low, chunk.high - chunk.low)
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(got[x]) for x in names[1:])], names)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(got[x]) for x in names[1:])], names)
 
     return docs.select(id_col, text_col).mapInArrow(bl.lean_batches(run), schema)
 
