@@ -42,11 +42,13 @@ def structure_verdict(lines: DataFrame, keys: DataFrame) -> DataFrame:
 
 def shape_universe(lines: DataFrame) -> DataFrame:
     """Formats, words and length range of each sample's real lines."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("raw"), F.lit("[a-z]{3,}"), F.lit(0)))
-    return lines.groupBy("sample_id").agg(
-        F.collect_set(recognise.line_format(F.col("raw"))).alias("formats"), F.array_distinct(F.flatten(F.collect_set(words))).alias("words"),
-        F.min(F.length("raw")).alias("shortest"), F.max(F.length("raw")).alias("longest"),
-    )
+    each = F.array_distinct(F.regexp_extract_all(F.lower("raw"), F.lit("[a-z]{3,}"), F.lit(0)))
+    # Words are made distinct as rows, so that a group holds the vocabulary and not the lines.
+    words = lines.select("sample_id", F.explode(each).alias("word")).distinct().groupBy("sample_id").agg(F.collect_list("word").alias("words"))
+    shapes = lines.groupBy("sample_id").agg(
+        F.collect_set(recognise.line_format(F.col("raw"))).alias("formats"), F.min(F.length("raw")).alias("shortest"), F.max(F.length("raw")).alias("longest")
+    )
+    return shapes.join(words, "sample_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
 
 def guard_extension(candidates: DataFrame, universe: DataFrame, real: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.functions import values
-from maskline.operators import apply, detect, guards, mint, parsers, patterns, plan, prove, recognise, signatures, vendors
+from maskline.operators import apply, detect, guards, ladder, mint, parsers, patterns, plan, prove, recognise, signatures, vendors
 from maskline.plans import render
 from maskline.sources import library, lines as src
 from maskline.sources.store import kept
@@ -504,6 +505,30 @@ def _vendor_sql(text: str) -> str:
     return f"'{text}'"
 
 
+def _vendor_samples(spark, d) -> DataFrame:
+    """A sample of each kind of vendor line."""
+    rows = table(spark, d, "events")
+    parts = [render.as_lines(rows, name, "event_id", _vendor_line(line)) for name, (line, _) in VENDOR_LINES.items() if name in LADDER]
+    cef = render.cef("Fortinet", "FortiGate", F.lit("100"), F.col("event_type"), ["event_id", "user_id", "event_type"])
+    parts += [render.as_lines(rows, "cef_maker", "event_id", cef), render.as_lines(rows, "plain", "event_id", F.concat(F.lit("just "), F.col("event_type")))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+LADDER = ("fortinet_fortigate", "cisco_asa")
+
+
+@query("""SELECT sample_id, sourcetype, tier, verdict, method, (SELECT count(*) FROM events) AS lines FROM (VALUES
+    ('fortinet_fortigate', 'fortinet_fortigate', 'layout', 'pass', 'parser-emulation'), ('cisco_asa', 'cisco_asa', 'layout', 'pass', 'parser-emulation'),
+    ('cef_maker', 'fortinet_fortigate', 'cef', 'pass', 'parser-emulation'), ('plain', CAST(NULL AS VARCHAR), 'format', 'unverified', 'structure'))
+    t(sample_id, sourcetype, tier, verdict, method)""")
+def recognition_ladder(spark, d):
+    """Samples recognised, read by the layout found, and verified."""
+    lines = kept(_vendor_samples(spark, d))
+    sources = kept(ladder.recognised(lines))
+    proof = ladder.verified(lines, sources).select("sample_id", "verdict", "method", "lines")
+    return sources.select("sample_id", "sourcetype", "tier").join(proof, "sample_id")
+
+
 def _vendor_query(source: str, line: str, fields: dict[str, str]) -> None:
     def run(spark, d):
         rows = render.as_lines(table(spark, d, "events"), source, "event_id", _vendor_line(line))

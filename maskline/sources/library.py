@@ -36,7 +36,8 @@ def availability(indexes: DataFrame) -> DataFrame:
 def documents(lines: DataFrame, sourcetype: str, most_bytes: int = 1_000_000) -> DataFrame:
     """One validated document a sample: key, events in order, fingerprint; larger ones are left out."""
     events = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x.raw)
-    rows = lines.groupBy("sample_id").agg(events.alias("events"), F.sum(F.length("raw")).alias("size")).where(F.col("size") <= most_bytes)
+    small = lines.groupBy("sample_id").agg(F.sum(F.length("raw")).alias("size")).where(F.col("size") <= most_bytes)
+    rows = lines.join(small.select("sample_id"), "sample_id", "left_semi").groupBy("sample_id").agg(events.alias("events"))
     key = F.concat(F.lit(f"{sourcetype}::"), F.col("sample_id"))
     return rows.where(~key.rlike(r"[/\\\x00\r\n]|\.\.")).select(
         key.alias("key"), "events", fingerprint(F.array_join("events", "\n")).alias("fingerprint"), F.lit(True).alias("sanitised")
