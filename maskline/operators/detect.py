@@ -20,7 +20,7 @@ EMAIL_ENCODED = r"[\w.+\-]+%40[\w\-]+(?:\.[\w\-]+)+"
 MAC = r"(?<![0-9A-Fa-f:\-])[0-9A-Fa-f]{2}(?:(?::[0-9A-Fa-f]{2}){5}|(?:-[0-9A-Fa-f]{2}){5})(?![0-9A-Fa-f:\-])"
 # A number with separators, or, after a word for telephones within 40 characters, one without; no time zone after a clock.
 PHONE = (
-    r"(?=\+[1-9])(?<![\w+])(?<!\d\d:\d\d(?:[.,]\d{1,9})?\s?)(?:\+\d{1,4}[ .\-(](?:[\d().\-]| (?=[\d(])){4,18}\d"
+    r"(?=\+[1-9])(?<![\w+])(?<!\d\d:\d\d(?:[.,]\d{1,9})?\s?)(?:\+\d{1,4}[ .\-(](?: ?[\d().\-]){4,18}\d"
     r"|(?<=(?i:phone|tel|mobile|msisdn|cell|fax|sms|whatsapp|call|contact)[^\n]{0,36})\+\d{8,15}(?!\d))"
 )
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"

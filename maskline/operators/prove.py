@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskline.functions import fixed, values
 from maskline.operators import spans
 
+ADDRESS_KEY = r'^"(?:[\d.]+|[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*|(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2}|[^"@\s]+(?:@|%40)[^"@\s]+)"$'
 STRUCTURAL = ["\t", "|", ",", "="]
 
 
@@ -17,7 +18,9 @@ def structure(changed: DataFrame) -> DataFrame:
     delimiters = F.lit(False)
     for x in STRUCTURAL:
         delimiters = delimiters | (count("raw", x) != count("after", x))
-    keys = lambda c: F.array_sort(F.json_object_keys(c))
+    # Keys of all levels; those that are addresses or mailboxes may have changed.
+    plain = lambda k: F.when(k.rlike(ADDRESS_KEY), "address").otherwise(k)
+    keys = lambda c: F.array_sort(F.transform(F.regexp_extract_all(c, F.lit(spans.JSON_KEY), F.lit(0)), plain))
     is_json = F.col("raw").rlike(r"^\s*[{\[]") & F.try_parse_json("raw").isNotNull()
     reason = (
         F.when(is_json & F.try_parse_json("after").isNull(), "json no longer valid")

@@ -101,8 +101,13 @@ def email_detect(spark, d):
     return detect.email(doc_lines(spark, d)).select("sample_id", "line_no", "value")
 
 
-@query(f"""WITH {LINES}, found AS (SELECT sample_id, line_no, unnest(regexp_extract_all(raw, '\\+\\d[\\d ().\\-]{{6,20}}\\d')) AS value FROM lines)
-    SELECT * FROM found WHERE length(regexp_replace(value, '\\D', '', 'g')) BETWEEN 8 AND 15""")
+@query(f"""WITH {LINES}, pluses AS (SELECT sample_id, line_no, string_split(raw, '+') AS parts FROM lines WHERE contains(raw, '+')),
+    each AS (SELECT sample_id, line_no, array_to_string(parts[1:i], '+') AS before, '+' || parts[i + 1] AS text FROM pluses, unnest(range(1, len(parts))) r(i)),
+    found AS (SELECT *, regexp_extract(text, '^\\+[1-9]\\d{{0,3}}[ .\\-(](?: ?[\\d().\\-]){{4,18}}\\d') AS apart, regexp_extract(text, '^(\\+[1-9]\\d{{7,14}})(?:\\D|$)', 1) AS joined FROM each)
+    SELECT sample_id, line_no, CASE WHEN apart <> '' THEN apart ELSE joined END AS value FROM found
+    WHERE NOT regexp_matches(before, '[\\w+]$') AND NOT regexp_matches(before, '\\d\\d:\\d\\d([.,]\\d{{1,9}})?\\s?$')
+      AND ((apart <> '' AND length(regexp_replace(apart, '\\D', '', 'g')) BETWEEN 8 AND 15)
+        OR (joined <> '' AND regexp_matches(right(before, 40), '(?i)(phone|tel|mobile|msisdn|cell|fax|sms|whatsapp|call|contact)')))""")
 def phone_detect(spark, d):
     return detect.phone(doc_lines(spark, d)).select("sample_id", "line_no", "value")
 

@@ -68,6 +68,13 @@ def test_the_proof_sees_what_the_replacer_leaves(spark):
     assert got == {(1, "10.0.0.1"), (1, "10.0.0.5"), (2, "jsmith"), (3, "bob smith")}
 
 
+def test_structure_of_nested_keys(spark):
+    pairs = [('{"a":{"b":1}}', '{"a":{"c":1}}'), ('{"a":{"10.0.0.1":1}}', '{"a":{"10.9.9.9":1}}'), ('{"a":[{"x@y.io":"b:c"}]}', '{"a":[{"p@q.io":"d:e"}]}'), ('{"a":1}', '{"a":}'), ("a=1,b", "a=1;b")]
+    rows = spark.createDataFrame([("s", i, a, b) for i, (a, b) in enumerate(pairs)], "sample_id string, line_no long, raw string, after string")
+    got = {r.line_no: r.reason for r in prove.structure(rows).collect()}
+    assert got == {0: "json keys changed", 3: "json no longer valid", 4: "delimiters changed"}
+
+
 def test_what_the_whole_run_finds_goes(spark):
     raws = [
         "range 10.1.2.3-10.1.2.9 net 10.9.0.1/24 http://db1.corp.acme.io/x",
