@@ -65,6 +65,9 @@ def spans(lines: DataFrame, values: DataFrame, run: str, keys: bool = True) -> D
     rows = lines.select("sample_id", "line_no", runs.alias("runs"), between.alias("between"))
     lead, tail = bound[1] or 0, bound[2] or 0
 
+    ends = lambda x: x.endswith(".") | x.endswith("-")
+    cut_of = lambda x: F.when(ends(x), F.length(F.regexp_extract(x, r"[.\-]*$", 0))).otherwise(0) if run == RUN else F.lit(0)
+
     def at(n: int, i: Column) -> Column:
         last = F.get("runs", i + (n - 1))
         parts = [x for k in range(n - 1) for x in (F.get("runs", i + k), F.get("between", i + (k + 1)))]
@@ -72,7 +75,7 @@ def spans(lines: DataFrame, values: DataFrame, run: str, keys: bool = True) -> D
         key = last.startswith('"') if n == 1 and keys else F.lit(False)
         hit = F.when(key, F.regexp_replace(whole, '^"|"$', "")).otherwise(whole)
         return F.struct(
-            i.alias("at"), F.lit(n).alias("n"), hit.alias("hit"), F.length(F.regexp_extract(last, r"[.\-]*$", 0)).alias("cut"), key.alias("key"),
+            i.alias("at"), F.lit(n).alias("n"), hit.alias("hit"), cut_of(last).alias("cut"), key.alias("key"),
             F.right(F.get("between", i), F.lit(lead)).alias("before"), F.left(F.get("between", i + n), F.lit(tail)).alias("after"),
         )
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.functions import values
-from maskline.operators import apply, detect, guards, ladder, mint, parsers, patterns, plan, prove, recognise, signatures, vendors
+from maskline.operators import apply, checks, detect, guards, ladder, mint, parsers, patterns, plan, prove, recognise, signatures, vendors
 from maskline.plans import render
 from maskline.sources import library, lines as src
 from maskline.sources.store import kept
@@ -455,6 +455,72 @@ def deidentify_documents(spark, d):
     return apply.applied(lines, planned(lines)).select("sample_id", "line_no", "after", "replaced")
 
 
+@query("""SELECT DISTINCT k AS key FROM (SELECT lower(replace(c_name, '#', '')) AS k, c_custkey FROM customer WHERE c_custkey % 3 <> 0) p
+    WHERE EXISTS (SELECT 1 FROM customer c WHERE c_custkey % 2 = 0 AND lower(replace(c.c_name, '#', '')) = p.k)""")
+def squashed_duplicate_keys(spark, d):
+    c = table(spark, d, "customer")
+    plain = F.regexp_replace(F.lower("c_name"), "[^a-z0-9]", "")
+    names = c.where("c_custkey % 3 <> 0").select(plain.alias("key")).unionByName(c.where("c_custkey % 2 = 0").select(F.concat(F.lit("-"), "c_name").alias("key")))
+    return checks.squashed_duplicates(names)
+
+
+@query("""SELECT event_type AS name, max(n) AS events FROM (SELECT event_type, user_id % 2 AS half, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type""")
+def volume_index(spark, d):
+    e = table(spark, d, "events")
+    spelled = F.when(F.col("user_id") % 2 == 0, F.upper("event_type")).otherwise(F.concat(F.lit("_"), "event_type"))
+    index = checks.volumes(e.groupBy(spelled.alias("name")).agg(F.count("*").alias("events")))
+    return checks.with_volume(e.select(F.col("event_type").alias("name")).distinct(), index)
+
+
+@query("""SELECT r_name AS "group", count(n_nationkey) AS members FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND r_regionkey > 0 GROUP BY r_name""")
+def group_members(spark, d):
+    groups = table(spark, d, "region").select(F.col("r_name").alias("group"), "r_regionkey")
+    members = table(spark, d, "nation").where("n_regionkey > 0").join(groups, F.col("n_regionkey") == F.col("r_regionkey")).select("group")
+    return checks.member_counts(groups.select("group"), members)
+
+
+@query("""SELECT 'e' AS sample_id, event_id AS line_no, CAST(CASE event_id % 4 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 6 END AS INT) AS rule FROM events WHERE event_id % 4 <> 0""")
+def credential_lint(spark, d):
+    k, u = F.col("event_id") % 4, F.lpad(F.col("user_id").cast("string"), 36, "0")
+    secret = F.when(k == 1, F.concat(F.lit("AKIA"), F.right(u, F.lit(16)))).when(k == 2, F.concat(F.lit("ghp_"), u)).when(k == 3, F.concat(F.lit("npm_"), u)).otherwise("npm_short")
+    return checks.credentials(render.as_lines(table(spark, d, "events"), "e", "event_id", F.concat(F.lit("key "), secret, F.lit(" end"))))
+
+
+@query("""SELECT CASE event_id % 5 WHEN 0 THEN 'refusal' WHEN 1 THEN 'empty' ELSE 'event' END AS label, count(*) AS lines FROM events GROUP BY 1""")
+def event_label_counts(spark, d):
+    k = F.col("event_id") % 5
+    line = F.when(k == 0, "I'm sorry, I can't").when(k == 1, " {} ").otherwise(F.concat(F.lit("seen "), F.col("event_type")))
+    return checks.event_labels(render.as_lines(table(spark, d, "events"), "e", "event_id", line)).groupBy("label").agg(F.count("*").alias("lines"))
+
+
+@query("""SELECT 'e' AS sample_id, 'json' AS format, count(*) AS lines FROM events WHERE event_id % 20 > 0 HAVING count(*) > 0""")
+def variants_present(spark, d):
+    line = F.when(F.col("event_id") % 20 > 0, render.json(["event_id", "event_type"])).otherwise(F.concat(F.lit("plain "), F.col("event_type")))
+    return checks.variants(render.as_lines(table(spark, d, "events"), "e", "event_id", line))
+
+
+@query("""SELECT 's' || k AS sample_id, k < 2 AS cef FROM (SELECT DISTINCT event_id % 3 AS k FROM events)""")
+def cef_start_share(spark, d):
+    k = F.col("event_id") % 3
+    line = F.when((k == 0) | ((k == 1) & (F.col("event_id") % 10 < 8)), "CEF:0|a|b|1|2|n|5|x=1").otherwise("Jan  2 03:04:05 h CEF:0|a|b|1|2|n|5|x=1")
+    rows = table(spark, d, "events").select(F.concat(F.lit("s"), k).alias("sample_id"), F.col("event_id").alias("line_no"), line.alias("raw"))
+    return checks.starts_with_cef(rows)
+
+
+@query("""SELECT 'orderid' AS field, count(DISTINCT o_orderkey) AS distinct_values FROM orders UNION ALL SELECT 'customerid', count(DISTINCT o_custkey) FROM orders""")
+def business_id_counts(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("CustomerID"), F.col("o_orderstatus").alias("status"))
+    rows = o.select(F.lit("o").alias("sample_id"), F.col("order_id").alias("line_no"), render.kvp(["order_id", "CustomerID", "status"]).alias("raw"))
+    return checks.business_ids(parsers.long(rows.select("sample_id", "line_no", parsers.kvp(F.col("raw")).alias("fields"))))
+
+
+@query("""SELECT kind, count(*) AS replaced FROM events, (VALUES ('ipv4'), ('user')) t(kind) GROUP BY kind""")
+def replacement_counts(spark, d):
+    lines = kept(event_hosts(spark, d))
+    found = kept(mint.with_aliases(plan.entries(detect.fields(parsers.long(lines.select("sample_id", "line_no", parsers.kvp(F.col("raw")).alias("fields"))))), SALT))
+    return apply.counts(lines, found.where("kind in ('ipv4', 'user')")).groupBy("kind").agg(F.sum("replaced").cast("long").alias("replaced"))
+
+
 # Lines of vendors' layouts made from events: the pieces of each line, a column's name in braces.
 VENDOR_LINES = {
     "fortinet_fortigate": (

@@ -58,3 +58,14 @@ def test_layout(spark, source):
     for i, (_, want) in enumerate(LINES[source]):
         assert {k: got[i].get(k) for k in want} == want
         assert want or not got[i]
+
+
+def test_small_checks(spark):
+    from pyspark.sql import functions as F
+
+    from maskline.operators import checks
+
+    row = spark.createDataFrame([("<a b=\"c\">'&",)], "v string").select(checks.html_escaped(F.col("v")).alias("x"), checks.squash(F.lit("A-b_7")).alias("y")).first()
+    assert row == ("&lt;a b=&quot;c&quot;&gt;&#39;&amp;", "ab7")
+    entries = spark.createDataFrame([("b",), ("abc",), ("a",)], "original string")
+    assert [r.original for r in checks.longest_first(entries).collect()] == ["abc", "a", "b"]
