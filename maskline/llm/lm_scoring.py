@@ -3,7 +3,7 @@
 ``model_table`` and ``scores_by_model`` are the relational form, a row for each
 n-gram: count tables, joined with themselves on the context to give each
 n-gram its factor, joined to the exploded n-grams of any documents, and summed
-for each.  It moves about fifteen times the bytes of the texts.
+for each.  It shuffles about forty times the bytes of the texts.
 
 ``lm_scores`` computes the same aggregate and join for documents that are their
 own model, with packed rows: the n-gram counts of the whole corpus lie
