@@ -42,10 +42,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fewer than five words is like its equals only; the least id settles ties.
     """
     store.small_batches(spark)
-    classes = store.stored(minhash_dedup.near_duplicates(docs))
-    out = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    twice = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    classes = minhash_dedup.near_duplicates(docs)
+    out = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     kept = docs.join(out, "doc_id", "left_anti")
+    if twice.isEmpty():  # ids name rows, as they should
+        return kept.select([F.col(f"`{c}`") for c in docs.columns])
     again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(twice, "doc_id", "left_anti").unionByName(again).select([F.col(f"`{c}`") for c in docs.columns])
 
