@@ -21,6 +21,7 @@ from maskline.llm import (
     store,
     substring_dedup,
     token_counts,
+    warc,
 )
 
 RANKS_ONE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -154,6 +155,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived and read back, with digests of what was read."""
+    folder = f"{store.shared_folder(spark)}/maskline/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.digest(warc.records(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -169,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_lm_scoring,
         lm_scores_relational,
         op10_quality_rules,
+        op13_warc,
     )
 }
 
