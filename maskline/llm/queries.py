@@ -16,6 +16,7 @@ from maskline.llm import (
     language_id,
     lm_scoring,
     minhash_dedup,
+    prefix_trie,
     quality_rules,
     sharding,
     store,
@@ -155,6 +156,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, whose first turns are those of the first of their hundred."""
+    turns = store.stored(prefix_trie.sequences(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(prefix_trie.shared_starts(turns))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived and read back, with digests of what was read."""
     folder = f"{store.shared_folder(spark)}/maskline/warc-{uuid.uuid4().hex}"
@@ -177,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_lm_scoring,
         lm_scores_relational,
         op10_quality_rules,
+        op12_prefix_trie,
         op13_warc,
     )
 }
