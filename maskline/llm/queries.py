@@ -19,6 +19,7 @@ from maskline.llm import (
     prefix_trie,
     quality_rules,
     sharding,
+    spelling,
     store,
     substring_dedup,
     token_counts,
@@ -156,6 +157,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all conversations, whose first turns are those of the first of their hundred."""
     turns = store.stored(prefix_trie.sequences(table(spark, sf_dir, "conversations")))
@@ -184,6 +189,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_lm_scoring,
         lm_scores_relational,
         op10_quality_rules,
+        op11_spelling,
         op12_prefix_trie,
         op13_warc,
     )
