@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from maskline.functions import fixed, values
 from maskline.operators import spans
 
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+# Java matches a repeated group by recursion unless it is possessive, and a run of characters that may begin anywhere
+# costs the square of its length; so groups are possessive or short, and runs begin where one does, or where the last hit ended.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+\-]))[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+){0,126}\.[A-Za-z]{2,}"
 # A mailbox in a URL.
-EMAIL_ENCODED = r"[\w.+\-]+%40[\w\-]+(?:\.[\w\-]+)+"
+EMAIL_ENCODED = r"(?:\G|(?<![\w.+\-]))[\w.+\-]++%40[\w\-]++(?:\.[\w\-]++)++"
 MAC = r"(?<![0-9A-Fa-f:\-])[0-9A-Fa-f]{2}(?:(?::[0-9A-Fa-f]{2}){5}|(?:-[0-9A-Fa-f]{2}){5})(?![0-9A-Fa-f:\-])"
 # A number with separators, or, after a word for telephones within 40 characters, one without; no time zone after a clock.
 PHONE = (
@@ -27,7 +29,9 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 IBAN_GROUPS = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?(?![A-Za-z0-9])"
 DOMAIN_USER_JSON = r"(?<![\\\w:])([A-Za-z][\w\-]{1,14})\\\\([A-Za-z][\w.\-$]{1,63})(?![\\\w])"
 DOMAIN_USER = r"(?<![\\\w:])([A-Za-z][\w\-]{1,14})\\([A-Za-z][\w.\-$]{1,63})(?![\\\w])"
-FQDN = r"(?i)(?<![\w.@\-])(?!(?<=%)40)(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+(?:com|net|org|local|internal|lan|corp|io|co|gov|edu|mil|de|nl|uk|fr|be|example|test|info|biz|app|dev|cloud|ai|me|eu|int|us|ca|au|nz|ch|at|se|no|dk|fi|es|it|pt|pl|cz|ie|lu|gr|hu|ro|sk|si|ee|lv|lt|bg|hr|jp|cn|kr|tw|hk|sg|my|th|vn|ph|br|mx|ar|cl|za|ru|tr|il|ae|sa)(?![\w\-]|\.\w)"
+FQDN = (
+    r"(?i)(?<![\w.@\-])(?!(?<=%)40)(?:[a-z0-9]++(?:-++[a-z0-9]++)*+\.(?=[a-z0-9]))++(?<=\.)(?:" + "|".join(fixed.DOMAIN_ENDINGS) + r")(?![\w\-]|\.\w)"
+)
 DN_PART = r"(?:CN|OU|DC|O)=([^,=\"]+)"
 SECRET_PAIR = (
     r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted(fixed.SECRET_FIELDS, key=len, reverse=True)) + r")[\"']?\s*[:=]\s*[\"']?"
@@ -229,7 +233,7 @@ def everything(lines: DataFrame) -> DataFrame:
 
 def suspects(lines: DataFrame, found: DataFrame) -> DataFrame:
     """Host-like tokens that nothing has found, top 25 a sample, in samples of two lines or more."""
-    tokens = lines.select("sample_id", "line_no", F.explode(_all(r"[A-Za-z][A-Za-z0-9]*(?:[\-_.][A-Za-z0-9]+)+|[A-Za-z]+\d+")).alias("value"))
+    tokens = lines.select("sample_id", "line_no", F.explode(_all(r"(?<![A-Za-z])(?:[A-Za-z][A-Za-z0-9]*+(?:[\-_.][A-Za-z0-9]++)++|[A-Za-z]++\d++)")).alias("value"))
     n = lines.groupBy("sample_id").agg(F.count("*").alias("n_lines")).where(F.col("n_lines") >= fixed.SUSPECT_MIN_LINES)
     counted = tokens.groupBy("sample_id", "value").agg(F.count("*").alias("count"), F.count_distinct("line_no").alias("df")).join(n, "sample_id")
     rare = (F.col("n_lines") < fixed.SUSPECT_SHARE_LINES) | (F.col("df") < fixed.SUSPECT_SHARE * F.col("n_lines"))

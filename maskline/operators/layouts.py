@@ -22,13 +22,13 @@ HOSTLESS = rf"^<(?<syslog_pri>\d{{1,3}})>(?<log_time>{_CLOCK})\s+(?<process>[^\s
 NEW = r"^<(?<syslog_pri>\d{1,3})>\d+\s+(?<log_time>\S+)\s+(?<host>\S+)\s+(?<process>\S+)\s+(?<pid>\S+)\s+\S+\s+(?<message>.*)$"
 #: As Cisco's firewalls write it: the host is optional, the message code follows a percent sign.
 CISCO = (
-    rf"^(?:<(?<syslog_pri>\d{{1,3}})>)?(?:(?<log_time>{_CLOCK})\s*)?(?:(?<host>[^\s:%]+)\s*)?:?\s*"
+    rf"^(?:<(?<syslog_pri>\d{{1,3}})>)?(?:(?<log_time>{_CLOCK})\s*+)?(?:(?<host>[^\s:%]++)\s*+)?+:?+\s*+"
     r"%(?<device>ASA|FTD)-(?:\S*-)?(?<severity>\d)-(?<event_code>\d+):\s+(?<message>.*)$"
 )
 IP = r"\d{1,3}(?:\.\d{1,3}){3}"
 
 SSHD = r"\b(?<action>Accepted|Failed|Invalid)\s+(?<auth_method>\S+)\s+for\s+(?:invalid user\s+)?(?<user>\S+)\s+from\s+(?<src_ip>\S+)\s+port\s+(?<src_port>\d+)"
-SUDO = r"(?<user>\S+)\s+:\s.*\bUSER=(?<runas_user>[^\s;]+)\s*;\s*COMMAND=(?<command>.+)"
+SUDO = r"(?<!\S)(?<user>\S++)\s++:\s.*\bUSER=(?<runas_user>[^\s;]+)\s*;\s*COMMAND=(?<command>.+)"
 SESSION = r"session (?:opened|closed) for user (?<user>[^\s(]+)"
 UFW = (
     r"\[UFW (?<action>\w+)\].*?\bSRC=(?<src_ip>\S+) DST=(?<dest_ip>\S+).*?\bPROTO=(?<transport>\w+)(?:.*?\bSPT=(?<src_port>\d+) DPT=(?<dest_port>\d+))?"
@@ -45,7 +45,7 @@ DNS_QUERY = (
 DHCP_LEASE = rf"^(?<dhcp_action>DHCP\w+)(?: (?:for|on) (?<lease_ip>{IP}))? (?:from|to) (?<src_mac>[0-9a-f:]{{17}})(?: \((?<client_host>[^)]+)\))?(?: via (?<via>\S+))?"
 #: Ends of a connection in Cisco's messages, interface:address/port, and a user where one is named.
 CISCO_PAIR = (
-    rf"(?<protocol>\w+)?\s*(?:connection \d+ )?(?:for|src|from)\s+(?<src_interface>[\w\-]+):(?<src_ip>{IP})/(?<src_port>\d+)"
+    rf"(?:(?<!\w)(?<protocol>\w++)\s++)?(?:connection \d+ )?(?:for|src|from)\s+(?<src_interface>[\w\-]+):(?<src_ip>{IP})/(?<src_port>\d+)"
     rf".*?\b(?:to|dst)\s+(?<dest_interface>[\w\-]+):(?<dest_ip>{IP})/(?<dest_port>\d+)"
 )
 CISCO_ACTION = r"^(?<action>Built|Teardown|Deny|Denied|Permitted|Accessed|Login permitted|Login denied)\b"

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from maskline.functions.values import field_value
 from maskline.operators import spans
 
-_PAIR = r'([\w.\-]+)=("(?:[^"\\]|\\.)*"|[^\s]*)'
+# Java matches a repeated group by recursion unless it is possessive, and a run of characters that may begin anywhere
+# costs the square of its length; so groups are possessive here and runs begin where one does.
+_PAIR = r'(?:\G|(?<![\w.\-]))([\w.\-]++)=("(?:[^"\\]|\\.)*+"|[^\s]*+)'
 
 
 def let(value: Column, use) -> Column:
@@ -20,8 +22,9 @@ def let(value: Column, use) -> Column:
 
 def last_wins(entries: Column) -> Column:
     """A map of entries (key, value) in which the last of equal keys wins."""
-    unlike = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda x: x["key"] == e["key"]))
-    return let(entries, lambda es: F.map_from_entries(unlike(es)))
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("place"), e["value"].alias("value"))))
+    last = lambda es: F.filter(es, lambda e, i: ~F.get(es, i + 1)["key"].eqNullSafe(e["key"]))
+    return let(placed, lambda es: F.map_from_entries(F.transform(last(es), lambda e: F.struct(e["key"], e["value"]))))
 
 
 def _map(keys: Column, values: Column) -> Column:
@@ -74,6 +77,37 @@ def json_leaves(raw: Column, depth: int = 6) -> Column:
     return last_wins(entries)
 
 
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+_SCALAR = rf"{_STRING}|-?\d[\d.eE+\-]*+|true|false"
+#: A string, with the scalar or the list of scalars that it names if it is a key.
+_MEMBER = rf"({_STRING})(?:\s*+:\s*+({_SCALAR}|\[(?:\s*+(?:{_SCALAR}|null)\s*+,?+)*+\]))?"
+
+
+def json_pairs(raw: Column) -> Column:
+    """Every scalar of a JSON text with the key that it stands under, at any depth, those of lists too (array of key and value).
+
+    The text is cut into its strings, so it is read once however deep it is.
+    """
+    keys, values = (F.regexp_extract_all(raw, F.lit(_MEMBER), F.lit(k)) for k in (1, 2))
+    texts = lambda x: F.from_json(x, "array<string>")
+    named = F.filter(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value"))), lambda e: e["value"] != "")
+
+    def each(e: Column) -> Column:
+        inner = texts(F.when(e["value"].startswith("["), e["value"]).otherwise(F.concat(F.lit("["), e["value"], F.lit("]"))))
+        key = F.get(texts(F.concat(F.lit("["), e["key"], F.lit("]"))), 0)
+        return F.transform(F.filter(inner, lambda x: x.isNotNull()), lambda x: F.struct(key.alias("key"), x.alias("value")))
+
+    return F.flatten(F.transform(named, lambda e: F.coalesce(each(e), F.array().cast("array<struct<key:string,value:string>>"))))
+
+
+def named_values(lines: DataFrame) -> DataFrame:
+    """(sample_id, line_no, field, value): what the lines' own form names, without a layout."""
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    found = F.when(spans.is_json(F.col("raw")), json_pairs(F.col("raw"))).otherwise(F.coalesce(F.map_entries(fields(F.col("raw"))), none))
+    rows = lines.select("sample_id", "line_no", F.inline(found).alias("field", "value"))
+    return rows.where(~F.col("field").startswith("__") & (F.col("field") != "_raw"))
+
+
 def fields(raw: Column) -> Column:
     """The named fields of a line by its form: JSON, XML, an access log, else pairs and a syslog header."""
     none = F.create_map().cast("map<string,string>")
@@ -88,12 +122,24 @@ def fields(raw: Column) -> Column:
     )
 
 
+def cells(raw: Column, sep: str = ",") -> Column:
+    """The cells of a delimited line; a quoted one may hold separators and doubled quotes."""
+    sep = re.escape(sep)
+    found = F.regexp_extract_all(raw, F.lit(rf'(?:^|{sep})("(?:[^"]|"")*+"|[^{sep}]*+)'), F.lit(1))
+    inner = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(found, lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), inner(c)).otherwise(c))
+
+
 def delimited(raw: Column, columns: list[str], sep: str = ",") -> Column:
-    """Quote-aware split into named columns; accepted with half of them or more."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    row = F.from_csv(raw, schema, {"sep": sep, "mode": "PERMISSIVE", "escape": '"'})
-    cells = F.map_filter(F.create_map(*[x for c in columns for x in (F.lit(c), row[c])]), lambda k, v: v.isNotNull() & (v != ""))
-    return F.when(F.size(F.split(raw, re.escape(sep))) * 2 >= len(columns), cells)
+    """Quote-aware split into named columns, of equal ones the last; accepted with half of them or more."""
+    names = F.array(*map(F.lit, columns))
+
+    def named(found: Column) -> Column:
+        n = F.least(F.size(found), F.lit(len(columns)))
+        pairs = F.zip_with(F.slice(names, F.lit(1), n), F.slice(found, F.lit(1), n), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+        return F.when(F.size(found) * 2 >= len(columns), last_wins(F.filter(pairs, lambda e: e["value"] != "")))
+
+    return let(cells(raw, sep), named)
 
 
 def aliased(fields: Column, chains: dict[str, str]) -> Column:
@@ -104,7 +150,8 @@ def aliased(fields: Column, chains: dict[str, str]) -> Column:
     return F.map_concat(own, added)
 
 
-_HEAD = r"^(?:.*?\s)?{0}:(\d+(?:\.\d+)?)" + r"\|((?:[^|\\]|\\.)*)" * 3
+_CELL = r"(?:[^|\\]|\\.)*+"
+_HEAD = r"^(?:.*?\s)?{0}:(\d+(?:\.\d+)?)" + rf"\|({_CELL})" * 3
 
 
 def security_header(raw: Column) -> Column:
@@ -120,19 +167,20 @@ def security_header(raw: Column) -> Column:
 
 def cef(raw: Column) -> Column:
     """Extension pairs; a value runs to the next key, \\= and \\\\ are unescaped."""
-    extension = F.regexp_extract(raw, r"CEF:\d+" + r"\|(?:[^|\\]|\\.)*" * 6 + r"\|(.*)$", 1)
+    extension = F.regexp_extract(raw, r"CEF:\d+" + rf"\|{_CELL}" * 6 + r"\|(.*)$", 1)
     return _spaced(extension)
 
 
 def _spaced(extension: Column) -> Column:
-    pattern = r"(?:^|\s)([\w.\-]+)=((?:\\.|[^\\=])*?)(?=\s+[\w.\-]+=|\s*$)"
+    key = r"[\w.\-]++="
+    pattern = rf"(?:^|\s)([\w.\-]++)=((?:\\.|[^\\=\s]|\s++(?!{key}|$))*+)(?=\s+{key}|\s*$)"
     values = F.regexp_extract_all(extension, F.lit(pattern), F.lit(2))
     return _map(F.regexp_extract_all(extension, F.lit(pattern), F.lit(1)), F.transform(values, lambda v: F.regexp_replace(v, r"\\([=\\])", "$1")))
 
 
 def leef(raw: Column) -> Column:
     """Tab-separated attributes after the five-field header."""
-    extension = F.regexp_extract(raw, r"LEEF:[\d.]+" + r"\|(?:[^|\\]|\\.)*" * 4 + r"\|(.*)$", 1)
+    extension = F.regexp_extract(raw, r"LEEF:[\d.]+" + rf"\|{_CELL}" * 4 + r"\|(.*)$", 1)
     pairs = F.filter(F.split(extension, "\t"), lambda x: x.contains("="))
     return _map(F.transform(pairs, lambda x: F.substring_index(x, "=", 1)), F.transform(pairs, lambda x: F.regexp_replace(x, "^[^=]*=", "")))
 
@@ -158,10 +206,10 @@ def with_header(lines: DataFrame, sep: str = ",", prefix: str = "") -> DataFrame
     """Fields named by the first line of each sample (or its ``prefix`` directive, as in #Fields:)."""
     bare = F.regexp_replace("raw", f"^{prefix}\\s*", "") if prefix else F.col("raw")
     heads = lines.where(F.col("raw").startswith(prefix)) if prefix else lines
-    head = heads.groupBy("sample_id").agg(F.min_by(F.split(bare, re.escape(sep)), "line_no").alias("columns"), F.min("line_no").alias("head_no"))
-    cells = F.split("raw", re.escape(sep))
-    body = lines.join(head, "sample_id").where((F.col("line_no") > F.col("head_no")) & (F.size(cells) == F.size("columns")))
-    return body.select("sample_id", "line_no", _map(F.col("columns"), cells).alias("fields"))
+    head = heads.groupBy("sample_id").agg(F.min_by(cells(bare, sep), "line_no").alias("columns"), F.min("line_no").alias("head_no"))
+    own = cells(F.col("raw"), sep)
+    body = lines.join(head, "sample_id").where((F.col("line_no") > F.col("head_no")) & (F.size(own) == F.size("columns")))
+    return body.select("sample_id", "line_no", _map(F.col("columns"), own).alias("fields"))
 
 
 def long(parsed: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from maskline.operators import parsers
 
 
 def line_format(raw: Column) -> Column:
-    pairs = F.regexp_count(raw, F.lit(r"[\w.\-]+=\S"))
+    pairs = F.regexp_count(raw, F.lit(r"(?<![\w.\-])[\w.\-]++=\S"))
     return (
         F.when(raw.rlike(r"LEEF:[\d.]+\|"), "leef").when(raw.rlike(r"CEF:\d+\|"), "cef")
         .when(raw.rlike(r"^\s*[{\[]") & F.try_parse_json(raw).isNotNull(), "json")
