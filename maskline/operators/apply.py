@@ -1,9 +1,9 @@
 """Replacing originals by aliases in lines.
 
-Candidate spans of each line (``spans``) are joined to the entries by equality,
-the hits of a line are brought together, the leftmost and longest of those that
-overlap win, and the line is put together again.  The entries are broadcast
-where Spark finds them small; lines are shuffled once, by their own key.
+The values' anchors are looked up in the lines (``spans``), the hits of a line are
+brought together, the leftmost and longest of those that overlap win, and the
+line is put together again.  Lines are shuffled once, by their own key, unless
+Spark finds the hits small enough to broadcast.
 
 A hit in a JSON key stays unless the whole key is a mailbox or an address.
 """
@@ -24,7 +24,7 @@ BLANK = "\ue000"
 def replacements(lines: DataFrame, entries: DataFrame) -> DataFrame:
     """Hits that are enabled entries: exactly, or but for case for hosts, users and mailboxes."""
     values = spans.sought(entries.select("original", "alias", "kind", "enabled"), spans.RUN)
-    met = spans.matches(spans.spans(lines, values, spans.RUN), values)
+    met = spans.matches(lines, values, spans.RUN)
     exact = F.concat("lead", "hit", "tail") == F.col("original")
     fits = (exact | F.col("kind").isin(ANY_CASE)) & (~F.col("key") | F.col("kind").isin(spans.KEY_KINDS))
     return met.where(fits).select(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskline.functions import fixed, values
-from maskline.operators import spans
+from maskline.operators import parsers, spans
 
 # Java matches a repeated group by recursion unless it is possessive, and a run of characters that may begin anywhere
 # costs the square of its length; so groups are possessive or short, and runs begin where one does, or where the last hit ended.
@@ -231,6 +231,11 @@ def everything(lines: DataFrame) -> DataFrame:
     return rows.where(~values.is_never(F.col("value")) & (F.length("value") > 1))
 
 
+def identities(lines: DataFrame) -> DataFrame:
+    """Hits of all patterns and of all named values of the lines."""
+    return everything(lines).unionByName(fields(parsers.named_values(lines)))
+
+
 def suspects(lines: DataFrame, found: DataFrame) -> DataFrame:
     """Host-like tokens that nothing has found, top 25 a sample, in samples of two lines or more."""
     tokens = lines.select("sample_id", "line_no", F.explode(_all(r"(?<![A-Za-z])(?:[A-Za-z][A-Za-z0-9]*+(?:[\-_.][A-Za-z0-9]++)++|[A-Za-z]++\d++)")).alias("value"))

@@ -7,16 +7,14 @@ that the mapping has, that equals some value, or that another value drew too
 is kept and extended, as a stream does batch by batch, never changes an alias
 and never gives one twice; a round is one aggregate over the values left.
 
-Private addresses need no rounds: networks are permuted within their block and
-hosts rotated within their network, both keyed.  Public networks are drawn from
+Private addresses need no rounds: networks are permuted within their block
+(a Feistel network, so known pairs tell nothing of others) and hosts rotated within their network, both keyed.  Public networks are drawn from
 the documentation networks, then from 198.18.0.0/15, then from 240.0.0.0/4, a
 million networks in all; past those an address gets an IPv6 documentation one.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +23,8 @@ from maskline.sources.store import kept
 
 MAPPING = "kind string, key string, alias string"
 ROUNDS = 24
+#: Rounds of the keyed permutation of private networks.
+FEISTEL = 6
 #: Kinds whose values are one in any case.
 ANY_CASE = ["host", "user", "email", "fqdn", "ipv6", "mac"]
 #: Characters whose number an alias must keep, or the line would parse otherwise.
@@ -91,8 +91,8 @@ def _digits(hash_: Column, place: int, width: int) -> Column:
     return F.call_function("lpad", (number % 10**width).cast("string"), F.lit(width), F.lit("0"))
 
 
-def _drawn(rows: DataFrame, salt: str, turn: int, width: int) -> DataFrame:
-    """Rows (kind, key) with the alias of this turn; from the second on it has ``width`` more digits."""
+def _drawn(rows: DataFrame, salt: str, turn: int, width: int, scale: int) -> DataFrame:
+    """Rows (kind, key) with the alias of this turn, ``width`` digits longer; ``scale`` widens the networks drawn from."""
     v, kind = F.col("key"), F.col("kind")
     salted = f"{salt}\x00{turn}"
     rows = rows.withColumn("_who", F.when(kind == "email", F.call_function("substring_index", v, _at(v), F.lit(1))).otherwise(v))
@@ -115,7 +115,7 @@ def _drawn(rows: DataFrame, salt: str, turn: int, width: int) -> DataFrame:
         }
     )
     h, u, who, word = F.col("_h"), F.col("_u"), F.col("_who"), F.col("_word")
-    more = _digits(u, 20, width) if turn else F.lit("")
+    more = _digits(u, 20, width)
     user = (
         F.when(who.rlike(r"^\d+$"), F.concat((_number(u, 2, 9) + 1).cast("string"), _digits(u, 30, 6), more))
         .when(who.rlike(r"(?i)^svc[-_]"), F.concat(F.lit("svc-"), word, _digits(u, 30, 2), more))
@@ -127,13 +127,13 @@ def _drawn(rows: DataFrame, salt: str, turn: int, width: int) -> DataFrame:
     )
     inner = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_extra"), F.lit(1))), lambda k: F.concat(F.lit("d"), F.substring(F.col("_d"), k * 3, F.lit(3))))
     number = F.substring(_digits(h, 20, 12), F.lit(1), F.col("_n"))
-    host = F.concat(word, number, _digits(h, 40, width) if turn else F.lit(""))
+    host = F.concat(word, number, _digits(h, 40, width))
     safe = F.concat_ws(".", F.when(F.col("_extra") > 0, F.array_join(inner, ".")), _pick(F.col("_d"), 0, fixed.SAFE_DOMAIN))
     quad = lambda k: F.substring(h, 1 + 4 * k, 4)
     six = F.when(v.rlike("^f[cd]"), "fd00:").when(v.rlike("^fe[89ab]"), "fe80:").otherwise("2001:db8:")
-    if turn == 0:
+    if turn + scale == 0:
         net = _pick(h, 0, ["192.0.2", "198.51.100", "203.0.113"])
-    elif turn == 1:
+    elif turn + scale == 1:
         net = F.concat_ws(".", F.lit("198"), (_number(h, 0, 2) + 18).cast("string"), _number(h, 1, 256).cast("string"))
     elif turn < ROUNDS // 2:
         net = F.concat_ws(".", (_number(h, 0, 16) + 240).cast("string"), _number(h, 1, 256).cast("string"), _number(h, 2, 256).cast("string"))
@@ -166,7 +166,7 @@ def _wanted(entries: DataFrame) -> DataFrame:
 def extend(mapping: DataFrame | None, entries: DataFrame, salt: str, taken: DataFrame | None = None) -> DataFrame:
     """New rows (kind, key, alias) for entries (original, kind) that the mapping lacks; taken(word) are words no alias may be."""
     left = _wanted(entries)
-    used = F.broadcast(left.sparkSession.createDataFrame([], "kind string, low string"))
+    used = left.sparkSession.createDataFrame([], "kind string, low string")
     words = entries.select(F.lower("original").alias("low"))
     if taken is not None:
         words = words.unionByName(taken.select(F.lower("word").alias("low")))
@@ -178,13 +178,14 @@ def extend(mapping: DataFrame | None, entries: DataFrame, salt: str, taken: Data
     for turn in range(ROUNDS):
         if not n:
             break
-        drawn = _drawn(left, salt, turn, min(12, len(str(n)) + turn)).withColumn("low", F.lower("alias"))
+        # Wide enough from the first turn that nearly all draws are unlike.
+        scale = 0 if n < 4 else 1 if n < 64 else 2
+        drawn = _drawn(left, salt, turn, min(12, len(str(n)) - 1 + 2 * turn), scale).withColumn("low", F.lower("alias"))
         drawn = drawn.join(words, "low", "left_anti").join(used, ["kind", "low"], "left_anti")
-        for old in found:
-            drawn = drawn.join(old.select("kind", F.lower("alias").alias("low")), ["kind", "low"], "left_anti")
         first = F.min_by(F.struct("key", "alias"), F.struct(_hash(salt, F.col("key"), "order"), "key"))
         won = kept(drawn.groupBy("kind", "low").agg(first.alias("f")).select("kind", "f.key", "f.alias"))
         found.append(won)
+        used = kept(used.unionByName(won.select("kind", F.lower("alias").alias("low"))))
         left = left.join(won, ["kind", "key"], "left_anti")
         n = left.count()
     if n:
@@ -196,9 +197,13 @@ def extend(mapping: DataFrame | None, entries: DataFrame, salt: str, taken: Data
 
 
 def _permuted(salt: str, name: str, number: Column, size: int) -> Column:
-    """A keyed permutation of 0..size-1, a power of two."""
-    h = int.from_bytes(hashlib.sha256(f"{salt}\x00{name}".encode()).digest()[:8], "big")
-    return (number * (2 * (h % size) + 1) + (h >> 32) % size) % size
+    """A keyed permutation of 0..size-1, an even power of two: a Feistel network whose rounds are hashes."""
+    half = 1 << (size.bit_length() - 1) // 2
+    left, right = F.floor(number / half).cast("long"), (number % half).cast("long")
+    for turn in range(FEISTEL):
+        mixed = _number(_hash(salt, F.concat(F.lit(f"{name}\x00{turn}\x00"), right.cast("string")), "net"), 0, half)
+        left, right = right, left.bitwiseXOR(mixed)
+    return left * half + right
 
 
 def _private(salt: str, v: Column) -> Column:

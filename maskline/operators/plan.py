@@ -36,18 +36,6 @@ def with_literals(found: DataFrame, lines: DataFrame, literals: list[str]) -> Da
     return found.join(picks.select("original"), "original", "left_anti").unionByName(picks)
 
 
-def with_literals(found: DataFrame, lines: DataFrame, literals: list[str]) -> DataFrame:
-    """Entries and the values picked by hand; a pick overrides the kind."""
-    for literal in literals:
-        n = lines.agg(F.sum(F.size(F.split("raw", F.lit("\\Q" + literal + "\\E"))) - 1).cast("long").alias("count"))
-        pick = n.select(
-            F.lit(literal).alias("original"), F.lit("custom").alias("kind"), F.lit("picked").alias("via"), "count",
-            F.lit(None).cast("string").alias("ip_class"), F.lit(True).alias("enabled"),
-        ).where("count > 0")
-        found = found.join(pick.select("original"), "original", "left_anti").unionByName(pick)
-    return found
-
-
 def collapse_composites(found: DataFrame) -> DataFrame:
     """Values joined by : or / whose parts are entries themselves go."""
     whole = found.where(F.col("original").rlike("[:/]") & ~F.col("kind").isin("ipv6", "mac", "secret", "custom"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskline.functions import fixed, values
@@ -31,20 +31,33 @@ def structure(changed: DataFrame) -> DataFrame:
 
 
 def residual(changed: DataFrame, entries: DataFrame) -> DataFrame:
-    """Originals still in the lines, one row a value and line; no alias counts.
+    """Originals still in the lines, one row a value and line.
 
     The search doesn't share the replacer's cut: originals are found in any case
     wherever no letter, digit or underscore adjoins them, inside longer words
-    too, in what the replacer left (``rest``, or ``after`` where lines come from
-    elsewhere).  JSON keys are exempt.
+    too, in what the replacer left (``rest``, where the aliases that it put are
+    blank, so that an original which is an alias too is found).  Where lines come
+    from elsewhere and have ``after`` only, values that are aliases don't count.
+    JSON keys are exempt.
     """
-    left = F.col("rest" if "rest" in changed.columns else "after")
+    placed = "rest" in changed.columns
+    left = F.col("rest" if placed else "after")
     bare = F.when(spans.is_json(left), F.regexp_replace(left, spans.JSON_KEY, "")).otherwise(left)
     values = spans.sought(entries.select("original", "kind", "enabled"), spans.WORD)
     lines = changed.select("sample_id", "line_no", bare.alias("raw"))
-    found = spans.matches(spans.spans(lines, values, spans.WORD, keys=False), values)
+    found = spans.matches(lines, values, spans.WORD, keys=False)
     found = found.select("sample_id", "line_no", "kind", F.lower("original").alias("value")).distinct()
-    return found.join(entries.select(F.lower("alias").alias("value")), "value", "left_anti").select("sample_id", "line_no", "kind", "value")
+    if not placed:
+        found = found.join(entries.select(F.lower("alias").alias("value")), "value", "left_anti")
+    return found.select("sample_id", "line_no", "kind", "value")
+
+
+def released(changed: DataFrame, left: DataFrame) -> DataFrame:
+    """The changed lines with ``withheld``; a line with residue (sample_id, line_no) is withheld and gives out no text."""
+    bad = left.select("sample_id", "line_no").distinct().withColumn("withheld", F.lit(True))
+    rows = changed.join(bad, ["sample_id", "line_no"], "left").withColumn("withheld", F.coalesce("withheld", F.lit(False)))
+    hidden = {c: F.when(~F.col("withheld"), F.col(c)) for c in ("after", "rest") if c in changed.columns}
+    return rows.withColumns(hidden).select("sample_id", "line_no", *hidden, "replaced", "withheld")
 
 
 def coverage(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -58,8 +71,8 @@ def coverage(before: DataFrame, after: DataFrame) -> DataFrame:
         kind.isNotNull() & (value != "") & ~values.is_never(value) & ~F.lower(value).rlike(fixed.RESERVED_DOMAIN) & ~value.rlike(r"^\d+$")
         & ((kind != "ipv4") | values.ipv4_class(value).isin("private", "public", "cgnat", "link-local"))
     )
-    order = Window.partitionBy("field", "identity").orderBy("sample_id", "line_no")
-    first = rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "value")
+    place = F.struct("sample_id", "line_no")
+    first = rows.groupBy("field", "identity").agg(F.min(place).alias("p")).select("field", "identity", "p.*")
     now = after.select("sample_id", "line_no", "field", values.field_value(F.col("value")).alias("now"))
     joined = first.join(now, ["sample_id", "line_no", "field"], "left")
     return joined.select("sample_id", "line_no", "field", F.col("identity").alias("value"), (~F.col("identity").eqNullSafe(F.col("now"))).alias("replaced"))

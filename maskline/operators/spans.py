@@ -1,35 +1,39 @@
-"""Where values stand in lines: candidate spans that a join can look up.
+"""Where values stand in lines: the rarest run of each value looked up, the rest compared in place.
 
 A line is cut by a pattern into runs and what stands between them.  A value is
 cut by the same pattern, so where it occurs between the pattern's boundaries it
-is a number of whole runs with the text between them.  Every such span of the
-lengths that the sought values have becomes one row, to be joined by equality
-on its lower-case text.  Blanks, slashes, ranges and mailboxes inside a value
-need no rule of their own.
+is a number of whole runs with the text between them.  Of each value one run is
+its anchor: the one that fewest other values have.  A bitmap of the anchors'
+hashes, of a fixed size, tells for each run of a line whether it can be one;
+only those become rows, to be joined with the values by equality, and the
+value's other runs are compared in the row.  A line without an anchor gives no
+row.  Blanks, slashes, ranges and mailboxes inside a value need no rule.
 
 Two cuts are used: RUN for replacing and WORD, which is finer, for the proof.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_QUAD = r"(?:\d{1,3}\.){3}\d{1,3}(?![\w$]|\.\w)"
+_QUAD = r"(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\w)"
 _COLONS = r"(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}"
-#: Addresses, which a hyphen may join to others, then words with their dots, hyphens and dollars.
+#: Addresses, which a hyphen may join to others, then words with their dots and hyphens, and one dollar at the end of a word.
 RUN = (
-    rf"(?<![\w.$]){_QUAD}"
-    rf"|(?<![\w:.$])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{{1,4}}:){{5}}){_COLONS}(?![\w:$])"
-    rf"|(?:[\p{{L}}\p{{N}}_.$]|-(?!{_QUAD}|(?:[0-9A-Fa-f]{{1,4}}:){{2}}|[0-9A-Fa-f]{{1,4}}::))++"
+    rf"(?<![\w.]){_QUAD}"
+    rf"|(?<![\w:.])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{{1,4}}:){{5}}){_COLONS}(?![\w:])"
+    rf"|(?:[\p{{L}}\p{{N}}_.]|-(?!{_QUAD}|(?:[0-9A-Fa-f]{{1,4}}:){{2}}|[0-9A-Fa-f]{{1,4}}::))++(?:(?<=[\p{{L}}\p{{N}}_])\$(?![\p{{L}}\p{{N}}_$]|\.[\p{{L}}\p{{N}}_]))?+"
 )
 WORD = r"[\p{L}\p{N}_]++"
+#: What ends a sentence after a run, or marks a machine, and may belong to the value or not.
+TRAIL = r"[.\-$]*$"
 #: The key of a JSON member, with its quotes.
 JSON_KEY = r'"(?:[^"\\]|\\.)*+"(?=\s*:)'
 #: Kinds of value that may be replaced where they are a whole JSON key.
 KEY_KINDS = ["email", "ipv4", "ipv6", "mac"]
+#: Bits of the anchors' map: 64 for each anchor of 2**15; more anchors only make more rows.
+BITS = 21
 
 
 def is_json(raw: Column) -> Column:
@@ -47,54 +51,73 @@ def cut(raw: Column, run: str, keys: bool) -> tuple[Column, Column]:
 
 
 def sought(entries: DataFrame, run: str) -> DataFrame:
-    """Enabled entries with ``low`` (their text from first to last run, lower case), ``n`` runs, ``lead`` and ``tail``."""
+    """Enabled entries with ``low`` (their text from first to last run, lower case), ``n`` runs, ``lead`` and ``tail``,
+    and their ``anchor``, run number ``at``: that which fewest values have, of equals the longest."""
     runs, between = cut(F.col("original"), run, keys=False)
-    rows = entries.where("enabled").withColumns({"n": F.size(runs), "lead": F.element_at(between, 1), "tail": F.element_at(between, -1)})
+    rows = entries.where("enabled").withColumns({"n": F.size(runs), "lead": F.element_at(between, 1), "tail": F.element_at(between, -1), "runs": F.transform(runs, F.lower)})
     body = F.expr("substring(original, length(lead) + 1, length(original) - length(lead) - length(tail))")
-    return rows.where("n > 0").withColumn("low", F.lower(body))
+    rows = rows.where("n > 0").withColumn("low", F.lower(body))
+    single = rows.where("n = 1").withColumns({"anchor": F.get("runs", 0), "place": F.lit(0)}).drop("runs")
+    each = rows.where("n > 1").select("*", F.posexplode("runs").alias("place", "anchor"))
+    times = each.groupBy("anchor").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("original", "kind").orderBy("times", F.desc(F.length("anchor")), "place")
+    best = each.join(times, "anchor").withColumn("r", F.row_number().over(order)).where("r = 1").drop("r", "times", "runs")
+    return single.unionByName(best.select(single.columns))
+
+
+def _slot(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def spans(lines: DataFrame, values: DataFrame, run: str, keys: bool = True) -> DataFrame:
-    """(sample_id, line_no, at, n, hit, cut, key, before, after): spans of as many runs as some value has.
+def _bitmap(values: DataFrame) -> Column:
+    """The slots of all anchors as a constant: 2**BITS bits, whatever their number."""
+    slot = _slot(F.col("anchor"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    words = values.select(F.shiftright(slot, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    found = {r.w: r.b for r in words.collect()}  # at most 2**(BITS - 6) rows
+    return F.from_json(F.lit("[" + ",".join(str(found.get(w, 0)) for w in range(1 << (BITS - 6))) + "]"), "array<bigint>")
 
-    ``cut`` counts trailing dots and hyphens left out of the last run, ``key``
-    says that the span is a JSON key, before and after are the texts around it.
+
+def matches(lines: DataFrame, values: DataFrame, run: str, keys: bool = True) -> DataFrame:
+    """Where the ``sought`` values stand but for case: their columns with (sample_id, line_no, at, n, hit, cut, key).
+
+    ``at`` numbers the first run, ``hit`` is the text from first to last run,
+    ``cut`` counts trailing dots, hyphens and dollars left out of the last run,
+    ``key`` says that the hit is a whole JSON key.
     """
-    bound = values.agg(F.sort_array(F.collect_set("n")), F.max(F.length("lead")), F.max(F.length("tail"))).first()
     runs, between = cut(F.col("raw"), run, keys)
-    rows = lines.select("sample_id", "line_no", runs.alias("runs"), between.alias("between"))
-    lead, tail = bound[1] or 0, bound[2] or 0
-
-    ends = lambda x: x.endswith(".") | x.endswith("-")
-    cut_of = lambda x: F.when(ends(x), F.length(F.regexp_extract(x, r"[.\-]*$", 0))).otherwise(0) if run == RUN else F.lit(0)
-
-    def at(n: int, i: Column) -> Column:
-        last = F.get("runs", i + (n - 1))
-        parts = [x for k in range(n - 1) for x in (F.get("runs", i + k), F.get("between", i + (k + 1)))]
-        whole = F.concat(*parts, last) if n <= 8 else F.concat(F.array_join(F.flatten(F.zip_with(F.slice("runs", i + 1, n - 1), F.slice("between", i + 2, n - 1), lambda a, b: F.array(a, b))), ""), last)
-        key = last.startswith('"') if n == 1 and keys else F.lit(False)
-        hit = F.when(key, F.regexp_replace(whole, '^"|"$', "")).otherwise(whole)
-        return F.struct(
-            i.alias("at"), F.lit(n).alias("n"), hit.alias("hit"), cut_of(last).alias("cut"), key.alias("key"),
-            F.right(F.get("between", i), F.lit(lead)).alias("before"), F.left(F.get("between", i + n), F.lit(tail)).alias("after"),
-        )
-
-    found = []
-    for n in bound[0]:
-        places = F.when(F.size("runs") >= n, F.sequence(F.lit(0), F.size("runs") - n)).otherwise(F.array().cast("array<int>"))
-        found.append(F.transform(places, partial(at, n)))
-    if not found:
-        found = [F.transform(F.array().cast("array<int>"), partial(at, 1))]
-    each = rows.select("sample_id", "line_no", F.explode(F.concat(*found)).alias("s")).select("sample_id", "line_no", "s.*")
-    # The span as it is, and without the dots and hyphens that end a sentence.
-    shorter = F.expr("substring(hit, 1, length(hit) - cut)")
-    both = F.when(F.col("key") | (F.col("cut") == 0), F.array(F.struct("hit", F.lit(0).alias("cut")))).otherwise(
-        F.array(F.struct("hit", F.lit(0).alias("cut")), F.struct(shorter.alias("hit"), "cut"))
-    )
-    return each.select("sample_id", "line_no", "at", "n", "key", "before", "after", F.inline(both))
+    bitmap, trail = _bitmap(values), F.lit(TRAIL)
+
+    def plain(r: Column) -> Column:
+        return F.lower(F.regexp_replace(r, r'^"|"$', "") if keys else r)
+
+    def short(r: Column) -> Column:
+        return F.regexp_replace(r, trail, F.lit(""))
 
+    def may(r: Column) -> Column:
+        slot = _slot(r)
+        return F.getbit(F.get(bitmap, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-def matches(found: DataFrame, values: DataFrame) -> DataFrame:
-    """The spans that are values but for case, with the values' columns."""
-    met = found.join(values.drop("n"), F.lower("hit") == F.col("low"))
-    return met.where(F.col("before").endswith(F.col("lead")) & F.col("after").startswith(F.col("tail")) & ((F.length("tail") == 0) | (F.col("cut") == 0)))
+    places = F.filter(
+        F.transform("runs", lambda r, i: F.struct(plain(r).alias("run"), i.alias("i"))),
+        lambda x: may(x["run"]) | (may(short(x["run"])) if run == RUN else F.lit(False)),
+    )
+    rows = lines.select("sample_id", "line_no", runs.alias("runs"), between.alias("between"))
+    rows = rows.select("*", F.explode(places).alias("p"))
+    texts = F.array(F.col("p.run"), short(F.col("p.run"))) if run == RUN else F.array("p.run")
+    rows = rows.select("*", F.explode(F.array_distinct(texts)).alias("anchor"), F.col("p.i").alias("i")).drop("p")
+    met = rows.join(values, "anchor").withColumn("at", F.col("i") - F.col("place")).where("at >= 0 and at + n <= size(runs)")
+    first = F.greatest("at", F.lit(0))  # slices may be made before the rows are tested
+    inner = F.flatten(F.zip_with(F.slice("runs", first + 1, F.col("n") - 1), F.slice("between", first + 2, F.col("n") - 1), lambda a, b: F.array(a, b)))
+    last = F.get("runs", F.col("at") + F.col("n") - 1)
+    met = met.withColumn("last", last).withColumn("key", (F.col("n") == 1) & F.lit(keys) & F.col("last").startswith('"'))
+    bare = F.when(F.col("key"), F.regexp_replace("last", '^"|"$', "")).otherwise(F.col("last"))
+    met = met.withColumn("whole", F.when(F.col("n") == 1, bare).otherwise(F.concat(F.array_join(inner, ""), F.col("last"))))
+    # As much of the span as the value is long; what is left must be trailing marks.
+    met = met.withColumn("hit", F.expr("left(whole, length(low))")).withColumn("cut", F.expr("length(whole) - length(low)"))
+    fits = (F.lower("hit") == F.col("low")) & (F.col("cut") >= 0)
+    rest = F.expr("substring(whole, length(low) + 1)")
+    fits &= (F.col("cut") == 0) | (rest.rlike(r"^[.\-$]+$") & ~F.col("key") & F.lit(run == RUN))
+    around = F.get("between", F.col("at")).endswith(F.col("lead")) & F.get("between", F.col("at") + F.col("n")).startswith(F.col("tail"))
+    around &= (F.length("tail") == 0) | (F.col("cut") == 0)
+    return met.where(fits & around).drop("runs", "between", "anchor", "i", "place", "last", "whole", "low")

@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt anew where its files give fewer partitions than twice the cores.
+
+    Detection costs far more than reading, and a file of one row group is one
+    task.  Only a small scan has so few partitions, so only a small one moves.
+    """
+    wanted = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
+
+
 def normalised(text: Column) -> Column:
     """One event a line: CRLF to LF, adjacent <Event> elements apart."""
     unix = F.regexp_replace(text, "\r\n?", "\n")

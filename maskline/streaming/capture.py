@@ -54,7 +54,7 @@ def deidentified(stream: DataFrame, out: str, checkpoint: str, salt: str, second
     def batch(rows: DataFrame, number: int) -> None:
         aliases = Mapping(rows.sparkSession, mapping or f"{out.rstrip('/')}-mapping")
         lines = kept(rows.select(F.lit(str(number)).alias("sample_id"), F.xxhash64("raw").alias("line_no"), "raw"))
-        found = kept(plan.entries(detect.everything(lines)))
+        found = kept(plan.collapse_composites(kept(plan.entries(detect.identities(lines)))))
         changed = apply.applied(lines, kept(aliases.aliased(found, salt, number)))
         changed.select("after").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
