@@ -3,7 +3,7 @@
 Several operators need a corpus-wide fact (a count, a smallest document, an
 encoding) for very many keys found in texts.  Shuffling a row for each
 occurrence would move several times the input, and a frequent key would make
-a hot group.  Here documents are dealt into blocks by a hash of their id;
+a hot group.  Here documents are dealt into blocks by a hash of their id and text;
 each block asks about its *distinct* keys, packed into one row for each hash
 bucket of keys; each bucket merges what all blocks sent and answers each block
 in the order asked.  A key weighs at most one entry for each block however
@@ -88,10 +88,11 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, n_blocks: int) -> Dat
     """The rows dealt into blocks, as (_block, _docs): compressed Arrow bundles.
 
     A bundle holds the rows of one block out of one batch, so the exchange
-    moves well-compressed columns.  A null text counts as empty.
+    moves well-compressed columns.  A null text counts as empty.  Rows are dealt
+    by id and text, so that null or equal ids don't meet in one block.
     """
     dealt = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))).withColumn(
-        "_block", F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int")
+        "_block", F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_blocks)).cast("int")
     )
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,7 +43,27 @@ TEXT_WEIGHT = 0.1
 SMOOTHING = 8.0
 LEVELS = ["host", "domain", "suffix"]
 
-_MARKUP = re.compile(rb"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+_OPENS = re.compile(rb"<(script|style)\b", re.I)
+_CLOSES = {x: re.compile(rb"</" + x + rb"\s*>", re.I) for x in (b"script", b"style")}
+
+
+def without_markup(page: bytes) -> bytes:
+    """The page with a blank for each tag, and for each script or style with what it holds.
+
+    Linear: what has no end is looked for once, and each end is found from its beginning.
+    """
+    out, at, never = [], 0, set()
+    while (low := page.find(b"<", at)) >= 0:
+        name = (m := _OPENS.match(page, low)) and m[1].lower()
+        close = _CLOSES[name].search(page, low) if name and name not in never else None
+        if name and not close:
+            never.add(name)
+        high = close.end() if close else page.find(b">", low) + 1
+        if not high:
+            break
+        out += [page[at:low], b" "]
+        at = high
+    return b"".join([*out, page[at:]])
 
 
 def _trigrams(data: np.ndarray) -> np.ndarray:
@@ -90,7 +110,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
 def _scores(column, model: np.ndarray, markup: bool) -> np.ndarray:
     """Log likelihoods, a row for each text."""
     if markup:
-        texts = [_MARKUP.sub(b" ", (x or "").encode()).decode(errors="ignore") for x in column.to_pylist()]
+        texts = [without_markup((x or "").encode()).decode(errors="ignore") for x in column.to_pylist()]
         column = pa.array(texts, pa.string())
     out = np.zeros((len(column), len(model)))
     for chunk in tx.chunks(column):

@@ -13,6 +13,9 @@ id; the windows are those of the input.  Shuffled: the texts once, about one
 byte for each window and sketch row, and about 24 bytes for each distinct
 window of a block that is estimated repeated.
 
+Ids may be of any type that has an order: those that are no whole numbers are
+numbered in their order first, in a sort of the distinct ids.
+
 Defined cases: null text is empty; rows that share an id keep each other's
 windows; a null id counts as the largest id; texts shorter than a window stay
 whole; an empty table gives an empty result; further columns pass through,
@@ -29,6 +32,7 @@ from pyspark.sql import types as T
 
 from maskline.llm import blocks as bl
 from maskline.llm import text as tx
+from maskline.llm.store import stored
 
 WINDOW = 50
 DEPTH = 2
@@ -74,6 +78,11 @@ def substring_dedup(
     Kept words are joined by one space; with ``join_all`` false, texts from
     which nothing goes stay as they are.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        ids = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(id_col)
+        numbered = stored(ids.withColumn("_number", F.monotonically_increasing_id()))
+        found = substring_dedup(docs.drop("_number").join(numbered, id_col, "left"), "_number", text_col, window, join_all)
+        return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_removed")], "n_words", "n_removed")
     size = bl.text_bytes(docs, text_col)
     n_blocks = bl.block_count(size)
     n_buckets = bl.power_of_two(n_blocks)

@@ -336,3 +336,27 @@ def test_language(spark, docs, empty):
     assert got.where("lang <> truth").count() == 0
     assert language_id.identify(docs, model, "doc_id", "text", host_col="source").count() == docs.count()
     assert language_id.identify(empty, model, "doc_id", "text").count() == 0
+
+
+def test_markup_is_taken_off_in_linear_time():
+    plain = re.compile(rb"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+    draw = random.Random(2)
+    parts = [b"<script>", b"</script>", b"<style x>", b"</STYLE >", b"<p>", b"<", b">", b"a", b" b ", b"<a href='x'>", b"</script", b"<scripty>"]
+    for _ in range(3000):
+        page = b"".join(draw.choices(parts, k=draw.randrange(12)))
+        assert language_id.without_markup(page) == plain.sub(b" ", page), page
+    began = time.time()
+    for page in (b"<script>" * 200_000, b"<a " * 500_000, b"<style>" * 100_000 + b"<script></script>" * 100_000):
+        language_id.without_markup(page)
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(10,2)", "int"])
+def test_substring_ids_of_any_type(spark, kind):
+    draw = random.Random(4)
+    shared = [f"s{i}" for i in range(70)]
+    rows = [(i, " ".join([f"d{i}w{k}" for k in range(draw.randrange(30))] + (shared if i % 3 else []) + [f"e{i}"])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "n int, text string").select(F.col("n").cast(kind).alias("doc_id"), "text", F.col("n").alias("n_words"))
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs).collect()}
+    first = min((r.doc_id for r in docs.collect() if " s0 " in f" {r.text} "))
+    assert got == {r.doc_id: 70 if " s0 " in f" {r.text} " and r.doc_id != first else 0 for r in docs.collect()}

@@ -150,3 +150,14 @@ def test_stages_keep_other_columns_and_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.tokens(spark, docs, SF).where(F.col("n_tokens") == 0).count() == 2
+
+
+def test_an_id_of_two_texts_loses_none(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    for kind in ("long", "string"):
+        rows = spark.createDataFrame([(3, one), (5, one), (5, two), (5, two), (-7, two + " more"), (None, one)], "doc_id long, text string")
+        docs = rows.select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
+        got = sorted((str(r.doc_id), r.text[:2]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+        assert got == [("-7", "b0"), ("3", "a0"), ("None", "a0")]
+    rows = spark.createDataFrame([(3, one), (5, one), (5, two)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, rows, SF).collect()) == [(3, one), (5, two)]
