@@ -15,6 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskline.llm import byte_bpe, decontamination, minhash_dedup, quality_rules, queries, store, substring_dedup
 
@@ -34,22 +35,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept_rows(docs)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """The documents with ``_key``, a text in the order of the ids that tells rows of one id and unlike texts apart; null without an id."""
+    kind = docs.schema["doc_id"].dataType
+    number = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    name = number if isinstance(kind, T.IntegralType) else F.concat(F.col("doc_id").cast("string"), F.lit("\x00"))
+    return docs.withColumn("_key", F.concat(name, F.sha2(F.coalesce("text", F.lit("")), 256)))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each class of near-duplicates.
 
-    An id names one text: rows with equal id and text are one document.  Rows
-    without words or without an id are classes of their own and stay; a text of
-    fewer than five words is like its equals only; the least id settles ties.
+    Rows with equal id and text are one document; rows that share an id and not
+    their text are documents of their own, and each goes or stays by its own
+    class.  Rows without words or without an id are classes of their own and
+    stay; a text of fewer than five words is like its equals only; the least id
+    settles ties.
     """
     store.small_batches(spark)
-    classes = minhash_dedup.near_duplicates(docs)
-    out = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    kept = docs.join(out, "doc_id", "left_anti")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if twice.isEmpty():  # ids name rows, as they should
-        return kept.select([F.col(f"`{c}`") for c in docs.columns])
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(again).select([F.col(f"`{c}`") for c in docs.columns])
+        classes = minhash_dedup.near_duplicates(docs)
+        out = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id")
+        return docs.join(out, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    keyed = _named(_shielded(docs))
+    classes = minhash_dedup.near_duplicates(keyed.select("_key", "text"), "_key")
+    out = classes.where(~F.col("_key").eqNullSafe(F.col("class_id"))).select("_key").distinct()
+    kept = keyed.join(out, "_key", "left_anti")
+    one = kept.where("_key is not null").dropDuplicates(["_key"]).unionByName(kept.where("_key is null"))
+    return one.drop("_key").toDF(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
