@@ -61,15 +61,20 @@ def _rebuilt(name: str) -> Column:
     return pieces, F.array_join(F.transform(F.sequence(F.lit(0), F.size("picks")), part), "")
 
 
-def applied(lines: DataFrame, entries: DataFrame) -> DataFrame:
-    """The lines with ``after``, ``rest`` (after with each alias blanked) and the number of hits replaced."""
+def picked(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """(sample_id, line_no, picks): the hits of each line that win, in order."""
     found = replacements(lines, entries)
     hit = F.struct(
         "at", (-F.col("n")).alias("longest"), (-(F.col("lead") + F.col("tail"))).alias("widest"), (~F.col("exact")).alias("loose"),
-        F.col("cut").alias("shortest"), "alias", "n", "cut", "key", "lead", "tail", F.lit(BLANK).alias("blank"),
+        F.col("cut").alias("shortest"), "alias", "n", "cut", "key", "lead", "tail", F.lit(BLANK).alias("blank"), "original", "kind",
     )
     hits = found.groupBy("sample_id", "line_no").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-    hits = hits.select("sample_id", "line_no", _picked(F.col("hits")).alias("picks"))
+    return hits.select("sample_id", "line_no", _picked(F.col("hits")).alias("picks"))
+
+
+def applied(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """The lines with ``after``, ``rest`` (after with each alias blanked) and the number of hits replaced."""
+    hits = picked(lines, entries)
     runs, between = spans.cut(F.col("raw"), spans.RUN, keys=True)
     rows = lines.join(hits, ["sample_id", "line_no"], "left")
     some = F.col("picks").isNotNull()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.functions import values
-from maskline.operators import apply, checks, detect, guards, ladder, mint, parsers, patterns, plan, prove, recognise, signatures, vendors
+from maskline.operators import apply, checks, detect, guards, ladder, marks, mint, parsers, patterns, picks, plan, profiles, prove, recognise, registry, secret_rules, signatures, vendors
 from maskline.plans import render
 from maskline.sources import library, lines as src
 from maskline.sources.store import kept
@@ -446,6 +446,61 @@ def pattern_count(spark, d):
     return patterns.count_matches(order_lines(spark, d), patterns.from_selection("o_orderstatus=F"))
 
 
+@query("""SELECT event_id AS line_no, ': port ' || event_id || ' by person' || user_id AS context, CAST(length(event_type) AS INT) AS prog_len,
+    CAST(length(CAST(event_id AS VARCHAR)) AS INT) AS pid_len, true AS unlike, CAST(2 AS INT) AS replaced FROM events""")
+def pattern_picks(spark, d):
+    """Two groups of one match get aliases of their shape; the same number later in the line, and all else, stays."""
+    line = F.concat("event_type", F.lit("["), F.col("event_id"), F.lit("]: port "), F.col("event_id"), F.lit(" by person"), F.col("user_id"))
+    lines = kept(render.as_lines(src.spread(table(spark, d, "events")), "events", "event_id", line))
+    found = kept(picks.found(lines, [(r"(?<prog>\w+)\[(?<pid>\d+)\]", ["pid", "prog"])]))
+    none = spark.createDataFrame([], "original string, alias string, kind string, enabled boolean")
+    after = picks.applied(lines, found, kept(picks.aliases(found, SALT)), none)
+    now, was = (F.regexp_extract(c, r"^(\w+)\[(\d+)\](.*)$", k) for c, k in (("after", 1), ("raw", 1)))
+    part = lambda c, k: F.regexp_extract(c, r"^(\w+)\[(\d+)\](.*)$", k)
+    unlike = (now != was) & (part("after", 2) != part("raw", 2))
+    return after.select("line_no", part("after", 3).alias("context"), F.length(part("after", 1)).alias("prog_len"), F.length(part("after", 2)).alias("pid_len"), unlike.alias("unlike"), "replaced")
+
+
+@query("""SELECT match, count(*) AS "count", true AS rest_stays FROM (SELECT event_type || '[' || (user_id % 50) || ']' AS match FROM events) GROUP BY match""")
+def pick_entries(spark, d):
+    """One entry for each distinct match; its alias differs in the chosen group alone."""
+    line = F.concat("event_type", F.lit("["), F.col("user_id") % 50, F.lit("]: ok"))
+    found = kept(picks.found(render.as_lines(src.spread(table(spark, d, "events")), "events", "event_id", line), [(r"(?<prog>\w+)\[(?<pid>\d+)\]", ["pid"])]))
+    entries = picks.entries(found, kept(picks.aliases(found, SALT)))
+    head = lambda c: F.regexp_replace(c, r"\d+", "")
+    return entries.select(F.col("original").alias("match"), "count", (head("original") == head("alias")).alias("rest_stays"))
+
+
+def _known_users(spark, d):
+    """Lines of events that name a person twice and a host, and entries with aliases of other lengths; every third host is off."""
+    u = F.col("user_id")
+    events = src.spread(table(spark, d, "events"))
+    line = F.concat(F.lit("by person"), u, F.lit(" on srv"), u, F.lit(".corp: person"), u, F.lit(" left"))
+    person = F.struct(F.concat(F.lit("person"), u).alias("original"), F.concat(F.lit("p"), u).alias("alias"), F.lit("user").alias("kind"), F.lit(True).alias("enabled"))
+    off = F.concat(F.lit("machine-"), u, F.lit(".example.com"))
+    host = F.struct(F.concat(F.lit("srv"), u, F.lit(".corp")).alias("original"), off.alias("alias"), F.lit("host").alias("kind"), (u % 3 != 0).alias("enabled"))
+    return kept(render.as_lines(events, "events", "event_id", line)), kept(events.select(F.inline(F.array(person, host))).distinct())
+
+
+MARKED_USERS = """e AS (SELECT event_id AS line_no, user_id AS u, CAST(length(CAST(user_id AS VARCHAR)) AS INT) AS n FROM events)"""
+
+
+@query(f"""WITH {MARKED_USERS} SELECT line_no, 3 AS start, 9 + n AS finish, 'person' || u AS original, true AS enabled FROM e
+    UNION ALL SELECT line_no, 13 + n, 21 + 2 * n, 'srv' || u || '.corp', u % 3 <> 0 FROM e
+    UNION ALL SELECT line_no, 23 + 2 * n, 29 + 3 * n, 'person' || u, true FROM e""")
+def marked_spans(spark, d):
+    return marks.marked(*_known_users(spark, d)).select("line_no", "start", "finish", "original", "enabled")
+
+
+@query(f"""WITH {MARKED_USERS} SELECT line_no, 3 AS start, 9 + n AS finish, 3 AS after_start, 4 + n AS after_finish FROM e
+    UNION ALL SELECT line_no, 13 + n, 21 + 2 * n, 8 + n, 28 + 2 * n FROM e WHERE u % 3 <> 0
+    UNION ALL SELECT line_no, 23 + 2 * n, 29 + 3 * n, CASE WHEN u % 3 <> 0 THEN 30 + 2 * n ELSE 18 + 2 * n END, CASE WHEN u % 3 <> 0 THEN 31 + 3 * n ELSE 19 + 3 * n END FROM e""")
+def span_map(spark, d):
+    """Places before and after; the pieces after are the aliases."""
+    lines, entries = _known_users(spark, d)
+    return marks.mapped(lines, entries).select("line_no", "start", "finish", "after_start", "after_finish")
+
+
 @query()
 def deidentify_documents(spark, d):
     """Lines of all documents with every identifier replaced; a line that the proof still objects to is withheld. The flagship."""
@@ -534,6 +589,110 @@ def replacement_counts(spark, d):
     return apply.counts(lines, found.where("kind in ('ipv4', 'user')")).groupBy("kind").agg(F.sum("replaced").cast("long").alias("replaced"))
 
 
+# Samples of events: one for each event type and user modulo five, whose lines have the keys of their class.
+SAMPLE_KEYS = {
+    0: ["srcip", "dstip", "policyid", "devname"], 1: ["srcip", "dstip", "other", "more"], 2: ["query", "answer", "rcode"],
+    3: ["src", "spt", "dst", "dpt", "act"], 4: ["x1", "x2", "x3"],
+}
+EXPECTED = [
+    ("fortinet_fortigate", "kvp", ["cef"], ["srcip", "dstip", "srcport", "dstport", "policyid", "devname", "logid", "action"], [], False, False),
+    ("infoblox_dns", "kvp", [], ["query", "answer", "rcode"], [], False, False),
+    ("plain_text", "unstructured", [], [], [r"seen \d+ times"], True, False),
+    ("json_only", "json", [], ["srcip"], [], False, False),
+]
+KNOWN_TYPES = [
+    ("flow", [], ["src", "spt", "dst", "dpt", "act", "proto"], None), ("dns", [], ["query", "answer", "rcode", "ttl"], None),
+    ("firewall", [], ["srcip", "dstip", "policyid", "srcport"], None), ("wide", [], ["srcip", "dstip", "policyid", "devname", "src", "dst", "query"], None),
+    ("few", [], ["src", "dst"], None), ("counter", [r"^(?<kind>\w+) seen (?<n>\d+) times$"], [], None), ("envelope", [r"^(?<host>\w+) (?<message>.*)$"], [], None),
+]
+
+
+def _keyed_samples(spark, d) -> DataFrame:
+    """Samples named <event type>-<class>; class 5 holds plain text."""
+    k = F.col("user_id") % 6
+    line = F.concat(F.col("event_type"), F.lit(" seen "), F.col("event_id"), F.lit(" times"))
+    for n, keys in SAMPLE_KEYS.items():
+        line = F.when(k == n, F.concat_ws(" ", *[F.concat(F.lit(f"{x}=v"), F.col("user_id")) for x in keys])).otherwise(line)
+    rows = src.spread(table(spark, d, "events"))
+    return rows.select(F.concat_ws("-", "event_type", k).alias("sample_id"), F.col("event_id").alias("line_no"), line.alias("raw"))
+
+
+@query("""WITH s AS (SELECT DISTINCT event_type || '-' || (user_id % 6) AS sample_id, user_id % 6 AS k FROM events)
+    SELECT sample_id, sourcetype, CASE WHEN sourcetype = 'nobody_knows' THEN 'unknown'
+      WHEN (sourcetype, k) IN (('fortinet_fortigate', 0), ('infoblox_dns', 2), ('plain_text', 5)) THEN 'match' ELSE 'mismatch' END AS verdict
+    FROM s, (VALUES ('fortinet_fortigate'), ('infoblox_dns'), ('plain_text'), ('json_only'), ('nobody_knows')) t(sourcetype)""")
+def source_expectations(spark, d):
+    """Every sample asked about five names: four of eight critical keys, all of three, a pattern, a form that isn't there."""
+    lines = kept(_keyed_samples(spark, d))
+    registry_rows = spark.createDataFrame(EXPECTED, registry.EXPECTATIONS)
+    asked = F.explode(F.array(*[F.lit(x[0]) for x in EXPECTED], F.lit("nobody_knows")))
+    return registry.verdicts(lines, lines.select("sample_id").distinct().withColumn("sourcetype", asked), registry_rows)
+
+
+@query("SELECT DISTINCT event_type || '-5' AS sample_id, 'plain_text' AS sourcetype FROM events WHERE user_id % 6 = 5")
+def golden_signature(spark, d):
+    return registry.golden(kept(_keyed_samples(spark, d)), spark.createDataFrame(EXPECTED, registry.EXPECTATIONS))
+
+
+_SETS = lambda rows: ", ".join(f"('{a}', [{', '.join(repr(x) for x in b)}])" for a, b in rows)
+
+
+@query(f"""WITH c(k, keys) AS (VALUES {", ".join(f"({k}, [{', '.join(map(repr, v))}])" for k, v in SAMPLE_KEYS.items())}),
+    t(datatype, fields) AS (VALUES {_SETS((x[0], x[2]) for x in KNOWN_TYPES if x[2])}),
+    s AS (SELECT DISTINCT event_type || '-' || k AS sample_id, keys FROM events JOIN c ON user_id % 6 = k)
+    SELECT sample_id, datatype, CAST(len(list_intersect(keys, fields)) AS INT) AS hit, len(list_intersect(keys, fields)) / len(keys) AS share
+    FROM s, t WHERE len(list_intersect(keys, fields)) >= 3 AND len(list_intersect(keys, fields)) >= 0.6 * len(keys)""")
+def datatype_overlaps(spark, d):
+    """Found by the rarest keys; the SQL looks at all pairs."""
+    samples = registry.fingerprints(kept(_keyed_samples(spark, d))).select("sample_id", "keys")
+    return registry.overlaps(samples, spark.createDataFrame(KNOWN_TYPES, registry.DATATYPES))
+
+
+@query("""WITH s AS (SELECT DISTINCT event_type || '-' || (user_id % 6) AS sample_id, user_id % 6 AS k FROM events)
+    SELECT sample_id, CASE k WHEN 0 THEN 'wide' WHEN 2 THEN 'dns' WHEN 3 THEN 'flow' ELSE 'counter' END AS datatype, CAST(1 AS DOUBLE) AS confidence,
+    CASE k WHEN 5 THEN 'regex' ELSE 'fields' END AS method FROM s WHERE k IN (0, 2, 3, 5)""")
+def datatype_match(spark, d):
+    return registry.datatype(kept(_keyed_samples(spark, d)), spark.createDataFrame(KNOWN_TYPES, registry.DATATYPES))
+
+
+@query("""SELECT p_name AS name, profile FROM (SELECT p_name, profile, row_number() OVER (PARTITION BY p_name ORDER BY rank) AS r
+    FROM (SELECT DISTINCT p_name FROM part) p JOIN (SELECT n_nationkey AS rank, 'profile-' || n_nationkey AS profile, lower(left(n_name, 1 + n_nationkey % 3)) AS part FROM nation) n
+    ON contains(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_'), part)) WHERE r = 1""")
+def hint_profiles(spark, d):
+    """Parts' names against profiles whose parts are beginnings of nations' names, of one to three letters."""
+    n = table(spark, d, "nation")
+    part = F.expr("left(n_name, 1 + cast(n_nationkey % 3 as int))")
+    rows = n.select(F.col("n_nationkey").cast("int").alias("rank"), F.concat(F.lit("profile-"), "n_nationkey").alias("profile"), F.array(part).alias("match"), *[F.array().cast("array<string>").alias(c) for c in ("identity_fields", "never")], F.lit("").alias("note"))
+    return profiles.matched(table(spark, d, "part").select(F.col("p_name").alias("name")), rows)
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 6 AS k, lpad(CAST(user_id AS VARCHAR), 8, '4') AS num, md5(CAST(user_id AS VARCHAR)) AS hex FROM events)
+    SELECT event_id AS line_no, 'one-time-code' AS rule, num AS value FROM e WHERE k = 0
+    UNION ALL SELECT event_id, 'connection', 'p' || num FROM e WHERE k = 2 UNION ALL SELECT event_id, 'hex-key', hex FROM e WHERE k = 3
+    UNION ALL SELECT event_id, 'issued-3', 'ghp_' || hex FROM e WHERE k = 5""")
+def secret_rule_hits(spark, d):
+    """Planted secrets, and near misses: the word too far before the number, no word at all."""
+    k, num, hex_ = F.col("event_id") % 6, F.lpad(F.col("user_id").cast("string"), 8, "4"), F.md5(F.col("user_id").cast("string").cast("binary"))
+    far = F.lit(" and then a good deal of other words come ")
+    line = (
+        F.when(k == 0, F.concat(F.lit("Your OTP: "), num)).when(k == 1, F.concat(F.lit("otp"), far, num))
+        .when(k == 2, F.concat(F.lit("open postgres://svc:p"), num, F.lit("@db.internal/x"))).when(k == 3, F.concat(F.lit("api_key="), hex_))
+        .when(k == 4, F.concat(F.lit("order "), num)).otherwise(F.concat(F.lit("pushed with ghp_"), hex_))
+    )
+    lines = render.as_lines(src.spread(table(spark, d, "events")), "e", "event_id", line)
+    return secret_rules.findings(lines, secret_rules.defaults(lines)).select("line_no", "rule", "value")
+
+
+@query("""SELECT event_id AS line_no, repeat(event_type || ' ', 400) AS msg, 'u' || user_id AS "user", repeat(event_type || ' x ', 300) || 'end' AS note FROM events""")
+def long_values(spark, d):
+    """Pairs and CEF extensions with values of some thousand characters."""
+    rows = src.spread(table(spark, d, "events"))
+    pairs = parsers.kvp(F.concat(F.lit('a=1 msg="'), F.expr("repeat(concat(event_type, ' '), 400)"), F.lit('" user=u'), F.col("user_id")))
+    cef = parsers.cef(F.concat(F.lit("CEF:0|v|p|1|7|n|5|note="), F.expr("repeat(concat(event_type, ' x '), 300)"), F.lit("end suid="), F.col("user_id")))
+    msg = F.concat(pairs["msg"], F.lit(" "))  # blanks at the ends of a value go
+    return rows.select(F.col("event_id").alias("line_no"), msg.alias("msg"), pairs["user"].alias("user"), cef["note"].alias("note"))
+
+
 # Lines of vendors' layouts made from events: the pieces of each line, a column's name in braces.
 VENDOR_LINES = {
     "fortinet_fortigate": (
