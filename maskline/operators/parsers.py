@@ -41,16 +41,16 @@ def kvp(raw: Column, pattern: str = _PAIR) -> Column:
 
 def numbered(pattern: str) -> str:
     """The pattern with its named groups as plain ones."""
-    return re.sub(r"\(\?<[A-Za-z]\w*>", "(", pattern)
+    return re.sub(r"\(\?<[A-Za-z_]\w*>", "(", pattern)
 
 
-def regex(raw: Column, pattern: str) -> Column:
-    """Named groups of the first match, the last of equal names; empty where it doesn't match."""
-    names = [n for n in re.findall(r"\(\?<([A-Za-z]\w*)>", pattern)]
+def regex(raw: Column, pattern: str, scratch: bool = False) -> Column:
+    """Named groups of the first match, the last of equal names, those of two underscores if asked for; empty where it doesn't match."""
+    names = [n for n in re.findall(r"\(\?<([A-Za-z_]\w*)>", pattern)]
     plain = numbered(pattern)
     if re.sub(r"\\.|\[[^\]]*\]", "", plain).replace("(?", "").count("(") != len(names):
         raise ValueError("every capturing group needs a name")
-    last = {n: i for i, n in enumerate(names, 1) if not n.startswith("__")}
+    last = {n: i for i, n in enumerate(names, 1) if scratch or not n.startswith("__")}
     pairs = [x for n, i in last.items() for x in (F.lit(n), F.regexp_extract(raw, plain, i))]
     return F.when(raw.rlike(plain), F.create_map(*pairs)).otherwise(F.create_map().cast("map<string,string>"))
 

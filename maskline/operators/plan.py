@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskline.functions import values
+from maskline.operators import apply, mint, parsers, prove
+from maskline.sources.store import kept
 
 
 def entries(hits: DataFrame) -> DataFrame:
@@ -37,11 +39,51 @@ def with_literals(found: DataFrame, lines: DataFrame, literals: list[str]) -> Da
 
 
 def collapse_composites(found: DataFrame) -> DataFrame:
-    """Values joined by : or / whose parts are entries themselves go."""
+    """Values with : or / whose parts are entries themselves go; the parts of one that was enabled are enabled."""
     whole = found.where(F.col("original").rlike("[:/]") & ~F.col("kind").isin("ipv6", "mac", "secret", "custom"))
-    parts = whole.select("original", F.explode(F.split("original", "[:/]")).alias("part")).where(F.length("part") > 2)
+    parts = whole.select("original", "enabled", F.explode(F.array_distinct(F.split("original", r"[^\w.$\-]+"))).alias("part")).where("length(part) > 2 and part <> original")
     known = parts.join(found.select(F.col("original").alias("part")), "part", "left_semi")
-    return found.join(known.select("original").distinct(), "original", "left_anti")
+    ticked = known.where("enabled").select(F.col("part").alias("original")).distinct().withColumn("_ticked", F.lit(True))
+    left = found.join(known.select("original").distinct(), "original", "left_anti").join(ticked, "original", "left")
+    return left.withColumn("enabled", F.col("enabled") | F.coalesce("_ticked", F.lit(False))).select(found.columns)
+
+
+def with_gaps(found: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Entries and the values (field, value) that the coverage proof still names, enabled, of the kind that value and field say."""
+    v, named = F.col("value"), values.field_kind(F.col("field"))
+    kind = (
+        F.when(values.ipv4_class(v).isNotNull(), "ipv4").when(v.rlike(r"(?i)^(?!\d+\.)[a-z0-9\-]+(\.[a-z0-9\-]+)*\.[a-z]{2,}$"), "fqdn")
+        .when(named.isin("user", "host") & v.rlike(r"^[\w.@\-]+$"), named).otherwise("pii")
+    )
+    said = gaps.where("value <> ''").groupBy("value").agg(F.min_by(F.struct(kind.alias("kind"), "field"), "field").alias("g"), F.count("*").alias("count"))
+    new = said.select(
+        F.col("value").alias("original"), F.col("g.kind").alias("kind"), F.concat(F.lit("parsed field "), "g.field").alias("via"), "count",
+        F.when(F.col("g.kind") == "ipv4", values.ipv4_class(F.col("value"))).alias("ip_class"), F.lit(True).alias("enabled"),
+    )
+    on = found.where("enabled").select("original")
+    new = new.join(on, "original", "left_anti")
+    return found.join(new.select("original"), "original", "left_anti").unionByName(new)
+
+
+def closed(lines: DataFrame, found: DataFrame, salt: str, read=parsers.named_values) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, changed, gaps): plan, apply and proof in turn until the proof of fields names no gap, or the same gaps again.
+
+    ``read`` gives the fields (sample_id, line_no, field, value) of lines.  Each turn
+    adds all gaps at once, so turns are few: a gap is new only where parts of a
+    composite were collapsed, or a value was hidden inside another.
+    """
+    before = kept(read(lines))
+    seen = -1
+    while True:
+        entries = kept(mint.with_aliases(kept(collapse_composites(found)), salt))
+        changed = kept(apply.applied(lines, entries))
+        proof = prove.coverage(before, read(changed.select("sample_id", "line_no", F.col("after").alias("raw"))))
+        gaps = kept(proof.where("not replaced").select("sample_id", "line_no", "field", "value"))
+        n = gaps.count()
+        if not n or n == seen:
+            return entries, changed, gaps
+        seen = n
+        found = kept(with_gaps(entries.drop("alias"), gaps))
 
 
 def census(pairs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.functions import values
-from maskline.operators import apply, checks, detect, guards, ladder, marks, mint, parsers, patterns, picks, plan, profiles, prove, recognise, registry, secret_rules, signatures, vendors
+from maskline.operators import apply, checks, detect, guards, ladder, marks, mint, parsers, patterns, picks, plan, prefixed, profiles, prove, recognise, registry, secret_rules, signatures, steps, vendors
 from maskline.plans import render
 from maskline.sources import library, lines as src
 from maskline.sources.store import kept
@@ -772,6 +772,95 @@ def recognition_ladder(spark, d):
     return sources.select("sample_id", "sourcetype", "tier").join(proof, "sample_id")
 
 
+#: The layouts of three sources as steps, which give the same fields as the layouts.
+STEPS = {
+    "fortinet_fortigate": [
+        {"id": "serde", "type": "kvp"}, {"id": "comment"},
+        {"id": "eval", "add": {"src_ip": "srcip src", "dest_ip": "dstip", "dest_port": "dstport", "host": "devname devid", "policy_id": "policyid"}},
+    ],
+    "linux_secure": [
+        {"id": "regex_extract", "regex": r"^<\d+>\w+\s+\d+ [\d:]+ (?<host>\S+) (?<process>[^\s\[:]+)\[(?<pid>\d+)\]: (?<__message>.*)$"},
+        {"id": "regex_extract", "source": "__message", "regex": r"^(?<action>\w+) \S+ for (?<user>\S+) from (?<src_ip>\S+)", "when": {"field": "process", "equals": "sshd"}},
+        {"id": "rename", "names": {"process": "app"}, "final": True}, {"id": "eval", "set": {"host": "never"}},
+    ],
+    "zeek_conn": [
+        {"id": "regex_extract", "regex": r"(?<__body>\{.*)$"}, {"id": "serde", "type": "json", "source": "__body"},
+        {"id": "eval", "add": {"src_ip": "id.orig_h", "dest_port": "id.resp_p", "session_id": "uid", "transport": "proto"}, "remove": ["uid", "proto"]},
+    ],
+}
+
+
+def _steps_query(source: str) -> None:
+    line, fields = VENDOR_LINES[source]
+
+    def run(spark, d):
+        rows = render.as_lines(src.spread(table(spark, d, "events")), source, "event_id", _vendor_line(line))
+        return steps.run(rows, STEPS[source]).select("line_no", *[F.col("fields")[x].alias(x) for x in fields])
+
+    run.__name__ = f"steps_{source}"
+    query("SELECT event_id AS line_no, " + ", ".join(f"{_vendor_sql(v)} AS {k}" for k, v in fields.items()) + " FROM events")(run)
+
+
+for _source in STEPS:
+    _steps_query(_source)
+
+
+@query("""SELECT event_id AS line_no, CAST(i AS INT) AS item, 'v' || (user_id + i) AS value, CASE WHEN i = 0 THEN 'first' END AS place FROM events, unnest(range(0, 2 + user_id % 2)) t(i)""")
+def steps_unroll(spark, d):
+    """A list of each event unrolled to rows, and a lookup on what came of it."""
+    u = F.col("user_id")
+    items = F.transform(F.sequence(F.lit(0).cast("long"), 1 + u % 2), lambda i: F.struct(F.concat(F.lit("v"), u + i).alias("v"), i.cast("string").alias("n")))
+    rows = render.as_lines(src.spread(table(spark, d, "events")), "list", "event_id", F.to_json(F.struct(items.alias("items"))))
+    plan_ = [
+        {"id": "serde", "type": "json"}, {"id": "unroll", "source": "items", "into": "item"}, {"id": "flatten", "source": "item"},
+        {"id": "lookup", "source": "item.n", "table": {"0": "first"}, "into": "place"},
+    ]
+    return steps.run(rows, plan_).select("line_no", "item", F.col("fields")["item.v"].alias("value"), F.col("fields")["place"].alias("place"))
+
+
+@query("""SELECT event_id AS line_no, CAST(i AS INT) AS item, true AS whole, 'user' || user_id AS "user", 'h' || i AS terminal, '10.0.0.' || (user_id % 250) AS ip
+    FROM events, unnest(range(0, 1 + event_id % 3)) t(i) UNION ALL
+    SELECT event_id, CAST(1 + event_id % 3 AS INT), false, 'user' || user_id, NULL, NULL FROM events WHERE event_id % 5 = 0""")
+def prefixed_records(spark, d):
+    """Records of length-prefixed values, one to three a line, and a truncated one behind some."""
+    u, e = F.col("user_id"), F.col("event_id")
+    user, time = F.concat(F.lit("user"), u), F.lit("20240102030405")
+    one = lambda i: prefixed.rendered(F.lit("AU1"), time, F.lit("100"), F.lit("PRD"), user, F.lit("D"), F.lit("SAPMSYST"), F.concat(F.lit("h"), i), F.concat(F.lit("10.0.0."), u % 250), F.lit(""))
+    cut = F.expr("left(t, length(t) - 3)")
+    short = prefixed.rendered(F.lit("AU2"), time, F.lit("100"), F.lit("PRD"), user, F.lit("dialogue"))
+    whole = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), e % 3), one), "")
+    rows = src.spread(table(spark, d, "events")).withColumn("t", short)
+    lines = render.as_lines(rows, "sal", "event_id", F.concat(whole, F.when(e % 5 == 0, cut).otherwise("")))
+    f = F.col("fields")
+    return prefixed.records(lines).select("line_no", "item", "whole", *[f[x].alias(x) for x in ("user", "terminal", "ip")])
+
+
+@query("""SELECT count(DISTINCT user_id) AS hidden, CAST(0 AS BIGINT) AS gaps, true AS ends FROM events""")
+def coverage_closed(spark, d):
+    """Users known by a field alone, left out of the plan: the proof names them, they are added, and no gap is left."""
+    line = F.concat(F.lit("user=Tina"), F.col("user_id"), F.lit(" action="), F.col("event_type"))
+    lines = kept(render.as_lines(src.spread(table(spark, d, "events")), "e", "event_id", line))
+    found = kept(plan.entries(detect.everything(lines)))
+    entries, _, gaps = plan.closed(lines, found, SALT)
+    return entries.agg(F.count("*").alias("hidden")).join(gaps.agg(F.count("*").alias("gaps"), (F.count("*") == 0).alias("ends")))
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 1 THEN 'fingerprint' WHEN 2 THEN 'stored under another key' WHEN 3 THEN 'too large' WHEN 4 THEN 'provenance' WHEN 5 THEN 'not JSON' END AS reason,
+    CASE WHEN c_custkey % 6 = 0 THEN c_name END AS event FROM customer""")
+def stored_documents(spark, d):
+    """Documents wrapped in a JSON string: tampered, under a foreign key, too large, without provenance, no JSON, and good ones."""
+    k = F.col("c_custkey") % 6
+    events = F.array(F.when(k == 3, F.expr("repeat(c_name, 60000)")).otherwise(F.col("c_name")))
+    proof = F.struct(F.lit(1).alias("total"), F.lit(1).alias("replaced"), F.lit(True).alias("ok"), F.lit(False).alias("blind"))
+    origin = F.struct(F.when(k == 4, "elsewhere").otherwise("paste").alias("sourceMode"), F.lit("x").alias("sourceLabel"), F.lit(1).alias("replacementsApplied"), F.lit(True).alias("structurePreserved"), proof.alias("coverage"), F.lit("now").alias("sanitisedAt"))
+    # Where only the fingerprint is wrong, it is that of other text; long texts' are not worked out here.
+    print_ = F.when(k == 3, values.fingerprint(F.col("c_name"))).when(k == 1, "0-0").otherwise(values.fingerprint(F.col("c_name")))
+    doc = F.to_json(F.struct(F.lit(1).alias("version"), F.lit("acme_gate").alias("key"), F.lit("Acme:Gate").alias("sourcetype"), events.alias("events"), print_.alias("fingerprint"), F.lit(True).alias("sanitised"), origin.alias("provenance"), F.lit(7).alias("unknownField")))
+    wrapped = F.when(k == 5, F.lit("{broken")).otherwise(F.regexp_replace(F.to_json(F.array(doc)), r"^\[|\]$", ""))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(k == 2, "acme_other").otherwise("acme_gate").alias("key"), wrapped.alias("text"))
+    return library.parsed_documents(rows).select("id", "reason", F.get("doc.events", 0).alias("event"))
+
+
 def _vendor_query(source: str, line: str, fields: dict[str, str]) -> None:
     def run(spark, d):
         rows = render.as_lines(table(spark, d, "events"), source, "event_id", _vendor_line(line))

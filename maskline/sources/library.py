@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskline.functions.values import fingerprint
+from maskline.functions.values import canonical_sourcetype, fingerprint
 
 
 def catalogue(system: DataFrame, packs: DataFrame) -> DataFrame:
@@ -49,5 +49,64 @@ def intact(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("fingerprint") == fingerprint(F.array_join("events", "\n")))
 
 
+def _unwrapped(text: Column) -> Column:
+    """The JSON text inside up to three layers of JSON strings."""
+    for _ in range(3):
+        inner = F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), 0)
+        text = F.when(F.trim(text).startswith('"'), inner).otherwise(text)
+    return text
+
+
+#: Fields of a stored document; others are not let through.
+DOCUMENT = "version int, key string, sourcetype string, format string, events array<string>, fingerprint string, sanitised boolean, provenance struct<sourceMode: string, sourceLabel: string, replacementsApplied: bigint, structurePreserved: boolean, coverage: struct<total: bigint, replaced: bigint, ok: boolean, blind: boolean>, sanitisedAt: string>"
+MODES = ["upload", "paste", "group", "live-capture"]
+LONGEST_DOCUMENT = 1_000_000
+
+
+def document_key(sourcetype: Column, form: Column) -> Column:
+    return F.concat_ws("::", canonical_sourcetype(sourcetype), F.nullif(F.lower(form), F.lit("")))
+
+
+def parsed_documents(texts: DataFrame, key_col: str = "key", text_col: str = "text", most_bytes: int = LONGEST_DOCUMENT) -> DataFrame:
+    """The rows with ``doc``, each stored text as a document of DOCUMENT's fields, or null with the ``reason`` for its rejection.
+
+    Keys other than those of the allow-list are dropped; nothing is corrected: a
+    fingerprint that isn't that of the events, or a key that isn't that of the
+    source and format, rejects the document.
+    """
+    body = _unwrapped(F.col(text_col))
+    rows = texts.withColumn("body", body).withColumn("d", F.from_json("body", DOCUMENT))
+    d = lambda name: F.col(f"d.{name}")
+    lines = F.filter("d.events", lambda e: F.trim(e) != "")
+    p = F.col("d.provenance")
+    counts = p["replacementsApplied"].isNotNull() & p["coverage"]["total"].isNotNull() & p["coverage"]["replaced"].isNotNull()
+    reason = (
+        F.when(F.col("body").isNull() | F.col("d").isNull() | F.try_parse_json("body").isNull(), "not JSON")
+        .when(~d("version").eqNullSafe(1) | ~d("sanitised").eqNullSafe(True), "not a sanitised document of this version")
+        .when(d("key").isNull() | d("sourcetype").isNull() | ~d("key").eqNullSafe(document_key(d("sourcetype"), d("format"))) | d("key").rlike(r"[/\\\x00\r\n]|\.\."), "key")
+        .when(F.col(key_col).isNotNull() & ~d("key").eqNullSafe(F.col(key_col)), "stored under another key")
+        .when(F.coalesce(F.size(lines), F.lit(0)) <= 0, "no events").when(F.exists("d.events", lambda e: e.isNull()), "events")
+        .when(p.isNull() | ~F.coalesce(p["sourceMode"].isin(MODES), F.lit(False)) | ~counts | (F.coalesce(p["sanitisedAt"], F.lit("")) == ""), "provenance")
+        .when(F.length("body") > most_bytes, "too large").when(~d("fingerprint").eqNullSafe(fingerprint(F.array_join(lines, "\n"))), "fingerprint")
+    )
+    clean = F.col("d").withField("events", lines).withField("provenance.sourceLabel", F.left(F.coalesce(p["sourceLabel"], F.lit("")), F.lit(200)))
+    return rows.withColumns({"doc": F.when(reason.isNull(), clean), "reason": reason}).drop("body", "d")
+
+
+def parsed_overlay(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, key, doc, removed, reason): the samples and the removed keys of each overlay; one bad sample rejects its overlay whole."""
+    layout = "samples map<string,string>, removed array<string>, updatedAt string"
+    rows = texts.select(F.col(id_col).alias("id"), F.from_json(_unwrapped(F.col(text_col)), layout).alias("o"))
+    checked = parsed_documents(rows.select("id", F.explode("o.samples").alias("key", "text"))).select("id", "key", "doc", F.lit(False).alias("removed"), "reason")
+    gone = rows.select("id", F.explode(F.array_distinct("o.removed")).alias("key")).where("key <> ''")
+    every = checked.unionByName(gone.select("id", "key", F.lit(None).cast(checked.schema["doc"].dataType).alias("doc"), F.lit(True).alias("removed"), F.lit(None).cast("string").alias("reason")))
+    bad = every.groupBy("id").agg(F.min("reason").alias("why"))
+    rejected = F.col("why").isNotNull()
+    whole = every.join(bad, "id")
+    none = rows.join(every.select("id").distinct(), "id", "left_anti").select("id", F.lit(None).cast("string").alias("key"), F.lit("no samples and nothing removed").alias("reason"))
+    out = whole.select("id", "key", F.when(~rejected, F.col("doc")).alias("doc"), "removed", F.when(rejected, F.coalesce("reason", F.lit("another sample of its overlay"))).alias("reason"))
+    return out.unionByName(none, allowMissingColumns=True)
+
+
 def save(docs: DataFrame, path: str, replace: bool = False) -> None:
     docs.write.mode("overwrite" if replace else "errorifexists").parquet(path)
