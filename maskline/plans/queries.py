@@ -210,9 +210,23 @@ def field_census(spark, d):
 FIELD_KINDS = {"src_ip": "ipv4", "ActorUsername": "user", "cs-username": "user", "Caller Computer Name": "host", "user_agent": None, "user_type": None, "clientip": "ipv4", "remoteuser": "user", "desthost": "host", "action": None, "dest_port": None}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {repr(v) if v else 'CAST(NULL AS VARCHAR)'})" for k, v in FIELD_KINDS.items()) + ") t(field, kind)")
+def _named_events(spark, d, names) -> DataFrame:
+    """Events with one of the names each, by their number."""
+    pick = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", "event_type", pick.alias("name"))
+
+
+def _named_sql(rows: list[tuple], columns: str) -> str:
+    """The events of ``_named_events`` joined with what each name should give."""
+    text = lambda x: "CAST(NULL AS VARCHAR)" if x is None else f"'{x}'"
+    values_ = ", ".join(f"({k}, {', '.join(map(text, r))})" for k, r in enumerate(rows))
+    return f"FROM events JOIN (VALUES {values_}) t(k, {columns}) ON event_id % {len(rows)} = k"
+
+
+@query("SELECT event_type, field, kind, count(*) AS events " + _named_sql(list(FIELD_KINDS.items()), "field, kind") + " GROUP BY ALL")
 def field_identity_kind(spark, d):
-    return spark.createDataFrame([(k,) for k in FIELD_KINDS], "field string").select("field", values.field_kind(F.col("field")).alias("kind"))
+    rows = _named_events(spark, d, list(FIELD_KINDS)).withColumnRenamed("name", "field")
+    return rows.groupBy("event_type", "field", values.field_kind(F.col("field")).alias("kind")).agg(F.count("*").alias("events"))
 
 
 @query(f"""WITH {LINES}, found AS (SELECT unnest(regexp_extract_all(raw, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9\\-]+(?:\\.[A-Za-z0-9\\-]+)*\\.[A-Za-z]{{2,}}')) AS v FROM lines)
@@ -354,10 +368,12 @@ def usability_ratio(spark, d):
 NAMES = {"Cisco:ASA": ("exact", "cisco_asa"), "cisco_asa.log": ("stripped", "cisco_asa"), "cisco_as": ("fuzzy", "cisco_asa"), "linux secure": ("exact", "linux_secure"), "linux_secur": ("fuzzy", "linux_secure"), "nothing_like_it": ("unresolved", None), "my_vmstat": ("non-event", None), "aws/cloudtrail-2024": ("stripped", "aws_cloudtrail")}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}', {repr(m) if m else 'CAST(NULL AS VARCHAR)'})" for k, (t, m) in NAMES.items()) + ") t(name, tier, match)")
+@query("SELECT event_type, name, tier, match, count(*) AS events " + _named_sql([(k, *v) for k, v in NAMES.items()], "name, tier, match") + " GROUP BY ALL")
 def fuzzy_sourcetype(spark, d):
+    """Events under names of eight spellings; what each name means is found once and joined back."""
     known = spark.createDataFrame([(x,) for x in ("cisco_asa", "linux_secure", "aws_cloudtrail", "okta_system")], "sourcetype string")
-    return recognise.recognise_names(spark.createDataFrame([(x,) for x in NAMES], "name string"), known).select("name", "tier", "match")
+    rows = _named_events(spark, d, list(NAMES)).groupBy("event_type", "name").agg(F.count("*").alias("events"))
+    return rows.join(recognise.recognise_names(rows.select("name").distinct(), known).select("name", "tier", "match"), "name")
 
 
 @query("SELECT n_name AS name, trim(regexp_replace(lower(trim(n_name)), '[\\s:/\\-.]+', '_', 'g'), '_') AS canonical FROM nation")
@@ -375,10 +391,10 @@ def dedup_capture(spark, d):
 VENDOR_NAMES = {"citrix:netscaler:syslog": ("Citrix", "NetScaler ADC"), "CloudflareGatewayDNS": ("Cloudflare", "Cloudflare Gateway"), "trellixtie_syslog": ("Trellix", "Trellix"), "oraaudit": ("Oracle", "Oracle"), "ldap_access_log": ("LDAP server", "Directory access log")}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}', '{p}')" for k, (v, p) in VENDOR_NAMES.items()) + ") t(name, vendor, product)")
+@query("SELECT event_type, name, vendor, product, count(*) AS events " + _named_sql([(k, *v) for k, v in VENDOR_NAMES.items()] + [("orange", None, None), ("broker", None, None)], "name, vendor, product") + " WHERE vendor IS NOT NULL GROUP BY ALL")
 def vendor_hints(spark, d):
-    names = spark.createDataFrame([(x,) for x in [*VENDOR_NAMES, "orange", "broker"]], "name string")
-    return signatures.vendor_hints(names).select("name", "vendor", "product")
+    rows = _named_events(spark, d, [*VENDOR_NAMES, "orange", "broker"]).groupBy("event_type", "name").agg(F.count("*").alias("events"))
+    return rows.join(signatures.vendor_hints(rows.select("name").distinct()).select("name", "vendor", "product"), "name")
 
 
 @query("SELECT event_type AS sample_id, 'checkpoint_firewall' AS sourcetype FROM events GROUP BY 1")

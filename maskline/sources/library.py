@@ -44,6 +44,11 @@ def documents(lines: DataFrame, sourcetype: str, most_bytes: int = 1_000_000) ->
     )
 
 
+def refused(lines: DataFrame, most_bytes: int = 1_000_000) -> DataFrame:
+    """(sample_id, size) of the samples that ``documents`` leaves out as too large."""
+    return lines.groupBy("sample_id").agg(F.sum(F.length("raw")).alias("size")).where(F.col("size") > most_bytes)
+
+
 def intact(docs: DataFrame) -> DataFrame:
     """Documents whose fingerprint is that of their events."""
     return docs.where(F.col("fingerprint") == fingerprint(F.array_join("events", "\n")))

@@ -14,33 +14,51 @@ def source(spark: SparkSession, path: str, files_a_trigger: int = 25) -> DataFra
 
 
 def distinct_lines(stream: DataFrame, delay: str | None = None, time: str = "ts") -> DataFrame:
-    """Each text once; with a delay, state older than the watermark goes."""
+    """Each text once; with a delay, state older than the watermark goes.  Without one the state keeps every text there was."""
     if delay:
         return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["raw"])
     return stream.dropDuplicates(["raw"])
 
 
 class Mapping:
-    """The aliases of a stream: a table in a folder, to which each batch adds those of its new values once."""
+    """The aliases of a stream: a table in a folder, to which each batch adds those of its new values once.
+
+    A batch's rows count once its folder is committed, so a batch that is run
+    again reads what was there before it, never what a failed attempt left.
+    After FOLDED batches all of them are folded into one base.
+    """
+
+    FOLDED = 64
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _there(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    def _committed(self) -> dict[str, int]:
+        """Committed folders that count, with their numbers: the last base, and batches after it."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        path = place(self.folder)
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return {}
+        names = [x.getPath().getName() for x in files.listStatus(path)]
+        whole = {n: int(n.partition("=")[2]) for n in names if n.startswith(("base=", "batch=")) and files.exists(place(f"{self.folder}/{n}/_SUCCESS"))}
+        base = max((k for n, k in whole.items() if n.startswith("base=")), default=-1)
+        return {n: k for n, k in whole.items() if n == f"base={base}" or (n.startswith("batch=") and k > base)}
 
     def read(self) -> DataFrame:
         """All rows (kind, key, alias) so far."""
-        if not self._there(""):
+        found = self._committed()
+        if not found:
             return self.spark.createDataFrame([], mint.MAPPING)
-        return self.spark.read.schema(mint.MAPPING).option("recursiveFileLookup", True).parquet(self.folder)
+        return self.spark.read.schema(mint.MAPPING).parquet(*[f"{self.folder}/{n}" for n in sorted(found)])
 
     def aliased(self, entries: DataFrame, salt: str, batch: int) -> DataFrame:
         """The entries with their aliases; a batch that is run again adds nothing again."""
-        place = f"batch={batch}"
-        if not self._there(f"{place}/_SUCCESS"):
-            mint.extend(self.read(), entries, salt).write.mode("overwrite").parquet(f"{self.folder}/{place}")
+        found = self._committed()
+        if f"batch={batch}" not in found and batch > max((k for n, k in found.items() if n.startswith("base=")), default=-1):
+            mint.extend(self.read(), entries, salt).write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        if len(found) >= self.FOLDED:
+            self.read().write.mode("overwrite").parquet(f"{self.folder}/base={max(found.values())}")
         return mint.aliased(entries, self.read(), salt)
 
 
