@@ -62,6 +62,11 @@ def scrambled(salt: str, value: Column) -> Column:
     return F.array_join(F.transform(F.split(value, "(?!^)"), one), "")
 
 
+def _interpreted(x: Column) -> Column:
+    """The expression inside a lambda, which Spark interprets: as generated code these are too large to compile, and each try costs seconds."""
+    return F.get(F.transform(F.array(F.lit(0)), lambda _: x), 0)
+
+
 def _cased(value: Column, alias: Column) -> Column:
     return F.when((value == F.upper(value)) & value.rlike("[A-Z]"), F.upper(alias)).when(value.rlike("^[A-Z][a-z]"), F.initcap(alias)).otherwise(alias)
 
@@ -148,9 +153,10 @@ def _drawn(rows: DataFrame, salt: str, turn: int, width: int, scale: int) -> Dat
         .when(kind == "user", user)
     )
     count = lambda c: F.struct(*[F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in WIRE])
-    rows = rows.withColumn("_alias", alias)
+    rows = rows.withColumn("_alias", _interpreted(alias))
     same = count(F.col("_alias")) == count(v)
-    rows = rows.withColumn("alias", F.when(F.col("_alias").isNotNull() & (same | (kind == "net")), F.col("_alias")).otherwise(scrambled(salted, v)))
+    given = F.when(F.col("_alias").isNotNull() & (same | (kind == "net")), F.col("_alias")).otherwise(scrambled(salted, v))
+    rows = rows.withColumn("alias", _interpreted(given))
     return rows.drop(*[c for c in rows.columns if c.startswith("_")])
 
 
@@ -247,7 +253,7 @@ def aliased(entries: DataFrame, mapping: DataFrame, salt: str) -> DataFrame:
         F.when(F.col("_kind") == "net", F.when(F.col("_given").contains(":"), spilled).otherwise(F.concat_ws(".", "_given", host)))
         .when(F.col("_kind") == "ipv4", F.concat_ws(".", _private(salt, v), host)).otherwise(cased)
     )
-    return rows.withColumn("alias", alias).drop("_kind", "_key", "_turn", "_given")
+    return rows.withColumn("alias", _interpreted(alias)).drop("_kind", "_key", "_turn", "_given")
 
 
 def with_aliases(entries: DataFrame, salt: str, taken: DataFrame | None = None) -> DataFrame:
