@@ -223,7 +223,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         )
         logs = np.log(value) + (steps + 1 - order) * np.log(BACKOFF)
         n_words = np.bincount(grams.doc, minlength=n)
-        sums = np.bincount(grams.doc, logs, n)
+        sums = np.bincount(grams.doc, logs, n).astype(float)  # of nothing it counts in whole numbers
         by_order = [pa.array(np.bincount(grams.doc[order == k], minlength=n)) for k in (3, 2, 1)]
         mean = pa.array(sums / np.maximum(n_words, 1), mask=n_words == 0)
         return pa.table([table[id_col], pa.array(n_words), *by_order, pa.array(sums), mean], names=names)
