@@ -273,6 +273,35 @@ def test_html_pages_written_by_hand(spark):
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_html_holders_of_many_kinds():
+    model = html_extraction.trained()
+    line = "A long enough paragraph of the article about rivers and bridges, with several words."
+    menu = "<nav><ul><li><a href=/>Home</a><li><a href=/b>Bridge</a></ul></nav>"
+    foot = "<footer>Copyright us</footer>"
+    pages = {
+        f"{menu}<div class='elementor-widget-container'><h1>Title</h1><p>{line}</p><p>{line}</p></div>{foot}": f"Title {line} {line}",
+        f"<div>{line}<br><br>{line}</div><div>{line}</div>": f"{line} {line} {line}",
+        f"{menu}<div>{line}<br><br>{line}</div><div>{line}</div>{foot}": f"{line} {line} {line}",
+        f"<header><a href=/>Site</a></header><article><header class='entry-header'><h1>Title</h1></header><p>{line}</p></article>{foot}": f"Title {line}",
+        f"<body class='page has-sidebar'><div class='content with-sidebar'><p>{line}</p></div><div class=sidebar><p>Side</p></div></body>": line,
+        f"{menu}<div class=widget><h3>Links</h3><ul><li><a href=/1>One</a></ul></div><article><p>{line}</p></article>": line,
+        f"{menu}{foot}": "",
+        f"{menu}<section class=comments><h2>Comments</h2><div class=comment><p>{line}</p></div></section>{foot}": "",
+        f"{menu}<div class=cookie-notice><p>{line}</p></div>{foot}": "",
+        "<form><p>Sign in</p><input></form>": "",
+    }
+    for page, want in pages.items():
+        assert html_extraction.main_text(f"<html>{page if '<body' in page else f'<body>{page}</body>'}</html>", model) == want, page
+    wrong = {}
+    for shape in ("header", "builder"):
+        found = html_extraction.labelled_pages(100, seed=11, bare=1e-9, shapes=(shape,))
+        wrong[shape] = 0
+        for plain, marked in found:
+            want = " ".join(x[1:] for x in re.sub(r"<[^>]+>", " ", marked).split() if x.startswith("¤"))
+            wrong[shape] += html_extraction.main_text(plain, model) != want
+    assert wrong["header"] <= 25 and wrong["builder"] <= 50, wrong
+
+
 def test_html_time_follows_the_length():
     model = html_extraction.trained()
     for page in ("<a " * 300_000, "<div>" * 30_000 + "</p>" * 100_000, "<video>" * 50_000, "<!-- " * 100_000, "<p class='" * 100_000):
