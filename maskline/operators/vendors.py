@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskline.operators import layouts, parsers
+from maskline.operators import layouts, makers, parsers
 from maskline.operators.parsers import aliased
 
 # The column order of each layout, and the canonical names.
@@ -156,7 +156,6 @@ CATALOGUE: dict[str, Callable[[Column], Column]] = {
     "apache_access": access_log,
     "aws_vpc_v2": aws_vpc,
     "aws_vpc_v5": aws_vpc,
-    "cef": parsers.cef,
     "leef": parsers.leef,
     "linux_audit": linux_audit,
     "nginx_access": access_log,
@@ -166,7 +165,7 @@ CATALOGUE: dict[str, Callable[[Column], Column]] = {
 }
 CATALOGUE |= {k: lambda raw, names=names: aliased(parsers.kvp(raw), names) for k, names in PAIR_NAMES.items()}
 CATALOGUE |= {k: lambda raw, names=names: aliased(parsers.json_leaves(raw), names) for k, names in JSON_NAMES.items()}
-CATALOGUE |= layouts.LAYOUTS | layouts.MARKED
+CATALOGUE |= layouts.LAYOUTS | layouts.MARKED | makers.LAYOUTS | makers.MARKED
 
 
 def parsed(lines: DataFrame, sourcetype: str) -> DataFrame:
@@ -184,7 +183,7 @@ def best_parser(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
     lines = lines.where(~F.col("raw").rlike(r"^\s*[{<\[](?!\d)"))
     place = F.row_number().over(Window.partitionBy("sample_id").orderBy("line_no"))
     first = lines.withColumn("place", place).where(F.col("place") <= SCORED_LINES)
-    names = names or sorted(CATALOGUE.keys() - JSON_NAMES.keys() - layouts.MARKED.keys())
+    names = names or sorted(CATALOGUE.keys() - JSON_NAMES.keys() - layouts.MARKED.keys() - makers.MARKED.keys())
     tries = F.array(*[F.struct(F.lit(n).alias("sourcetype"), F.map_keys(CATALOGUE[n](F.col("raw"))).alias("keys")) for n in names])
     each = first.select("sample_id", "line_no", F.explode(tries).alias("t")).select("sample_id", "line_no", "t.*")
     read = F.coalesce(F.size("keys"), F.lit(0)) > 0

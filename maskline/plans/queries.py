@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskline.functions import values
+from maskline.functions import times, values
 from maskline.operators import apply, checks, detect, guards, ladder, marks, mint, parsers, patterns, picks, plan, prefixed, profiles, prove, recognise, registry, secret_rules, signatures, steps, vendors
 from maskline.plans import render
 from maskline.sources import library, lines as src
@@ -744,6 +745,37 @@ VENDOR_LINES = {
         "<134>Jan  2 03:04:05 filterlog[7]: 5,,,100,igb0,match,block,in,4,0x0,,64,1,0,DF,6,tcp,60,{ip},10.2.2.2,5,6,0",
         {"action": "block", "direction": "in", "transport": "tcp", "src_ip": "{ip}", "dest_port": "6"},
     ),
+    "cef": (
+        "<134>Jan  2 03:04:05 gw{n} CEF:0|Acme|Gate|1.0|{event_id}|{event_type} seen|High|src={ip} spt=4000 suser=user{user_id} cs1Label=Rule Name cs1={event_type} all",
+        {
+            "vendor_product": "Acme Gate", "event_code": "{event_id}", "signature": "{event_type} seen", "severity": "8", "src_ip": "{ip}", "user": "user{user_id}",
+            "Rule_Name": "{event_type} all", "host": "gw{n}",
+        },
+    ),
+    "checkpoint_firewall": (
+        '<134>1 2024-01-02T03:04:05Z gw{n} CheckPoint 7 - [action:"{event_type}"; src:"{ip} (host)"; dst:"10.2.2.2"; service:"443"; loguid:"u{event_id}"; rule_name:"Out; {user_id}"]',
+        {"action": "{event_type}", "src_ip": "{ip}", "dest_ip": "10.2.2.2", "dest_port": "443", "session_id": "u{event_id}", "rule": "Out; {user_id}", "host": "gw{n}", "severity": "6"},
+    ),
+    "cisco_esa": (
+        "Tue Jan  2 03:04:05 2024 Info: MID {event_id} ICID {user_id} From: <{event_type}@a{n}.example>",
+        {"mid": "{event_id}", "icid": "{user_id}", "sender": "{event_type}@a{n}.example", "severity": "Info"},
+    ),
+    "cisco_umbrella": (
+        '"2024-01-02 03:04:05","user{user_id}","net{n}","{ip}","9.9.9.1","Allowed","1 (A)","NOERROR","{event_type}.example."',
+        {"user": "user{user_id}", "src_ip": "{ip}", "dns_query": "{event_type}.example.", "app": "DNS", "identities": "net{n}"},
+    ),
+    "f5_bigip": (
+        "<134>Jan  2 03:04:05 lb{n} notice mcpd[{event_id}]: 01070638:5: Pool /Common/{event_type} member /Common/{ip}:80 monitor status down.",
+        {"host": "lb{n}", "pid": "{event_id}", "msg_id": "01070638:5", "pool": "/Common/{event_type}", "dest_ip": "{ip}", "dest_port": "80", "action": "down"},
+    ),
+    "salesforce_setupaudittrail": (
+        '{{"Action":"{event_type}","Section":"Users","Display":"Changed {event_id}","CreatedById":"005{user_id}","CreatedDate":"2022-08-16T09:26:38.000+0000"}}',
+        {"action": "{event_type}", "user": "005{user_id}", "object": "Users", "message": "Changed {event_id}", "outcome": "success"},
+    ),
+    "zscaler_web": (
+        "datetime=Tue Jan 2 03:04:05 2024\tlogin=user{user_id}@a.example\tClientIP={ip}\turl=a.example/{event_type} x\tresponsesize={event_id}",
+        {"user": "user{user_id}@a.example", "src_ip": "{ip}", "url": "a.example/{event_type} x", "bytes_in": "{event_id}", "vendor_product": "Zscaler ZIA"},
+    ),
 }
 
 
@@ -889,3 +921,21 @@ def _vendor_query(source: str, line: str, fields: dict[str, str]) -> None:
 
 for _source, (_line, _fields) in VENDOR_LINES.items():
     _vendor_query(_source, _line, _fields)
+
+
+@query("""SELECT event_id AS line_no, s AS iso, s AS millis, s AS access, s - 3600 AS zoned, user_id AS length,
+    epoch_us(date_trunc('second', ts) - CASE WHEN date_trunc('second', ts) > TIMESTAMP '2024-01-16' THEN INTERVAL 1 YEAR ELSE INTERVAL 0 YEAR END) // 1000000 AS syslog
+    FROM (SELECT *, epoch_us(ts) // 1000000 AS s FROM events)""")
+def line_times(spark, d):
+    """Times of events in five forms, read back; a syslog time gets the year before where it would lie ahead; a duration of so many seconds."""
+    rows = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp_ntz"))
+    now = datetime.datetime(2024, 1, 15, tzinfo=datetime.UTC)
+    shown = lambda form, tail="": F.concat(F.date_format("t", form), F.lit(tail))
+    read = lambda text: times.epoch(text, now)
+    u = F.col("user_id")
+    clock = F.format_string("%d:%02d:%02d", F.floor(u / 3600), F.floor(u / 60) % 60, u % 60)
+    return rows.select(
+        F.col("event_id").alias("line_no"), read(shown("yyyy-MM-dd'T'HH:mm:ss.SSS", "Z")).alias("iso"), read(F.concat(F.unix_timestamp(F.to_timestamp_ltz(shown("yyyy-MM-dd HH:mm:ss", "Z"))).cast("string"), F.lit("007"))).alias("millis"),
+        read(shown("dd/MMM/yyyy:HH:mm:ss", " +0000")).alias("access"), read(shown("yyyy-MM-dd'T'HH:mm:ss", "+01:00")).alias("zoned"),
+        read(shown("MMM d HH:mm:ss")).alias("syslog"), times.seconds(clock).alias("length"),
+    )

@@ -40,6 +40,60 @@ LINES = {
         ("<134>1 2024-01-02T03:04:05Z gw filterlog 7 - 5,,,1,i,match,pass,out,4,0x0,,64,1,0,DF,17,udp,60,10.1.1.1,10.2.2.2,5,6,0", {"host": "gw", "action": "pass", "transport": "udp"}),
     ],
     "vsphere": [("<14>1 2024-01-02T03:04:05Z vc1 vpxd 88 - - [ok] done", {"host": "vc1", "app": "vpxd", "pid": "88", "dest": "vc1"})],
+    "cef": [
+        (
+            "<134>Jan  2 03:04:05 gw1 CEF:0|Acme|Gate \\| X|1.0|77|Login failed|High|src=10.1.1.1 spt=4000 suser=ann cs1Label=Rule Name cs1=deny all cn1Label=a\\=b cn1=5 rt=1700000000000",
+            {
+                "vendor": "Acme", "event_code": "77", "signature": "Login failed", "severity": "8", "src_ip": "10.1.1.1", "src_port": "4000", "user": "ann",
+                "Rule_Name": "deny all", "a_b": "5", "host": "gw1", "log_time": "1700000000000", "syslog_pri": "134",
+            },
+        ),
+        ('"CEF:0|Acme|Gate|1|7|n|3|dst=10.2.2.2 in=7"', {"dest_ip": "10.2.2.2", "bytes_in": "7", "severity": "3", "vendor_product": "Acme Gate"}),
+        ("plain", {}),
+    ],
+    "checkpoint_firewall": [
+        (
+            '<134>1 2024-01-02T03:04:05Z gw1 CheckPoint 7 - [action:"Accept"; src:"10.1.1.1"; dst:"10.2.2.2 (host)"; service:"443"; proto:"6"; loguid:"{0x1,0x2}"; rule_name:"Out; all"]',
+            {"action": "Accept", "src_ip": "10.1.1.1", "dest_ip": "10.2.2.2", "dest_port": "443", "transport": "6", "session_id": "{0x1,0x2}", "rule": "Out; all", "host": "gw1", "severity": "6", "app": "Check Point Firewall"},
+        ),
+        ("time=1700000000|hostname=gw 1|product=VPN-1|action=Drop|src=10.1.1.1", {"log_time": "1700000000", "host": "gw 1", "action": "Drop", "src_ip": "10.1.1.1"}),
+        ('Jan  2 03:04:05 gw1 action="Drop" src="10.1.1.1" xlatesrc="10.9.9.9"', {"log_time": "Jan  2 03:04:05", "host": "gw1", "src_ip": "10.1.1.1", "src_translated_ip": "10.9.9.9"}),
+        ("CEF:0|Check Point|VPN-1|R81|Log|n|Low|src=10.1.1.1 origin=10.3.3.3 ifname=eth0 service_id=https", {"src_ip": "10.1.1.1", "origin_ip": "10.3.3.3", "src_zone": "eth0", "app": "https", "severity": "2"}),
+        ('{"loguid":"u1","src":"10.1.1.1","origin":"10.3.3.3"}', {"session_id": "u1", "src_ip": "10.1.1.1", "origin_ip": "10.3.3.3"}),
+        ("plain", {}),
+    ],
+    "cisco_esa": [
+        ("Tue Jan  2 03:04:05 2024 Info: MID 12 ICID 7 From: <ann@a.example>", {"mid": "12", "icid": "7", "sender": "ann@a.example", "user": "ann@a.example", "severity": "Info"}),
+        ("Tue Jan  2 03:04:05 2024 Info: MID 12 ICID 7 RID 0 To: <bob@b.example>", {"rid": "0", "recipient": "bob@b.example", "dest_user": "bob@b.example"}),
+        ("Tue Jan  2 03:04:05 2024 Info: New SMTP ICID 7 interface Data (10.0.0.1) address 10.1.1.1 reverse dns host h.example verified yes", {"icid": "7", "src_ip": "10.1.1.1", "reverse_dns": "h.example", "dns_verified": "yes"}),
+        ("plain", {}),
+    ],
+    "cisco_umbrella": [
+        ('"2024-01-02 03:04:05","ann","ann,net","10.1.1.1","9.9.9.1","Allowed","1 (A)","NOERROR","a.example."', {"user": "ann", "src_ip": "10.1.1.1", "dns_query": "a.example.", "app": "DNS", "product": "Umbrella"}),
+        ('2024-01-02 03:04:05","ann","10.1.1.1","9.9.9.1","9.9.9.2","text/html","ALLOWED","https://a.example/x"', {"dest_ip": "9.9.9.2", "url": "https://a.example/x", "app": "Proxy", "user": "ann"}),
+        ("plain,line", {}),
+    ],
+    "f5_bigip": [
+        (
+            "<134>Jan  2 03:04:05 lb1 notice mcpd[77]: 01070638:5: Pool /Common/web member /Common/10.2.2.2:80 monitor status down.",
+            {"host": "lb1", "severity": "notice", "process": "mcpd", "msg_id": "01070638:5", "pool": "/Common/web", "dest_ip": "10.2.2.2", "dest_port": "80", "action": "down"},
+        ),
+        (
+            "Jan  2 03:04:05 lb1 notice tmsh[7]: AUDIT - pid=7354 user=root folder=/ module=(tmos)# status=[Command OK] cmd_data=list cm device",
+            {"user": "root", "folder": "/", "status": "Command OK", "cmd_data": "list cm device", "process": "tmsh"},
+        ),
+        ("plain", {}),
+    ],
+    "salesforce_setupaudittrail": [
+        ('{"Action":"changedProfile","Section":"Users","Display":"Changed x","CreatedById":"005","DelegateUser":null,"CreatedDate":"2022-08-16T09:26:38.000+0000"}', {"action": "changedProfile", "user": "005", "object": "Users", "outcome": "success", "severity": "5"}),
+        ("plain", {}),
+    ],
+    "zscaler_web": [
+        ("datetime=Tue Jan 2 03:04:05 2024\tlogin=ann@a.example\tClientIP=10.1.1.1\turl=a.example/x y\tresponsesize=12", {"log_time": "Tue Jan 2 03:04:05 2024", "user": "ann@a.example", "src_ip": "10.1.1.1", "url": "a.example/x y", "bytes_in": "12"}),
+        ("CEF:0|Zscaler|NSSWeblog|5.7|Blocked|Bad category|3|src=10.1.1.1 dst=10.2.2.2 request=a.example", {"action": "Blocked", "reason": "Bad category", "src_ip": "10.1.1.1", "url": "a.example"}),
+        ('{"sourcetype":"zscalernss-web","event":{"login":"ann","clientip":"10.1.1.1","status":"200"}}', {"user": "ann", "src_ip": "10.1.1.1", "http_status": "200", "vendor_product": "Zscaler ZIA"}),
+        ("plain", {}),
+    ],
     "zeek_conn": [('<1>Jan 2 zeek: {"id.orig_h":"10.1.1.1","id.resp_p":443,"uid":"C1","proto":"tcp"}', {"src_ip": "10.1.1.1", "dest_port": "443", "session_id": "C1", "transport": "tcp"})],
     "windows_security": [
         (
@@ -69,3 +123,30 @@ def test_small_checks(spark):
     assert row == ("&lt;a b=&quot;c&quot;&gt;&#39;&amp;", "ab7")
     entries = spark.createDataFrame([("b",), ("abc",), ("a",)], "original string")
     assert [r.original for r in checks.longest_first(entries).collect()] == ["abc", "a", "b"]
+
+
+def test_times(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from maskline.functions import times
+
+    utc = lambda *x: int(datetime.datetime(*x, tzinfo=datetime.UTC).timestamp())
+    want = {
+        "Jan  2 03:04:05": utc(2024, 1, 2, 3, 4, 5), "Dec 31 23:59:59": utc(2023, 12, 31, 23, 59, 59), "Jan  4 02:00:00": utc(2024, 1, 4, 2),
+        "Feb 29 01:00:00": None, "02/Jan/2024:03:04:05 +0100": utc(2024, 1, 2, 2, 4, 5), "2024-01-02T03:04:05Z": utc(2024, 1, 2, 3, 4, 5),
+        "2024-01-02 03:04:05": utc(2024, 1, 2, 3, 4, 5), "2024-01-02T03:04:05.250+02:00": utc(2024, 1, 2, 1, 4, 5), "2022-08-16T09:26:38.000+0000": utc(2022, 8, 16, 9, 26, 38),
+        "1700000000": 1_700_000_000, "1700000000123": 1_700_000_000, "1700000000.5": 1_700_000_000, "Tue Jan  2 03:04:05 2024": utc(2024, 1, 2, 3, 4, 5),
+        "Jan  2 2024 03:04:05": utc(2024, 1, 2, 3, 4, 5), "": None, "never": None, "2024-13-45T99:00:00": None, "Jan 99 03:04:05": None, None: None,
+    }
+    rows = spark.createDataFrame([(x,) for x in want], "v string")
+    now = datetime.datetime(2024, 1, 3, 12)
+    got = {r.v: r.t for r in rows.select("v", times.epoch(F.col("v"), now).alias("t")).collect()}
+    assert got == want | {"Feb 29 01:00:00": None}
+    lengths = {"0:00:07": 7, "12:34:56": 45296, "1h2m3s": 3723, "5m": 300, "45s": 45, "": None, "1x": None, None: None}
+    rows = spark.createDataFrame([(x,) for x in lengths], "v string")
+    assert {r.v: r.t for r in rows.select("v", times.seconds(F.col("v")).alias("t")).collect()} == lengths
+    words = {"7": 7, "Very-High": 10, "high": 8, "odd": None, "": None, None: None}
+    rows = spark.createDataFrame([(x,) for x in words], "v string")
+    assert {r.v: r.t for r in rows.select("v", times.severity(F.col("v")).alias("t")).collect()} == words
