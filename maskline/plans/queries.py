@@ -13,7 +13,7 @@ from maskline.functions import times, values
 from maskline.operators import apply, checks, detect, guards, ladder, marks, mint, parsers, patterns, picks, plan, prefixed, profiles, prove, recognise, registry, secret_rules, signatures, steps, vendors
 from maskline.plans import render
 from maskline.sources import library, lines as src
-from maskline.sources.store import kept
+from maskline.sources.store import fresh, kept
 
 SALT = "fixed-for-tests"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -939,3 +939,20 @@ def line_times(spark, d):
         read(shown("dd/MMM/yyyy:HH:mm:ss", " +0000")).alias("access"), read(shown("yyyy-MM-dd'T'HH:mm:ss", "+01:00")).alias("zoned"),
         read(shown("MMM d HH:mm:ss")).alias("syslog"), times.seconds(clock).alias("length"),
     )
+
+
+@query("""SELECT sample_id, raw, row_number() OVER (PARTITION BY sample_id ORDER BY first_ts, raw) AS line_no FROM (
+    SELECT sample_id, raw, min(ts) AS first_ts FROM (
+        SELECT *, min(ts) OVER (PARTITION BY sample_id) AS start FROM (SELECT 's' || (user_id % 7) AS sample_id, event_type || ' ' || user_id AS raw, ts FROM events WHERE event_type <> 'view'))
+    WHERE ts <= start + INTERVAL 10 DAY GROUP BY 1, 2) QUALIFY line_no <= 40""")
+def capture_bounded(spark, d):
+    """A stream of all events: of each sample the first 40 distinct lines of its first ten days."""
+    from maskline.streaming import capture
+
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
+    lines = stream.select(F.format_string("s%d", F.col("user_id") % 7).alias("sample_id"), F.concat_ws(" ", "event_type", "user_id").alias("raw"), "ts", "event_type")
+    out = fresh(spark)
+    found = capture.bounded(lines, 40, 10 * 86_400, F.col("event_type") != "view")
+    found.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/lines", format="parquet").awaitTermination()
+    return spark.read.schema("sample_id string, line_no long, raw string").parquet(f"{out}/lines").select("sample_id", "raw", "line_no")

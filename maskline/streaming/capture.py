@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.operators import apply, detect, mint, plan
@@ -20,6 +23,76 @@ def distinct_lines(stream: DataFrame, delay: str | None = None, time: str = "ts"
     return stream.dropDuplicates(["raw"])
 
 
+#: Lines that a task holds before it passes on what it has.
+HELD = 20_000
+
+
+def _first(rows: dict[str, object], lines: int) -> list[tuple[object, str]]:
+    """The first distinct texts (time, text), by time and then by text."""
+    return sorted((t, raw) for raw, t in rows.items())[:lines]
+
+
+def bounded(stream: DataFrame, lines: int, seconds: float, keep: Column | None = None, time: str = "ts") -> DataFrame:
+    """(sample_id, line_no, raw): of each sample the first distinct lines, until there are so many or so much time has passed.
+
+    The clock of a sample starts with its first line that ``keep`` lets through
+    and runs by the lines' own times, so a restart changes nothing; a line
+    exactly at its end still counts.  Lines are numbered from 1 in the order
+    seen, within a batch by time and then by text.  Null texts, times and samples
+    are left out.  The state is a sample's lines, so at most ``lines`` texts; it
+    stays, so that a full sample takes no more.  Each task passes on only the
+    first lines of what it has read of a sample, so a hot sample moves little.
+    """
+    rows = (stream if keep is None else stream.where(keep)).select("sample_id", "raw", F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
+    rows = rows.where("sample_id IS NOT NULL AND raw IS NOT NULL AND us IS NOT NULL")
+    limit = int(seconds * 1_000_000)
+
+    def fewer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, dict[str, int]] = {}
+        n = 0
+
+        def out() -> pd.DataFrame:
+            found = [(s, raw, t) for s, texts in held.items() for t, raw in _first(texts, lines)]
+            return pd.DataFrame(found, columns=["sample_id", "raw", "us"])
+
+        for batch in batches:
+            for sample, raw, us in batch.itertuples(index=False):
+                texts = held.setdefault(sample, {})
+                if raw not in texts:
+                    n += 1
+                texts[raw] = min(us, texts.get(raw, us))
+                if len(texts) > 2 * lines + 1000:
+                    n -= len(texts) - lines
+                    held[sample] = {raw: t for t, raw in _first(texts, lines)}
+            if n > HELD:
+                yield out()
+                held, n = {}, 0
+        yield out()
+
+    def take(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        start, seen = (state.get[0], list(state.get[1])) if state.exists else (None, [])
+        before, known = len(seen), set(seen)
+        if before < lines:
+            new: dict[str, int] = {}
+            for batch in batches:
+                for _, raw, us in batch.itertuples(index=False):
+                    new[raw] = min(us, new.get(raw, us))
+                if len(new) > 2 * lines + 1000:
+                    # Known texts don't count, but the first time may be theirs.
+                    new = {raw: t for t, raw in _first(new, lines + len(known))}
+            if start is None and new:
+                start = min(new.values())
+            for us, raw in _first(new, lines + len(known)):
+                if raw not in known and us <= start + limit and len(seen) < lines:
+                    seen.append(raw)
+            if start is not None:
+                state.update((start, seen))
+        yield pd.DataFrame({"sample_id": key[0], "line_no": range(before + 1, len(seen) + 1), "raw": seen[before:]})
+
+    fewest = rows.mapInPandas(fewer, "sample_id string, raw string, us long")
+    return fewest.groupBy("sample_id").applyInPandasWithState(take, "sample_id string, line_no long, raw string", "start long, seen array<string>", "append", "NoTimeout")
+
+
 class Mapping:
     """The aliases of a stream: a table in a folder, to which each batch adds those of its new values once.
 
