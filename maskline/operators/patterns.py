@@ -76,6 +76,64 @@ def count_matches(lines: DataFrame, source: str) -> DataFrame:
     return lines.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("matches"), F.count_if(n > 0).alias("lines"))
 
 
+#: A selection longer than this has no shape.
+LONGEST_SHAPE = 120
+
+
+def shape(token: str) -> str | None:
+    """A pattern of tokens built like this one: its runs of letters and digits become groups, what is between them stays.
+
+    None where the token is too long or has not both runs and something between or around them.
+    """
+    token = token.strip()
+    parts = re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9]+", token)
+    runs = [p for p in parts if p[0].isascii() and p[0].isalnum()]
+    if not runs or len(runs) == len(parts) or len(token) > LONGEST_SHAPE:
+        return None
+    out, n = "", 0
+    for part in parts:
+        if not (part[0].isascii() and part[0].isalnum()):
+            out += re.escape(part)
+            continue
+        n += 1
+        kind = r"\d" if part.isdigit() else "[A-Za-z]" if part.isalpha() else "[A-Za-z0-9]"
+        out += f"(?<g{n}>{kind}+)"
+    return out
+
+
+def suggestions(line: str, start: int, end: int) -> list[str]:
+    """Patterns that a selection of a line may stand for, the narrowest first, each once; none for an empty selection.
+
+    The text itself; the same words in its place behind a label (``user=``,
+    ``user:`` or a JSON member); its shape; the shape of the whole word that it
+    lies in.
+    """
+    chosen = line[start:end].strip()
+    if not chosen:
+        return []
+    at = line.index(chosen, start)
+    found: list[str | None] = [f"(?<g1>{re.escape(chosen)})"]
+    before = line[:at]
+    if member := re.search(r'"([^"\\]+)"\s*:\s*"[^"\\]*$', before):
+        found.append(rf'"{re.escape(member[1])}"\s*:\s*"(?<g1>[^"]+)"')
+    elif label := re.search(r"(?<![\w.\-])([\w.\-]+)(=|:\s*)(\"?)$", before):
+        value = '[^"]+' if label[3] else r"[^\s,;|]+"
+        found.append(rf"(?<![\w.\-]){re.escape(label[1])}{'=' if label[2] == '=' else ':[ ]*'}{label[3]}(?<g1>{value})")
+    grown = re.search(r"[^\s\"=,;|]*$", before)[0] + chosen + re.match(r"[^\s\"=,;|]*", line[at + len(chosen) :])[0]
+    found += [shape(chosen), shape(grown)]
+    return list(dict.fromkeys(x for x in found if x))
+
+
+def count_all(lines: DataFrame, sources: list[str]) -> DataFrame:
+    """(source, matches, lines) of every pattern, as ``count_matches`` gives for one, in a single scan of the lines."""
+    each = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(x).alias("source"), F.regexp_count("raw", F.lit(_java(x))).alias("n")) for k, x in enumerate(sources)])
+    counted = lines.select(F.explode(each).alias("c")).groupBy("c.place", "c.source")
+    found = counted.agg(F.coalesce(F.sum("c.n"), F.lit(0)).cast("long").alias("matches"), F.count_if(F.col("c.n") > 0).alias("lines"))
+    names = lines.sparkSession.createDataFrame(list(enumerate(sources)), "place int, source string")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return F.broadcast(names).join(found.drop("source"), "place", "left").select("source", zero("matches"), zero("lines"))
+
+
 def hits(lines: DataFrame, extras: Extras, pairs: DataFrame | None = None) -> DataFrame:
     """Hits of patterns and fields as the detectors make them, of kind custom; ``plan.with_literals`` takes the literals.
 

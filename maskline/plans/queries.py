@@ -956,3 +956,25 @@ def capture_bounded(spark, d):
     found = capture.bounded(lines, 40, 10 * 86_400, F.col("event_type") != "view")
     found.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/lines", format="parquet").awaitTermination()
     return spark.read.schema("sample_id string, line_no long, raw string").parquet(f"{out}/lines").select("sample_id", "raw", "line_no")
+
+
+#: Selections in a line of events, and what patterns they suggest in another engine's form.
+SELECTED = 'id=EV-7_x user="ann.3" type=click'
+SUGGESTED = {
+    "EV-7_x": [r"EV-7_x", r"\bid=[^\s,;|]+", r"[A-Za-z]+-\d+_[A-Za-z]+"],
+    "ann.3": [r"ann\.3", r"\buser=\"[^\"]+\"", r"[A-Za-z]+\.\d+"],
+}
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT '{text}' AS chosen, CAST({k} AS INT) AS place, CAST(coalesce(sum(len(regexp_extract_all(raw, '{source}'))), 0) AS BIGINT) AS matches, count(*) FILTER (len(regexp_extract_all(raw, '{source}')) > 0) AS "lines"
+    FROM (SELECT 'id=EV-' || event_id || '_x user="' || event_type || '.' || user_id || '" type=' || event_type || ' ref=ann.3 EV-7_x' AS raw FROM events)"""
+    for text, sources in SUGGESTED.items() for k, source in enumerate(sources)
+))
+def shape_suggestions(spark, d):
+    """How often each pattern that a selection suggests is found in all lines of events."""
+    line = F.format_string('id=EV-%s_x user="%s.%s" type=%s ref=ann.3 EV-7_x', "event_id", "event_type", "user_id", "event_type")
+    rows = render.as_lines(src.spread(table(spark, d, "events")), "e", "event_id", line)
+    found = [(text, k, x) for text in SUGGESTED for k, x in enumerate(patterns.suggestions(SELECTED, SELECTED.index(text), SELECTED.index(text) + len(text)))]
+    names = spark.createDataFrame(found, "chosen string, place int, source string")
+    return patterns.count_all(rows, [x for _, _, x in found]).join(F.broadcast(names), "source").select("chosen", "place", "matches", "lines")
