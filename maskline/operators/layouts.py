@@ -53,8 +53,8 @@ CISCO_USER = r"(?i)\b(?:user(?:name)?)\s*[=:]?\s*[<'\"]?(?<user>[\w.\\\-@$]+)"
 
 
 def merged(first: Column, second: Column) -> Column:
-    """Both maps; of equal names the first's value."""
-    return F.map_concat(F.map_filter(second, lambda k, v: ~F.array_contains(F.map_keys(first), k) & (v != "")), first)
+    """Both maps; of equal names the first's value.  The first is computed once, not again for each key of the second."""
+    return parsers.let(first, lambda own: F.map_concat(F.map_filter(second, lambda k, v: ~F.array_contains(F.map_keys(own), k) & (v != "")), own))
 
 
 def _filled(fields: Column) -> Column:

@@ -143,11 +143,16 @@ def delimited(raw: Column, columns: list[str], sep: str = ",") -> Column:
 
 
 def aliased(fields: Column, chains: dict[str, str]) -> Column:
-    """The fields with canonical names added: each takes the first value that is not empty among its fields."""
-    values = {name: F.coalesce(*[F.nullif(fields[x], F.lit("")) for x in chain.split()]) for name, chain in chains.items()}
-    added = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
-    own = F.map_filter(fields, lambda k, v: ~F.array_contains(F.map_keys(added), k))
-    return F.map_concat(own, added)
+    """The fields with canonical names added: each takes the first value that is not empty among its fields.
+
+    Both maps are computed once: each is named again for every chain or key.
+    """
+    def named(own: Column) -> Column:
+        values = {name: F.coalesce(*[F.nullif(own[x], F.lit("")) for x in chain.split()]) for name, chain in chains.items()}
+        added = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+        return let(added, lambda new: F.map_concat(F.map_filter(own, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new))
+
+    return let(fields, named)
 
 
 _CELL = r"(?:[^|\\]|\\.)*+"

@@ -438,7 +438,7 @@ def okta_events(spark, d):
         F.struct(F.concat(F.lit("u"), u).alias("alternateId")).alias("actor"), F.struct(F.concat(F.lit("10.0.0."), u % 250 + 1).alias("ipAddress")).alias("client"),
         F.struct(F.col("event_type").alias("result")).alias("outcome"), F.when(u % 2 == 0, "seen").alias("displayMessage"), F.col("event_type").alias("eventType"),
     )
-    rows = vendors.parsed(render.as_lines(table(spark, d, "events"), "okta", "event_id", F.to_json(event)), "okta_system")
+    rows = vendors.parsed(render.as_lines(src.spread(table(spark, d, "events")), "okta", "event_id", F.to_json(event)), "okta_system")
     return rows.select("line_no", *[F.col("fields")[c].alias(c) for c in ("user", "action", "src_ip", "signature")])
 
 
@@ -798,7 +798,7 @@ def _vendor_sql(text: str) -> str:
 
 def _vendor_samples(spark, d) -> DataFrame:
     """A sample of each kind of vendor line."""
-    rows = table(spark, d, "events")
+    rows = src.spread(table(spark, d, "events"))
     parts = [render.as_lines(rows, name, "event_id", _vendor_line(line)) for name, (line, _) in VENDOR_LINES.items() if name in LADDER]
     cef = render.cef("Fortinet", "FortiGate", F.lit("100"), F.col("event_type"), ["event_id", "user_id", "event_type"])
     parts += [render.as_lines(rows, "cef_maker", "event_id", cef), render.as_lines(rows, "plain", "event_id", F.concat(F.lit("just "), F.col("event_type")))]
@@ -911,7 +911,7 @@ def stored_documents(spark, d):
 
 def _vendor_query(source: str, line: str, fields: dict[str, str]) -> None:
     def run(spark, d):
-        rows = render.as_lines(table(spark, d, "events"), source, "event_id", _vendor_line(line))
+        rows = render.as_lines(src.spread(table(spark, d, "events")), source, "event_id", _vendor_line(line))
         f = F.col("fields")
         return vendors.parsed(rows, source).select("line_no", *[f[x].alias(x) for x in fields])
 
