@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from maskline.functions import fixed
 from maskline.operators import guards, parsers, recognise, signatures, vendors
+from maskline.sources.store import kept
 
 CEF_LINES, CEF_SHARE = 40, 0.6
 # Makers whose CEF lines a layout of their own reads, by vendor and product in the header.
@@ -67,11 +68,14 @@ def read(lines: DataFrame, sources: DataFrame) -> DataFrame:
 def verified(lines: DataFrame, sources: DataFrame) -> DataFrame:
     """(sample_id, verdict, method, lines, parsed, fields): usable lines, then by layout, then by structure."""
     usable = guards.usability(lines).select("sample_id", "usable")
-    parsed = read(lines, sources).withColumn("keys", F.map_keys("fields"))
-    ratio = parsed.groupBy("sample_id").agg(F.count("*").alias("lines"), F.count_if(F.size("keys") > 0).alias("parsed"))
-    keys = parsed.select("sample_id", F.explode("keys").alias("field"))
-    count = keys.groupBy("sample_id").agg(F.count_distinct("field").alias("fields"))
-    structure = guards.structure_verdict(lines, recognise.sample_keys(keys)).select("sample_id", F.col("verified").alias("structured"))
+    # Each line is read once: what is kept has a row for each sample and field, not for each line.
+    keys = read(lines, sources).select("sample_id", F.posexplode_outer(F.map_keys("fields")).alias("place", "field"))
+    seen = keys.groupBy("sample_id", "field").agg(F.count_if(F.coalesce("place", F.lit(0)) == 0).alias("lines"), F.count_if(F.col("place") == 0).alias("parsed"))
+    seen = kept(seen)
+    ratio = seen.groupBy("sample_id").agg(F.sum("lines").alias("lines"), F.sum("parsed").alias("parsed"))
+    named = seen.where("field is not null").select("sample_id", "field")
+    count = named.groupBy("sample_id").agg(F.count_distinct("field").alias("fields"))
+    structure = guards.structure_verdict(lines, recognise.sample_keys(named)).select("sample_id", F.col("verified").alias("structured"))
     rows = ratio.join(count, "sample_id", "left").join(usable, "sample_id").join(structure, "sample_id", "left").join(sources.select("sample_id", "sourcetype"), "sample_id", "left")
     enough = (F.col("parsed") >= fixed.VERIFY_RATIO * F.col("lines")) & (F.coalesce("fields", F.lit(0)) >= fixed.VERIFY_FIELDS)
     layout = F.col("sourcetype").isNotNull()
