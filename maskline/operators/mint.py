@@ -62,6 +62,45 @@ def scrambled(salt: str, value: Column) -> Column:
     return F.array_join(F.transform(F.split(value, "(?!^)"), one), "")
 
 
+def permuted(salt: str, value: Column) -> Column:
+    """Each value another of its shape, no two the same: a keyed permutation of the strings of a shape that leaves none in place.
+
+    For shapes that hold nearly as many values as there are, where an alias that
+    is no value can't be found.  Digits stay digits, letters a to f and the others
+    keep their case and stay so, a first 0 stays.  Feistel rounds, one step
+    onwards, and the same rounds back: a permutation's cycle has no fixed point.
+    """
+    span = lambda low, size: F.struct(low.alias("low"), F.lit(size).alias("size"))
+
+    def part(c: Column, i: Column) -> Column:
+        found = F.when((i == 0) & c.rlike("[1-9]"), span(F.lit(49), 9)).when((i > 0) & c.rlike("[0-9]"), span(F.lit(48), 10))
+        for letters, low, size in (("[a-f]", 97, 6), ("[g-z]", 103, 20), ("[A-F]", 65, 6), ("[G-Z]", 71, 20)):
+            found = found.when(c.rlike(letters), span(F.lit(low), size))
+        return found.otherwise(span(F.ascii(c), 1))
+
+    cells = F.transform(F.split(value, "(?!^)"), lambda c, i: F.struct(c.alias("c"), part(c, i).alias("p")))
+
+    def moved(cs: Column) -> Column:
+        half = F.floor((F.size(cs) + 1) / 2)
+
+        def step(d: Column, k: Column) -> Column:
+            turn, sign = F.least(k, 2 * FEISTEL - k), F.when(k < FEISTEL, 1).otherwise(-1)
+            mine = lambda i: (i < half) == (turn % 2 == 0)
+            said = F.array_join(F.transform(F.filter(d, lambda x, i: ~mine(i)), lambda x: x.cast("string")), ",")
+            mixed = F.sha2(F.concat(F.lit(f"{salt}\x00shape\x00"), turn.cast("string"), F.lit("\x00"), said), 256)
+            number = lambda h, i: F.conv(F.substring(h, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("long")
+            each = lambda h: F.transform(
+                d, lambda x, i: F.when(k == FEISTEL, F.pmod(x + 1, F.get(cs, i)["p"]["size"])).when(mine(i), F.pmod(x + sign * number(h, i), F.get(cs, i)["p"]["size"])).otherwise(x).cast("long")
+            )
+            return F.get(F.transform(F.array(mixed), each), 0)
+
+        start = F.transform(cs, lambda x: (F.ascii(x["c"]) - x["p"]["low"]).cast("long"))
+        after = F.aggregate(F.sequence(F.lit(0), F.lit(2 * FEISTEL)), start, step)
+        return F.array_join(F.zip_with(cs, after, lambda x, d: F.when(x["p"]["size"] > 1, F.char(x["p"]["low"] + d)).otherwise(x["c"])), "")
+
+    return F.get(F.transform(F.array(cells), moved), 0)
+
+
 def _interpreted(x: Column) -> Column:
     """The expression inside a lambda, which Spark interprets: as generated code these are too large to compile, and each try costs seconds."""
     return F.get(F.transform(F.array(F.lit(0)), lambda _: x), 0)

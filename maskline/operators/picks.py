@@ -65,15 +65,26 @@ def aliases(matches: DataFrame, salt: str) -> DataFrame:
     """(value, alias) of the groups' distinct values: of the same length and classes of characters.
 
     Values of which there could be ten million or more get aliases of their own
-    that are no values; shorter ones, such as single digits, for which there may
-    be no others left, get one that differs from the value.
+    that are no values; where a sixteenth or more of such a shape's strings are
+    values, they are permuted among its strings, so an alias may be another value
+    but still is one value's.  Shorter ones, such as single digits, for which
+    there may be no others left, get one that differs from the value.
     """
     values = matches.select(F.explode("parts.value").alias("original")).distinct().withColumn("kind", F.lit("pii"))
     count = lambda p: F.regexp_count("original", F.lit(p))
-    wide = count("[0-9]") + count("[A-Za-z]") * 1.4 >= 7
-    own = mint.with_aliases(kept(values.where(wide)), salt).select(F.col("original").alias("value"), "alias")
+    digits, letters = count("[0-9]"), count("[A-Za-z]")
+    wide = digits + letters * 1.4 >= 7
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("original", "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A")
+    values = kept(values.withColumns({"wide": wide, "shape": shape}))
+    # How many strings ``scrambled`` draws from at least, letters of hex being six.
+    room = 0.9 * F.pow(F.lit(10.0), digits) * F.pow(F.lit(6.0), letters)
+    counted = values.where("wide").groupBy("shape").agg(F.count("*").alias("n"), F.min(room).alias("room")).where("16 * n > room")
+    crowded = values.where("wide").join(F.broadcast(counted.select("shape")), "shape", "left_semi")  # each has over 500,000 values
+    roomy = values.where("wide").join(F.broadcast(counted.select("shape")), "shape", "left_anti")
+    own = mint.with_aliases(kept(roomy.select("original", "kind")), salt).select(F.col("original").alias("value"), "alias")
+    own = own.unionByName(crowded.select(F.col("original").alias("value"), mint.permuted(salt, F.col("original")).alias("alias")))
     draws = [F.nullif(mint.scrambled(f"{salt}\x00{k}", F.col("original")), F.col("original")) for k in range(6)]
-    return own.unionByName(values.where(~wide).select(F.col("original").alias("value"), F.coalesce(*draws, F.col("original")).alias("alias")))
+    return own.unionByName(values.where("not wide").select(F.col("original").alias("value"), F.coalesce(*draws, F.col("original")).alias("alias")))
 
 
 def entries(matches: DataFrame, named: DataFrame) -> DataFrame:
