@@ -905,7 +905,7 @@ def stored_documents(spark, d):
     print_ = F.when(k == 3, values.fingerprint(F.col("c_name"))).when(k == 1, "0-0").otherwise(values.fingerprint(F.col("c_name")))
     doc = F.to_json(F.struct(F.lit(1).alias("version"), F.lit("acme_gate").alias("key"), F.lit("Acme:Gate").alias("sourcetype"), events.alias("events"), print_.alias("fingerprint"), F.lit(True).alias("sanitised"), origin.alias("provenance"), F.lit(7).alias("unknownField")))
     wrapped = F.when(k == 5, F.lit("{broken")).otherwise(F.regexp_replace(F.to_json(F.array(doc)), r"^\[|\]$", ""))
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(k == 2, "acme_other").otherwise("acme_gate").alias("key"), wrapped.alias("text"))
+    rows = src.spread(table(spark, d, "customer").select("c_custkey", "c_name")).select(F.col("c_custkey").alias("id"), F.when(k == 2, "acme_other").otherwise("acme_gate").alias("key"), wrapped.alias("text"))
     return library.parsed_documents(rows).select("id", "reason", F.get("doc.events", 0).alias("event"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskline.functions.values import canonical_sourcetype, fingerprint
+from maskline.operators.parsers import let
 
 
 def catalogue(system: DataFrame, packs: DataFrame) -> DataFrame:
@@ -56,9 +57,9 @@ def intact(docs: DataFrame) -> DataFrame:
 
 def _unwrapped(text: Column) -> Column:
     """The JSON text inside up to three layers of JSON strings."""
+    inner = lambda t: F.get(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>"), 0)
     for _ in range(3):
-        inner = F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), 0)
-        text = F.when(F.trim(text).startswith('"'), inner).otherwise(text)
+        text = let(text, lambda t: F.when(F.trim(t).startswith('"'), inner(t)).otherwise(t))  # each layer is read once
     return text
 
 
@@ -95,7 +96,8 @@ def parsed_documents(texts: DataFrame, key_col: str = "key", text_col: str = "te
         .when(F.length("body") > most_bytes, "too large").when(~d("fingerprint").eqNullSafe(fingerprint(F.array_join(lines, "\n"))), "fingerprint")
     )
     clean = F.col("d").withField("events", lines).withField("provenance.sourceLabel", F.left(F.coalesce(p["sourceLabel"], F.lit("")), F.lit(200)))
-    return rows.withColumns({"doc": F.when(reason.isNull(), clean), "reason": reason}).drop("body", "d")
+    # The reason first, so that it is worked out once.
+    return rows.withColumn("reason", reason).withColumn("doc", F.when(F.col("reason").isNull(), clean)).drop("body", "d")
 
 
 def parsed_overlay(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
