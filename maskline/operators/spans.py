@@ -1,12 +1,14 @@
-"""Where values stand in lines: the rarest run of each value looked up, the rest compared in place.
+"""Where values stand in lines: some runs of each value looked up, the rest compared in place.
 
 A line is cut by a pattern into runs and what stands between them.  A value is
 cut by the same pattern, so where it occurs between the pattern's boundaries it
-is a number of whole runs with the text between them.  Of each value one run is
-its anchor: the one that fewest other values have.  A bitmap of the anchors'
-hashes, of a fixed size, tells for each run of a line whether it can be one;
-only those become rows, to be joined with the values by equality, and the
-value's other runs are compared in the row.  A line without an anchor gives no
+is a number of whole runs with the text between them.  All runs of a value, or
+of a longer one the WINDOW runs in a row that fewest other values have, are its
+anchor, known by a hash; so the four numbers of an address are one anchor, not
+numbers that thousands of addresses share.  A bitmap of the anchors, of a fixed
+size, tells for each window of a line whether it can be one; only those become
+rows, with as much of the line as the longest value needs, to be joined with the
+values by equality and compared in the row.  A line without an anchor gives no
 row.  Blanks, slashes, ranges and mailboxes inside a value need no rule.
 
 Two cuts are used: RUN for replacing and WORD, which is finer, for the proof.
@@ -32,8 +34,10 @@ TRAIL = r"[.\-$]*$"
 JSON_KEY = r'"(?:[^"\\]|\\.)*+"(?=\s*:)'
 #: Kinds of value that may be replaced where they are a whole JSON key.
 KEY_KINDS = ["email", "ipv4", "ipv6", "mac"]
-#: Bits of the anchors' map: 64 for each anchor of 2**15; more anchors only make more rows.
-BITS = 21
+#: Runs of an anchor, at most.
+WINDOW = 4
+#: Bits of the anchors' map (2 MB, a subquery's result and no part of the plan's text); more anchors only make more rows.
+BITS = 24
 
 
 def is_json(raw: Column) -> Column:
@@ -50,32 +54,53 @@ def cut(raw: Column, run: str, keys: bool) -> tuple[Column, Column]:
     return runs, between
 
 
+def _short(r: Column) -> Column:
+    """A run without the marks that may belong to the value or not; the first of them where it has nothing else."""
+    return F.coalesce(F.nullif(F.regexp_replace(r, F.lit(TRAIL), F.lit("")), F.lit("")), F.left(r, F.lit(1)))
+
+
+def _windows(runs: Column, run: str, sizes: list[int]) -> Column:
+    """(anchor, i) of every window of those sizes over lower-case runs: a hash of its runs, the last without trailing marks."""
+    hashes = F.struct(F.transform(runs, lambda r: F.xxhash64(r)).alias("whole"), F.transform(runs, lambda r: F.xxhash64(_short(r) if run == RUN else r)).alias("last"))
+
+    def of(h: Column, size: int) -> Column:
+        ends = F.slice(h["last"], size, F.greatest(F.size(h["last"]) - (size - 1), F.lit(0)))
+        key = lambda e, i: F.xxhash64(*[F.get(h["whole"], i + k) for k in range(size - 1)], e)
+        return F.transform(ends, lambda e, i: F.struct(key(e, i).alias("anchor"), i.alias("i")))
+
+    every = lambda h: F.concat(*[of(h, n) for n in sizes]) if len(sizes) > 1 else of(h, sizes[0])
+    return F.get(F.transform(F.array(hashes), every), 0)
+
+
 def sought(entries: DataFrame, run: str) -> DataFrame:
-    """Enabled entries with ``low`` (their text from first to last run, lower case), ``n`` runs, ``lead`` and ``tail``,
-    and their ``anchor``, run number ``at``: that which fewest values have, of equals the longest."""
+    """Enabled entries with ``low`` (their text from first to last run, lower case), ``n`` runs, ``lead`` and ``tail``, and their
+    ``anchor``, the window of ``size`` runs at run number ``place``: all runs, or of more than WINDOW those which fewest values have."""
     runs, between = cut(F.col("original"), run, keys=False)
     rows = entries.where("enabled").withColumns({"n": F.size(runs), "lead": F.element_at(between, 1), "tail": F.element_at(between, -1), "runs": F.transform(runs, F.lower)})
     body = F.expr("substring(original, length(lead) + 1, length(original) - length(lead) - length(tail))")
-    rows = rows.where("n > 0").withColumn("low", F.lower(body))
-    single = rows.where("n = 1").withColumns({"anchor": F.get("runs", 0), "place": F.lit(0)}).drop("runs")
-    each = rows.where("n > 1").select("*", F.posexplode("runs").alias("place", "anchor"))
-    times = each.groupBy("anchor").agg(F.count("*").alias("times"))
-    order = Window.partitionBy("original", "kind").orderBy("times", F.desc(F.length("anchor")), "place")
-    best = each.join(times, "anchor").withColumn("r", F.row_number().over(order)).where("r = 1").drop("r", "times", "runs")
-    return single.unionByName(best.select(single.columns))
+    rows = rows.where("n > 0").withColumns({"low": F.lower(body), "size": F.least("n", F.lit(WINDOW))})
+    windows = F.lit(None)
+    for n in range(1, WINDOW + 1):
+        windows = F.when(F.col("size") == n, _windows(F.col("runs"), run, [n])).otherwise(windows)
+    each = rows.select("*", F.explode(windows).alias("w")).select(*rows.columns, F.col("w.anchor").alias("anchor"), F.col("w.i").alias("place")).drop("runs")
+    long = each.where(f"n > {WINDOW}")
+    times = long.groupBy("anchor").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("original", "kind").orderBy("times", "place")
+    best = long.join(times, "anchor").withColumn("r", F.row_number().over(order)).where("r = 1")
+    return each.where(f"n <= {WINDOW}").unionByName(best.select(each.columns))
 
 
-def _slot(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit((1 << BITS) - 1))
+def _slot(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit((1 << BITS) - 1))
 
 
 def _bitmap(values: DataFrame) -> Column:
-    """The slots of all anchors as a constant: 2**BITS bits, whatever their number."""
+    """The slots of all anchors: 2**BITS bits, whatever their number."""
     slot = _slot(F.col("anchor"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
     words = values.select(F.shiftright(slot, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    found = {r.w: r.b for r in words.collect()}  # at most 2**(BITS - 6) rows
-    return F.from_json(F.lit("[" + ",".join(str(found.get(w, 0)) for w in range(1 << (BITS - 6))) + "]"), "array<bigint>")
+    every = values.sparkSession.range(1 << (BITS - 6)).withColumnRenamed("id", "w").join(words, "w", "left").select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return every.agg(F.sort_array(F.collect_list(F.struct("w", "b")))["b"]).scalar()
 
 
 def matches(lines: DataFrame, values: DataFrame, run: str, keys: bool = True) -> DataFrame:
@@ -86,27 +111,21 @@ def matches(lines: DataFrame, values: DataFrame, run: str, keys: bool = True) ->
     ``key`` says that the hit is a whole JSON key.
     """
     runs, between = cut(F.col("raw"), run, keys)
-    bitmap, trail = _bitmap(values), F.lit(TRAIL)
+    reach = values.agg(F.collect_set("size").alias("sizes"), F.max("place").alias("before"), F.max(F.col("n") - F.col("place")).alias("after")).first()
+    before, after = reach.before or 0, reach.after or 1
 
     def plain(r: Column) -> Column:
         return F.lower(F.regexp_replace(r, r'^"|"$', "") if keys else r)
 
-    def short(r: Column) -> Column:
-        return F.regexp_replace(r, trail, F.lit(""))
-
-    def may(r: Column) -> Column:
-        slot = _slot(r)
-        return F.getbit(F.get(bitmap, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-    places = F.filter(
-        F.transform("runs", lambda r, i: F.struct(plain(r).alias("run"), i.alias("i"))),
-        lambda x: may(x["run"]) | (may(short(x["run"])) if run == RUN else F.lit(False)),
-    )
     rows = lines.select("sample_id", "line_no", runs.alias("runs"), between.alias("between"))
-    rows = rows.select("*", F.explode(places).alias("p"))
-    texts = F.array(F.col("p.run"), short(F.col("p.run"))) if run == RUN else F.array("p.run")
-    rows = rows.select("*", F.explode(F.array_distinct(texts)).alias("anchor"), F.col("p.i").alias("i")).drop("p")
-    met = rows.join(values, "anchor").withColumn("at", F.col("i") - F.col("place")).where("at >= 0 and at + n <= size(runs)")
+    rows = rows.withColumn("windows", _windows(F.transform("runs", plain), run, sorted(reach.sizes) or [1]))
+    slot = _slot(F.col("anchor"))
+    may = F.getbit(F.get(_bitmap(values), F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+    rows = rows.select("sample_id", "line_no", "runs", "between", F.inline("windows")).where(may)
+    # Of the line only what the longest value may cover; ``skip`` runs are left out before it.
+    rows = rows.withColumn("skip", F.greatest(F.col("i") - before, F.lit(0)))
+    rows = rows.withColumns({"runs": F.slice("runs", F.col("skip") + 1, F.lit(before + after)), "between": F.slice("between", F.col("skip") + 1, F.lit(before + after + 1))})
+    met = rows.join(values, "anchor").withColumn("at", F.col("i") - F.col("place") - F.col("skip")).where("at >= 0 and at + n <= size(runs)")
     first = F.greatest("at", F.lit(0))  # slices may be made before the rows are tested
     inner = F.flatten(F.zip_with(F.slice("runs", first + 1, F.col("n") - 1), F.slice("between", first + 2, F.col("n") - 1), lambda a, b: F.array(a, b)))
     last = F.get("runs", F.col("at") + F.col("n") - 1)
@@ -120,4 +139,5 @@ def matches(lines: DataFrame, values: DataFrame, run: str, keys: bool = True) ->
     fits &= (F.col("cut") == 0) | (rest.rlike(r"^[.\-$]+$") & ~F.col("key") & F.lit(run == RUN))
     around = F.get("between", F.col("at")).endswith(F.col("lead")) & F.get("between", F.col("at") + F.col("n")).startswith(F.col("tail"))
     around &= (F.length("tail") == 0) | (F.col("cut") == 0)
-    return met.where(fits & around).drop("runs", "between", "anchor", "i", "place", "last", "whole", "low")
+    found = met.where(fits & around).withColumn("at", F.col("at") + F.col("skip"))
+    return found.drop("runs", "between", "anchor", "i", "place", "size", "skip", "last", "whole", "low")
