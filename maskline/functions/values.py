@@ -17,15 +17,22 @@ def canon_field(name: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(bare, r"\."), -1), "[^a-z0-9]", "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
+
+
 def field_kind(name: Column) -> Column:
     """user, host or ipv4 by the name of a field, else null."""
-    snake = snake_field(name)
-    kind = (
-        F.when(snake.rlike(f"{fixed.USER_FIELD}|{fixed.ROLE_USER}"), "user")
-        .when(snake.rlike(f"{fixed.HOST_FIELD}|{fixed.ROLE_HOST}"), "host")
-        .when(snake.rlike(f"{fixed.IP_FIELD}|{fixed.ROLE_IP}"), "ipv4")
-    )
-    return F.when(~snake.rlike(fixed.NOT_IDENTITY), kind)
+    def kind(snake: Column) -> Column:
+        found = (
+            F.when(snake.rlike(f"{fixed.USER_FIELD}|{fixed.ROLE_USER}"), "user")
+            .when(snake.rlike(f"{fixed.HOST_FIELD}|{fixed.ROLE_HOST}"), "host")
+            .when(snake.rlike(f"{fixed.IP_FIELD}|{fixed.ROLE_IP}"), "ipv4")
+        )
+        return F.when(~snake.rlike(fixed.NOT_IDENTITY), found)
+
+    return let(snake_field(name), kind)
 
 
 def field_value(raw: Column) -> Column:

@@ -188,19 +188,27 @@ def secrets(lines: DataFrame) -> DataFrame:
 
 def fields(pairs: DataFrame) -> DataFrame:
     """Hits by the name of a parsed field (sample_id, line_no, field, value), credentials and personal facts too."""
-    canon, value = values.canon_field(F.col("field")), values.field_value(F.col("value"))
     squashed = lambda names: [n.replace("_", "") for n in names]
-    scheme = F.regexp_replace(value, "(?i)^(?:" + "|".join(fixed.AUTH_SCHEMES) + r")\s+", "")
-    kind, is_ip = values.field_kind(F.col("field")), values.ipv4_class(value).isNotNull() | values.ipv6_class(value).isNotNull()
-    secret = canon.isin(squashed(fixed.SECRET_FIELDS))
-    kind = (
-        F.when(canon.isin(squashed(fixed.NEVER_FIELDS)), None).when(secret, "secret")
-        .when(kind == "ipv4", F.when(values.ipv6_class(value).isNotNull(), "ipv6").when(is_ip, "ipv4").otherwise("pii"))
-        .when(kind.isNotNull(), F.when(value.rlike(f"^{EMAIL}$"), "email").otherwise(kind)).when(canon.isin(squashed(fixed.PERSONAL_FIELDS)), "pii")
-    )
-    hit = F.struct(
-        F.when(secret, scheme).otherwise(value).alias("value"), kind.alias("kind"), F.concat(F.lit("field "), F.col("field")).alias("via"),
-        F.lit(13).alias("pass"), F.lit(False).alias("version"),
+
+    def hit(said: Column) -> Column:
+        """Each of the name's and the value's forms is computed once, and looked at as often as the cases need."""
+        canon, value, named = said["canon"], said["value"], said["named"]
+        scheme = F.regexp_replace(value, "(?i)^(?:" + "|".join(fixed.AUTH_SCHEMES) + r")\s+", "")
+        is_ip = values.ipv4_class(value).isNotNull() | values.ipv6_class(value).isNotNull()
+        secret = canon.isin(squashed(fixed.SECRET_FIELDS))
+        kind = (
+            F.when(canon.isin(squashed(fixed.NEVER_FIELDS)), None).when(secret, "secret")
+            .when(named == "ipv4", F.when(values.ipv6_class(value).isNotNull(), "ipv6").when(is_ip, "ipv4").otherwise("pii"))
+            .when(named.isNotNull(), F.when(value.rlike(f"^{EMAIL}$"), "email").otherwise(named)).when(canon.isin(squashed(fixed.PERSONAL_FIELDS)), "pii")
+        )
+        return F.struct(
+            F.when(secret, scheme).otherwise(value).alias("value"), kind.alias("kind"), F.concat(F.lit("field "), said["field"]).alias("via"),
+            F.lit(13).alias("pass"), F.lit(False).alias("version"),
+        )
+
+    said = F.struct(
+        F.col("field").alias("field"), values.canon_field(F.col("field")).alias("canon"), values.field_value(F.col("value")).alias("value"),
+        values.field_kind(F.col("field")).alias("named"),
     )
 
     def worth(h: Column) -> Column:
@@ -213,7 +221,7 @@ def fields(pairs: DataFrame) -> DataFrame:
         return F.coalesce(own.isin("loopback", "multicast", "reserved"), F.lit(False))
 
     # Tested inside an array, so that each expression is there once.
-    return _rows(pairs, F.filter(F.filter(F.array(hit), worth), lambda h: ~protocol(h)))
+    return _rows(pairs, F.filter(F.filter(F.transform(F.array(said), hit), worth), lambda h: ~protocol(h)))
 
 
 def vocabulary(pairs: DataFrame, never_fields: list[str]) -> DataFrame:

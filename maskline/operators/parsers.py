@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskline.functions.values import field_value
+from maskline.functions.values import field_value, let
 from maskline.operators import spans
 
 # Java matches a repeated group by recursion unless it is possessive, and a run of characters that may begin anywhere
@@ -15,11 +15,6 @@ from maskline.operators import spans
 _PAIR = r'(?:\G|(?<![\w.\-]))([\w.\-]++)=("(?:[^"\\]|\\.)*+"|[^\s]*+)'
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
-
-
 def last_wins(entries: Column) -> Column:
     """A map of entries (key, value) in which the last of equal keys wins."""
     placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("place"), e["value"].alias("value"))))
