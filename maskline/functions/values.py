@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskline.functions import fixed
 
 
-def snake_field(name: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2"), r"[-\s.]+", "_"))
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
 
 
-def canon_field(name: Column) -> Column:
-    bare = F.lower(F.regexp_replace(F.trim(name), r"^[\"']|[\"']$", ""))
-    return F.regexp_replace(F.element_at(F.split(bare, r"\."), -1), "[^a-z0-9]", "")
+def has(value: Column, words: list[str]) -> Column:
+    """Whether any of the words is in the value: far cheaper than a pattern that needs one of them."""
+    return reduce(Column.__or__, [value.contains(w) for w in words])
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
+def snake_field(name: Column) -> Column:
+    apart = lambda n: F.when(n == F.lower(n), n).otherwise(F.regexp_replace(n, r"([a-z0-9])([A-Z])", "$1_$2"))
+    return F.lower(F.regexp_replace(let(name, apart), r"[-\s.]+", "_"))
+
+
+def canon_field(name: Column) -> Column:
+    unquoted = lambda n: F.when(has(n, ['"', "'"]), F.regexp_replace(n, r"^[\"']|[\"']$", "")).otherwise(n)
+    last = F.substring_index(F.lower(let(F.trim(name), unquoted)), ".", -1)
+    return let(F.translate(last, "_- ", ""), lambda n: F.when(n.rlike("[^a-z0-9]"), F.regexp_replace(n, "[^a-z0-9]", "")).otherwise(n))
 
 
 def field_kind(name: Column) -> Column:
@@ -30,14 +39,15 @@ def field_kind(name: Column) -> Column:
             .when(snake.rlike(f"{fixed.HOST_FIELD}|{fixed.ROLE_HOST}"), "host")
             .when(snake.rlike(f"{fixed.IP_FIELD}|{fixed.ROLE_IP}"), "ipv4")
         )
-        return F.when(~snake.rlike(fixed.NOT_IDENTITY), found)
+        return F.when(has(snake, fixed.IDENTITY_WORDS) & ~snake.rlike(fixed.NOT_IDENTITY), found)
 
     return let(snake_field(name), kind)
 
 
 def field_value(raw: Column) -> Column:
     """A parsed value without blanks around it and one pair of quotes."""
-    return F.trim(F.regexp_replace(F.trim(raw), r"^([\"'])([\s\S]*)\1$", "$2"))
+    bare = lambda v: F.when(v.startswith('"') | v.startswith("'"), F.trim(F.regexp_replace(v, r"^([\"'])([\s\S]*)\1$", "$2"))).otherwise(v)
+    return let(F.trim(raw), bare)
 
 
 def is_never(value: Column) -> Column:

@@ -32,9 +32,17 @@ DOMAIN_USER = r"(?<![\\\w:])([A-Za-z][\w\-]{1,14})\\([A-Za-z][\w.\-$]{1,63})(?![
 FQDN = (
     r"(?i)(?<![\w.@\-])(?!(?<=%)40)(?:[a-z0-9]++(?:-++[a-z0-9]++)*+\.(?=[a-z0-9]))++(?<=\.)(?:" + "|".join(fixed.DOMAIN_ENDINGS) + r")(?![\w\-]|\.\w)"
 )
+
+
+def _by_first(words: list[str]) -> str:
+    """The words as alternatives by their first letter, longer ones first, so that one letter rules out most."""
+    firsts = sorted({w[0] for w in words})
+    return "|".join(f"{c}(?:" + "|".join(sorted((w[1:] for w in words if w[0] == c), key=len, reverse=True)) + ")" for c in firsts)
+
+
 DN_PART = r"(?:CN|OU|DC|O)=([^,=\"]+)"
 SECRET_PAIR = (
-    r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted(fixed.SECRET_FIELDS, key=len, reverse=True)) + r")[\"']?\s*[:=]\s*[\"']?"
+    r"(?i)(?<![A-Za-z0-9])(?=[a-z0-9_]++[\"']?\s*[:=])(?:" + _by_first(fixed.SECRET_FIELDS) + r")[\"']?\s*[:=]\s*[\"']?"
     r"(?:(?:" + "|".join(fixed.AUTH_SCHEMES) + r")\s+)?([A-Za-z0-9_\-./+=~]{8,})"
 )
 VERSION = r"(?i)\b(?:version|ver|v|release|build|rev|sdk|agent|schema)\b\W{0,3}(?<![\w.])((?:\d{1,3}\.){3}\d{1,3})(?![\w]|\.\w)"
@@ -67,7 +75,7 @@ def words(pattern: str, strip: str = ".") -> Column:
 
 
 def _quads() -> Column:
-    plain = F.filter(words(r"[\w.]+"), lambda w: w.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"))
+    plain = _all(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?=\.*+(?![\w.]))")  # runs that are one but for dots at their end
     return F.filter(_if(F.col("raw").rlike(r"\d\.\d{1,3}\.\d"), plain), lambda w: values.ipv4_class(w).isNotNull())
 
 
@@ -123,12 +131,14 @@ def _domain_users() -> list[Column]:
 
 
 def _fqdns() -> Column:
-    return _hits(F.filter(_all(FQDN), lambda v: ~F.lower(v).rlike(fixed.RESERVED_DOMAIN)), "fqdn", "fqdn pattern", 9)
+    reserved = lambda v: values.has(v, fixed.RESERVED_WORDS) & v.rlike(fixed.RESERVED_DOMAIN)
+    found = _if(F.col("raw").rlike(r"\.[A-Za-z]{2}"), _all(FQDN))
+    return _hits(F.filter(found, lambda v: ~values.let(F.lower(v), reserved)), "fqdn", "fqdn pattern", 9)
 
 
 def _logins() -> Column:
-    found = F.flatten(F.array(*[_all(p, 1) for p in fixed.LOGIN_PHRASES]))
-    return _hits(_if(F.col("raw").rlike(r"\bfor\b|\buser\b|sudo|Account Name"), found), "user", "login phrase", 10)
+    found = F.flatten(F.array(*[_if(values.has(F.col("raw"), some), _all(p, 1)) for p, some in zip(fixed.LOGIN_PHRASES, fixed.LOGIN_WORDS, strict=True)]))
+    return _hits(found, "user", "login phrase", 10)
 
 
 def _distinguished_names() -> list[Column]:
@@ -136,12 +146,12 @@ def _distinguished_names() -> list[Column]:
     out = []
     for label, kind in (("CN", "user"), ("OU", "host"), ("DC", "host"), ("O", "host")):
         parts = F.transform(_all(rf"(?<![\w=\\]){label}\\?=([^,=\"\\]+)", 1), F.trim)
-        out.append(_hits(_if(F.size(_all(DN_PART, 1)) >= 2, parts), kind, f"dn pattern ({label})", 11))
+        out.append(_hits(_if(values.has(F.col("raw"), fixed.DN_WORDS) & (F.size(_all(DN_PART, 1)) >= 2), parts), kind, f"dn pattern ({label})", 11))
     return out
 
 
 def _secrets() -> list[Column]:
-    shapes = F.flatten(F.array(*[_all(p) for p in fixed.CREDENTIALS]))
+    shapes = F.flatten(F.array(*[_if(values.has(F.col("raw"), some), _all(p)) for p, some in zip(fixed.CREDENTIALS, fixed.CREDENTIAL_WORDS, strict=True)]))
     return [_hits(shapes, "secret", "secret rule", 12), _hits(_if(F.col("raw").rlike("[:=]"), _all(SECRET_PAIR, 1)), "secret", "secret field", 12)]
 
 
@@ -206,10 +216,10 @@ def fields(pairs: DataFrame) -> DataFrame:
             F.lit(13).alias("pass"), F.lit(False).alias("version"),
         )
 
-    said = F.struct(
-        F.col("field").alias("field"), values.canon_field(F.col("field")).alias("canon"), values.field_value(F.col("value")).alias("value"),
-        values.field_kind(F.col("field")).alias("named"),
-    )
+    said = F.struct(F.col("field").alias("field"), values.canon_field(F.col("field")).alias("canon"), values.field_kind(F.col("field")).alias("named"), F.col("value").alias("value"))
+    telling = lambda s: s["named"].isNotNull() | s["canon"].isin(squashed(fixed.SECRET_FIELDS + fixed.PERSONAL_FIELDS))
+    # The value's form is worked out where the name says something.
+    said = F.transform(F.filter(F.array(said), telling), lambda s: F.struct(s["field"].alias("field"), s["canon"].alias("canon"), values.field_value(s["value"]).alias("value"), s["named"].alias("named")))
 
     def worth(h: Column) -> Column:
         long_enough = F.length(h["value"]) >= F.when(h["kind"] == "secret", fixed.SECRET_LENGTH).otherwise(2)
@@ -221,7 +231,7 @@ def fields(pairs: DataFrame) -> DataFrame:
         return F.coalesce(own.isin("loopback", "multicast", "reserved"), F.lit(False))
 
     # Tested inside an array, so that each expression is there once.
-    return _rows(pairs, F.filter(F.filter(F.transform(F.array(said), hit), worth), lambda h: ~protocol(h)))
+    return _rows(pairs, F.filter(F.filter(F.transform(said, hit), worth), lambda h: ~protocol(h)))
 
 
 def vocabulary(pairs: DataFrame, never_fields: list[str]) -> DataFrame:
@@ -233,7 +243,7 @@ def vocabulary(pairs: DataFrame, never_fields: list[str]) -> DataFrame:
 def everything(lines: DataFrame) -> DataFrame:
     """All pattern passes over the lines, in one scan, without values that are never replaced."""
     rows = _rows(
-        lines, *_ipv4_identities(), _ipv6(), *_emails(), _hits(_all(MAC), "mac", "mac pattern", 4), _cards(), _ibans(), _phones(),
+        lines, *_ipv4_identities(), _ipv6(), *_emails(), _hits(_if(F.col("raw").rlike("[:-][0-9A-Fa-f]{2}[:-]"), _all(MAC)), "mac", "mac pattern", 4), _cards(), _ibans(), _phones(),
         *_domain_users(), _fqdns(), _logins(), *_distinguished_names(), *_secrets(),
     )
     return rows.where(~values.is_never(F.col("value")) & (F.length("value") > 1))

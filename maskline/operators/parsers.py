@@ -110,7 +110,8 @@ def fields(raw: Column) -> Column:
     access = F.map_filter(clf(raw), lambda k, v: k.isin("client", "user"))
     named = F.transform_keys(access, lambda k, v: F.when(k == "client", "client_ip").otherwise(k))
     host = F.filter(F.map_entries(syslog(raw)), lambda e: e["key"] == "host")
-    pairs = last_wins(F.concat(host, F.map_entries(kvp(raw))))
+    both = lambda h: F.when(F.size(h) == 0, kvp(raw)).otherwise(last_wins(F.concat(h, F.map_entries(kvp(raw)))))
+    pairs = let(host, both)
     return (
         F.when(spans.is_json(raw), F.coalesce(json_leaves(raw), none)).when(raw.rlike(r"^\s*<[A-Za-z?]"), some(xml(raw)))
         .when(raw.rlike(r'^\S+ \S+ \S+ \[[^\]]+\] "'), some(named)).otherwise(some(pairs))
