@@ -46,7 +46,13 @@ def field_kind(name: Column) -> Column:
 
 def field_value(raw: Column) -> Column:
     """A parsed value without blanks around it and one pair of quotes."""
-    bare = lambda v: F.when(v.startswith('"') | v.startswith("'"), F.trim(F.regexp_replace(v, r"^([\"'])([\s\S]*)\1$", "$2"))).otherwise(v)
+    def bare(v: Column) -> Column:
+        quoted = F.length(v) > 1
+        both = (v.startswith('"') & v.endswith('"')) | (v.startswith("'") & v.endswith("'"))
+        # The pattern's $ stands before a line's end too; elsewhere the ends tell, without reading a long value by a pattern.
+        broken = (v.startswith('"') | v.startswith("'")) & F.substring(v, -1, 1).isin("\n", "\r", "\x85", "\u2028", "\u2029")
+        inner = F.when(broken, F.trim(F.regexp_replace(v, r"^([\"'])([\s\S]*)\1$", "$2"))).otherwise(v)
+        return F.when(quoted & both, F.trim(F.substring(v, F.lit(2), F.length(v) - 2))).otherwise(inner)
     return let(F.trim(raw), bare)
 
 

@@ -7,12 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskline.functions.values import field_value, let
+from maskline.functions.values import field_value, has, let
 from maskline.operators import spans
 
 # Java matches a repeated group by recursion unless it is possessive, and a run of characters that may begin anywhere
 # costs the square of its length; so groups are possessive here and runs begin where one does.
-_PAIR = r'(?:\G|(?<![\w.\-]))([\w.\-]++)=("(?:[^"\\]|\\.)*+"|[^\s]*+)'
+_PAIR = r'(?:\G|(?<![\w.\-]))([\w.\-]++)=("(?:[^"\\]+|\\.)*+"|[^\s]*+)'
 
 
 def last_wins(entries: Column) -> Column:
@@ -29,6 +29,9 @@ def _map(keys: Column, values: Column) -> Column:
 
 def kvp(raw: Column, pattern: str = _PAIR) -> Column:
     """key=value pairs; quoted values lose their quotes."""
+    if pattern == _PAIR:  # the match is the key, = and the value, so the line is searched once
+        apart = lambda p: let(F.substring_index(p, "=", 1), lambda k: F.struct(k.alias("key"), field_value(F.substring(p, F.length(k) + 2, F.length(p))).alias("value")))
+        return last_wins(F.transform(F.regexp_extract_all(raw, F.lit(pattern), F.lit(0)), apart))
     keys = F.regexp_extract_all(raw, F.lit(pattern), F.lit(1))
     values = F.transform(F.regexp_extract_all(raw, F.lit(pattern), F.lit(2)), field_value)
     return _map(keys, values)
@@ -151,7 +154,7 @@ def aliased(fields: Column, chains: dict[str, str]) -> Column:
     return let(fields, named)
 
 
-_CELL = r"(?:[^|\\]|\\.)*+"
+_CELL = r"(?:[^|\\]+|\\.)*+"
 _HEAD = r"^(?:.*?\s)?{0}:(\d+(?:\.\d+)?)" + rf"\|({_CELL})" * 3
 
 
@@ -173,8 +176,35 @@ def cef(raw: Column) -> Column:
 
 
 def _spaced(extension: Column) -> Column:
+    """Pairs whose values run to the next key.
+
+    A value holds no = that isn't escaped, so the text is cut at =, and only the end of a piece can be the next key.
+    With escapes or other white space than blanks, patterns find the same pairs, word by word.
+    """
+    odd = ["\\", "\t", "\n", "\x0b", "\f", "\r", "\x85", "\u2028", "\u2029"]
+    return let(extension, lambda e: F.when(has(e, odd), _spaced_words(e)).otherwise(let(F.split(e, "=", -1), _spaced_pieces)))
+
+
+def _spaced_pieces(pieces: Column) -> Column:
+    def piece(text: Column, at: Column) -> Column:
+        def ended(word: Column) -> Column:
+            own = word.rlike(r"^[\w.\-]+$") & ((at == 0) | (F.length(word) < F.length(text)))
+            before = F.rtrim(F.substring(text, F.lit(1), F.length(text) - F.length(word)))
+            value = F.when(at == F.size(pieces) - 1, F.rtrim(text)).when(own, before)
+            return F.struct(F.when(own, word).alias("key"), value.alias("value"))
+
+        return let(F.substring_index(text, " ", -1), ended)
+
+    def paired(found: Column) -> Column:
+        pairs = F.zip_with(found, F.slice(found, F.lit(2), F.size(found)), lambda a, b: F.struct(a["key"].alias("key"), b["value"].alias("value")))
+        return last_wins(F.filter(pairs, lambda e: e["key"].isNotNull() & e["value"].isNotNull()))
+
+    return let(F.transform(pieces, piece), paired)
+
+
+def _spaced_words(extension: Column) -> Column:
     key = r"[\w.\-]++="
-    pattern = rf"(?:^|\s)([\w.\-]++)=((?:\\.|[^\\=\s]|\s++(?!{key}|$))*+)(?=\s+{key}|\s*$)"
+    pattern = rf"(?:^|\s)([\w.\-]++)=((?:[^\\=\s]+|\\.|\s++(?!{key}|$))*+)(?=\s+{key}|\s*$)"
     values = F.regexp_extract_all(extension, F.lit(pattern), F.lit(2))
     return _map(F.regexp_extract_all(extension, F.lit(pattern), F.lit(1)), F.transform(values, lambda v: F.regexp_replace(v, r"\\([=\\])", "$1")))
 
