@@ -4,6 +4,8 @@
 n-gram: count tables, joined with themselves on the context to give each
 n-gram its factor, joined to the exploded n-grams of any documents, and summed
 for each.  It shuffles about forty times the bytes of the texts.
+``scores_by_own_grams`` is that form for documents that are their own model: a
+row for each bigram and trigram too, but shuffled once, by hash.
 
 ``lm_scores`` computes the same aggregate and join for documents that are their
 own model, with packed rows: the n-gram counts of the whole corpus lie
@@ -19,8 +21,8 @@ times c(v w) / c(v) if the bigram is, else 0.4 times again c(w) / N.  At the
 start of a text the shorter n-grams are all there is, without a penalty.  A
 model of the texts scored holds all their n-grams, so no word of theirs is
 backed off; one of other texts may not even hold the word, which then scores
-the last penalty times 1 / N.  ``lm_scores`` tells n-grams apart by 64-bit
-hashes, the relational form by their words.
+the last penalty times 1 / N.  ``lm_scores`` and ``scores_by_own_grams`` tell
+n-grams apart by 64-bit hashes, ``scores_by_model`` by their words.
 
 Defined cases: null and empty texts have no words and score 0 (mean null);
 repeated rows count each time and score alike; an empty table gives an empty
@@ -35,7 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskline.llm import blocks as bl
@@ -103,6 +105,39 @@ def scores_by_model(docs: DataFrame, model: DataFrame, words: int, id_col: str =
     return every.select(F.col("d._id").alias(id_col), *numbers, F.coalesce("s.log_score", F.lit(0.0)).alias("log_score"))
 
 
+def scores_by_own_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, words scored by each order, log_score) of documents by the n-grams of them all, a row for each n-gram.
+
+    Nothing is backed off, so the factors of a text telescope: each trigram's count counts for it, that of each bigram
+    between its first and its last against it, and N once.  A text of two words has its bigram's count, one of one
+    word that word's.  So each bigram and trigram goes by hash to where it is counted, with the key of its text, and only
+    sums come back; those that occur once add nothing.
+    """
+    words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_WORD), F.lit(1))
+    found = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), words.alias("_w"))
+    n = F.size("_w")
+    sizes = found.select("_id", "_key", n.cast("long").alias("n_words"), F.when(n == 1, F.get("_w", 0)).alias("word"))
+    # The words one and two places behind each; the array itself stays out of the rows.
+    zipped = F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", F.lit(2), n + 1).alias("b"), F.slice("_w", F.lit(3), n + 1).alias("c"))
+    places = found.where(n > 1).select("_key", n.alias("n"), F.posexplode(zipped).alias("at", "z")).where("z.b is not null")
+    two, three = F.xxhash64(F.lit(2), "z.a", "z.b"), F.xxhash64(F.lit(3), "z.a", "z.b", "z.c")
+    weight = F.when(F.col("n") == 2, 1).when((F.col("at") == 0) | (F.col("at") == F.col("n") - 2), 0).otherwise(-1)
+    long = F.struct(three.alias("gram"), F.lit(1).alias("weight"))
+    each = F.array_compact(F.array(F.struct(two.alias("gram"), weight.alias("weight")), F.when(F.col("z.c").isNotNull(), long)))
+    grams = places.select("_key", F.inline(each))
+    counted = grams.withColumn("times", F.count("*").over(Window.partitionBy("gram"))).where("times > 1 and weight <> 0")
+    sums = counted.groupBy("_key").agg(F.sum(F.col("weight") * F.log("times")).alias("log"))
+    single = found.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count("*").alias("times"))
+    total = found.agg(F.greatest(F.sum(n), F.lit(1)).alias("total"))
+    # A repeated row sends its n-grams as often as it occurs, under one key.
+    copies = sizes.withColumn("copies", F.count("*").over(Window.partitionBy("_key")))
+    rows = copies.join(sums, "_key", "left").join(single, "word", "left").join(F.broadcast(total))
+    number = F.col("n_words")
+    log = F.coalesce(F.col("log") / F.col("copies"), F.lit(0.0)) + F.coalesce(F.log("times"), F.lit(0.0)) - F.log("total")
+    by_order = [F.greatest(number - 2, F.lit(0)).alias("n_trigrams"), (number > 1).cast("long").alias("n_bigrams"), (number > 0).cast("long").alias("n_unigrams")]
+    return rows.select(F.col("_id").alias(id_col), number, *by_order, F.when(number > 0, log).otherwise(0.0).alias("log_score"))
+
+
 def corpus_size(docs: DataFrame, text_col: str) -> tuple[int, int]:
     """Bytes and words of all texts."""
 
