@@ -116,7 +116,7 @@ def scores_by_own_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_WORD), F.lit(1))
     found = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), words.alias("_w"))
     n = F.size("_w")
-    sizes = found.select("_id", "_key", n.cast("long").alias("n_words"), F.when(n == 1, F.get("_w", 0)).alias("word"))
+    sizes = found.select("_id", "_key", n.cast("long").alias("n_words"), F.when(n == 1, F.get("_w", 0)).otherwise(F.concat(F.lit(" "), F.col("_key").cast("string"))).alias("word"))
     # The words one and two places behind each; the array itself stays out of the rows.
     zipped = F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", F.lit(2), n + 1).alias("b"), F.slice("_w", F.lit(3), n + 1).alias("c"))
     places = found.where(n > 1).select("_key", n.alias("n"), F.posexplode(zipped).alias("at", "z")).where("z.b is not null")
@@ -127,8 +127,13 @@ def scores_by_own_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grams = places.select("_key", F.inline(each))
     counted = grams.withColumn("times", F.count("*").over(Window.partitionBy("gram"))).where("times > 1 and weight <> 0")
     sums = counted.groupBy("_key").agg(F.sum(F.col("weight") * F.log("times")).alias("log"))
-    single = found.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count("*").alias("times"))
+    # Words that are a whole text's, and what shares one of 1,024 slots with them: none where no text is one word.
+    slot = F.pmod(F.xxhash64("word"), F.lit(1024))
+    sought = sizes.where("n_words = 1").agg(F.collect_set(slot).alias("slots"))
+    met = found.select(F.explode("_w").alias("word")).join(F.broadcast(sought), F.array_contains("slots", slot))
+    single = met.groupBy("word").agg(F.count("*").alias("times"))
     total = found.agg(F.greatest(F.sum(n), F.lit(1)).alias("total"))
+    # Longer texts join under a word that is none, each its own, so that they don't meet in one task.
     # A repeated row sends its n-grams as often as it occurs, under one key.
     copies = sizes.withColumn("copies", F.count("*").over(Window.partitionBy("_key")))
     rows = copies.join(sums, "_key", "left").join(single, "word", "left").join(F.broadcast(total))
