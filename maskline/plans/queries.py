@@ -269,7 +269,8 @@ def residual_detects(spark, d):
     raw = F.concat(F.lit("from "), "ipv4", F.lit("-"), "ipv4", F.lit("/24 open /home/"), "user", F.lit('/x by "'), "pii", F.lit('"'))
     lines = kept(rows.select(F.lit("events").alias("sample_id"), F.col("event_id").alias("line_no"), raw.alias("raw")))
     counts = lambda changed, name: prove.residual(changed, entries).groupBy("kind").agg(F.count("*").alias(name))
-    before = counts(lines.withColumn("after", F.col("raw")), "lines_before")
+    # Nothing is replaced yet, so all of a line is rest: an original that is another's alias counts too.
+    before = counts(lines.withColumns({"after": F.col("raw"), "rest": F.col("raw")}), "lines_before")
     after = counts(kept(apply.applied(lines, entries)), "lines_after")
     return before.join(after, "kind", "left").select("kind", "lines_before", F.coalesce("lines_after", F.lit(0)).cast("long").alias("lines_after"))
 
