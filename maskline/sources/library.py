@@ -63,6 +63,13 @@ def _unwrapped(text: Column) -> Column:
     return text
 
 
+def longer(text: Column, most: int) -> Column:
+    """length(text) > most, characters counted only where bytes don't tell: a byte beyond ASCII, read as a Latin-1 letter, becomes two."""
+    size = F.octet_length(text)
+    ascii_ = F.octet_length(F.decode(text.cast("binary"), "ISO-8859-1")) == size
+    return F.when(size <= most, False).when(size > 4 * most, True).when(ascii_, True).otherwise(F.length(text) > most)
+
+
 #: Fields of a stored document; others are not let through.
 DOCUMENT = "version int, key string, sourcetype string, format string, events array<string>, fingerprint string, sanitised boolean, provenance struct<sourceMode: string, sourceLabel: string, replacementsApplied: bigint, structurePreserved: boolean, coverage: struct<total: bigint, replaced: bigint, ok: boolean, blind: boolean>, sanitisedAt: string>"
 MODES = ["upload", "paste", "group", "live-capture"]
@@ -93,7 +100,7 @@ def parsed_documents(texts: DataFrame, key_col: str = "key", text_col: str = "te
         .when(F.col(key_col).isNotNull() & ~d("key").eqNullSafe(F.col(key_col)), "stored under another key")
         .when(F.coalesce(F.size(lines), F.lit(0)) <= 0, "no events").when(F.exists("d.events", lambda e: e.isNull()), "events")
         .when(p.isNull() | ~F.coalesce(p["sourceMode"].isin(MODES), F.lit(False)) | ~counts | (F.coalesce(p["sanitisedAt"], F.lit("")) == ""), "provenance")
-        .when(F.length("body") > most_bytes, "too large").when(~d("fingerprint").eqNullSafe(fingerprint(F.array_join(lines, "\n"))), "fingerprint")
+        .when(longer(F.col("body"), most_bytes), "too large").when(~d("fingerprint").eqNullSafe(fingerprint(F.array_join(lines, "\n"))), "fingerprint")
     )
     clean = F.col("d").withField("events", lines).withField("provenance.sourceLabel", F.left(F.coalesce(p["sourceLabel"], F.lit("")), F.lit(200)))
     # The reason first, so that it is worked out once.
