@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskline.functions.values import let
 from maskline.operators import spans
 
 #: Kinds whose values are the same in any case.
@@ -43,22 +44,30 @@ def _picked(hits: Column) -> Column:
     return F.aggregate(hits, state, step, lambda s: s["taken"])
 
 
-def _rebuilt(name: str) -> Column:
-    """The line with the field of that name (of each pick) in place of the pick."""
-    pieces = F.flatten(F.transform("between", lambda b, i: F.array(b, F.get("runs", i))))
+def _parts() -> Column:
+    """The line up to and with each pick, and its end: (text, alias, blank), ``alias`` and ``blank`` in place of the pick.
+
+    Both forms of the line are put together of these, so its pieces are joined once.
+    """
     end = lambda k: F.coalesce(F.get("picks", k - 1)["at"] + F.get("picks", k - 1)["n"], F.lit(0))
 
     def part(k: Column) -> Column:
         before, here = F.get("picks", k - 1), F.get("picks", k)
         first, last = end(k), F.coalesce(here["at"], F.size("runs"))
-        kept = F.coalesce(F.right(F.get("runs", first - 1), before["cut"]), F.lit(""))
-        text = F.concat(kept, F.array_join(F.slice("_pieces", first * 2 + 1, (last - first) * 2 + 1), ""))
+        cut = F.coalesce(before["cut"], F.lit(0))
+        pieces = F.array_join(F.slice("_pieces", first * 2 + 1, (last - first) * 2 + 1), "")
+        text = F.when(cut > 0, F.concat(F.right(F.get("runs", first - 1), cut), pieces)).otherwise(pieces)
         low, high = F.coalesce(before["tail"], F.lit(0)), F.coalesce(here["lead"], F.lit(0))
-        text = F.substring(text, low + 1, F.length(text) - low - high)
-        quote = F.when(here["key"], '"').otherwise("")
-        return F.concat(text, quote, F.coalesce(here[name], F.lit("")), quote)
+        text = F.when(low + high == 0, text).otherwise(let(text, lambda t: F.substring(t, low + 1, F.length(t) - low - high)))
+        quoted = lambda name: F.when(here["key"], F.concat(F.lit('"'), F.coalesce(here[name], F.lit("")), F.lit('"'))).otherwise(F.coalesce(here[name], F.lit("")))
+        return F.struct(text.alias("text"), quoted("alias").alias("alias"), quoted("blank").alias("blank"))
+
+    return F.transform(F.sequence(F.lit(0), F.size("picks")), part)
 
-    return pieces, F.array_join(F.transform(F.sequence(F.lit(0), F.size("picks")), part), "")
+
+def _rebuilt(name: str) -> Column:
+    """The line with the field of that name (of each pick) in place of the pick."""
+    return F.array_join(F.flatten(F.transform("_parts", lambda p: F.array(p["text"], p[name]))), "")
 
 
 def picked(lines: DataFrame, entries: DataFrame) -> DataFrame:
@@ -79,10 +88,10 @@ def applied(lines: DataFrame, entries: DataFrame) -> DataFrame:
     rows = lines.join(hits, ["sample_id", "line_no"], "left")
     some = F.col("picks").isNotNull()
     rows = rows.withColumns({"runs": F.when(some, runs), "between": F.when(some, between)})
-    pieces, after = _rebuilt("alias")
-    rows = rows.withColumn("_pieces", pieces)
+    rows = rows.withColumn("_pieces", F.flatten(F.transform("between", lambda b, i: F.array(b, F.get("runs", i)))))
+    rows = rows.withColumn("_parts", _parts())
     return rows.select(
-        "sample_id", "line_no", "raw", F.coalesce(after, "raw").alias("after"), F.coalesce(_rebuilt("blank")[1], "raw").alias("rest"),
+        "sample_id", "line_no", "raw", F.coalesce(_rebuilt("alias"), "raw").alias("after"), F.coalesce(_rebuilt("blank"), "raw").alias("rest"),
         F.greatest(F.coalesce(F.size("picks"), F.lit(0)), F.lit(0)).alias("replaced"),
     )
 

@@ -66,14 +66,25 @@ def coverage(before: DataFrame, after: DataFrame) -> DataFrame:
     Each (field, value) counts once, at its first line; values never replaced,
     reserved domains and bare digits don't count.
     """
-    kind, value = values.field_kind(F.col("field")), values.field_value(F.col("value"))
-    rows = before.withColumn("identity", value).where(
-        kind.isNotNull() & (value != "") & ~values.is_never(value) & ~F.lower(value).rlike(fixed.RESERVED_DOMAIN) & ~value.rlike(r"^\d+$")
-        & ((kind != "ipv4") | values.ipv4_class(value).isin("private", "public", "cgnat", "link-local"))
-    )
-    place = F.struct("sample_id", "line_no")
-    first = rows.groupBy("field", "identity").agg(F.min(place).alias("p")).select("field", "identity", "p.*")
-    now = after.select("sample_id", "line_no", "field", values.field_value(F.col("value")).alias("now"))
+    def named(field):
+        """Whether a field may say who or where: what ``values.field_kind`` needs of any name."""
+        return values.let(F.lower(field), lambda low: values.has(low, fixed.IDENTITY_WORDS))
+
+    def cheap(p):
+        return named(p["field"]) & (p["identity"] != "") & ~p["identity"].rlike(r"^\d+$")
+
+    def counts(p):
+        kind, value = values.field_kind(p["field"]), p["identity"]
+        plain = ~values.is_never(value) & ~F.lower(value).rlike(fixed.RESERVED_DOMAIN)
+        return plain & values.let(kind, lambda k: k.isNotNull() & ((k != "ipv4") | values.ipv4_class(value).isin("private", "public", "cgnat", "link-local")))
+
+    # Tested inside arrays, so that each value is brought to its form once; what costs more is asked of distinct values.
+    pair = F.struct("field", values.field_value(F.col("value")).alias("identity"))
+    rows = before.select("sample_id", "line_no", F.inline(F.filter(F.array(pair), cheap)))
+    first = rows.groupBy("field", "identity").agg(F.min(F.struct("sample_id", "line_no")).alias("p"))
+    first = first.select("p.*", F.inline(F.filter(F.array(F.struct("field", "identity")), counts)))
+    pair = F.struct("field", values.field_value(F.col("value")).alias("now"))
+    now = after.select("sample_id", "line_no", F.inline(F.filter(F.array(pair), lambda p: named(p["field"]))))
     joined = first.join(now, ["sample_id", "line_no", "field"], "left")
     return joined.select("sample_id", "line_no", "field", F.col("identity").alias("value"), (~F.col("identity").eqNullSafe(F.col("now"))).alias("replaced"))
 
